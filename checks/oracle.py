@@ -102,9 +102,9 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "turn_terms": (("context",), """SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS query_id, term, 1 AS tf
         FROM context"""),
     "status": ((), """SELECT user_id AS image_id, 'archive' AS source, event_type AS stage,
-            CASE WHEN value > 10 THEN 'done' ELSE 'waiting' END AS state, ts AS at, event_id FROM events"""),
+            CASE WHEN value > 10 THEN 'done' ELSE 'waiting' END AS state, ts AS seen_at, event_id FROM events"""),
     "last_status": (("status",), """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, stage
-            ORDER BY at DESC) AS n FROM status) WHERE n = 1"""),
+            ORDER BY seen_at DESC) AS n FROM status) WHERE n = 1"""),
 }
 
 
@@ -132,8 +132,9 @@ PARTS["meta_all"] = (("qfilter", "items"), """SELECT query_id, image_id, sum(hit
         SELECT query_id, image_id, CASE field WHEN 'lang' THEN lang = value ELSE source = value END::DOUBLE AS hit
         FROM qfilter, items) GROUP BY ALL""")
 PARTS["clue_all"] = (("qclue", "clue_hit"), """SELECT query_id, image_id,
-        count(*) / (SELECT count(*) FROM qclue c WHERE c.query_id = q.query_id) AS score
-    FROM qclue q JOIN clue_hit USING (value) GROUP BY ALL""")
+        count(*) / any_value(n) AS score
+    FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM qclue) JOIN clue_hit USING (value)
+    GROUP BY query_id, image_id""")
 
 
 def _hybrid(name: str, terms: str, pairs: str | None = None) -> None:
@@ -191,12 +192,12 @@ PARTS["matched"] = (("h_ranked", "h_q", "bm"), """SELECT query_id, image_id, ter
         PARTITION BY query_id, image_id ORDER BY part DESC, term) AS place
     FROM (SELECT r.query_id, r.image_id, term, round(bm * bm_idf, 6) AS part
           FROM h_ranked r JOIN bm ON bm.image_id = r.image_id JOIN h_q USING (query_id, term))""")
-PARTS["sentences"] = ((), """SELECT image_id, sentence, row_number() OVER (PARTITION BY image_id ORDER BY o) AS at FROM (
+PARTS["sentences"] = ((), """SELECT image_id, sentence, row_number() OVER (PARTITION BY image_id ORDER BY o) AS sno FROM (
         SELECT doc_id AS image_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS o FROM (
             SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s)),
                 lambda s: s <> '') AS p FROM documents))""".replace("\\\\n", "\\n"))
-PARTS["sentence_weight"] = (("sentences", "weights", "h_ranked"), f"""SELECT image_id, at, round(avg(w), 6) AS weight
-    FROM (SELECT image_id, at, unnest({toks('sentence')}) AS term FROM sentences
+PARTS["sentence_weight"] = (("sentences", "weights", "h_ranked"), f"""SELECT image_id, sno, round(avg(w), 6) AS weight
+    FROM (SELECT image_id, sno, unnest({toks('sentence')}) AS term FROM sentences
           WHERE image_id IN (SELECT image_id FROM h_ranked))
     JOIN weights USING (image_id, term) GROUP BY ALL""")
 PARTS["plan"] = (("h_ranked", "weights"), """SELECT query_id, step, topic, weight FROM (
@@ -376,9 +377,9 @@ def statements(grid) -> dict[str, str]:
     out["cv9_stream_context"] = out["cv5_clue_state"]
 
     out["ac1_summarize"] = sql("""SELECT query_id, pos::BIGINT AS pos, image_id, sentence, weight FROM (
-            SELECT query_id, image_id, at, weight, row_number() OVER (
-                PARTITION BY query_id ORDER BY weight DESC, image_id, at) AS pos
-            FROM h_ranked JOIN sentence_weight USING (image_id)) JOIN sentences USING (image_id, at)
+            SELECT query_id, image_id, sno, weight, row_number() OVER (
+                PARTITION BY query_id ORDER BY weight DESC, image_id, sno) AS pos
+            FROM h_ranked JOIN sentence_weight USING (image_id)) JOIN sentences USING (image_id, sno)
         WHERE pos <= 3""", "sentence_weight", "h_ranked")
     out["ac2_roadmap"] = sql("SELECT query_id, step::BIGINT AS step, topic, weight FROM plan", "plan")
     out["ac3_schedule"] = sql("""SELECT query_id, step::BIGINT AS step, topic, strftime(day, '%Y-%m-%d') AS day

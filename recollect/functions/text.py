@@ -57,14 +57,10 @@ def one_edit_keys(term: Column | str) -> Column:
 
 def word_runs(words: Column, longest: int) -> Column:
     """All runs of 1..longest neighbouring tokens, each joined by blanks."""
-    runs = [
-        F.when(
-            F.size(words) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.array_join(F.slice(words, i, n), " "),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(1, longest + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+    return F.array_distinct(F.concat(*[_runs_of(words, n) for n in range(1, longest + 1)]))
+
+
+def _runs_of(words: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))

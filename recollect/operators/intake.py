@@ -68,23 +68,23 @@ def _own_fault(dim: int | None) -> Column:
     return reason
 
 
+def _named_values(name: str, kind: str) -> Column:
+    if kind == "map":
+        entries = F.transform(
+            F.map_entries(name),
+            lambda e: F.struct(
+                F.concat(F.lit(f"{name}."), e["key"].cast("string")).alias("field"),
+                e["value"].cast("string").alias("value"),
+            ),
+        )
+        return F.coalesce(entries, F.array().cast("array<struct<field:string,value:string>>"))
+    value = F.to_json(F.col(name)) if kind == "struct" else F.col(name).cast("string")
+    return F.array(F.struct(F.lit(name).alias("field"), value.alias("value")))
+
+
 def _known_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(image_id, field, value) for every known field. Map entries count as fields."""
-    pairs = []
-    for name in fields:
-        kind = df.schema[name].dataType.typeName()
-        if kind == "map":
-            entries = F.transform(
-                F.map_entries(name),
-                lambda e, name=name: F.struct(
-                    F.concat(F.lit(f"{name}."), e["key"].cast("string")).alias("field"),
-                    e["value"].cast("string").alias("value"),
-                ),
-            )
-            pairs.append(F.coalesce(entries, F.array().cast("array<struct<field:string,value:string>>")))
-        else:
-            value = F.to_json(F.col(name)) if kind == "struct" else F.col(name).cast("string")
-            pairs.append(F.array(F.struct(F.lit(name).alias("field"), value.alias("value"))))
+    pairs = [_named_values(name, df.schema[name].dataType.typeName()) for name in fields]
     return df.select("image_id", F.inline(F.concat(*pairs))).filter("value IS NOT NULL")
 
 
