@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 WORD = r"([\p{L}\p{N}]+)"
@@ -55,9 +57,10 @@ def one_edit_keys(term: Column | str) -> Column:
     return F.array_distinct(F.concat(F.array(F.xxhash64(col)), cut))
 
 
-def word_runs(words: Column, longest: int) -> Column:
-    """All runs of 1..longest neighbouring tokens, each joined by blanks."""
-    return F.array_distinct(F.concat(*[_runs_of(words, n) for n in range(1, longest + 1)]))
+def word_runs(words: Column, lengths: Iterable[int]) -> Column:
+    """Distinct runs of neighbouring tokens of the given lengths, each joined by blanks."""
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(empty, *[_runs_of(words, n) for n in lengths]))
 
 
 def _runs_of(words: Column, n: int) -> Column:

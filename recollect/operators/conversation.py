@@ -62,11 +62,13 @@ def extract_clues(turns: DataFrame, lexicon: DataFrame, longest: int = 3) -> Dat
     Runs of up to ``longest`` tokens are looked up by equality. Where a turn names
     several values for one slot, the longest phrase counts, then the first by spelling.
     """
-    runs = turns.select(
+    # Tokens are a column of their own: inside the run expressions they would be cut anew per run.
+    words = turns.select("conv_id", "turn", "segment", tx.tokens("text").alias("_words"))
+    runs = words.select(
         "conv_id",
         "turn",
         "segment",
-        F.explode(tx.word_runs(tx.tokens("text"), longest)).alias("_run"),
+        F.explode(tx.word_runs(F.col("_words"), range(1, longest + 1))).alias("_run"),
     )
     known = lexicon.select(F.array_join(tx.tokens("phrase"), " ").alias("_run"), "slot", "value")
     order = F.struct(-F.length("_run"), F.col("_run"), F.col("value"))

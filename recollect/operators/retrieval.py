@@ -22,6 +22,8 @@ PLACES = 6
 # Block sizes of the nearest-vector search: rows of vectors and of queries per task.
 VECTOR_BLOCK = 50_000
 QUERY_BLOCK = 2_000
+# Longest run of tokens that phrases are looked up by.
+RUN = 3
 
 
 def top_k(
@@ -125,42 +127,58 @@ def term_candidates(weighed: DataFrame, index: Index, n: int, limit: int | None
 def phrase_match(phrases: DataFrame, index: Index, limit: int | None = None) -> DataFrame:
     """(query_id, image_id, phrase): items whose tokens hold the phrase, in order and unbroken.
 
-    ``phrases`` is (query_id, phrase). Each phrase is looked up by its rarest term, and
-    only the texts of items with that term are read again.
+    ``phrases`` is (query_id, phrase). Texts are read once, cut into runs of tokens, and the
+    runs looked up by equality. A phrase of up to RUN tokens is one run. A longer one must
+    have all its runs in the item, and then the text is read again to see them in order.
     """
-    distinct = phrases.select("phrase").distinct()
-    words = distinct.select("phrase", F.explode(F.array_distinct(tx.tokens("phrase"))).alias("term"))
-    wanted = broadcast_if_small(words.select("term").distinct(), limit)
-    stats = index.terms.select("term", "df").join(wanted, "term", "left_semi")
-    anchors = (
-        lookup(words, stats, "term", how="left", limit=limit)
-        .groupBy("phrase")
-        .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
+    words = phrases.select("phrase").distinct().withColumn("_words", tx.tokens("phrase"))
+    words = words.filter(F.size("_words") > 0).withColumn("_n", F.least(F.size("_words"), F.lit(RUN)))
+    lengths = sorted(r["_n"] for r in words.select("_n").distinct().collect())  # RUN rows at most
+    wanted = words.select(
+        "phrase",
+        (F.size("_words") > RUN).alias("_long"),
+        F.explode(_runs_by_length(lengths)).alias("run"),
+    )
+    counts = wanted.groupBy("phrase").agg(F.count(F.lit(1)).alias("_need"))
+    wanted = lookup(wanted, counts, "phrase", limit=limit)
+    texts = index.items.filter(F.col("text").isNotNull()).select("image_id", "text")
+    # Tokens are a column of their own: inside the run expressions they would be cut anew per run.
+    runs = texts.select("image_id", tx.tokens("text").alias("_words")).select(
+        "image_id", F.explode(tx.word_runs(F.col("_words"), lengths)).alias("run")
     )
     found = in_blocks(
-        anchors,
+        wanted,
         "phrase",
-        lambda block: index.postings.select("image_id", "term")
-        .join(block, "term")
-        .select("image_id", "phrase"),
+        lambda block: runs.join(block, "run")
+        .groupBy("image_id", "phrase", "_long", "_need")
+        .agg(F.count(F.lit(1)).alias("_have"))
+        .filter("_have = _need"),
         limit,
     )
-    candidates = stage(found, "phrase_candidates")
-    images = broadcast_if_small(candidates.select("image_id").distinct(), limit)
-    texts = index.items.join(images, "image_id", "left_semi").select(
+    found = stage(found.select("image_id", "phrase", "_long"), "phrases_found")
+    long = found.filter("_long")
+    images = broadcast_if_small(long.select("image_id").distinct(), limit)
+    read_again = texts.join(images, "image_id", "left_semi").select(
         "image_id", tx.normal_form("text").alias("_text")
     )
-    hits = (
-        candidates.join(texts, "image_id")
-        .filter(F.contains(F.col("_text"), tx.normal_form("phrase")))
-        .select("phrase", "image_id")
+    in_order = long.join(read_again, "image_id").filter(
+        F.contains(F.col("_text"), tx.normal_form("phrase"))
     )
+    hits = found.filter("NOT _long").unionByName(in_order.drop("_text"))
     asked = phrases.select("query_id", "phrase").distinct()
     return hits.join(broadcast_if_small(asked, limit), "phrase").select(
         "query_id", "image_id", "phrase"
     )
 
 
+def _runs_by_length(lengths: Sequence[int]) -> Column:
+    """Runs of a phrase, all of the length of the phrase or of RUN, whichever is less."""
+    runs = F.array().cast("array<string>")
+    for n in lengths:
+        runs = F.when(F.col("_n") == n, tx.word_runs(F.col("_words"), [n])).otherwise(runs)
+    return runs
+
+
 def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
     """(query_term, term): index terms within edit distance 1 that share three neighbouring letters.
 
