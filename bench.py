@@ -10,11 +10,10 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
-
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import adapters, spark_queries as sq  # noqa: E402
+from recollect.session import build_session  # noqa: E402
 
 HEADLINE = (
     "rt1_text_search",
@@ -49,15 +48,13 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.driver.memory", "20g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
+    spark = build_session(
+        "bench",
+        f"local[{cpus}]",
+        spark__sql__shuffle__partitions=cpus,
+        spark__driver__memory="20g",
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {"index_build": timed(lambda: adapters.index(spark, sf_dir))}

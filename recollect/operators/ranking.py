@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollect.functions import running, vectors as vx
 from recollect.functions.bounds import broadcast_if_small
@@ -60,7 +61,9 @@ def prepare(queries: QuerySet, index: Index) -> Prepared:
 def candidates(prepared: Prepared, index: Index, n: int = CANDIDATES) -> DataFrame:
     """Distinct (query_id, image_id) within the top n of any signal, with a score above 0."""
     queries = prepared.queries
-    found = rt.term_candidates(prepared.weighed, index, n).select("query_id", "image_id")
+    found = rt.best_by_terms(prepared.weighed, index, rt.TEXT, n).select("query_id", "image_id")
+    near = rt.best_by_terms(prepared.weighed, index, rt.SEMANTIC, n)
+    found = found.unionByName(near.select("query_id", "image_id"))
     if queries.vecs is not None:
         near = rt.vector_search(queries.vecs, index.vectors, n).filter("score > 0")
         found = found.unionByName(near.select("query_id", "image_id"))
@@ -82,54 +85,52 @@ def score_pairs(pairs: DataFrame, prepared: Prepared, index: Index) -> DataFrame
     """
     queries = prepared.queries
     key = ["query_id", "image_id"]
-    asked = pairs.join(
-        broadcast_if_small(prepared.weighed), "query_id"
+    by_term = rt.sums_of_pairs(
+        pairs,
+        prepared.weighed.select("query_id", "term", "bm_idf", "q"),
+        index,
+        {s.name: (s.weight, s.factor) for s in (rt.TEXT, rt.SEMANTIC)},
     )
-    terms = broadcast_if_small(prepared.weighed.select("term").distinct())
-    held = index.postings.select("image_id", "term", "bm", "ltf").join(terms, "term", "left_semi")
-    by_term = (
-        asked.join(held, ["image_id", "term"])
-        .groupBy(*key)
-        .agg(
-            F.sum(F.col("bm") * F.col("bm_idf")).alias("text"),
-            F.sum(F.col("ltf") * F.col("q")).alias("semantic"),
-        )
-    )
-    with_text = index.docs.select("image_id", F.lit(0.0).alias("_zero"))
-    scored = (
-        pairs.join(by_term, key, "left")
-        .join(with_text, "image_id", "left")
-        .withColumn("text", F.coalesce("text", "_zero"))
-        .withColumn("semantic", F.coalesce("semantic", "_zero"))
-        .drop("_zero")
+    zero = F.lit(0.0)
+    with_text = pairs.join(index.docs.select("image_id"), "image_id").select(
+        *key, zero.alias("text"), zero.alias("semantic")
     )
+    parts = [pairs.select(*key), with_text, by_term]
     if queries.vecs is not None:
         units = rt.unit_queries(queries.vecs).withColumnRenamed("unit", "_asked")
-        seen = (
-            pairs.join(index.vectors.select("image_id", "unit"), "image_id")
-            .join(broadcast_if_small(units), "query_id")
+        parts.append(
+            pairs.join(broadcast_if_small(units), "query_id")
+            .join(index.vectors.select("image_id", "unit"), "image_id")
             .select(*key, vx.dot(F.col("unit"), F.col("_asked")).alias("visual"))
         )
-        scored = scored.join(seen, key, "left")
-    else:
-        scored = scored.withColumn("visual", F.lit(None).cast("double"))
     if queries.filters is not None:
         meta = rt.metadata_score(pairs, queries.filters, index.items)
-        scored = scored.join(meta.withColumnRenamed("score", "metadata"), key, "left")
-    else:
-        scored = scored.withColumn("metadata", F.lit(None).cast("double"))
+        parts.append(meta.withColumnRenamed("score", "metadata"))
     if queries.clues is not None:
         clue = rt.clue_score(pairs, queries.clues, prepared.clue_hits)
-        scored = scored.join(clue.withColumnRenamed("score", "clue"), key, "left")
-    else:
-        scored = scored.withColumn("clue", F.lit(None).cast("double"))
-    return _comparable(scored.select(*key, *SIGNALS))
+        parts.append(clue.withColumnRenamed("score", "clue"))
+    return _comparable(_gathered(parts))
+
+
+def _gathered(parts: Sequence[DataFrame]) -> DataFrame:
+    """One row per pair with the signals of all parts: a union and one aggregate, no joins."""
+    rows = []
+    for part in parts:
+        held = [F.col(s) if s in part.columns else F.lit(None) for s in SIGNALS]
+        rows.append(
+            part.select("query_id", "image_id", *[c.cast("double").alias(s) for c, s in zip(held, SIGNALS)])
+        )
+    every = reduce(DataFrame.unionByName, rows)
+    return every.groupBy("query_id", "image_id").agg(*[F.max(s).alias(s) for s in SIGNALS])
 
 
 def _comparable(scored: DataFrame) -> DataFrame:
-    """Text divided by its maximum per query, cosines cut to [0, 1], all rounded."""
-    top = scored.groupBy("query_id").agg(F.max("text").alias("_top"))
-    scaled = scored.join(top, "query_id").withColumn(
+    """Text divided by its maximum per query, cosines cut to [0, 1], all rounded.
+
+    The window holds the candidates of one query, a few times the top n at most.
+    """
+    top = F.max("text").over(Window.partitionBy("query_id"))
+    scaled = scored.withColumn("_top", top).withColumn(
         "text", F.when(F.col("_top") > 0, F.col("text") / F.col("_top")).otherwise(F.col("text"))
     )
     for cosine in ("semantic", "visual"):

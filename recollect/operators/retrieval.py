@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -22,6 +23,11 @@ PLACES = 6
 # Block sizes of the nearest-vector search: rows of vectors and of queries per task.
 VECTOR_BLOCK = 50_000
 QUERY_BLOCK = 2_000
+# Rows up to which the sums of a search over shared terms are made without pruning.
+SUM_ROWS = 500_000_000
+# Share of the floor that terms left for later may make up. Any value below 1 is exact; a low
+# one reads more postings and leaves fewer items.
+WEAK_SHARE = 0.4
 # Longest run of tokens that phrases are looked up by.
 RUN = 3
 
@@ -43,7 +49,10 @@ def top_k(
 
 
 def weigh_terms(query_terms: DataFrame, index: Index, limit: int | None = None) -> DataFrame:
-    """(query_id, term, bm_idf, q): idf and unit TF-IDF weight of every query term.
+    """(query_id, term, df, bm_idf, q, max_bm, max_ltf): the weights of every query term.
+
+    ``bm_idf`` and ``q`` are the factors of BM25 and of the cosine, the maxima what a term
+    can at most add before them.
 
     Terms no item has count in the length of the query vector, and match nothing.
     """
@@ -61,67 +70,172 @@ def weigh_terms(query_terms: DataFrame, index: Index, limit: int | None = None)
     return unit.filter(F.col("df").isNotNull()).select(
         "query_id",
         "term",
+        "df",
         "bm_idf",
         (F.col("_raw") / F.col("_len") * F.col("idf")).alias("q"),
+        "max_bm",
+        "max_ltf",
     )
 
 
-def _scores(block: DataFrame, index: Index, wanted: Mapping[str, Column]) -> DataFrame:
-    """Sums over the terms an item shares with a query.
+@dataclass(frozen=True)
+class TermSignal:
+    """Columns of a score that is a sum over shared terms: ``weight`` x ``factor``."""
 
-    Postings are bucketed by image_id, so the sums need no shuffle.
-    """
-    hits = index.postings.join(block, "term")
-    return hits.groupBy("query_id", "image_id").agg(*[c.alias(n) for n, c in wanted.items()])
+    name: str
+    weight: str
+    factor: str
+    peak: str
 
 
-def _text_sum() -> Column:
-    return F.sum(F.col("bm") * F.col("bm_idf"))
+TEXT = TermSignal("text", "bm", "bm_idf", "max_bm")
+SEMANTIC = TermSignal("semantic", "ltf", "q", "max_ltf")
 
 
-def _semantic_sum() -> Column:
-    return F.sum(F.col("ltf") * F.col("q"))
+def _sums(block: DataFrame, index: Index, weight: str, *keep: str) -> DataFrame:
+    """(query_id, image_id, score, *keep): sums over the terms an item shares with a query.
+
+    Postings are bucketed by image_id, so the sums need no shuffle.
+    """
+    hits = index.postings.select("image_id", "term", weight).join(block, "term")
+    return hits.groupBy("query_id", "image_id", *keep).agg(
+        F.sum(F.col(weight) * F.col("_factor")).alias("score")
+    )
 
 
-def text_search(
-    query_terms: DataFrame, index: Index, k: int = 10, limit: int | None = None
+def best_by_terms(
+    weighed: DataFrame, index: Index, signal: TermSignal, k: int, limit: int | None = None
 ) -> DataFrame:
-    """BM25 over the postings."""
-    weighed = stage(weigh_terms(query_terms, index, limit), "weighed")
+    """Top k per query by a sum over shared terms. ``weighed`` is a written ``weigh_terms``.
+
+    Frequent terms pair almost every query with almost every item. Up to SUM_ROWS such
+    rows the sums are simply made; beyond it ``_pruned`` leaves out what cannot win.
+    """
+    asked = weighed.withColumn("_factor", F.col(signal.factor))
+    rows = weighed.agg(F.sum("df")).first()[0] or 0
+    if rows > SUM_ROWS:
+        return _pruned(asked, index, signal, k, limit)
     return in_blocks(
-        weighed,
+        asked.select("query_id", "term", "_factor"),
         "query_id",
-        lambda block: top_k(_scores(block, index, {"score": _text_sum()}), k),
+        lambda block: top_k(_sums(block, index, signal.weight), k),
         limit,
     )
 
 
-def semantic_search(
-    query_terms: DataFrame, index: Index, k: int = 10, limit: int | None = None
+def _pruned(
+    asked: DataFrame, index: Index, signal: TermSignal, k: int, limit: int | None
 ) -> DataFrame:
-    """Cosine of TF-IDF vectors."""
-    weighed = stage(weigh_terms(query_terms, index, limit), "weighed")
-    return in_blocks(
-        weighed,
+    """The same top k without pairing queries and items that share only weak terms.
+
+    1. Sums over each query's rarest terms give k items; the least of their whole scores is
+       surely reached by k items: a floor.
+    2. The weakest terms, which all together stay below a share of the floor, cannot lift an
+       item there alone. Only items with another term are looked at, and of those only the
+       ones that could reach the floor with all weak terms added.
+    3. The weak terms are added for the items that are left.
+    """
+    slack = 1e-5
+    own = Window.partitionBy("query_id")
+    upward = own.rowsBetween(Window.unboundedPreceding, 0).orderBy
+    asked = asked.withColumn("_cap", F.col("_factor") * F.col(signal.peak)).select(
+        "query_id",
+        "term",
+        "_factor",
+        "_cap",
+        F.sum("df").over(upward("df", "term")).alias("_read"),
+        F.sum("df").over(own).alias("_all"),
+        F.row_number().over(own.orderBy("df", "term")).alias("_nth"),
+    )
+    asked = stage(asked, "asked")
+    rare = asked.filter(
+        (F.col("_nth") == 1) | (F.col("_read") <= F.greatest(F.lit(20 * k), F.col("_all") / 20))
+    )
+    reached = in_blocks(
+        rare.select("query_id", "term", "_factor"),
+        "query_id",
+        lambda block: top_k(_sums(block, index, signal.weight), k),
+        limit,
+    )
+    reached = stage(reached.select("query_id", "image_id"), "reached")
+    factors = asked.select("query_id", "term", "_factor")
+    floor = (
+        sums_of_pairs(reached, factors, index, {"score": (signal.weight, "_factor")}, limit)
+        .groupBy("query_id")
+        .agg(F.min("score").alias("_floor"), F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") == k)
+        .drop("_n")
+    )
+    weak = F.sum("_cap").over(upward("_cap", "term")) < WEAK_SHARE * F.col("_floor")
+    marked = (
+        lookup(asked, stage(floor, "floor"), "query_id", how="left", limit=limit)
+        .withColumn("_weak", F.coalesce(weak, F.lit(False)))
+        .withColumn("_rest", F.sum(F.when(F.col("_weak"), F.col("_cap")).otherwise(0.0)).over(own))
+        .select("query_id", "term", "_factor", "_weak", "_rest", "_floor")
+    )
+    marked = stage(marked, "marked")
+    could_win = F.col("_floor").isNull() | (F.col("score") + F.col("_rest") >= F.col("_floor") - slack)
+    left = in_blocks(
+        marked.filter("NOT _weak").drop("_weak"),
         "query_id",
-        lambda block: top_k(_scores(block, index, {"score": _semantic_sum()}), k),
+        lambda block: _sums(block, index, signal.weight, "_rest", "_floor").filter(could_win),
+        limit,
+    )
+    left = stage(left, "could_win")
+    higher = top_k(left.select("query_id", "image_id", "score"), k).filter(F.col("rank") == k)
+    higher = higher.select("query_id", F.col("score").alias("_floor"))
+    left = lookup(left.drop("_floor"), stage(higher, "higher"), "query_id", how="left", limit=limit)
+    left = left.filter(could_win).select("query_id", "image_id", F.col("score").alias("_part"))
+    added = sums_of_pairs(
+        left.select("query_id", "image_id"),
+        marked.filter("_weak").select("query_id", "term", "_factor"),
+        index,
+        {"_added": (signal.weight, "_factor")},
         limit,
     )
+    whole = left.join(added, ["query_id", "image_id"], "left").select(
+        "query_id", "image_id", (F.col("_part") + F.coalesce("_added", F.lit(0.0))).alias("score")
+    )
+    return top_k(whole, k)
 
 
-def term_candidates(weighed: DataFrame, index: Index, n: int, limit: int | None = None) -> DataFrame:
-    """Top n by text and top n by semantic similarity, from one pass over the postings."""
+def sums_of_pairs(
+    pairs: DataFrame,
+    factors: DataFrame,
+    index: Index,
+    wanted: Mapping[str, tuple[str, str]],
+    limit: int | None = None,
+) -> DataFrame:
+    """(query_id, image_id, *wanted): sums over shared terms for given pairs only.
+
+    ``wanted`` names (weight, factor) columns of the postings and of ``factors``. Joined on
+    (image_id, term): an item that many queries found is spread over its terms.
+    """
+    weights = sorted({w for w, _ in wanted.values()})
+    terms = broadcast_if_small(factors.select("term").distinct(), limit)
+    held = index.postings.select("image_id", "term", *weights).join(terms, "term", "left_semi")
+    return (
+        pairs.join(broadcast_if_small(factors, limit), "query_id")
+        .join(held, ["image_id", "term"])
+        .groupBy("query_id", "image_id")
+        .agg(*[F.sum(F.col(w) * F.col(f)).alias(n) for n, (w, f) in wanted.items()])
+    )
 
-    def step(block: DataFrame) -> DataFrame:
-        sums = _scores(block, index, {"text": _text_sum(), "semantic": _semantic_sum()})
-        pair = F.array(
-            F.struct(F.lit("text").alias("signal"), F.col("text").alias("score")),
-            F.struct(F.lit("semantic").alias("signal"), F.col("semantic").alias("score")),
-        )
-        long = sums.select("query_id", "image_id", F.inline(pair))
-        return top_k(long, n, by=("query_id", "signal")).filter("score > 0")
 
-    return in_blocks(weighed, "query_id", step, limit)
+def text_search(
+    query_terms: DataFrame, index: Index, k: int = 10, limit: int | None = None
+) -> DataFrame:
+    """BM25 over the postings."""
+    weighed = stage(weigh_terms(query_terms, index, limit), "weighed")
+    return best_by_terms(weighed, index, TEXT, k, limit)
+
+
+def semantic_search(
+    query_terms: DataFrame, index: Index, k: int = 10, limit: int | None = None
+) -> DataFrame:
+    """Cosine of TF-IDF vectors."""
+    weighed = stage(weigh_terms(query_terms, index, limit), "weighed")
+    return best_by_terms(weighed, index, SEMANTIC, k, limit)
 
 
 def phrase_match(phrases: DataFrame, index: Index, limit: int | None = None) -> DataFrame:

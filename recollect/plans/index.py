@@ -18,10 +18,10 @@ class Index:
     """Tables of the index.
 
     items     image_id, source, uri, file_info, ts, meta, text
-    postings  image_id, term, tf, bm, ltf; bucketed by image_id. ``bm`` is the BM25
+    postings  image_id, term, tf, bm, ltf; bucketed by image_id, sorted within. ``bm`` is the BM25
               weight less idf, ``ltf`` the TF-IDF weight less idf. The idf comes with
               the query, so that the large table is never joined on a frequent term.
-    terms     term, df, bm_idf, idf
+    terms     term, df, bm_idf, idf, max_bm, max_ltf; the last two bound what a term can add
     corpus    one row: n_docs, n_tokens, avg_dl
     docs      image_id, dl, n_terms, norm
     vectors   image_id, norm, unit
@@ -46,7 +46,7 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
     """Build all tables from items. Texts are shuffled once, by image_id."""
     n = buckets or bucket_count(items)
     raw = stage_bucketed(
-        signals.postings(items, n), "postings", "image_id", n, ["term"], spread=True
+        signals.postings(items, n), "postings", "image_id", n, ["image_id", "term"], spread=True
     )
     stats = stage(signals.doc_stats(raw), "docs")
     corpus = stage(
@@ -58,8 +58,8 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
         "corpus",
     )
     counts = raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = stage(signals.with_idf(counts, corpus), "terms")
-    norms = stage(signals.norms(raw, terms), "norms")
+    known = stage(signals.with_idf(counts, corpus), "known_terms")
+    norms = stage(signals.norms(raw, known), "norms")
     avg_dl = corpus.select("avg_dl").scalar()
     weighted = raw.join(norms, "image_id").select(
         "image_id",
@@ -68,11 +68,13 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
         signals.bm25_weight(F.col("tf"), F.col("dl"), avg_dl).alias("bm"),
         (signals.term_weight(F.col("tf")) / F.col("norm")).alias("ltf"),
     )
+    post = stage_bucketed(weighted, "weighted", "image_id", n, ["image_id", "term"])
+    peaks = post.groupBy("term").agg(F.max("bm").alias("max_bm"), F.max("ltf").alias("max_ltf"))
     return Index(
         items=items.drop("embedding"),
-        postings=stage_bucketed(weighted, "weighted", "image_id", n, ["term"]),
-        terms=terms,
+        postings=post,
+        terms=stage(known.join(peaks, "term"), "terms"),
         corpus=corpus,
-        docs=stats.join(norms, "image_id"),
+        docs=stage(stats.join(norms, "image_id"), "docs"),
         vectors=stage(signals.prepare_vectors(items, dim), "vectors"),
     )

@@ -36,6 +36,27 @@ def test_blocks_of_queries_change_nothing(spark, index):
         assert hits(search(asked, index, 3)) == hits(search(asked, index, 3, limit=60))
 
 
+def test_pruning_changes_nothing(spark, monkeypatch):
+    """Half the items are copies, every item has the frequent words, and ties are common."""
+    from recollect.plans.index import build_index
+    from recollect.schemas import ITEMS
+
+    rnd = random.Random(9)
+    words = ["the", "of", "and"] * 12 + [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 25))) for _ in range(60)]
+    texts += [texts[0]] * 60
+    rows = [(i, None, None, None, None, None, "the of " + t, None) for i, t in enumerate(texts)]
+    ix = build_index(spark.createDataFrame(rows, ITEMS), 4, 2)
+    said = {i: "the of and " + " ".join(rnd.choice(words) for _ in range(6)) for i in range(12)}
+    asked = terms_of(spark, said)
+    for search in (rt.text_search, rt.semantic_search):
+        for k in (2, 10, 100):
+            monkeypatch.setattr(rt, "SUM_ROWS", 50_000_000)
+            plain = hits(search(asked, ix, k))
+            monkeypatch.setattr(rt, "SUM_ROWS", 0)
+            assert hits(search(asked, ix, k)) == plain
+
+
 def test_tfidf_vectors_have_unit_length(spark, archive):
     post = sg.postings(archive)
     _, terms = sg.corpus_stats(post)
