@@ -14,7 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollect.functions import text as tx, vectors as vx
-from recollect.functions.bounds import broadcast_if_small, in_blocks, lookup, measure
+from recollect.functions.bounds import (
+    broadcast_if_small,
+    broadcast_limit,
+    in_blocks,
+    lookup,
+    measure,
+)
 from recollect.operators.signals import rare_weight, term_weight
 from recollect.plans.index import Index
 from recollect.sources.tables import stage
@@ -208,17 +214,21 @@ def sums_of_pairs(
 ) -> DataFrame:
     """(query_id, image_id, *wanted): sums over shared terms for given pairs only.
 
-    ``wanted`` names (weight, factor) columns of the postings and of ``factors``. Joined on
-    (image_id, term): an item that many queries found is spread over its terms.
+    ``wanted`` names (weight, factor) columns of the postings and of ``factors``. Postings lie
+    by image_id and stay there; the pairs come to them. Where the factors of all queries can
+    be broadcast, every posting of a pair's item is looked up among them. Otherwise the pairs
+    are spread over their query's terms first and joined on (image_id, term).
     """
     weights = sorted({w for w, _ in wanted.values()})
     terms = broadcast_if_small(factors.select("term").distinct(), limit)
     held = index.postings.select("image_id", "term", *weights).join(terms, "term", "left_semi")
-    return (
-        pairs.join(broadcast_if_small(factors, limit), "query_id")
-        .join(held, ["image_id", "term"])
-        .groupBy("query_id", "image_id")
-        .agg(*[F.sum(F.col(w) * F.col(f)).alias(n) for n, (w, f) in wanted.items()])
+    cap = broadcast_limit(factors) if limit is None else limit
+    if measure(factors).bytes <= cap:
+        met = held.join(pairs, "image_id").join(F.broadcast(factors), ["query_id", "term"])
+    else:
+        met = pairs.join(factors, "query_id").join(held, ["image_id", "term"])
+    return met.groupBy("query_id", "image_id").agg(
+        *[F.sum(F.col(w) * F.col(f)).alias(n) for n, (w, f) in wanted.items()]
     )
 
 
