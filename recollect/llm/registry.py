@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import mixing, sharding, warc
+from recollect.llm import mixing, sharding, simhash, topk, warc
 from recollect.llm.common import table
 from recollect.sources.tables import shared_dir
 
@@ -48,12 +48,23 @@ def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
+def op8_anchor_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_consistent_hash_shards,
         op2_warc_archive,
         op4_weighted_mix,
+        op5_dual_tree_top_k,
+        op8_anchor_near_duplicates,
     )
 }
 
