@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import mixing, sharding, simhash, substrings, topk, warc
+from recollect.llm import mixing, sharding, simhash, substrings, suffixes, topk, warc
 from recollect.llm.common import table
 from recollect.sources.tables import shared_dir
 
@@ -57,6 +57,10 @@ def op8_anchor_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(table(spark, sf_dir, "documents"), 200).drop("spans")
+
+
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(table(spark, sf_dir, "documents"), 20).drop("spans")
 
@@ -69,6 +73,7 @@ QUERIES = {
         op4_weighted_mix,
         op5_dual_tree_top_k,
         op8_anchor_near_duplicates,
+        op9_prefix_doubling,
         op10_repeated_windows,
     )
 }
