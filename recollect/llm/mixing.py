@@ -152,8 +152,9 @@ def mix_sources(
     )
     slots = _slots(sources, block_words, shards, seed)
     kept = F.least(F.col("_to") - F.col("_from"), F.col("_words") - F.col("_at"))
+    # By sorting: the planner takes the slots to be as few as the sources, and would broadcast them.
     pieces = (
-        in_blocks.join(slots, ["_key", "_block"])
+        in_blocks.join(slots.hint("merge"), ["_key", "_block"])
         .select("shard", F.xxhash64("_key", "slot").alias("slot"), "uid", "epoch", F.col("_from").alias("first_word"), kept.alias("words"))
         .filter("words > 0")
     )
