@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import mixing, sharding, simhash, substrings, suffixes, topk, warc
+from recollect.llm import language, mixing, quality, sharding, simhash, substrings, suffixes, topk, warc
 from recollect.llm.common import table
 from recollect.sources.tables import shared_dir
 
@@ -52,6 +52,23 @@ def op5_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
 
 
+def op6_byte_network_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    net = quality.train(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = quality.with_quality(docs, net)
+    held_out = F.coalesce(fold == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language.train(docs, fold != 2)
+    scored = language.with_language(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_anchor_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -72,6 +89,8 @@ QUERIES = {
         op2_warc_archive,
         op4_weighted_mix,
         op5_dual_tree_top_k,
+        op6_byte_network_quality,
+        op7_string_kernel_language,
         op8_anchor_near_duplicates,
         op9_prefix_doubling,
         op10_repeated_windows,
