@@ -1,5 +1,62 @@
-"""The pipeline over the documents: a list of stages, each of which reads what the one before kept."""
-STAGES = []
+"""From documents to a sharded training mix: stages that each work on all the one before kept."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from recollect.llm import decontam, language, mixing, sharding, simhash
+from recollect.llm.common import table
+from recollect.sources.tables import stage
+
+SHARDS = 8
+LEAST_SCORE = 0.2  # below it a text is like none of the languages
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the given ones name; those without letters go."""
+    model = language.train(docs, F.lit(True))
+    marked = language.with_language(docs, model)
+    sure = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return marked.filter(sure).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.one_of_each_group(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return decontam.without_copies(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_by_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, as often and as far as it takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every document of the mix."""
+    return sharding.assign_shards(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_copies),
+    ("mixing", mix_by_weight),
+    ("sharding", put_into_shards),
+]
+
+# Models, fingerprints and draws are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written as Parquet and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

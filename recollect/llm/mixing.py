@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from recollect.llm.common import running_totals, word_count
+from recollect.llm.common import WORD, running_totals, word_count
 from recollect.sources.tables import stage
 
 BLOCK_WORDS = 512
@@ -90,10 +90,12 @@ def mix_sources(
     shards: int = 8,
     seed: int = 42,
     parts: int | None = None,
+    uid_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix of ``docs`` (doc_id, text, source; other columns are ignored).
 
-    documents: uid, doc_id, size, source_size, target, one row for each row of ``docs``.
+    documents: uid, doc_id, size, source_size, target, one row for each row of ``docs``. ``uid_col`` names
+    a LONG column that tells the rows of a written table apart; without it rows are numbered.
     pieces: shard, slot, uid, epoch, first_word, words: which words of which document stand in
     which block slot of which output shard. A word is taken at most ceil(``most``) times.
 
@@ -105,7 +107,7 @@ def mix_sources(
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = stage(
         docs.select(
-            F.monotonically_increasing_id().alias("uid"),
+            (F.col(f"`{uid_col}`") if uid_col else F.monotonically_increasing_id()).alias("uid"),
             F.col("doc_id"),
             F.col("source"),
             word_count("text").alias("size"),
@@ -161,6 +163,28 @@ def mix_sources(
     return documents, pieces
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents: a row of the columns of ``docs`` for each document and pass that takes words of it.
+
+    Where a pass takes all words the text stays as it is; else it is the taken words, joined by
+    blanks. n_chars, if there is such a column, is that of the new text. Documents of which no
+    word is taken go. ``how``: see ``mix_sources``.
+    """
+    keyed = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-input")
+    documents, pieces = mix_sources(keyed, uid_col="_uid", **how)
+    spans = pieces.groupBy("uid", "epoch").agg(
+        F.sum("words").alias("_taken"), F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_spans")
+    )
+    spans = spans.join(documents.select("uid", "size"), "uid").withColumnRenamed("uid", "_uid")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.transform("_spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["words"].cast("int")))
+    text = F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(F.array_join(F.flatten(cut), " "))
+    made = keyed.join(spans, "_uid").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*docs.columns)
+
+
 def _slots(sources: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
     """(_key, _block, epoch, slot, shard, _words): which block each slot takes and how much of it.
 

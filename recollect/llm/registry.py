@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import language, mixing, quality, sharding, simhash, substrings, suffixes, topk, warc
+from recollect.llm import decontam, language, mixing, quality, sharding, simhash, substrings, suffixes, topk, warc
 from recollect.llm.common import table
 from recollect.sources.tables import shared_dir
 
@@ -40,6 +40,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pieces = mixing.mix_sources(table(spark, sf_dir, "documents"))
     taken = pieces.groupBy("uid").agg(F.sum("words").alias("taken"))
@@ -87,6 +91,7 @@ QUERIES = {
     for f in (
         op1_consistent_hash_shards,
         op2_warc_archive,
+        op3_benchmark_copies,
         op4_weighted_mix,
         op5_dual_tree_top_k,
         op6_byte_network_quality,

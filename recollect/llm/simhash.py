@@ -313,3 +313,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = of_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = of_fp.join(ids, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: that of the smallest id, NULL last.
+
+    Among rows of that id the choice is by a hash of the row; of rows that are equal in all columns one stays.
+    """
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])), F.col(f"`{text_col}`"))
+    keyed = docs.withColumn("_row", row)
+    ids = keyed.select(F.col(f"`{id_col}`").alias("_id"), "_row", F.col(f"`{text_col}`").alias("_text"))
+    counted = ids.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_n"))
+    groups = near_duplicates(keyed.select("_row", text_col), "_row", text_col, most).withColumnRenamed("component_id", "_group")
+    members = groups.select("_row", "_group").distinct().join(counted, "_row")
+    first = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    kept = members.groupBy("_group").agg(first.alias("_first")).select(F.col("_first.row").alias("_row"))
+    kept = kept.join(counted.select("_row", "_n"), "_row")
+    found = keyed.join(kept, "_row")
+    # Rows repeated in every column are few; only those are brought together.
+    once = found.filter("_n = 1")
+    again = found.filter("_n > 1").dropDuplicates(["_row"])
+    return once.unionByName(again).select(*docs.columns)
