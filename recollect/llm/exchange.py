@@ -76,7 +76,7 @@ def make_chunks(docs: DataFrame, chunk_bytes: int, ordered: bool, id_col: str =
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     if ordered:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        order = [F.col("id").asc_nulls_last(), F.col("data")]
+        order = [F.col("id").asc_nulls_last(), F.xxhash64("data")]  # short: samples of it go to the driver
         rows = rows.mapInArrow(squeeze, "id long, data binary").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     made = rows.mapInArrow(gather, "chunk long, ids array<bigint>, sizes array<bigint>, data binary")
     return stage(made, "chunks")

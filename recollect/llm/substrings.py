@@ -69,7 +69,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
     """(id, n_words, n_removed, spans, kept_sha256[, kept]): what is left of each document.
 
     A word goes if a window of ``window`` words of its document that holds it starts earlier as
-    well: in a document of smaller id (NULL last; equal ids in an order of their texts) or
+    well: in a document of smaller id (NULL last; equal ids by a hash of their texts) or
     earlier in the same. Windows are judged on the input. spans: [first word, word after the last] of
     the maximal removed intervals. Kept words are joined by one blank. NULL, empty and short
     texts have no windows and lose nothing. Extra columns are ignored; no rows give no rows.
