@@ -96,7 +96,8 @@ def contaminations(
     """(id_col, item_id, start, hamming, similarity): the most similar window for each document and item that it copies.
 
     ``start`` is the first shingle of the window; among equal windows the first. A document with
-    fewer words than the item is one window. Items and documents without words match nothing. Rows
+    fewer words than the item is one window. Items shorter than a shingle match only texts as short;
+    items and documents without words match nothing. Rows
     of one id are judged each by itself and reported together, NULL ids as one document; items of
     one id likewise. Other columns are ignored. Empty tables give no rows.
     """
@@ -126,10 +127,10 @@ def without_copies(
 ) -> DataFrame:
     """The rows of ``docs`` that copy no benchmark item, as they are; see ``contaminations``."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marks = stage(_copies(rows, benchmark, similarity, radius).select(F.col("mark").alias("_mark")).distinct(), "copies")
+    marks = stage(_copies(rows, benchmark, similarity, radius).select(F.col("mark").alias("_copy_mark")).distinct(), "copies")
     own = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     mark = F.xxhash64(F.coalesce(own["id"].cast("string"), F.lit("")), own["id"].isNull(), own["text"])
-    return docs.withColumn("_mark", mark).join(broadcast_if_small(marks), "_mark", "left_anti").drop("_mark")
+    return docs.withColumn("_copy_mark", mark).join(broadcast_if_small(marks), "_copy_mark", "left_anti").drop("_copy_mark")
 
 
 def _copies(rows: DataFrame, benchmark: DataFrame, similarity: float, radius: int) -> DataFrame:

@@ -120,13 +120,15 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     """``docs`` with lang_pred and score (0 to 1, higher: surer), from the whole text and nothing else.
 
     Texts that are NULL or have no letter are undetermined ("und", score 0), and so is every text where
-    the model knows no language. All other columns and rows stay as they are.
+    the model knows no language. All other columns and rows stay as they are; columns of these two names are
+    replaced.
     """
+    docs = docs.drop("lang_pred", "score")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-            letters = batch.column(batch.schema.get_field_index("_letter")).to_pylist()
+            letters = batch.column(batch.schema.get_field_index("_has_letter")).to_pylist()
             langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             rows = [i for i, ok in enumerate(letters) if ok and model.languages]
             for a in range(0, len(rows), BATCH):
@@ -136,9 +138,9 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                 scores[part] = np.clip((values[np.arange(len(part)), best] + 1) / 2, 0, 1)
                 for i, k in zip(part, best):
                     langs[i] = model.languages[k]
-            kept = batch.drop_columns(["_letter"])
+            kept = batch.drop_columns(["_has_letter"])
             yield kept.append_column("lang_pred", pa.array(langs)).append_column("score", pa.array(scores, pa.float64()))
 
     fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    marked = docs.withColumn("_letter", F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn("_has_letter", F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(score, T.StructType(fields))

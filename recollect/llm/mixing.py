@@ -170,19 +170,21 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     blanks. n_chars, if there is such a column, is that of the new text. Documents of which no
     word is taken go. ``how``: see ``mix_sources``.
     """
-    keyed = stage(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-input")
-    documents, pieces = mix_sources(keyed, uid_col="_uid", **how)
+    keyed = stage(docs.withColumn("_mix_uid", F.monotonically_increasing_id()), "mix-input")
+    documents, pieces = mix_sources(keyed, uid_col="_mix_uid", **how)
     spans = pieces.groupBy("uid", "epoch").agg(
-        F.sum("words").alias("_taken"), F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_spans")
+        F.sum("words").alias("_mix_taken"), F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_mix_spans")
     )
-    spans = spans.join(documents.select("uid", "size"), "uid").withColumnRenamed("uid", "_uid")
+    sizes = documents.select("uid", F.col("size").alias("_mix_size"))
+    spans = spans.join(sizes, "uid").withColumnRenamed("uid", "_mix_uid").drop("epoch")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.transform("_spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["words"].cast("int")))
-    text = F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(F.array_join(F.flatten(cut), " "))
-    made = keyed.join(spans, "_uid").withColumn("text", text)
+    cut = F.transform("_mix_spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["words"].cast("int")))
+    whole = F.col("_mix_taken") == F.col("_mix_size")
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(cut), " "))
+    made = keyed.join(spans, "_mix_uid").withColumn("text", text)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    return made.select(*[f"`{c}`" for c in docs.columns])
 
 
 def _slots(sources: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:

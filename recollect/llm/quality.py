@@ -186,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
 def with_quality(docs: DataFrame, net: Network, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out``: the probability of label 1, from the whole text and nothing else.
 
-    NULL texts count as empty. All other columns and rows stay as they are.
+    NULL texts count as empty. All other columns and rows stay as they are; a column of that name is replaced.
     """
+    docs = docs.drop(out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -320,17 +320,18 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Among rows of that id the choice is by a hash of the row; of rows that are equal in all columns one stays.
     """
-    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])), F.col(f"`{text_col}`"))
-    keyed = docs.withColumn("_row", row)
-    ids = keyed.select(F.col(f"`{id_col}`").alias("_id"), "_row", F.col(f"`{text_col}`").alias("_text"))
-    counted = ids.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_n"))
-    groups = near_duplicates(keyed.select("_row", text_col), "_row", text_col, most).withColumnRenamed("component_id", "_group")
-    members = groups.select("_row", "_group").distinct().join(counted, "_row")
-    first = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    kept = members.groupBy("_group").agg(first.alias("_first")).select(F.col("_first.row").alias("_row"))
-    kept = kept.join(counted.select("_row", "_n"), "_row")
-    found = keyed.join(kept, "_row")
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    keyed = docs.withColumn("_near_row", F.xxhash64(others, F.col(f"`{text_col}`")))
+    counted = keyed.groupBy(F.col(f"`{id_col}`").alias("id"), F.col("_near_row").alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    texts = keyed.select(F.col("_near_row").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    groups = near_duplicates(texts, "row", "text", most).select("row", "component_id").distinct()
+    members = groups.join(stage(counted, "distinct-rows"), "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row", "n"))
+    kept = members.groupBy("component_id").agg(first.alias("first")).select(
+        F.col("first.row").alias("_near_row"), F.col("first.n").alias("_near_n")
+    )
+    found = keyed.join(stage(kept, "kept-rows"), "_near_row")
     # Rows repeated in every column are few; only those are brought together.
-    once = found.filter("_n = 1")
-    again = found.filter("_n > 1").dropDuplicates(["_row"])
-    return once.unionByName(again).select(*docs.columns)
+    once = found.filter("_near_n = 1")
+    again = found.filter("_near_n > 1").dropDuplicates(["_near_row"])
+    return once.unionByName(again).select(*[f"`{c}`" for c in docs.columns])
