@@ -95,7 +95,8 @@ def contaminations(
 ) -> DataFrame:
     """(id_col, item_id, start, hamming, similarity): the most similar window for each document and item that it copies.
 
-    ``start`` is the first shingle of the window; among equal windows the first. A document with
+    ``start`` is the first shingle of the window; among equally similar windows the first that starts at a
+    shingle of the item, or the last window of the document. A document with
     fewer words than the item is one window. Items shorter than a shingle match only texts as short;
     items and documents without words match nothing. Rows
     of one id are judged each by itself and reported together, NULL ids as one document; items of
