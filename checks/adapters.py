@@ -3,7 +3,7 @@
 documents + embeddings  -> items (an item has a vector where vec_id = doc_id)
 conversations           -> turns; the text of a user turn gets a spoken opening, chosen
                            by its turn number, since the texts themselves name no intent
-first user turn         -> a query, its id the conv_id; its vector is the one with
+every user turn         -> a query, its id conv_id * 1000 + turn; its vector is the one with
                            vec_id = conv_id, its filters are language and source of the
                            document with doc_id = conv_id
 events                  -> the history a user supplies
@@ -40,6 +40,7 @@ LEXICON = (
     ("handwritten notes", "type", "notes"),
     ("screenshot", "type", "screenshot"),
     ("dark background", "appearance", "dark"),
+    ("it was on a dark background", "appearance", "was on"),
     ("large diagram", "visual", "diagram"),
     ("that", "topic", "that"),
     ("this", "topic", "this"),
@@ -74,35 +75,33 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select("conv_id", "turn", "role", text.alias("text"))
 
 
-def first_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, text): the first user turn of every conversation, as it stands."""
+# Ids of queries: a conversation has fewer turns than this.
+TURNS = 1000
+
+
+def user_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, conv_id, turn, text): every user turn as it stands."""
     said = table(spark, sf, "conversations").filter(F.col("role") == "user")
-    return said.groupBy(F.col("conv_id").alias("query_id")).agg(
-        F.min_by("text", "turn").alias("text")
-    )
+    return said.select((F.col("conv_id") * TURNS + F.col("turn")).alias("query_id"), "conv_id", "turn", "text")
 
 
 def query_terms(spark: SparkSession, sf: str) -> DataFrame:
-    words = first_turns(spark, sf).select("query_id", F.explode(tx.tokens("text")).alias("term"))
+    words = user_turns(spark, sf).select("query_id", F.explode(tx.tokens("text")).alias("term"))
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_vecs(spark: SparkSession, sf: str) -> DataFrame:
-    vecs = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")
-    )
-    asked = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
-    return vecs.join(asked, "query_id", "left_semi")
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("query_vec"))
+    return user_turns(spark, sf).join(vecs, "conv_id").select("query_id", "query_vec")
 
 
 def query_filters(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    asked = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "lang", "source")
     pair = F.array(
         F.struct(F.lit("lang").alias("field"), F.col("lang").alias("value")),
         F.struct(F.lit("source").alias("field"), F.col("source").alias("value")),
     )
-    return docs.join(asked, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.inline(pair))
+    return user_turns(spark, sf).join(docs, "conv_id").select("query_id", F.inline(pair))
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -110,11 +109,8 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def query_clues(spark: SparkSession, sf: str) -> DataFrame:
-    said = first_turns(spark, sf).select(
-        F.col("query_id").alias("conv_id"),
-        F.lit(0).cast("long").alias("turn"),
-        F.lit(0).cast("long").alias("segment"),
-        "text",
+    said = user_turns(spark, sf).select(
+        F.col("query_id").alias("conv_id"), "turn", F.lit(0).cast("long").alias("segment"), "text"
     )
     return cv.extract_clues(said, lexicon(spark)).select(
         F.col("conv_id").alias("query_id"), "slot", "value"
@@ -140,7 +136,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders written out as the texts of receipts: a real date, and one that is none."""
+    """Orders written out as the texts of receipts: dates in three forms, and one that is none."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     text = F.concat(
         F.lit("Receipt for order "),
@@ -149,7 +145,11 @@ def receipts(spark: SparkSession, sf: str) -> DataFrame:
         day,
         F.lit(". Do not mix up with 2024-13-"),
         F.date_format("o_orderdate", "dd"),
-        F.lit("!"),
+        F.lit("! Delivered "),
+        F.date_format("o_orderdate", "d MMMM yyyy"),
+        F.lit(". Due "),
+        F.date_format("o_orderdate", "dd/MM/yyyy"),
+        F.lit("."),
     )
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"), text.alias("text"))
 
@@ -164,7 +164,7 @@ def index(spark: SparkSession, sf: str) -> Index:
 
 @lru_cache(maxsize=None)
 def scored(spark: SparkSession, sf: str):
-    """(signals, prepared) of the hybrid search of all first turns."""
+    """(signals, prepared) of the hybrid search of all user turns."""
     return hybrid_signals(queries(spark, sf), index(spark, sf))
 
 

@@ -42,21 +42,19 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
             tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl)) AS bm
         FROM post JOIN docs USING (image_id), corpus"""),
     "unit": (("items",), """SELECT image_id, embedding::DOUBLE[] AS v FROM items WHERE len(embedding) = 64"""),
-    "asked": ((), "SELECT DISTINCT conv_id AS query_id FROM conversations"),
-    "first_turn": ((), """SELECT conv_id AS query_id, arg_min(text, turn) AS text
-        FROM conversations WHERE role = 'user' GROUP BY 1"""),
-    "qterm": (("first_turn",), f"""SELECT query_id, term, count(*) AS tf
-        FROM (SELECT query_id, unnest({toks('text')}) AS term FROM first_turn) GROUP BY ALL"""),
-    "qterm2": ((), f"""SELECT query_id, term, count(*) AS tf
-        FROM (SELECT conv_id AS query_id, unnest({toks('text')}) AS term
-              FROM conversations WHERE role = 'user') GROUP BY ALL"""),
+    "asked": ((), "SELECT conv_id * 1000 + turn AS query_id, conv_id, text FROM conversations WHERE role = 'user'"),
+    "qterm": (("asked",), f"""SELECT query_id, term, count(*) AS tf
+        FROM (SELECT query_id, unnest({toks('text')}) AS term FROM asked) GROUP BY ALL"""),
+    "qterm2": (("asked",), f"""SELECT query_id, term, count(*) AS tf
+        FROM (SELECT a.query_id, unnest({toks('b.text')}) AS term
+              FROM asked a JOIN asked b USING (conv_id)) GROUP BY ALL"""),
     "qvec": (("asked",), """SELECT query_id, embedding::DOUBLE[] AS v
-        FROM asked JOIN embeddings ON vec_id = query_id"""),
-    "qfilter": (("asked",), """SELECT query_id, 'lang' AS field, lang AS value FROM asked JOIN documents ON doc_id = query_id
-        UNION ALL SELECT query_id, 'source', source FROM asked JOIN documents ON doc_id = query_id"""),
+        FROM asked JOIN embeddings ON vec_id = conv_id"""),
+    "qfilter": (("asked",), """SELECT query_id, 'lang' AS field, lang AS value FROM asked JOIN documents ON doc_id = conv_id
+        UNION ALL SELECT query_id, 'source', source FROM asked JOIN documents ON doc_id = conv_id"""),
     "lexicon": ((), f"SELECT * FROM (VALUES {_values(LEXICON)}) AS t(phrase, slot, value)"),
-    "first_norm": (("first_turn",), f"""SELECT query_id, ' ' || array_to_string({toks('text')}, ' ') || ' ' AS t
-        FROM first_turn"""),
+    "first_norm": (("asked",), f"""SELECT query_id, ' ' || array_to_string({toks('text')}, ' ') || ' ' AS t
+        FROM asked"""),
     "qclue": (("first_norm", "lexicon"), """SELECT query_id, slot, value FROM (
             SELECT query_id, slot, value, row_number() OVER (PARTITION BY query_id, slot
                 ORDER BY length(phrase) DESC, phrase, value) AS n
@@ -71,16 +69,21 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
             ON lower(value) = lower(source) OR lower(value) = lower(lang)"""),
     "turns": ((), f"""SELECT conv_id, turn, role,
             CASE WHEN role = 'user' THEN ({_opening}) || text ELSE text END AS text FROM conversations"""),
-    "labelled0": (("turns",), r"""SELECT *, CASE WHEN role <> 'user' THEN NULL
+    "said": (("turns",), r"""SELECT *, list_filter([
+            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(summari[sz]e\b|(give|write|make|create)\b[^.!?]*\bsummary\b)') THEN 'summarize' END,
+            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(remind\b|(set|create|add|make)\b[^.!?]*\breminder\b)') THEN 'reminder' END,
+            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(schedule\b|(add|put)\b[^.!?]*\bcalendar\b)') THEN 'schedule' END,
+            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(plan\b|(create|make|build|write|prepare|draw up|give)\b[^.!?]*\b(road ?map|plan)\b)') THEN 'roadmap' END
+            ], lambda x: x IS NOT NULL) AS actions FROM turns"""),
+    "labelled0": (("said",), r"""SELECT *, CASE WHEN role = 'user' THEN list_distinct([intent] || actions) END AS intents FROM (
+            SELECT *, CASE WHEN role <> 'user' THEN NULL
             WHEN regexp_matches(lower(text), '^\W*(why|explain why)\b') THEN 'why'
-            WHEN regexp_matches(lower(text), '\bsummar(y|ize|ise)\b') THEN 'summarize'
-            WHEN regexp_matches(lower(text), '\bremind(er)?\b') THEN 'reminder'
-            WHEN regexp_matches(lower(text), '\b(schedule|calendar)\b') THEN 'schedule'
-            WHEN regexp_matches(lower(text), '\b(road ?map|plan)\b') THEN 'roadmap'
             WHEN regexp_matches(lower(text), '^\W*(yes|confirm|go ahead)\b') THEN 'confirm'
-            WHEN regexp_matches(lower(text), '^\W*(no|it (was|also|had)|they were|there was|the one)\b') THEN 'refine'
-            WHEN regexp_matches(lower(text), '^\W*(find|show|search|look for|where is)\b') THEN 'search'
-            ELSE 'out of scope' END AS intent FROM turns"""),
+            WHEN regexp_matches(lower(text), '^\W*((can|could|would|will) you |please )*(find|show|search|look for|where (is|are))\b') THEN 'search'
+            WHEN regexp_matches(lower(text), '^\W*(no|the one|i (also )?remember|(it|they|there) (was|were|also|had))\b') THEN 'refine'
+            WHEN len(actions) > 0 THEN actions[1]
+            WHEN text IS NULL OR regexp_matches(lower(text), '^\W*(what|who|when|how|which|is|are|do|does|did|hello|hi|hey|thanks|thank you|ok|okay|sorry)\b|^\W*$') THEN 'out of scope'
+            ELSE 'search' END AS intent FROM said)"""),
     "labelled": (("labelled0",), """SELECT *, sum((intent IS NOT DISTINCT FROM 'search')::INT)
             OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM labelled0"""),
     "retrieving": (("labelled",), "SELECT * FROM labelled WHERE intent IN ('search', 'refine')"),
@@ -208,7 +211,11 @@ PARTS["days"] = (("plan",), """SELECT query_id, step, topic,
         (DATE '2025-01-06' + (ntile(3) OVER (PARTITION BY query_id ORDER BY step) - 1)::INT)::DATE AS day FROM plan""")
 PARTS["deadlines"] = ((), """SELECT o_orderkey AS image_id, o_orderdate::DATE AS day,
         strftime(o_orderdate, '%Y-%m-%d') AS found, 'Please pay by ' || strftime(o_orderdate, '%Y-%m-%d') AS context
-    FROM orders""")
+    FROM orders
+    UNION ALL SELECT o_orderkey, o_orderdate::DATE, strftime(o_orderdate, '%-d %B %Y'), 'Delivered ' || strftime(o_orderdate, '%-d %B %Y')
+    FROM orders
+    UNION ALL SELECT o_orderkey, o_orderdate::DATE, strftime(o_orderdate, '%d/%m/%Y'), 'Due ' || strftime(o_orderdate, '%d/%m/%Y')
+    FROM orders WHERE day(o_orderdate) > 12 OR day(o_orderdate) = month(o_orderdate)""")
 PARTS["proposals"] = (("deadlines", "days"), """SELECT
         sha256(kind || chr(31) || strftime(day, '%Y-%m-%d') || chr(31) || title || chr(31) || evidence) AS proposal_id,
         kind, day, title, evidence FROM (
@@ -224,7 +231,7 @@ def tuned(grid) -> str:
     names = ", ".join(f"w_{s}" for s in SIGNALS)
     outs = ", ".join(f"any_value(w_{s}::DOUBLE) AS {s}" for s in SIGNALS)
     return f"""SELECT setting::BIGINT AS setting, {outs}, (SELECT count(*) FROM asked)::BIGINT AS queries,
-            round(coalesce(sum(CASE WHEN image_id = query_id THEN 1.0 / place END), 0) / (SELECT count(*) FROM asked), 6) AS mrr
+            round(coalesce(sum(CASE WHEN image_id = query_id // 1000 THEN 1.0 / place END), 0) / (SELECT count(*) FROM asked), 6) AS mrr
         FROM (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY final DESC, image_id) AS place
               FROM (SELECT *, round({total}, 6) AS final
                     FROM h_scored, (VALUES {_values(rows)}) AS g(setting, {names})))
@@ -268,7 +275,7 @@ def statements(grid) -> dict[str, str]:
         UNION ALL SELECT vec_id + 2000000000, NULL, NULL, NULL, NULL, len(embedding) FROM embeddings)"""
     out["in3_validate"] = """SELECT doc_id AS image_id, 'accepted' AS verdict, 1::BIGINT AS copies FROM documents
         UNION ALL SELECT doc_id, 'repeated id', 2 FROM documents WHERE source = 'src1'
-        UNION ALL SELECT vec_id + 2000000000, 'vector of wrong length', 1 FROM embeddings WHERE label = 3
+        UNION ALL SELECT vec_id + 2000000000, CASE WHEN label = 3 THEN 'vector of wrong length' ELSE 'accepted' END, 1 FROM embeddings
         UNION ALL SELECT NULL, 'null id', count(*) FROM benchmark GROUP BY text
         UNION ALL SELECT doc_id + 3000000000, 'no text and no vector', 1 FROM labels"""
     out["in4_provenance_audit"] = """WITH n AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT count(*) FROM pages) AS p)
@@ -303,16 +310,18 @@ def statements(grid) -> dict[str, str]:
     out["rt1_text_search"] = sql(f"SELECT {HIT} FROM text_top", "text_top")
     out["rt2_phrase_match"] = sql(f"""SELECT DISTINCT query_id, image_id, phrase FROM
             (SELECT query_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase
-             FROM (SELECT query_id, {toks('text')} AS w FROM first_turn))
+             FROM (SELECT query_id, {toks('text')} AS w FROM asked))
         JOIN (SELECT DISTINCT image_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase
-             FROM (SELECT doc_id AS image_id, {toks('text')} AS w FROM documents)) USING (phrase)""", "first_turn")
+             FROM (SELECT doc_id AS image_id, {toks('text')} AS w FROM documents)) USING (phrase)""", "asked")
     grams = "unnest(list_distinct(list_transform(range(1, greatest(length(term) - 1, 1)), lambda i: substr(term, i, 3)))) AS gram"
     out["rt3_fuzzy_terms"] = sql(f"""SELECT DISTINCT a.term AS query_term, b.term AS term
         FROM (SELECT term, {grams} FROM (SELECT DISTINCT term FROM qterm) WHERE length(term) >= 3) a
         JOIN (SELECT term, {grams} FROM terms WHERE length(term) >= 3) b USING (gram)
         WHERE abs(length(a.term) - length(b.term)) <= 1
           AND levenshtein({_fold('a.term')}, {_fold('b.term')}) <= 1""", "qterm", "terms")
+    out["rt1_pruned"] = out["rt1_blocks"] = out["rt1_text_search"]
     out["rt4_semantic_search"] = sql(f"SELECT {HIT} FROM ({_top('h_sum', 'semantic', 10)})", "h_sum")
+    out["rt4_pruned"] = out["rt4_semantic_search"]
     out["rt5_expand"] = sql("""SELECT query_id, term, tf::BIGINT AS tf, false AS added FROM qterm UNION ALL
         SELECT query_id, term, 1, true FROM (
             SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, term) AS n FROM (
@@ -325,7 +334,7 @@ def statements(grid) -> dict[str, str]:
     out["rt8_metadata_filter"] = """SELECT doc_id AS image_id, lang, source FROM documents
         WHERE lang = 'en' AND source = 'src7'"""
     out["rt8_passing_pairs"] = sql("""SELECT query_id, t.image_id FROM text_top t JOIN documents d ON d.doc_id = t.image_id
-        LEFT JOIN documents q ON q.doc_id = query_id
+        LEFT JOIN documents q ON q.doc_id = query_id // 1000
         WHERE q.doc_id IS NULL OR (d.lang = q.lang AND d.source = q.source)""", "text_top")
     out["rt9_metadata_score"] = sql("""SELECT query_id, image_id, round(m.score, 6) AS score
         FROM text_top JOIN meta_all m USING (query_id, image_id)""", "text_top", "meta_all")
@@ -354,6 +363,24 @@ def statements(grid) -> dict[str, str]:
             WHEN 'metadata' THEN 'Metadata matched: ' || printf('%.2f', score)
             ELSE 'Remembered clues found: ' || printf('%.2f', score) END AS line
         FROM explained e WHERE score > 0""", "explained", "matched")
+    behind = {
+        "text": "SELECT query_id, image_id FROM h_sum",
+        "semantic": "SELECT query_id, image_id FROM h_sum",
+        "visual": "SELECT query_id, image_id FROM cosine",
+        "metadata": "SELECT query_id, image_id FROM meta_all WHERE score > 0",
+        "clue": "SELECT query_id, image_id FROM clue_all",
+    }
+    made = "SELECT DISTINCT query_id, image_id + 1 AS image_id FROM explained WHERE score > 0 AND signal = "
+    out["ex4_forged_evidence"] = sql(
+        """SELECT 'term' AS evidence, count(*) AS claims, count(*) FILTER (p.term IS NULL) AS ungrounded
+        FROM matched m LEFT JOIN post p ON p.image_id = m.image_id + 1 AND p.term = m.term"""
+        + "".join(
+            f""" UNION ALL SELECT '{name}', count(*), count(*) FILTER ((query_id, image_id) NOT IN ({ground}))
+        FROM ({made} '{name}') HAVING count(*) > 0"""
+            for name, ground in behind.items()
+        ),
+        "explained", "matched", "post", "h_sum", "cosine", "meta_all", "clue_all",
+    )
     out["ex4_grounding_audit"] = sql("""SELECT 'term' AS evidence, count(*) AS claims, 0::BIGINT AS ungrounded FROM matched
         UNION ALL SELECT signal, count(*), 0 FROM explained WHERE score > 0 GROUP BY signal""", "explained", "matched")
 
@@ -369,10 +396,10 @@ def statements(grid) -> dict[str, str]:
     out["cv8_bind_actions"] = sql("""SELECT conv_id, turn, intent,
             CASE WHEN made IS NOT NULL THEN conv_id::VARCHAR || ':' || made::VARCHAR END AS query_id,
             CASE WHEN intent = 'confirm' AND asked > made THEN asked END AS proposed_at
-        FROM (SELECT conv_id, turn, intent,
+        FROM (SELECT conv_id, turn, unnest(intents) AS intent, made, asked FROM (SELECT conv_id, turn, intents,
                 max(CASE WHEN intent IN ('search', 'refine') THEN turn END) OVER w AS made,
-                max(CASE WHEN intent IN ('reminder', 'schedule') THEN turn END) OVER w AS asked
-              FROM labelled0 WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+                max(CASE WHEN list_has_any(intents, ['reminder', 'schedule']) THEN turn END) OVER w AS asked
+              FROM labelled0 WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))
         WHERE intent IN ('why', 'summarize', 'roadmap', 'reminder', 'schedule', 'confirm')""", "labelled0")
     out["cv9_stream_context"] = out["cv5_clue_state"]
 

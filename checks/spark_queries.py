@@ -91,8 +91,9 @@ def in2(spark, sf):
 def in3(spark, sf):
     docs = _docs(spark, sf)
     vecs = A.table(spark, sf, "embeddings")
-    short = vecs.filter("label = 3").select(
-        (F.col("vec_id") + 2_000_000_000).alias("image_id"), F.slice("embedding", 1, 10).alias("embedding")
+    short = vecs.select(
+        (F.col("vec_id") + 2_000_000_000).alias("image_id"),
+        F.when(F.col("label") == 3, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("embedding"),
     )
     nameless = A.table(spark, sf, "benchmark").select(F.lit(None).cast("long").alias("image_id"), "text")
     empty = A.table(spark, sf, "labels").select(
@@ -228,8 +229,30 @@ def rt1(spark, sf):
     return whole(rt.text_search(A.query_terms(spark, sf), A.index(spark, sf)).select(*HIT), "rank")
 
 
+def _weighed(spark, sf):
+    return tables.stage(rt.weigh_terms(A.query_terms(spark, sf), A.index(spark, sf)), "weighed")
+
+
+SMALL_LIMIT = 20_000  # bytes of a broadcast, to take the ways around one
+
+
+def rt1_pruned(spark, sf):
+    found = rt.best_by_terms(_weighed(spark, sf), A.index(spark, sf), rt.TEXT, 10, sum_rows=0)
+    return whole(found.select(*HIT), "rank")
+
+
+def rt4_pruned(spark, sf):
+    found = rt.best_by_terms(_weighed(spark, sf), A.index(spark, sf), rt.SEMANTIC, 10, SMALL_LIMIT, sum_rows=0)
+    return whole(found.select(*HIT), "rank")
+
+
+def rt1_blocks(spark, sf):
+    found = rt.text_search(A.query_terms(spark, sf), A.index(spark, sf), 10, SMALL_LIMIT)
+    return whole(found.select(*HIT), "rank")
+
+
 def rt2(spark, sf):
-    words = A.first_turns(spark, sf).select("query_id", tx.tokens("text").alias("w"))
+    words = A.user_turns(spark, sf).select("query_id", tx.tokens("text").alias("w"))
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " ")
     )
@@ -320,9 +343,10 @@ def rt12(spark, sf):
 
 def _updated(spark, sf):
     """The same queries after all user turns of their conversation."""
-    said = A.table(spark, sf, "conversations").filter("role = 'user'")
-    words = said.select(F.col("conv_id").alias("query_id"), F.explode(tx.tokens("text")).alias("term"))
-    terms = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    said = A.user_turns(spark, sf)
+    words = said.select("conv_id", F.explode(tx.tokens("text")).alias("term"))
+    of_conv = words.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = said.select("query_id", "conv_id").join(of_conv, "conv_id").select("query_id", "term", "tf")
     old = A.queries(spark, sf)
     return rk.QuerySet(terms, old.vecs, old.filters, old.clues)
 
@@ -351,8 +375,7 @@ def rt14(spark, sf):
 
 
 def _truth(spark, sf):
-    asked = A.table(spark, sf, "conversations").select("conv_id").distinct()
-    return asked.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("image_id"))
+    return A.user_turns(spark, sf).select("query_id", F.col("conv_id").alias("image_id"))
 
 
 def rt15(spark, sf):
@@ -380,7 +403,16 @@ def ex3(spark, sf):
 
 
 def ex4(spark, sf):
-    return ex.grounding_audit(ex.explain(_ranked(spark, sf)), _matched(spark, sf), A.index(spark, sf))
+    prepared = A.scored(spark, sf)[1]
+    return ex.grounding_audit(ex.explain(_ranked(spark, sf)), _matched(spark, sf), A.index(spark, sf), prepared)
+
+
+def ex4_forged(spark, sf):
+    """The same claims made of another item: most have nothing behind them."""
+    other = (F.col("image_id") + 1).alias("image_id")
+    explained, matched = ex.explain(_ranked(spark, sf)), _matched(spark, sf)
+    forged = [df.select(*[other if c == "image_id" else c for c in df.columns]) for df in (explained, matched)]
+    return ex.grounding_audit(*forged, A.index(spark, sf), A.scored(spark, sf)[1])
 
 
 # Conversation
@@ -438,12 +470,14 @@ def cv8(spark, sf):
 
 
 def cv9(spark, sf):
-    """All turns as one stream; its result must be the batch clue state."""
+    """All turns as a stream of three batches; its result must be the batch clue state."""
     incoming, out, ckpt = (fresh_path(spark, n) for n in ("turns", "live", "progress"))
     user = A.labelled(spark, sf).filter("role = 'user'")
-    rows = live.clued(user, _clues(spark, sf))
-    rows.write.parquet(incoming)
-    stream = live.stream_context(spark.readStream.schema(rows.schema).parquet(incoming))
+    rows = tables.stage(live.clued(user, _clues(spark, sf)), "clued")
+    for part in ("turn < 2", "turn >= 2 AND turn < 4", "turn >= 4"):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(incoming)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    stream = live.stream_context(arriving)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -586,6 +620,9 @@ QUERIES = {
     "sg8_coverage": sg8,
     "sg9_facets": sg9,
     "rt1_text_search": rt1,
+    "rt1_pruned": rt1_pruned,
+    "rt1_blocks": rt1_blocks,
+    "rt4_pruned": rt4_pruned,
     "rt2_phrase_match": rt2,
     "rt3_fuzzy_terms": rt3,
     "rt4_semantic_search": rt4,
@@ -609,6 +646,7 @@ QUERIES = {
     "ex2_matched_terms": ex2,
     "ex3_why": ex3,
     "ex4_grounding_audit": ex4,
+    "ex4_forged_evidence": ex4_forged,
     "cv1_label_intent": cv1,
     "cv2_segment_searches": cv2,
     "cv3_extract_clues": cv3,

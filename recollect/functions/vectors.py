@@ -8,9 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-# Scores are compared after rounding to six places. A block keeps whatever could
-# still belong to its first k once rounded.
-ROUNDING_SLACK = 2e-6
+PLACES = 6  # scores are compared after rounding
 CHUNK = 4096
 
 
@@ -34,9 +32,16 @@ def dot(a: Column, b: Column) -> Column:
 def best_in_block(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Kernel for ``cogroup().applyInPandas``: the k best items for each query of a block pair.
 
-    Works through the items in chunks, so that memory is queries x CHUNK scores.
+    Scores are rounded here, so that equal ones go to the lowest ids and no more than k go on,
+    however many items tie. Works through the items in chunks of CHUNK.
     """
 
+    def best(q: np.ndarray, i: np.ndarray, s: np.ndarray) -> np.ndarray:
+        order = np.lexsort((i, -s, q))
+        q = q[order]
+        first = np.searchsorted(q, q, side="left")
+        return order[np.arange(len(q)) - first < k]
+
     def kernel(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or items.empty:
             return pd.DataFrame({"query_id": queries["query_id"].iloc[:0], "image_id": [], "score": []})
@@ -44,27 +49,20 @@ def best_in_block(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
         ids = items["image_id"].to_numpy()
         units = items["unit"].to_numpy()
         floor = np.full(len(left), -np.inf)
-        found_q, found_i, found_s = [], [], []
+        q, i, s = np.empty(0, np.int64), ids[:0], np.empty(0)
         for start in range(0, len(ids), CHUNK):
             right = np.vstack(units[start : start + CHUNK]).astype(np.float64)
-            scores = left @ right.T
-            if scores.shape[1] > k:
-                kth = np.partition(scores, -k, axis=1)[:, -k]
-                floor = np.maximum(floor, kth)
-            q, i = np.nonzero(scores >= (floor - ROUNDING_SLACK)[:, None])
-            found_q.append(q)
-            found_i.append(ids[start + i])
-            found_s.append(scores[q, i])
-        q = np.concatenate(found_q)
-        i = np.concatenate(found_i)
-        s = np.concatenate(found_s)
-        keep = s >= (floor - ROUNDING_SLACK)[q]
-        return pd.DataFrame(
-            {
-                "query_id": queries["query_id"].to_numpy()[q[keep]],
-                "image_id": i[keep],
-                "score": s[keep],
-            }
-        )
+            scores = np.round(left @ right.T, PLACES)
+            new_q, new_i = np.nonzero(scores >= floor[:, None])
+            q = np.concatenate([q, new_q])
+            i = np.concatenate([i, ids[start + new_i]])
+            s = np.concatenate([s, scores[new_q, new_i]])
+            kept = best(q, i, s)
+            q, i, s = q[kept], i[kept], s[kept]
+            full = np.bincount(q, minlength=len(left)) == k
+            lowest = np.full(len(left), np.inf)
+            np.minimum.at(lowest, q, s)
+            floor[full] = lowest[full]
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "image_id": i, "score": s})
 
     return kernel

@@ -6,6 +6,7 @@ Nothing here ranks, and nothing here creates an event that was not confirmed.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,11 +16,13 @@ from recollect.operators.retrieval import PLACES, weights_of
 from recollect.plans.index import Index
 
 # The ways of writing a date that are read.
+MONTH = "january|february|march|april|may|june|july|august|september|october|november|december"
+NTH = "(?:st|nd|rd|th)?"
 ISO_DATE = r"\b(\d{4}-\d{1,2}-\d{1,2})\b"
-LONG_DATE = (
-    r"(?i)\b((?:january|february|march|april|may|june|july|august|september|october"
-    r"|november|december) \d{1,2}, \d{4})\b"
-)
+MONTH_FIRST = rf"(?i)\b((?:{MONTH}) \d{{1,2}}{NTH},? \d{{4}})\b"
+DAY_FIRST = rf"(?i)\b(\d{{1,2}}{NTH} (?:of )?(?:{MONTH}),? \d{{4}})\b"
+NUMERIC = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
+NO_YEAR = rf"(?i)\b((?:{MONTH}) \d{{1,2}}{NTH}|\d{{1,2}}{NTH} (?:of )?(?:{MONTH}))\b(?!,? \d{{4}})"
 RELATIVE_DAY = r"(?i)\b(today|tomorrow)\b"
 
 
@@ -82,46 +85,73 @@ def schedule(plan: DataFrame, start: Column | dt.date, days: int) -> DataFrame:
     )
 
 
+def _read(pattern: str, day: Callable[[Column], Column]) -> Column:
+    """(found, day) of all places in a sentence that fit the pattern."""
+    return F.transform(
+        F.regexp_extract_all("context", F.lit(pattern), F.lit(1)),
+        lambda s: F.struct(s.alias("found"), day(s).alias("day")),
+    )
+
+
+def _spelled(form: str) -> Callable[[Column], Column]:
+    """Reads a date with the month in letters; "of", commas and ordinal endings are left out."""
+
+    def day(s: Column) -> Column:
+        plain = F.regexp_replace(F.lower(s), r"(?<=\d)(st|nd|rd|th)\b| of\b|,", "")
+        return F.try_to_date(F.initcap(plain), form)
+
+    return day
+
+
+def _numeric(s: Column) -> Column:
+    """The day where only one order of day and month is possible, or both are the same; else NULL."""
+    parts = F.split(s, "/")
+    a, b = parts[0].cast("int"), parts[1].cast("int")
+    first, second = F.concat_ws("-", parts[2], parts[1], parts[0]), F.concat_ws("-", parts[2], parts[0], parts[1])
+    return F.when((a > 12) | (a == b), F.try_to_date(first, "yyyy-M-d")).when(b > 12, F.try_to_date(second, "yyyy-M-d"))
+
+
+def _sentences(items: DataFrame, said_on: Column | None) -> DataFrame:
+    said = [said_on.alias("_said_on")] if said_on is not None else []
+    return items.select("image_id", *said, F.explode(tx.sentences("text")).alias("context"))
+
+
 def find_deadlines(items: DataFrame, said_on: Column | None = None) -> DataFrame:
     """(image_id, day, found, context): dates that really stand in a text, with their sentence.
 
-    What looks like a date but is none is dropped. "Today" and "tomorrow" are read
-    only against ``said_on``, a date the user gave; without it they are dropped.
+    What looks like a date but is none is dropped; what could be two days, or lacks the year, is not guessed
+    (``unread_dates`` names it). "Today" and "tomorrow" are read only against ``said_on``, a date the
+    user gave; without it they are dropped.
     """
-    context = items.select(
-        "image_id",
-        *([said_on.alias("_said_on")] if said_on is not None else []),
-        F.explode(tx.sentences("text")).alias("context"),
-    )
-    iso = F.transform(
-        F.regexp_extract_all("context", F.lit(ISO_DATE), F.lit(1)),
-        lambda s: F.struct(s.alias("found"), F.try_to_date(s, "yyyy-M-d").alias("day")),
-    )
-    long = F.transform(
-        F.regexp_extract_all("context", F.lit(LONG_DATE), F.lit(1)),
-        lambda s: F.struct(s.alias("found"), F.try_to_date(F.initcap(s), "MMMM d, yyyy").alias("day")),
-    )
-    found = [iso, long]
+    found = [
+        _read(ISO_DATE, lambda s: F.try_to_date(s, "yyyy-M-d")),
+        _read(MONTH_FIRST, _spelled("MMMM d yyyy")),
+        _read(DAY_FIRST, _spelled("d MMMM yyyy")),
+        _read(NUMERIC, _numeric),
+    ]
     if said_on is not None:
-        found.append(
-            F.transform(
-                F.regexp_extract_all("context", F.lit(RELATIVE_DAY), F.lit(1)),
-                lambda s: F.struct(
-                    s.alias("found"),
-                    F.date_add(
-                        F.col("_said_on"), F.when(F.lower(s) == "tomorrow", 1).otherwise(0)
-                    ).alias("day"),
-                ),
-            )
-        )
+        later = lambda s: F.when(F.lower(s) == "tomorrow", 1).otherwise(0)
+        found.append(_read(RELATIVE_DAY, lambda s: F.date_add(F.col("_said_on"), later(s))))
     return (
-        context.select("image_id", "context", F.inline(F.concat(*found)))
+        _sentences(items, said_on)
+        .select("image_id", "context", F.inline(F.concat(*found)))
         .filter(F.col("day").isNotNull())
         .select("image_id", "day", "found", "context")
         .distinct()
     )
 
 
+def unread_dates(items: DataFrame) -> DataFrame:
+    """(image_id, found, reason, context): dates that a user must settle, ambiguous or without a year."""
+    parts = F.split("found", "/")
+    low = (parts[0].cast("int") <= 12) & (parts[1].cast("int") <= 12) & (parts[0] != parts[1])
+    context = _sentences(items, None)
+    numeric = context.select("image_id", "context", F.explode(F.regexp_extract_all("context", F.lit(NUMERIC), F.lit(1))).alias("found"))
+    open_ = context.select("image_id", "context", F.explode(F.regexp_extract_all("context", F.lit(NO_YEAR), F.lit(1))).alias("found"))
+    both = numeric.filter(low).withColumn("reason", F.lit("day and month")).unionByName(open_.withColumn("reason", F.lit("no year")))
+    return both.select("image_id", "found", "reason", "context").distinct()
+
+
 def _identified(df: DataFrame) -> DataFrame:
     """Adds ``proposal_id``, a hash of what is proposed: the same proposal has the same id."""
     content = F.concat_ws(

@@ -10,36 +10,51 @@ from recollect.functions import running, text as tx
 from recollect.functions.bounds import broadcast_if_small
 from recollect.operators.ranking import QuerySet
 
-# The intents and the wordings that signal them. The first rule that fits wins.
-INTENT_RULES = (
+# The intents and the wordings that signal them. How a turn opens says what it is
+# about; nouns such as "plan" or "calendar" may be part of what is looked for. The first
+# opening that fits wins.
+OPENINGS = (
     ("why", r"^\W*(why|explain why)\b"),
-    ("summarize", r"\bsummar(y|ize|ise)\b"),
-    ("reminder", r"\bremind(er)?\b"),
-    ("schedule", r"\b(schedule|calendar)\b"),
-    ("roadmap", r"\b(road ?map|plan)\b"),
     ("confirm", r"^\W*(yes|confirm|go ahead)\b"),
-    ("refine", r"^\W*(no|it (was|also|had)|they were|there was|the one)\b"),
-    ("search", r"^\W*(find|show|search|look for|where is)\b"),
+    ("search", r"^\W*((can|could|would|will) you |please )*(find|show|search|look for|where (is|are))\b"),
+    ("refine", r"^\W*(no|the one|i (also )?remember|(it|they|there) (was|were|also|had))\b"),
 )
+# What is to be done stands at the head of a clause: "Summarize this and create a plan."
+CLAUSE = r"(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)"
+ACTIONS = (
+    ("summarize", CLAUSE + r"(summari[sz]e\b|(give|write|make|create)\b[^.!?]*\bsummary\b)"),
+    ("reminder", CLAUSE + r"(remind\b|(set|create|add|make)\b[^.!?]*\breminder\b)"),
+    ("schedule", CLAUSE + r"(schedule\b|(add|put)\b[^.!?]*\bcalendar\b)"),
+    ("roadmap", CLAUSE + r"(plan\b|(create|make|build|write|prepare|draw up|give)\b[^.!?]*\b(road ?map|plan)\b)"),
+)
+# Talk that asks for nothing of the archive. Anything else describes what is looked for.
+ASIDE = r"^\W*(what|who|when|how|which|is|are|do|does|did|hello|hi|hey|thanks|thank you|ok|okay|sorry)\b|^\W*$"
 OUT_OF_SCOPE = "out of scope"
 RETRIEVING = ("search", "refine")
 ACTING = ("why", "summarize", "roadmap", "reminder", "schedule", "confirm")
 
 
 def label_intent(
-    turns: DataFrame, rules: Sequence[tuple[str, str]] = INTENT_RULES
+    turns: DataFrame,
+    openings: Sequence[tuple[str, str]] = OPENINGS,
+    actions: Sequence[tuple[str, str]] = ACTIONS,
 ) -> DataFrame:
-    """Adds ``intent`` to user turns; other roles have none.
+    """Adds ``intent`` and ``intents`` to user turns; other roles have none.
 
-    The rules are a short parameter and become one CASE expression, not a join.
+    ``intent`` is what the turn is about: its opening, else the first action of ``actions`` it asks
+    for, else a search for what it describes. ``intents`` are that and all actions it asks for. A turn
+    of talk, or without a word, is out of scope. The rules are a short parameter and become expressions, not a join.
     """
     lowered = F.lower("text")
-    label = None
-    for intent, pattern in rules:
-        hit = lowered.rlike(pattern)
-        label = F.when(hit, intent) if label is None else label.when(hit, intent)
-    return turns.withColumn(
-        "intent", F.when(F.col("role") == "user", label.otherwise(OUT_OF_SCOPE))
+    asked = F.array_compact(F.array(*[F.when(lowered.rlike(p), F.lit(name)) for name, p in actions]))
+    label = F.lit(None).cast("string")
+    for name, pattern in reversed(openings):
+        label = F.when(lowered.rlike(pattern), name).otherwise(label)
+    rest = F.when(lowered.rlike(ASIDE) | F.col("text").isNull(), OUT_OF_SCOPE).otherwise("search")
+    intent = F.coalesce(label, F.get(asked, F.lit(0)), rest)
+    said = F.col("role") == "user"
+    return turns.withColumn("intent", F.when(said, intent)).withColumn(
+        "intents", F.when(said, F.array_distinct(F.concat(F.array(intent), asked)))
     )
 
 
@@ -56,21 +71,18 @@ def triggered(turns: DataFrame) -> DataFrame:
     return turns.filter(F.col("intent").isin(*RETRIEVING))
 
 
-def extract_clues(turns: DataFrame, lexicon: DataFrame, longest: int = 3) -> DataFrame:
+def extract_clues(turns: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(conv_id, turn, segment, slot, value): lexicon phrases found in a turn.
 
-    Runs of up to ``longest`` tokens are looked up by equality. Where a turn names
+    Runs of tokens as long as any phrase of the lexicon are looked up by equality. Where a turn names
     several values for one slot, the longest phrase counts, then the first by spelling.
     """
+    cut = lexicon.select(tx.tokens("phrase").alias("_words"), "slot", "value").filter(F.size("_words") > 0)
+    lengths = sorted(r["n"] for r in cut.select(F.size("_words").alias("n")).distinct().collect())  # one for each length
     # Tokens are a column of their own: inside the run expressions they would be cut anew per run.
     words = turns.select("conv_id", "turn", "segment", tx.tokens("text").alias("_words"))
-    runs = words.select(
-        "conv_id",
-        "turn",
-        "segment",
-        F.explode(tx.word_runs(F.col("_words"), range(1, longest + 1))).alias("_run"),
-    )
-    known = lexicon.select(F.array_join(tx.tokens("phrase"), " ").alias("_run"), "slot", "value")
+    runs = words.select("conv_id", "turn", "segment", F.explode(tx.word_runs(F.col("_words"), lengths)).alias("_run"))
+    known = cut.select(F.array_join("_words", " ").alias("_run"), "slot", "value")
     order = F.struct(-F.length("_run"), F.col("_run"), F.col("value"))
     return (
         runs.join(broadcast_if_small(known), "_run")
@@ -156,16 +168,16 @@ def trigger_counts(turns: DataFrame) -> DataFrame:
 
 
 def bind_actions(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, intent, query_id, proposed_at): what an action turn acts on.
+    """(conv_id, turn, intent, query_id, proposed_at): what an action turn acts on, a row for each action it asks for.
 
     ``query_id`` is the latest retrieval at or before the turn, in any segment.
     ``proposed_at`` is, for a confirmation, the latest turn that asked for a reminder or
     a schedule since that retrieval; without one the user confirms the result itself.
     """
     made = F.when(F.col("intent").isin(*RETRIEVING), F.col("turn"))
-    asked = F.when(F.col("intent").isin("reminder", "schedule"), F.col("turn"))
+    asked = F.when(F.arrays_overlap("intents", F.array(F.lit("reminder"), F.lit("schedule"))), F.col("turn"))
     bound = running.running_last_of(
-        turns.select("conv_id", "turn", "intent"),
+        turns.select("conv_id", "turn", "intent", "intents"),
         ["conv_id"],
         ["turn"],
         {"_made": made, "_asked": asked},
@@ -174,7 +186,8 @@ def bind_actions(turns: DataFrame) -> DataFrame:
     proposal = F.when(
         (F.col("intent") == "confirm") & (F.col("_asked") > F.col("_made")), F.col("_asked")
     )
-    return bound.filter(F.col("intent").isin(*ACTING)).select(
+    each = bound.withColumn("intent", F.explode("intents"))
+    return each.filter(F.col("intent").isin(*ACTING)).select(
         "conv_id",
         "turn",
         "intent",

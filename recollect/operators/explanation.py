@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recollect.functions.bounds import broadcast_if_small
-from recollect.operators.ranking import EQUAL_WEIGHTS
+from recollect.operators.ranking import EQUAL_WEIGHTS, Prepared
+from recollect.operators.retrieval import clue_score, metadata_score, unit_queries
 from recollect.plans.index import Index
 from recollect.schemas import SIGNALS
 
@@ -82,36 +84,40 @@ def why(explained: DataFrame, matched: DataFrame, first: int = 3) -> DataFrame:
     )
 
 
-def grounding_audit(explained: DataFrame, matched: DataFrame, index: Index) -> DataFrame:
-    """(evidence, claims, ungrounded): evidence with nothing in the index behind it.
+def grounding_audit(
+    explained: DataFrame, matched: DataFrame, index: Index, prepared: Prepared
+) -> DataFrame:
+    """(evidence, claims, ungrounded): what explanations claim, and what nothing stands behind.
 
-    ``ungrounded`` must be 0 everywhere.
+    A term must be in the item; text and wording need a term that item and query share; likeness a
+    vector on both sides; metadata a requested field whose value the item has; a clue one of the
+    query's clues found in the item. ``ungrounded`` must be 0 everywhere.
     """
-    terms = matched.select(F.lit("term").alias("evidence"), "image_id", "term")
-    loose_terms = terms.join(
-        index.postings.select("image_id", "term"), ["image_id", "term"], "left_anti"
+    key = ["query_id", "image_id"]
+    queries = prepared.queries
+    used = explained.filter("score > 0").select(*key, F.col("signal").alias("evidence")).distinct()
+    pairs = used.select(*key).distinct()
+    terms = matched.select(*key, "term").distinct()
+    asked = broadcast_if_small(prepared.weighed.select("query_id", "term"))
+    held = index.postings.select("image_id", "term").join(
+        broadcast_if_small(prepared.weighed.select("term").distinct()), "term", "left_semi"
     )
-    used = explained.filter("score > 0")
-    behind = {
-        "text": index.docs,
-        "semantic": index.docs,
-        "visual": index.vectors,
-        "metadata": index.items.filter("source IS NOT NULL OR size(map_values(meta)) > 0"),
-        "clue": index.items,
-    }
-    loose = loose_terms.select("evidence")
-    for name, table in behind.items():
-        claims = used.filter(F.col("signal") == name)
-        loose = loose.unionByName(
-            claims.join(table.select("image_id"), "image_id", "left_anti").select(
-                F.col("signal").alias("evidence")
-            )
-        )
-    made = terms.select("evidence").unionByName(used.select(F.col("signal").alias("evidence")))
-    counted = made.withColumn("claims", F.lit(1)).withColumn("loose", F.lit(0))
-    counted = counted.unionByName(
-        loose.withColumn("claims", F.lit(0)).withColumn("loose", F.lit(1))
-    )
-    return counted.groupBy("evidence").agg(
-        F.sum("claims").cast("long").alias("claims"), F.sum("loose").cast("long").alias("ungrounded")
+    shared = pairs.join(asked, "query_id").join(held, ["image_id", "term"]).select(*key).distinct()
+    grounds = [shared.withColumn("evidence", F.lit(name)) for name in ("text", "semantic")]
+    if queries.vecs is not None:
+        units = broadcast_if_small(unit_queries(queries.vecs).select("query_id"))
+        seen = pairs.join(units, "query_id", "left_semi").join(index.vectors.select("image_id"), "image_id", "left_semi")
+        grounds.append(seen.withColumn("evidence", F.lit("visual")))
+    if queries.filters is not None:
+        met = metadata_score(pairs, queries.filters, index.items).filter("score > 0")
+        grounds.append(met.select(*key).withColumn("evidence", F.lit("metadata")))
+    if queries.clues is not None:
+        found = clue_score(pairs, queries.clues, prepared.clue_hits).filter("score > 0")
+        grounds.append(found.select(*key).withColumn("evidence", F.lit("clue")))
+    grounded = reduce(DataFrame.unionByName, grounds).withColumn("_ok", F.lit(True))
+    claims = used.join(grounded, [*key, "evidence"], "left").select("evidence", "_ok")
+    in_item = index.postings.select("image_id", "term", F.lit(True).alias("_ok"))
+    words = terms.join(in_item, ["image_id", "term"], "left").select(F.lit("term").alias("evidence"), "_ok")
+    return claims.unionByName(words).groupBy("evidence").agg(
+        F.count(F.lit(1)).alias("claims"), F.count_if(F.col("_ok").isNull()).alias("ungrounded")
     )

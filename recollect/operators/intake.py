@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recollect.functions import text as tx
-from recollect.functions.bounds import lookup
+from recollect.functions.bounds import broadcast_if_small, lookup
+from recollect.sources.tables import stage
 
 NULL_ID = "null id"
 REPEATED_ID = "repeated id"
@@ -20,33 +21,30 @@ def validate(items: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataF
 
     Of items that share an id, the one with the least content hash is accepted.
     Quarantined rows that are copies of each other are one row with a ``copies``
-    count: rows in = accepted rows + sum of ``copies``. Counting copies combines
-    before the shuffle, so an id or an item that repeats very often stays cheap.
+    count: rows in = accepted rows + sum of ``copies``. Only ids are counted over all rows; whole rows
+    are brought together where they have no id or share it, and there copies are counted before the shuffle.
     """
     columns = items.columns
+    checked = items.withColumn("reason", _own_fault(dim))
+    counts = items.filter("image_id IS NOT NULL").groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    shared = broadcast_if_small(stage(counts.filter("_n > 1").select("image_id"), "repeated_ids"))
+    single = checked.filter("image_id IS NOT NULL").join(shared, "image_id", "left_anti")
+    several = checked.join(shared, "image_id", "left_semi").unionByName(checked.filter("image_id IS NULL"))
     content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     copies = (
-        items.withColumn("_hash", content)
+        several.withColumn("_hash", content)
         .groupBy("image_id", "_hash")
         .agg(
-            F.any_value(F.struct(*[c for c in columns if c != "image_id"])).alias("_row"),
+            F.any_value(F.struct(*[c for c in columns if c != "image_id"], "reason")).alias("_row"),
             F.count(F.lit(1)).alias("_copies"),
         )
     )
-    flat = copies.select("image_id", "_hash", "_copies", "_row.*")
-    checked = flat.withColumn("reason", _own_fault(dim))
-    repeated = (
-        checked.filter("reason IS NULL")
-        .groupBy("image_id")
-        .agg(F.min("_hash").alias("_first"), F.count(F.lit(1)).alias("_contents"))
-        .filter("_contents > 1")
-        .select("image_id", "_first")
+    flat = stage(copies.select("image_id", "_hash", "_copies", "_row.*"), "repeated_items")
+    first = flat.filter("reason IS NULL").groupBy("image_id").agg(F.min("_hash").alias("_first"))
+    judged = lookup(flat, first, "image_id", how="left").withColumn(
+        "_taken", F.col("reason").isNull() & (F.col("_hash") == F.col("_first"))
     )
-    judged = lookup(checked, repeated, "image_id", how="left").withColumn(
-        "_taken",
-        F.col("reason").isNull() & (F.col("_first").isNull() | (F.col("_hash") == F.col("_first"))),
-    )
-    accepted = judged.filter("_taken").select(*columns)
+    accepted = single.filter("reason IS NULL").select(*columns).unionByName(judged.filter("_taken").select(*columns))
     spare = F.when(F.col("_taken"), F.col("_copies") - 1).otherwise(F.col("_copies"))
     rejected = (
         judged.withColumn("reason", F.coalesce("reason", F.lit(REPEATED_ID)))
@@ -54,7 +52,8 @@ def validate(items: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataF
         .filter("copies > 0")
         .select(*columns, "reason", "copies")
     )
-    return accepted, rejected
+    faulty = single.filter("reason IS NOT NULL").select(*columns, "reason", F.lit(1).cast("long").alias("copies"))
+    return accepted, faulty.unionByName(rejected)
 
 
 def _own_fault(dim: int | None) -> Column:
@@ -64,7 +63,7 @@ def _own_fault(dim: int | None) -> Column:
         wordless & F.col("embedding").isNull(), NO_CONTENT
     )
     if dim is not None:
-        reason = reason.when(F.size("embedding") != dim, WRONG_LENGTH)
+        reason = reason.when(F.col("embedding").isNotNull() & (F.size("embedding") != dim), WRONG_LENGTH)
     return reason
 
 
@@ -121,9 +120,12 @@ def provenance_audit(
 
 
 def status_rollup(status: DataFrame) -> DataFrame:
-    """Items per source, stage and latest state, from an append-only status table."""
+    """Items per source, stage and latest state, from an append-only status table.
+
+    Of states of the same time the last by spelling counts.
+    """
     latest = status.groupBy("image_id", "stage").agg(
-        F.max_by(F.struct("source", "state"), F.col("at")).alias("_last")
+        F.max_by(F.struct("source", "state"), F.struct("at", "state", "source")).alias("_last")
     )
     return latest.groupBy("_last.source", "stage", "_last.state").agg(
         F.count(F.lit(1)).alias("items")

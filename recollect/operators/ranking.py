@@ -156,21 +156,6 @@ def rank_scored(
     return rt.top_k(scored.withColumn("final", final_score(weights)), k, score="final")
 
 
-def with_evidence(ranked: DataFrame, weights: Mapping[str, float] = EQUAL_WEIGHTS) -> DataFrame:
-    """(query_id, image_id, signals, final, rank): the five signals as one array."""
-    entry = [
-        F.struct(
-            F.lit(name).alias("name"),
-            F.col(name).alias("score"),
-            F.lit(float(weights.get(name, 0.0))).alias("weight"),
-        )
-        for name in SIGNALS
-    ]
-    return ranked.select(
-        "query_id", "image_id", F.array(*entry).alias("signals"), "final", "rank"
-    )
-
-
 def hybrid_signals(
     queries: QuerySet, index: Index, n: int = CANDIDATES
 ) -> tuple[DataFrame, Prepared]:

@@ -110,16 +110,22 @@ def _sums(block: DataFrame, index: Index, weight: str, *keep: str) -> DataFrame:
 
 
 def best_by_terms(
-    weighed: DataFrame, index: Index, signal: TermSignal, k: int, limit: int | None = None
+    weighed: DataFrame,
+    index: Index,
+    signal: TermSignal,
+    k: int,
+    limit: int | None = None,
+    sum_rows: int = SUM_ROWS,
 ) -> DataFrame:
     """Top k per query by a sum over shared terms. ``weighed`` is a written ``weigh_terms``.
 
-    Frequent terms pair almost every query with almost every item. Up to SUM_ROWS such
-    rows the sums are simply made; beyond it ``_pruned`` leaves out what cannot win.
+    Frequent terms pair almost every query with almost every item. Up to ``sum_rows`` such
+    rows the sums are simply made; beyond it ``_pruned`` leaves out what cannot win. Both give the
+    same result; registered queries hold each against the same SQL.
     """
     asked = weighed.withColumn("_factor", F.col(signal.factor))
     rows = weighed.agg(F.sum("df")).first()[0] or 0
-    if rows > SUM_ROWS:
+    if rows > sum_rows:
         return _pruned(asked, index, signal, k, limit)
     return in_blocks(
         asked.select("query_id", "term", "_factor"),

@@ -11,6 +11,8 @@ from recollect.operators import signals
 from recollect.sources.tables import stage, stage_bucketed
 
 BUCKET_BYTES = 64 * 1024 * 1024
+# Beyond so many, buckets grow instead: Spark takes no more than 100,000, and each is a file.
+MOST_BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -36,10 +38,10 @@ class Index:
 
 
 def bucket_count(items: DataFrame) -> int:
-    """One bucket per BUCKET_BYTES of text, and at least one per core."""
+    """One bucket per BUCKET_BYTES of text, at least one per core and MOST_BUCKETS at most."""
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = items.sparkSession.sparkContext.defaultParallelism
-    return max(math.ceil(size / BUCKET_BYTES), cores)
+    return min(max(math.ceil(size / BUCKET_BYTES), cores), MOST_BUCKETS)
 
 
 def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index:

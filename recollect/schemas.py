@@ -21,16 +21,6 @@ ITEMS = T.StructType(
     ]
 )
 
-STATUS = T.StructType(
-    [
-        T.StructField("image_id", T.LongType(), False),
-        T.StructField("source", T.StringType()),
-        T.StructField("stage", T.StringType()),
-        T.StructField("state", T.StringType()),
-        T.StructField("at", T.TimestampType()),
-    ]
-)
-
 TURNS = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
@@ -65,25 +55,6 @@ QUERIES = T.StructType(
     ]
 )
 
-HISTORY = T.StructType(
-    [
-        T.StructField("event_id", T.LongType(), False),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("kind", T.StringType()),
-    ]
-)
-
-PROPOSALS = T.StructType(
-    [
-        T.StructField("proposal_id", T.StringType(), False),
-        T.StructField("kind", T.StringType()),
-        T.StructField("day", T.DateType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("evidence", T.StringType()),
-    ]
-)
-
 # The seven kinds of memory clue, and the five ranking signals.
 SLOTS = ("topic", "appearance", "type", "visual", "context", "text", "source")
 SIGNALS = ("text", "semantic", "visual", "metadata", "clue")

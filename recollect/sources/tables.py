@@ -40,11 +40,11 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: str)
     """Latest row per key of an append-only table, in place of an in-place update.
 
     The aggregate combines before the shuffle, so a key with many versions costs one
-    row per task.
+    row per task. Of rows that are equal in ``order`` the last by content counts.
     """
     rows = spark.read.parquet(path)
     rest = [c for c in rows.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.to_json(F.struct(*rest)))).alias("_row"))
     return latest.select(*keys, "_row.*").select(*rows.columns)
 
 

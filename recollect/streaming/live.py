@@ -13,31 +13,39 @@ STATE_OUT = "conv_id long, turn long, segment long, slot string, value string"
 
 
 class ClueState(StatefulProcessor):
-    """Keeps the segment and the latest value per slot of one conversation.
+    """Keeps the searches and the clues of one conversation by turn.
 
-    The state is one entry per slot, whatever the length of the conversation.
+    A turn is answered from what was said up to it, however late it arrives: an older turn
+    never replaces the value of a newer one, and a search counts from its own turn on. The state grows
+    with the clues and searches of a conversation, not with its turns.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._slots = handle.getMapState("slots", "slot string", "value string, turn long")
-        self._segment = handle.getValueState("segment", "number long")
+        self._clues = handle.getMapState("clues", "slot string, turn long", "value string")
+        self._searches = handle.getMapState("searches", "turn long", "known boolean")
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any
     ) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(rows).sort_values(["turn", "slot"], na_position="first")
-        segment = self._segment.get()[0] if self._segment.exists() else 0
-        out = []
-        for turn, said in arrived.groupby("turn", sort=True):
-            if (said["intent"] == "search").any():
+        for turn, intent, slot, value in zip(arrived["turn"], arrived["intent"], arrived["slot"], arrived["value"]):
+            if intent == "search":
+                self._searches.updateValue((int(turn),), (True,))
+            if slot is not None and not pd.isna(slot):
+                self._clues.updateValue((slot, int(turn)), (value,))
+        searches = sorted(k[0] for k, _ in self._searches.iterator())
+        said = sorted((k[1], k[0], v[0]) for k, v in self._clues.iterator())
+        out, now, at, segment = [], {}, 0, 0
+        for turn in sorted(set(arrived["turn"])):
+            while segment < len(searches) and searches[segment] <= turn:
                 segment += 1
-                self._slots.clear()
-            for slot, value in zip(said["slot"], said["value"]):
-                if slot is not None and not pd.isna(slot):
-                    self._slots.updateValue((slot,), (value, int(turn)))
-            for (slot,), (value, _) in self._slots.iterator():
-                out.append((key[0], int(turn), int(segment), slot, value))
-        self._segment.update((int(segment),))
+                now = {}
+            opened = searches[segment - 1] if segment else None
+            while at < len(said) and said[at][0] <= turn:
+                if opened is None or said[at][0] >= opened:
+                    now[said[at][1]] = said[at][2]
+                at += 1
+            out += [(key[0], int(turn), segment, slot, value) for slot, value in now.items()]
         yield pd.DataFrame(out, columns=["conv_id", "turn", "segment", "slot", "value"])
 
     def close(self) -> None:
@@ -47,8 +55,8 @@ class ClueState(StatefulProcessor):
 def stream_context(clued_turns: DataFrame) -> DataFrame:
     """Clue state as of each arriving turn, from a stream of (conv_id, turn, intent, slot, value).
 
-    A turn without clues is one row with a NULL slot. Rows are taken in turn order
-    within a micro-batch. Needs the RocksDB state store.
+    A turn without clues is one row with a NULL slot. A turn that arrives late is answered as of
+    itself; answers given before it are not taken back. Needs the RocksDB state store.
     """
     return clued_turns.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=ClueState(),

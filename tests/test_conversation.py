@@ -47,6 +47,54 @@ def test_intents_and_segments(spark):
     assert got[2, 1] == ("search", 2) and got[4, 1] == ("out of scope", 1)
 
 
+# How users speak, and what they want.
+SPOKEN = [
+    ("The screenshot where I fixed my Python login error.", ["search"]),
+    ("That confused guy meme.", ["search"]),
+    ("Find my plan for the trip", ["search"]),
+    ("Find the calendar photo", ["search"]),
+    ("Find the summary of chapter 2", ["search"]),
+    ("Can you find my notes?", ["search"]),
+    ("Show me the screenshot of my Python login error.", ["search"]),
+    ("I remember it was handwritten", ["refine"]),
+    ("No, I remember they were handwritten and had a big diagram.", ["refine"]),
+    ("No, the one with the red button.", ["refine"]),
+    ("Why this result?", ["why"]),
+    ("Yes, that's the one.", ["confirm"]),
+    ("Summarize these notes.", ["summarize"]),
+    ("Summarize this and create a short plan.", ["summarize", "roadmap"]),
+    ("Create a 3-day revision roadmap from these notes.", ["roadmap"]),
+    ("Make a 3-day plan.", ["roadmap"]),
+    ("Schedule it.", ["schedule"]),
+    ("Schedule this for the next 3 days.", ["schedule"]),
+    ("Remind me about step 1 tomorrow.", ["reminder"]),
+    ("Find my CN notes and summarize them.", ["search", "summarize"]),
+    ("What is the weather?", ["out of scope"]),
+    ("Thank you!", ["out of scope"]),
+    ("", ["out of scope"]),
+]
+
+
+def test_spoken_sentences(spark):
+    raw = spark.createDataFrame([(1, i, "user", s) for i, (s, _) in enumerate(SPOKEN)], TURNS)
+    got = {r["turn"]: (r["intent"], r["intents"]) for r in cv.label_intent(raw).collect()}
+    assert {SPOKEN[i][0]: v for i, v in got.items()} == {s: (w[0], w) for s, w in SPOKEN}
+
+
+def test_two_actions_are_both_bound(spark):
+    raw = spark.createDataFrame([(1, 0, "user", "Find my notes"), (1, 1, "user", "Summarize this and create a short plan.")], TURNS)
+    bound = cv.bind_actions(cv.label_intent(raw)).collect()
+    assert sorted((r["intent"], r["query_id"]) for r in bound) == [("roadmap", "1:0"), ("summarize", "1:0")]
+
+
+def test_long_phrases_of_the_lexicon_are_found(spark):
+    said = spark.createDataFrame([(1, 0, 0, "It had a big red round button, I think")], "conv_id long, turn long, segment long, text string")
+    words = [("red round button", "visual", "button"), ("big red round button", "visual", "big button"), ("it had a big red round", "type", "six")]
+    got = cv.extract_clues(said, spark.createDataFrame(words, LEXICON)).collect()
+    assert {(r["slot"], r["value"]) for r in got} == {("visual", "big button"), ("type", "six")}
+    assert cv.extract_clues(said, spark.createDataFrame([], LEXICON)).count() == 0
+
+
 def test_a_refinement_keeps_the_earlier_words_and_clues(spark):
     made = searches(spark)
     terms = {}
@@ -89,11 +137,14 @@ def test_why_speaks_only_of_signals_that_scored(spark, index):
     assert not [r for r in lines if r["signal"] == "visual"]
     text = [r["line"] for r in lines if r["query_id"] == "2:0" and r["image_id"] == 3 and r["signal"] == "text"]
     assert "login" in text[0]
-    audit = {r["evidence"]: r["ungrounded"] for r in ex.grounding_audit(explained, matched, index).collect()}
+    audit = {r["evidence"]: r["ungrounded"] for r in ex.grounding_audit(explained, matched, index, prepared).collect()}
     assert set(audit.values()) == {0}
     forged = matched.withColumn("term", F.lit("invented"))
-    audit = {r["evidence"]: r["ungrounded"] for r in ex.grounding_audit(explained, forged, index).collect()}
+    audit = {r["evidence"]: r["ungrounded"] for r in ex.grounding_audit(explained, forged, index, prepared).collect()}
     assert audit["term"] > 0
+    elsewhere = explained.withColumn("image_id", F.lit(8).cast("long")).withColumn("signal", F.explode(F.array(*[F.lit(s) for s in ("text", "visual", "metadata", "clue")])))
+    audit = {r["evidence"]: (r["claims"], r["ungrounded"]) for r in ex.grounding_audit(elsewhere, matched, index, prepared).collect()}
+    assert all(audit[s][0] == audit[s][1] > 0 for s in ("visual", "metadata", "clue"))
 
 
 def test_roadmap_schedule_and_confirmation(spark, index, start):
@@ -124,6 +175,15 @@ def test_relative_days_need_a_given_date(spark, start):
     assert days == {"2024-03-03", "2025-01-07"}
 
 
+def test_dates_in_other_forms_and_those_left_open(spark):
+    text = "Due 15 March 2024. Or the 3rd of April, 2024. Or April 4th, 2024. Not 31/02/2024. On 25/12/2024 or 12/25/2023. On 03/04/2024! By May 7th. At 05/05/2025"
+    said = spark.createDataFrame([(1, text)], "image_id long, text string")
+    assert sorted(str(r["day"]) for r in ac.find_deadlines(said).collect()) == [
+        "2023-12-25", "2024-03-15", "2024-04-03", "2024-04-04", "2024-12-25", "2025-05-05"
+    ]
+    assert {(r["found"], r["reason"]) for r in ac.unread_dates(said).collect()} == {("03/04/2024", "day and month"), ("May 7th", "no year")}
+
+
 def test_rank_delta(spark):
     rows = [(1, 0, 5, 3), (1, 1, 5, 1), (1, 1, 6, 2)]
     got = rk.rank_delta(spark.createDataFrame(rows, "conv_id long, turn long, image_id long, rank int"))

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.functions import bounds, running, text as tx
+from recollect.functions import bounds, running, text as tx, vectors as vx
+from recollect.plans import index
 
 
 def test_tokens_and_runs(spark):
@@ -64,3 +67,16 @@ def test_running_values_match_brute_force_across_blocks(spark):
         assert r["s"] == sum(known)
         assert r["at"] == (known[-1] if known else None)
         assert r["before"] == (earlier[-1] if earlier else None)
+
+
+def test_ties_do_not_leave_the_kernel():
+    queries = pd.DataFrame({"query_id": range(50), "unit": [[1.0, 0.0]] * 50})
+    items = pd.DataFrame({"image_id": np.arange(5000)[::-1], "unit": [[1.0, 0.0]] * 5000})
+    got = vx.best_in_block(10)(queries, items)
+    assert len(got) == 500 and set(got["image_id"]) == set(range(10))
+
+
+def test_bucket_count_stays_below_what_spark_takes(spark, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET_BYTES", 0.0001)
+    items = spark.createDataFrame([(1, "x" * 1000)], "image_id long, text string")
+    assert index.bucket_count(items) == index.MOST_BUCKETS

@@ -5,6 +5,7 @@ import uuid
 from recollect.functions import bounds
 from recollect.schemas import ITEMS
 from recollect.sources import tables
+from recollect.streaming import live
 from recollect.streaming.arrivals import stream_ingest
 
 
@@ -27,3 +28,35 @@ def test_two_drops_a_restart_and_a_repeated_file(spark, monkeypatch):
     monkeypatch.setattr(bounds, "DEFAULT_LIMIT", 0)
     drop([3, 4])
     assert run() == [1, 2, 3, 4]
+
+
+def test_late_turns_do_not_replace_newer_ones(spark):
+    base = f"{tables.shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    schema = "conv_id long, turn long, intent string, slot string, value string"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        key = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            stream = live.stream_context(spark.readStream.schema(schema).parquet(f"{base}/in"))
+            out = stream.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+            out.outputMode("append").format("parquet").start(f"{base}/out").awaitTermination()
+        finally:
+            spark.conf.set(key, before)
+
+    arrive((1, 0, "search", "type", "notes"), (1, 3, "refine", "topic", "third"))
+    arrive((1, 2, "refine", "topic", "second"), (1, 1, "why", None, None))
+    arrive((1, 4, "why", None, None), (1, 5, "search", "topic", "new"))
+    got = {}
+    for r in spark.read.parquet(f"{base}/out").collect():
+        got.setdefault((r["turn"], r["segment"]), {})[r["slot"]] = r["value"]
+    assert got == {
+        (0, 1): {"type": "notes"},
+        (1, 1): {"type": "notes"},
+        (2, 1): {"type": "notes", "topic": "second"},
+        (3, 1): {"type": "notes", "topic": "third"},
+        (4, 1): {"type": "notes", "topic": "third"},
+        (5, 2): {"topic": "new"},
+    }
