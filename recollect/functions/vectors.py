@@ -29,6 +29,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def best_rows(scored: pd.DataFrame, k: int) -> pd.DataFrame:
+    """First k rows per query by score, ties by image_id."""
+    ordered = scored.sort_values(["score", "image_id"], ascending=[False, True])
+    return ordered.groupby("query_id", sort=False).head(k)
+
+
 def best_in_block(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Kernel for ``cogroup().applyInPandas``: the k best items for each query of a block pair.
 

@@ -11,6 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollect.functions import text as tx, vectors as vx
@@ -28,7 +29,7 @@ from recollect.sources.tables import stage
 PLACES = 6
 # Block sizes of the nearest-vector search: rows of vectors and of queries per task.
 VECTOR_BLOCK = 50_000
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 4_000
 # Rows up to which the sums of a search over shared terms are made without pruning.
 SUM_ROWS = 500_000_000
 # Share of the floor that terms left for later may make up. Any value below 1 is exact; a low
@@ -386,27 +387,36 @@ def _nearest(queries: DataFrame, items: DataFrame, on: Sequence[str], k: int) ->
 def vector_search(query_vecs: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine top-k.
 
-    Queries and vectors are cut into blocks of bounded size. A task multiplies one
-    block of each as matrices and hands on the k best per query, never the scores of
-    all pairs.
+    The queries go to the vectors in blocks of bounded size, each broadcast as one matrix. Vectors stay
+    where they are stored; a task multiplies its own with the block and hands on the k best per query.
     """
     queries = unit_queries(query_vecs)
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    across = _blocks(measure(vectors.select("image_id")).rows, VECTOR_BLOCK, cores)
-    down = _blocks(measure(query_vecs.select("query_id")).rows, QUERY_BLOCK)
-    left = queries.select(
-        "query_id",
-        "unit",
-        F.pmod(F.xxhash64("query_id"), F.lit(down)).alias("_qb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("_vb"),
-    )
-    right = vectors.select(
-        "image_id",
-        "unit",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("_qb"),
-        F.pmod(F.xxhash64("image_id"), F.lit(across)).alias("_vb"),
-    )
-    return _nearest(left, right, ["_qb", "_vb"], k)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = measure(query_vecs.select("query_id")).rows
+    down = _blocks(rows, QUERY_BLOCK)
+    if down > 1:
+        queries = stage(queries, "unit_queries")
+    found = None
+    for number in range(down):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(down)) == number).toPandas()  # about QUERY_BLOCK rows
+        best = vectors.select("image_id", "unit").mapInPandas(
+            _best_of_partition(vectors.sparkSession.sparkContext.broadcast(block), k),
+            f"query_id {kind}, image_id long, score double",
+        )
+        found = best if found is None else found.unionByName(best)
+    return top_k(found, k)
+
+
+def _best_of_partition(block, k: int):
+    def run(batches):
+        best = None
+        for items in batches:
+            near = vx.best_in_block(k)(block.value, items)
+            best = near if best is None else vx.best_rows(pd.concat([best, near]), k)
+        if best is not None:
+            yield best
+
+    return run
 
 
 def vector_search_ann(

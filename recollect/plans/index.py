@@ -17,10 +17,11 @@ MOST_BUCKETS = 4096
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of the index.
+    """Tables of the index. All but terms and corpus are bucketed by image_id and sorted within, so that
+    searches bring their pairs to the tables and shuffle nothing else.
 
     items     image_id, source, uri, file_info, ts, meta, text
-    postings  image_id, term, tf, bm, ltf; bucketed by image_id, sorted within. ``bm`` is the BM25
+    postings  image_id, term, tf, bm, ltf. ``bm`` is the BM25
               weight less idf, ``ltf`` the TF-IDF weight less idf. The idf comes with
               the query, so that the large table is never joined on a frequent term.
     terms     term, df, bm_idf, idf, max_bm, max_ltf; the last two bound what a term can add
@@ -73,10 +74,10 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
     post = stage_bucketed(weighted, "weighted", "image_id", n, ["image_id", "term"])
     peaks = post.groupBy("term").agg(F.max("bm").alias("max_bm"), F.max("ltf").alias("max_ltf"))
     return Index(
-        items=items.drop("embedding"),
+        items=stage_bucketed(items.drop("embedding"), "items", "image_id", n, ["image_id"]),
         postings=post,
         terms=stage(known.join(peaks, "term"), "terms"),
         corpus=corpus,
-        docs=stage(stats.join(norms, "image_id"), "docs"),
-        vectors=stage(signals.prepare_vectors(items, dim), "vectors"),
+        docs=stage_bucketed(stats.join(norms, "image_id"), "docs", "image_id", n, ["image_id"]),
+        vectors=stage_bucketed(signals.prepare_vectors(items, dim), "vectors", "image_id", n, ["image_id"]),
     )
