@@ -22,6 +22,15 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def about(key: Column, wanted: int, rows: int) -> Column:
+    """Holds for about twice ``wanted`` of ``rows`` rows, by a hash (LONG) of each.
+
+    Ordering what is left and taking ``wanted`` costs little, however many partitions there are.
+    """
+    share = min(1.0, 2.0 * wanted / max(rows, 1))
+    return F.shiftrightunsigned(key, 33) < int(share * 2**31) + 1
+
+
 def literal_table(spark: SparkSession, rows_json: str, schema: str) -> DataFrame:
     """A small table of rows known to the driver, as a literal in the plan."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows_json), f"array<struct<{schema}>>")))

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from recollect.llm.common import about
 from recollect.sources.tables import stage
 
 PIVOTS = 64
@@ -239,7 +240,8 @@ def top_inner_products(
     """
     spark = vectors.sparkSession
     rows = stage(integers(vectors, id_col, vec_col, scale), "vectors")
-    sample = rows.orderBy(F.xxhash64("id", "vec")).limit(SAMPLE).collect()  # fits the pivots; the search covers all rows
+    low = rows.withColumn("at", F.xxhash64("uid")).filter(about(F.xxhash64("uid"), SAMPLE, rows.count()))
+    sample = low.orderBy("at").limit(SAMPLE).collect()  # fits the pivots; the search covers all rows
     seen = matrix([r["vec"] for r in sample])
     seen_uid = np.array([r["uid"] for r in sample], np.int64)
     pivots = seen[farthest_first(seen.astype(np.float64), PIVOTS)[0]] if len(seen) else np.zeros((1, 1), np.int64)
