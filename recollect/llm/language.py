@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from recollect.llm.common import about
+
 SAMPLE = 2400  # texts from which the model is learnt
 LANDMARKS = 128
 GRAMS = 8192  # n-grams that the kernel knows: those in most of the sampled texts
@@ -94,12 +96,16 @@ def learnt(codes: list[np.ndarray], labels: list[str], landmarks: int = LANDMARK
 def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model learnt from text and language of the rows where ``usable`` holds and neither is NULL.
 
-    Up to ``sample`` rows, the first by a hash of their content; what comes to the driver is the codes
-    of their n-grams, of which a text has no more than CODES. Without such rows the model knows no language.
+    Up to ``sample`` rows, the first by a hash of the row among those with a low one; what comes to the driver
+    is the codes of their n-grams, of which a text has no more than CODES. Without such rows the model
+    knows no language.
     """
-    rows = docs.filter(usable & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
-    rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    picked = rows.withColumn("at", F.xxhash64("text", "lang")).orderBy("at", "lang").limit(sample)
+    named = docs.filter(usable & F.col(f"`{lang_col}`").isNotNull())
+    at = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
+    rows = named.withColumn("_at", at).filter(about(F.col("_at"), sample, named.count()))
+    rows = rows.filter(F.col(f"`{text_col}`").rlike(r"\p{L}"))
+    rows = rows.select("_at", F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    picked = rows.orderBy("_at", "lang").limit(sample)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CODES, bool)
