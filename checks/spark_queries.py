@@ -331,7 +331,7 @@ def rt11(spark, sf):
 
 
 def _ranked(spark, sf):
-    return rk.rank_scored(A.scored(spark, sf)[0])
+    return A.ranked(spark, sf)
 
 
 SCORED = ["query_id", "image_id", "text", "semantic", "visual", "metadata", "clue", "final", "rank"]
@@ -387,7 +387,7 @@ def rt15(spark, sf):
 
 
 def _matched(spark, sf):
-    return ex.matched_terms(A.scored(spark, sf)[1].weighed, A.index(spark, sf), _ranked(spark, sf))
+    return ex.matched_terms(A.prepared(spark, sf).weighed, A.index(spark, sf), _ranked(spark, sf))
 
 
 def ex1(spark, sf):
@@ -403,8 +403,7 @@ def ex3(spark, sf):
 
 
 def ex4(spark, sf):
-    prepared = A.scored(spark, sf)[1]
-    return ex.grounding_audit(ex.explain(_ranked(spark, sf)), _matched(spark, sf), A.index(spark, sf), prepared)
+    return ex.grounding_audit(ex.explain(_ranked(spark, sf)), _matched(spark, sf), A.index(spark, sf), A.prepared(spark, sf))
 
 
 def ex4_forged(spark, sf):
@@ -412,7 +411,7 @@ def ex4_forged(spark, sf):
     other = (F.col("image_id") + 1).alias("image_id")
     explained, matched = ex.explain(_ranked(spark, sf)), _matched(spark, sf)
     forged = [df.select(*[other if c == "image_id" else c for c in df.columns]) for df in (explained, matched)]
-    return ex.grounding_audit(*forged, A.index(spark, sf), A.scored(spark, sf)[1])
+    return ex.grounding_audit(*forged, A.index(spark, sf), A.prepared(spark, sf))
 
 
 # Conversation

@@ -58,22 +58,31 @@ def prepare(queries: QuerySet, index: Index) -> Prepared:
     return Prepared(queries, weighed, hits)
 
 
-def candidates(prepared: Prepared, index: Index, n: int = CANDIDATES) -> DataFrame:
-    """Distinct (query_id, image_id) within the top n of any signal, with a score above 0."""
+def tops(prepared: Prepared, index: Index, n: int = CANDIDATES) -> DataFrame:
+    """(query_id, image_id, signal, score, rank): the top n of every signal, with a score above 0."""
     queries = prepared.queries
-    found = rt.best_by_terms(prepared.weighed, index, rt.TEXT, n).select("query_id", "image_id")
-    near = rt.best_by_terms(prepared.weighed, index, rt.SEMANTIC, n)
-    found = found.unionByName(near.select("query_id", "image_id"))
+    lists = {
+        "text": rt.best_by_terms(prepared.weighed, index, rt.TEXT, n),
+        "semantic": rt.best_by_terms(prepared.weighed, index, rt.SEMANTIC, n),
+    }
     if queries.vecs is not None:
-        near = rt.vector_search(queries.vecs, index.vectors, n).filter("score > 0")
-        found = found.unionByName(near.select("query_id", "image_id"))
+        lists["visual"] = rt.vector_search(queries.vecs, index.vectors, n)
     if queries.filters is not None:
-        meta = rt.metadata_top(queries.filters, index.items, n)
-        found = found.unionByName(meta.select("query_id", "image_id"))
+        lists["metadata"] = rt.metadata_top(queries.filters, index.items, n)
     if queries.clues is not None:
-        clue = rt.clue_top(queries.clues, prepared.clue_hits, n)
-        found = found.unionByName(clue.select("query_id", "image_id"))
-    return found.distinct()
+        lists["clue"] = rt.clue_top(queries.clues, prepared.clue_hits, n)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            found.filter("score > 0").select("query_id", "image_id", F.lit(name).alias("signal"), "score", "rank")
+            for name, found in lists.items()
+        ],
+    )
+
+
+def candidates(prepared: Prepared, index: Index, n: int = CANDIDATES) -> DataFrame:
+    """Distinct (query_id, image_id) within the top n of any signal, with a score above 0."""
+    return tops(prepared, index, n).select("query_id", "image_id").distinct()
 
 
 def score_pairs(pairs: DataFrame, prepared: Prepared, index: Index) -> DataFrame:
@@ -165,6 +174,39 @@ def hybrid_signals(
     return stage(score_pairs(pairs, prepared, index), "signals"), prepared
 
 
+def _open_queries(
+    found: DataFrame, scored: DataFrame, weights: Mapping[str, float], k: int, n: int
+) -> DataFrame:
+    """(query_id): queries of which an item outside the top n of all signals could be among the first k.
+
+    Such an item has at most the n-th score of each signal, and no more than 0 of a signal with fewer hits.
+    """
+    last = found.groupBy("query_id", "signal").agg(
+        F.max(F.when(F.col("rank") == n, F.col("score"))).alias("_last"), F.max("score").alias("_best")
+    )
+    share = F.when(F.col("signal") == "text", F.col("_last") / F.col("_best")).otherwise(F.least("_last", F.lit(1.0)))
+    weight = F.coalesce(*[F.when(F.col("signal") == s, F.lit(max(float(weights.get(s, 0.0)), 0.0))) for s in SIGNALS])
+    bound = last.groupBy("query_id").agg(F.sum(weight * F.coalesce(share, F.lit(0.0))).alias("_bound"))
+    kth = rank_scored(scored, weights, k).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("final").alias("_kth")
+    )
+    # A rounded score can stand for one a little higher.
+    close = (F.col("_n") < k) | (F.col("_kth") <= F.col("_bound") + 1e-5)
+    return bound.filter("_bound > 0").join(kth, "query_id").filter(close).select("query_id")
+
+
+def _restricted(prepared: Prepared, queries: DataFrame) -> Prepared:
+    """The same for some of the queries."""
+    ids = broadcast_if_small(queries)
+
+    def some(part: DataFrame | None) -> DataFrame | None:
+        return None if part is None else stage(part.join(ids, "query_id", "left_semi"), "open")
+
+    q = prepared.queries
+    kept = QuerySet(some(q.terms), some(q.vecs), some(q.filters), some(q.clues))
+    return Prepared(kept, some(prepared.weighed), prepared.clue_hits)
+
+
 def hybrid_search(
     queries: QuerySet,
     index: Index,
@@ -172,10 +214,28 @@ def hybrid_search(
     k: int = 10,
     n: int = CANDIDATES,
 ) -> DataFrame:
-    """Ranked results from all signals together."""
+    """Ranked results from all signals together: the first k of the whole corpus.
+
+    The first look is at the top ``n`` of every signal. Queries of which an item outside could still be
+    among the first k are looked at deeper, four times as deep each round.
+    """
     prepared = prepare(queries, index)
-    pairs = stage(candidates(prepared, index, n), "candidates")
-    return rank_scored(score_pairs(pairs, prepared, index), weights, k)
+    items = index.items.count()
+    settled: list[DataFrame] = []
+    while True:
+        found = stage(tops(prepared, index, n), "tops")
+        pairs = stage(found.select("query_id", "image_id").distinct(), "candidates")
+        scored = stage(score_pairs(pairs, prepared, index), "signals")
+        if n >= items:
+            settled.append(scored)
+            break
+        left = stage(_open_queries(found, scored, weights, k, n), "open_queries")
+        if left.isEmpty():
+            settled.append(scored)
+            break
+        settled.append(scored.join(broadcast_if_small(left), "query_id", "left_anti"))
+        prepared, n = _restricted(prepared, left), 4 * n
+    return rank_scored(reduce(DataFrame.unionByName, settled), weights, k)
 
 
 def refine(
