@@ -362,12 +362,9 @@ def rt13_requery(spark, sf):
 
 def _turn_results(spark, sf):
     """Text results of every retrieving turn, from the context of the conversation so far."""
-    asked = _formulated(spark, sf)
-    found = rt.text_search(asked.terms, A.index(spark, sf))
-    part = F.split("query_id", ":")
-    return found.select(
-        part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "image_id", F.col("rank").cast("long").alias("rank")
-    )
+    turns = _retrieving(spark, sf)
+    found = rt.context_search(turns, cv.accumulate_context(turns), A.index(spark, sf))
+    return found.select("conv_id", "turn", "image_id", F.col("rank").cast("long").alias("rank"))
 
 
 def rt14(spark, sf):

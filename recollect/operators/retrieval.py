@@ -247,6 +247,37 @@ def text_search(
     return best_by_terms(weighed, index, TEXT, k, limit)
 
 
+def context_search(
+    turns: DataFrame, context: DataFrame, index: Index, k: int = 10, limit: int | None = None
+) -> DataFrame:
+    """(conv_id, turn, image_id, score, rank): BM25 of each turn's whole context, top k.
+
+    ``turns`` are the searching turns (conv_id, segment, turn), ``context`` is (conv_id, segment, term, since). A
+    term meets the postings once for its segment, not once for each later turn: sums over the terms of
+    one turn are added up along the segment. The postings stay where they lie; a segment and item hold
+    one sum for each turn that brought new terms.
+    """
+    segment = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("segment").cast("string"))
+    said = context.select(segment.alias("query_id"), "term", "since", F.lit(1).cast("long").alias("tf"))
+    said = stage(said, "said")
+    weighed = weigh_terms(said.select("query_id", "term", "tf"), index, limit)
+    asked = said.select("query_id", "term", "since").join(weighed.select("query_id", "term", "bm_idf"), ["query_id", "term"])
+    asked = stage(asked.select("query_id", "term", "since", F.col("bm_idf").alias("_factor")), "asked")
+    at = turns.groupBy(segment.alias("query_id"), "conv_id").agg(F.collect_set("turn").alias("_turns"))
+    at = stage(at, "searching_turns")
+
+    def best(block: DataFrame) -> DataFrame:
+        sums = _sums(block, index, TEXT.weight, "since")
+        by_item = sums.groupBy("query_id", "image_id").agg(F.collect_list(F.struct("since", "score")).alias("_parts"))
+        spread = lookup(by_item, at, "query_id", limit=limit).withColumn("turn", F.explode("_turns"))
+        held = F.filter("_parts", lambda p: p["since"] <= F.col("turn"))
+        score = F.aggregate(held, F.lit(0.0), lambda acc, p: acc + p["score"])
+        scored = spread.filter(F.size(held) > 0).select("conv_id", "turn", "image_id", score.alias("score"))
+        return top_k(scored, k, by=("conv_id", "turn"))
+
+    return in_blocks(asked, "query_id", best, limit)
+
+
 def semantic_search(
     query_terms: DataFrame, index: Index, k: int = 10, limit: int | None = None
 ) -> DataFrame:
