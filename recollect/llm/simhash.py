@@ -330,7 +330,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = members.groupBy("component_id").agg(first.alias("first")).select(
         F.col("first.row").alias("_near_row"), F.col("first.n").alias("_near_n")
     )
-    found = keyed.join(stage(kept, "kept-rows"), "_near_row")
+    # By sorting at every size: most rows are kept, so that what a small input would broadcast grows with it.
+    found = keyed.join(stage(kept, "kept-rows").hint("merge"), "_near_row")
     # Rows repeated in every column are few; only those are brought together.
     once = found.filter("_near_n = 1")
     again = found.filter("_near_n > 1").dropDuplicates(["_near_row"])
