@@ -118,8 +118,7 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, lang_col: str =
     if not got.num_rows:
         return Model()
     labels = got.column("lang").to_pylist()
-    codes = [np.asarray(c.values.to_numpy(), np.int64) for c in got.column("codes")]
-    return learnt(codes, labels)
+    return learnt([c.values.to_numpy() for c in got.column("codes")], labels)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
