@@ -361,9 +361,12 @@ def statements(grid) -> dict[str, str]:
                 WHERE m.query_id = e.query_id AND m.image_id = e.image_id AND place <= 3)
             WHEN 'semantic' THEN 'Wording is related: ' || printf('%.2f', score)
             WHEN 'visual' THEN 'Visual likeness to the query: ' || printf('%.2f', score)
-            WHEN 'metadata' THEN 'Metadata matched: ' || printf('%.2f', score)
-            ELSE 'Remembered clues found: ' || printf('%.2f', score) END AS line
-        FROM explained e WHERE score > 0""", "explained", "matched")
+            WHEN 'metadata' THEN 'Metadata matched: ' || (SELECT string_agg(field, ', ' ORDER BY field) FROM qfilter f, items i
+                WHERE f.query_id = e.query_id AND i.image_id = e.image_id
+                  AND f.value = CASE field WHEN 'lang' THEN i.lang ELSE i.source END)
+            ELSE 'Remembered clues found: ' || (SELECT string_agg(slot || ' ' || value, ', ' ORDER BY slot || ' ' || value)
+                FROM qclue c JOIN clue_hit h USING (value) WHERE c.query_id = e.query_id AND h.image_id = e.image_id) END AS line
+        FROM explained e WHERE score > 0""", "explained", "matched", "qfilter", "items", "qclue", "clue_hit")
     behind = {
         "text": "SELECT query_id, image_id FROM h_sum",
         "semantic": "SELECT query_id, image_id FROM h_sum",

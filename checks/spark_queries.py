@@ -396,7 +396,10 @@ def ex2(spark, sf):
 
 
 def ex3(spark, sf):
-    return whole(ex.why(ex.explain(_ranked(spark, sf)), _matched(spark, sf)), "rank")
+    found, prepared = _ranked(spark, sf), A.prepared(spark, sf)
+    fields = rt.matched_fields(found, prepared.queries.filters, A.index(spark, sf).items)
+    clues = rt.matched_clues(found, prepared.queries.clues, prepared.clue_hits)
+    return whole(ex.why(ex.explain(found), _matched(spark, sf), fields, clues), "rank")
 
 
 def ex4(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollect.functions.bounds import broadcast_if_small
 from recollect.operators.ranking import EQUAL_WEIGHTS, Prepared
@@ -54,11 +54,25 @@ def matched_terms(weighed: DataFrame, index: Index, results: DataFrame) -> DataF
     )
 
 
-def why(explained: DataFrame, matched: DataFrame, first: int = 3) -> DataFrame:
+def _named(evidence: DataFrame, entry: Column, name: str) -> DataFrame:
+    """(query_id, image_id, name): the entries of each pair in order, joined by commas."""
+    return evidence.groupBy("query_id", "image_id").agg(
+        F.array_join(F.array_sort(F.collect_set(entry)), ", ").alias(name)
+    )
+
+
+def why(
+    explained: DataFrame,
+    matched: DataFrame,
+    fields: DataFrame | None = None,
+    clues: DataFrame | None = None,
+    first: int = 3,
+) -> DataFrame:
     """(query_id, image_id, rank, signal, line): one line per signal that scored above 0.
 
-    The text line names the heaviest matched terms. A visual line speaks of likeness
-    only: nothing detects objects here.
+    The text line names the heaviest matched terms, the metadata line the ``matched_fields``, the clue
+    line the ``matched_clues``; without those tables they give the score. A visual line speaks of
+    likeness only: nothing detects objects here.
     """
     words = (
         matched.filter(F.col("place") <= first)
@@ -71,17 +85,24 @@ def why(explained: DataFrame, matched: DataFrame, first: int = 3) -> DataFrame:
         )
     )
     score = F.format_string("%.2f", F.col("score"))
+    used = explained.filter((F.col("score") > 0) & (F.col("weight") > 0))
+    used = used.join(words, ["query_id", "image_id"], "left")
+    named = {"_fields": F.lit(None).cast("string"), "_clues": F.lit(None).cast("string")}
+    if fields is not None:
+        used = used.join(_named(fields, F.col("field"), "_fields"), ["query_id", "image_id"], "left")
+        named["_fields"] = F.col("_fields")
+    if clues is not None:
+        pair = F.concat("slot", F.lit(" "), "value")
+        used = used.join(_named(clues, pair, "_clues"), ["query_id", "image_id"], "left")
+        named["_clues"] = F.col("_clues")
     line = (
         F.when(F.col("signal") == "text", F.concat(F.lit("Text matched: "), F.col("_terms")))
         .when(F.col("signal") == "semantic", F.concat(F.lit("Wording is related: "), score))
         .when(F.col("signal") == "visual", F.concat(F.lit("Visual likeness to the query: "), score))
-        .when(F.col("signal") == "metadata", F.concat(F.lit("Metadata matched: "), score))
-        .otherwise(F.concat(F.lit("Remembered clues found: "), score))
-    )
-    used = explained.filter((F.col("score") > 0) & (F.col("weight") > 0))
-    return used.join(words, ["query_id", "image_id"], "left").select(
-        "query_id", "image_id", "rank", "signal", line.alias("line")
+        .when(F.col("signal") == "metadata", F.concat(F.lit("Metadata matched: "), F.coalesce(named["_fields"], score)))
+        .otherwise(F.concat(F.lit("Remembered clues found: "), F.coalesce(named["_clues"], score)))
     )
+    return used.select("query_id", "image_id", "rank", "signal", line.alias("line"))
 
 
 def grounding_audit(

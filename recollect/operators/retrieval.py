@@ -548,6 +548,28 @@ def metadata_score(
     return asked.groupBy("query_id", "image_id").agg(F.avg(match).alias("score"))
 
 
+def matched_fields(
+    pairs: DataFrame, query_filters: DataFrame, records: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """(query_id, image_id, field, value): the requested fields whose value the item has."""
+    return (
+        pairs.select("query_id", "image_id")
+        .join(broadcast_if_small(query_filters, limit), "query_id")
+        .join(records.select("image_id", "source", "meta"), "image_id")
+        .filter(field_value(F.col("field")) == F.col("value"))
+        .select("query_id", "image_id", "field", "value")
+        .distinct()
+    )
+
+
+def matched_clues(
+    pairs: DataFrame, query_clues: DataFrame, hits: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """(query_id, image_id, slot, value): the query's clues found in the item. ``hits`` is ``clue_hits``."""
+    asked = pairs.select("query_id", "image_id").join(broadcast_if_small(query_clues, limit), "query_id")
+    return asked.join(hits, ["value", "image_id"]).select("query_id", "image_id", "slot", "value").distinct()
+
+
 def _sets(long: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(query_id, set_id) and (set_id, *columns): queries that ask the same share one set."""
     entry = F.struct(*columns)
