@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import decontam, language, mixing, sharding, simhash
+from recollect.llm import decontam, language, mixing, sharding, similar
 from recollect.llm.common import table
 from recollect.sources.tables import stage
 
@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.one_of_each_group(docs)
+    """One document of each group whose five-word shingles are 0.8 alike or more."""
+    return similar.one_of_each_group(docs)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

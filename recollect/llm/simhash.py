@@ -11,6 +11,8 @@ themselves, where at most 65 can meet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -97,12 +99,13 @@ def fingerprints(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarra
             size += len(clean[full[last]])
             last += 1
         chosen = full[first:last]
-        out[chosen] = _slice_fingerprints([clean[i] for i in chosen], shingle)
+        out[chosen] = majority(*shingle_hashes([clean[i] for i in chosen], shingle))
         first = last
     return out
 
 
-def _slice_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the shingles of plain texts that are not empty; of fewer words, the whole sequence."""
     buf = b"\n".join(texts)
     chars = np.frombuffer(buf, np.uint8)
     gaps = np.flatnonzero((chars == 32) | (chars == 10))
@@ -110,13 +113,17 @@ def _slice_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     doc = np.concatenate([[0], np.cumsum(chars[gaps] == 10)])
     words = np.bincount(doc, minlength=len(texts))
     lead = np.concatenate([[0], np.cumsum(words)])[:-1]
-    span = np.minimum(words, shingle)  # fewer words: the whole sequence
+    span = np.minimum(words, shingle)
     counts = words - span + 1
     offsets = np.concatenate([[0], np.cumsum(counts)])
     begin = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - lead, counts)
-    h = xxh64(buf, starts[begin], ends[begin + np.repeat(span, counts) - 1])
+    return xxh64(buf, starts[begin], ends[begin + np.repeat(span, counts) - 1]), offsets
+
+
+def majority(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SimHash, as a signed integer, of the hashes of each text."""
     # Bits are added up in pieces, which keeps a very long text within bounds.
-    totals = np.zeros((len(texts), 64), np.int64)
+    totals = np.zeros((len(offsets) - 1, 64), np.int64)
     step = 1 << 16
     for a in range(0, len(h), step):
         part = h[a : a + step]
@@ -124,7 +131,7 @@ def _slice_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
         lo, hi = np.searchsorted(offsets, [a, a + len(part) - 1], side="right") - 1
         edges = np.maximum(offsets[lo : hi + 1] - a, 0)
         totals[lo : hi + 1] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
-    bits = totals * 2 > counts[:, None]
+    bits = totals * 2 > np.diff(offsets)[:, None]
     return np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
 
 
@@ -315,8 +322,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates: that of the smallest id, NULL last.
+def one_of_each_group(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates,
+) -> DataFrame:
+    """One row of ``docs`` for each group that ``find`` gives: that of the smallest id, NULL last.
 
     Among rows of that id the choice is by a hash of the row; of rows that are equal in all columns one stays.
     """
@@ -324,7 +336,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.withColumn("_near_row", F.xxhash64(others, F.col(f"`{text_col}`")))
     counted = keyed.groupBy(F.col(f"`{id_col}`").alias("id"), F.col("_near_row").alias("row")).agg(F.count(F.lit(1)).alias("n"))
     texts = keyed.select(F.col("_near_row").alias("row"), F.col(f"`{text_col}`").alias("text"))
-    groups = near_duplicates(texts, "row", "text", most).select("row", "component_id").distinct()
+    groups = find(texts, "row", "text").select("row", "component_id").distinct()
     members = groups.join(stage(counted, "distinct-rows"), "row")
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row", "n"))
     kept = members.groupBy("component_id").agg(first.alias("first")).select(

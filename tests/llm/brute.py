@@ -139,3 +139,26 @@ def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
 
 def crc(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
+
+
+def five_words(text: str | None) -> frozenset:
+    w = [x.lower() for x in words(text)]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def similar_groups(docs: list[tuple[int, str | None]], least: float = 0.8) -> dict[int, int]:
+    """Smallest id that links lead to; texts without a word are linked among each other."""
+    sets = {i: five_words(t) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(sets, 2):
+        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if both >= least * either - 1e-9:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}

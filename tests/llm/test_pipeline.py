@@ -51,7 +51,7 @@ def test_stages(spark, tmp_path):
     want = collections.Counter(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))
     assert collections.Counter(map(tuple, language)) == want
     kept = list(want)
-    groups = brute.groups({i: brute.simhash(r[1]) for i, r in enumerate(kept)})
+    groups = brute.similar_groups([(i, r[1]) for i, r in enumerate(kept)])
     assert len(dedup) == len(set(groups.values())) < len(kept)
     assert len({groups[kept.index(tuple(r))] for r in dedup}) == len(dedup)
     copied = {k[0] for k in brute.copies([(i, r.text) for i, r in enumerate(dedup)], items)}
