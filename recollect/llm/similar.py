@@ -241,13 +241,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.join(named.hint("merge"), "id").select("key", "text").dropDuplicates(["key"])
     sets = stage(texts.mapInArrow(_shingle_sets, "key long, grams array<long>"), "shingle-sets")
 
-    # One pair for each text first; then only pairs that would connect what is still apart.
+    # One pair for each text first; then only pairs whose ends are not linked with the same text.
     once = stage(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, similarity), "similar-pairs")
-    roots = stage(connected_components(once), "first-roots")
-    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    one, two = (once.select(F.col("b").alias(c), F.col("a").alias(f"{c}_head")) for c in "ab")
     apart = pairs.join(one.hint("merge"), "a", "left").join(two.hint("merge"), "b", "left")
-    apart = apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    more = stage(_verified(apart, sets, similarity), "more-similar-pairs")
+    apart = apart.filter(F.coalesce("a_head", "a") != F.coalesce("b_head", "b")).select("a", "b")
+    more = _verified(apart, sets, similarity)
     roots = connected_components(once.unionByName(more)).withColumnRenamed("node", "key")
 
     of_key = marked.groupBy("key").agg(F.min("id").alias("first_id")).join(roots.hint("merge"), "key", "left")
