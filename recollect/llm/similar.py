@@ -9,9 +9,13 @@ Candidates come in two ways and are then verified exactly:
    1 - (1 - s**ROWS)**BANDS, which is 0.99993 at 0.8. Two bits of each minimum travel along as a sketch, and pairs
    whose sketches are more than five standard deviations away from 0.8 are not looked at.
 
-Within a key the first text is a leader, and so is every text like none of the leaders before it; leaders
+Within a key the most central text is a leader, and so is every text like none of the leaders before it; leaders
 meet all texts of the key, so that a group of copies costs a pair for each text and not for each two.
 Keys of very many texts are cut into parts, whose leaders meet afterwards.
+
+Leaders alone are not enough: copies can each be 0.8 like a text that is no leader, and not like the leader. So texts of
+a key that have not met each other, and are in different components once the pairs of leaders are verified, all
+meet in blocks, where they are verified at once (``_links_left``).
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ ROWS = 5
 BANDS = 24
 MOST_UNLIKE = 38  # minima of ROWS * BANDS whose two bits may differ; at 0.8 these are 18, with a deviation of 3.9
 PART = 2048  # texts of one key compared in one group
+GRAMS = 1 << 20  # shingles of one part where texts meet with their shingles
+CENTRES = 64  # texts of a group whose distances tell which texts are central
 MULTIPLIER = 0x9E3779B97F4A7C15
 FACTORS = np.random.default_rng(20).integers(0, 1 << 31, ROWS * BANDS, np.uint32) * np.uint32(2) + np.uint32(1)
 SKETCH = [f"s{i}" for i in range(4)]
@@ -117,9 +123,12 @@ def _unlike(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _compared(key: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, leaders) of the texts of one group."""
-    open_, at, left, right, leaders = np.ones(len(key), bool), 0, [], [], []
-    while at < len(key):
+    """(a, b, leaders) of the texts of one group; leaders are taken in order of how near they are to the others."""
+    open_, left, right, leaders = np.ones(len(key), bool), [], [], []
+    far = np.zeros(len(key), np.uint64)
+    for other in sketch[:: -(-len(key) // CENTRES)]:
+        far += _unlike(other, sketch)
+    for at in np.argsort(far, kind="stable"):
         if open_[at]:
             like = _unlike(sketch[at], sketch) <= MOST_UNLIKE
             like[at] = False
@@ -127,12 +136,11 @@ def _compared(key: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarr
             left.append(np.full(len(right[-1]), key[at]))
             leaders.append(key[at])
             open_ &= ~like
-        at += 1
     return np.concatenate(left), np.concatenate(right), np.array(leaders, np.int64)
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of groups that lie together in order; for parts of a divided key also its leaders, as a, with the key."""
+    """Pairs (a, b) of groups that lie together in order; as a, with the key, leaders of divided keys and texts that have not met."""
     rest = None
     for batch in batches:
         rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -157,6 +165,8 @@ def _settled(rows: pd.DataFrame) -> pd.DataFrame:
     alone = (size == 1) & divided[first] if len(rows) else none.astype(bool)
     heads.append(key[first[alone]])
     of.append(bucket[first[alone]])
+    # Texts of a divided key have not met those of other parts.
+    unmet, unmet_of = [key[divided]], [bucket[divided]]
     two = first[size == 2]
     two = two[~divided[two]]
     like = _unlike(sketch[two], sketch[two + 1]) <= MOST_UNLIKE
@@ -170,19 +180,26 @@ def _settled(rows: pd.DataFrame) -> pd.DataFrame:
             if divided[f]:
                 heads.append(leaders)
                 of.append(np.full(len(leaders), bucket[f]))
-    a, b, h, k = (np.concatenate(x) for x in (left, right, heads, of))
-    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bucket": 0, "pair": True}).drop_duplicates(["a", "b"])
-    return pd.concat([pairs, pd.DataFrame({"a": h, "b": h, "bucket": k, "pair": False})])
+            elif n - len(leaders) > 1:
+                unmet.append(np.setdiff1d(key[f : f + n], leaders))
+                unmet_of.append(np.full(len(unmet[-1]), bucket[f]))
+    a, b, h, k, u, v = (np.concatenate(x) for x in (left, right, heads, of, unmet, unmet_of))
+    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bucket": 0, "kind": "pair"}).drop_duplicates(["a", "b"])
+    single = [pd.DataFrame({"a": x, "b": x, "bucket": y, "kind": kind}) for x, y, kind in ((h, k, "leader"), (u, v, "unmet"))]
+    return pd.concat([pairs, *single])
 
 
 def _meet(rows: DataFrame) -> DataFrame:
     """Compare rows (bucket, part, divided, key, sketch) by bucket and part."""
     near = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key")
-    return near.mapInPandas(_groups, "a long, b long, bucket long, pair boolean").distinct()
+    return near.mapInPandas(_groups, "a long, b long, bucket long, kind string").distinct()
+
 
+def _band_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of texts that share a band key and have similar sketches, those with leaders.
 
-def _band_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of texts that share a band key and have similar sketches, enough of them to connect all."""
+    And (bucket, key): texts of each band key that have not met all others of it.
+    """
     keyed = classes.select("key", *SKETCH, F.explode("bands").alias("bucket"))
     full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART)
     full = stage(full.select("bucket", F.ceil(F.col("n") / PART).alias("parts")), "full-bands")
@@ -190,14 +207,15 @@ def _band_pairs(classes: DataFrame) -> DataFrame:
     part = F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).cast("string")
     met = stage(_meet(dealt.withColumn("part", part).drop("parts")), "band-pairs")
     # Leaders of divided keys: each two of their parts lie together once. Where the texts are copies, that is one part.
-    heads = met.filter("not pair").select("bucket", F.col("a").alias("key"))
+    heads = met.filter("kind = 'leader'").select("bucket", F.col("a").alias("key"))
     sizes = heads.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
     heads = heads.join(broadcast_if_small(sizes), "bucket").join(classes.select("key", *SKETCH), "key")
     own = F.pmod(F.xxhash64("key"), F.col("parts"))
     heads = heads.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     grid = heads.withColumn("part", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")))
     again = _meet(grid.withColumn("divided", F.lit(False)).drop("own", "other", "parts"))
-    return met.unionByName(again).filter("pair").select("a", "b")
+    pairs = met.unionByName(again).filter("kind = 'pair'").select("a", "b")
+    return pairs, met.filter("kind = 'unmet'").select("bucket", F.col("a").alias("key"))
 
 
 def _simhash_pairs(classes: DataFrame) -> DataFrame:
@@ -219,6 +237,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return near.filter(both >= similarity * either - 1e-9).select("a", "b")
 
 
+def _linked(rows: pd.DataFrame, similarity: float) -> tuple[list[int], list[int]]:
+    """Roots (a, b) of texts of one block that are so similar, as few as connect the components that are met.
+
+    Where two parts lie together only pairs across them are looked at: each part is a block of its own, too.
+    """
+    sketch = np.ascontiguousarray(rows[SKETCH].to_numpy()).view(np.uint64)
+    root, part = rows["root"].to_numpy(), rows["own"].to_numpy()
+    size = rows["grams"].map(len).to_numpy()
+    start = np.cumsum(size) - size
+    _, place = np.unique(np.concatenate(rows["grams"].to_numpy()), return_inverse=True)
+    _, group = np.unique(root, return_inverse=True)
+    seen, across = np.zeros(len(place), bool), part.min() != part.max()
+    a, b = [], []
+    for i in range(len(rows) - 1):
+        near = group[i + 1 :] != group[i]
+        if across:
+            near &= part[i + 1 :] != part[i]
+        others = np.flatnonzero(near) + i + 1
+        others = others[(_unlike(sketch[i], sketch[others]) <= MOST_UNLIKE) & (size[others] > 0)]
+        if not len(others) or not size[i]:
+            continue
+        own = place[start[i] : start[i] + size[i]]
+        seen[own] = True
+        both = np.array([seen[place[start[j] : start[j] + size[j]]].sum() for j in others])
+        seen[own] = False
+        for j in others[both >= similarity * (size[i] + size[others] - both) - 1e-9]:
+            if group[i] != group[j]:
+                a.append(root[i])
+                b.append(root[j])
+                group[group == group[j]] = group[i]
+    return a, b
+
+
+def _links_left(unmet: DataFrame, roots: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): roots that texts of one band key link, which have not met and are in different components so far."""
+    named = unmet.join(roots.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = named.join(sets.select("key", F.size("grams").alias("n")).hint("merge"), "key")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / GRAMS)).alias("parts")
+    several = named.groupBy("bucket").agg(parts, F.min("root").alias("low"), F.max("root").alias("high"))
+    several = stage(several.filter("low <> high").select("bucket", "parts"), "open-bands")
+    rows = named.join(broadcast_if_small(several), "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    rows = rows.select("bucket", "low", "high", "own", "key", "root").join(sketches.hint("merge"), "key").join(sets.hint("merge"), "key")
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        a, b = _linked(block.sort_values("key"), similarity)
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return rows.groupBy("bucket", "low", "high").applyInPandas(links, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id_col, component_id): one row for each row of ``docs``.
 
@@ -231,11 +301,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = "id long, key long, fp long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
     marked = stage(rows.mapInArrow(_signed, kinds), "signatures")
     classes = stage(marked.dropDuplicates(["key"]), "texts")
-    pairs = _simhash_pairs(classes).unionByName(_band_pairs(classes))
+    banded, unmet = _band_pairs(classes)
+    pairs = _simhash_pairs(classes).unionByName(banded)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stage(pairs, "candidate-pairs")
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(unmet.select("key")).distinct()
     named = stage(classes.select("key", "id").join(asked.hint("merge"), "key"), "candidates")
     # By sorting at every size, as in simhash.one_of_each_group.
     texts = rows.join(named.hint("merge"), "id").select("key", "text").dropDuplicates(["key"])
@@ -247,7 +318,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = pairs.join(one.hint("merge"), "a", "left").join(two.hint("merge"), "b", "left")
     apart = apart.filter(F.coalesce("a_head", "a") != F.coalesce("b_head", "b")).select("a", "b")
     more = _verified(apart, sets, similarity)
-    roots = connected_components(once.unionByName(more)).withColumnRenamed("node", "key")
+    roots = stage(connected_components(once.unionByName(more)).withColumnRenamed("node", "key"), "roots")
+    # Texts that have not met link components as a whole.
+    links = _links_left(unmet, roots, classes.select("key", *SKETCH), sets, similarity)
+    joined = stage(connected_components(links).select(F.col("node").alias("at"), F.col("root").alias("to")), "joined-roots")
+    alone = joined.join(roots.select(F.col("key").alias("at")).hint("merge"), "at", "left_anti")
+    moved = roots.join(joined.hint("merge"), F.col("root") == F.col("at"), "left")
+    roots = moved.select("key", F.coalesce("to", "root").alias("root")).unionByName(alone.select(F.col("at").alias("key"), F.col("to").alias("root")))
 
     of_key = marked.groupBy("key").agg(F.min("id").alias("first_id")).join(roots.hint("merge"), "key", "left")
     of_key = stage(of_key.withColumn("root", F.coalesce("root", "key")), "text-roots")

@@ -83,3 +83,25 @@ def test_leaders_meet_every_text_of_their_key():
     a, b, leaders = similar._compared(np.arange(40), sketch)
     assert set(zip(a, b)) == {(0, i) for i in range(10, 30)}
     assert sorted(leaders) == [*range(10), *range(30, 40)]
+
+
+@pytest.mark.parametrize("part, centres", [(2048, 64), (2048, 1), (8, 64)])
+def test_copies_like_their_original_but_not_like_each_other(spark, monkeypatch, part, centres):
+    """Two originals of 250 words; each copy has four words replaced, far from each other."""
+    monkeypatch.setattr(similar, "PART", part)
+    monkeypatch.setattr(similar, "CENTRES", centres, raising=False)
+    rng, texts = random.Random(8), []
+    for name in "uv":
+        original = [f"{name}{rng.randrange(10**6)}" for _ in range(250)]
+        for i in range(40):
+            copy = list(original)
+            for k in range(4 if i else 0):
+                copy[60 * k + rng.randrange(10, 50)] = f"x{i}y{k}{name}"
+            texts.append(" ".join(copy))
+    sets = [brute.five_words(t) for t in texts[:40]]
+    alike = [len(a & b) / len(a | b) for a in sets for b in sets if a is not b]
+    assert all(len(sets[0] & b) >= 0.8 * len(sets[0] | b) for b in sets) and sum(x < 0.8 for x in alike) > 0.9 * len(alike)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
+    assert got == brute.similar_groups(list(enumerate(texts)))
+    assert set(got.values()) == {0, 40}
