@@ -11,14 +11,13 @@ from recollect.llm.common import table
 from recollect.sources.tables import stage
 
 SHARDS = 8
-LEAST_SCORE = 0.2  # below it a text is like none of the languages
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the given ones name; those without letters go."""
+    """Documents in a language that the given ones name; those without letters go, and those like none of the languages."""
     model = language.train(docs, F.lit(True))
-    marked = language.with_language(docs, model)
-    sure = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    marked = language.with_language(docs, model, familiar_col="_familiar")
+    sure = (F.col("lang_pred") != language.UNDETERMINED) & F.col("_familiar")
     return marked.filter(sure).select(*docs.columns)
 
 

@@ -5,10 +5,15 @@ occur in both, over the geometric mean of the numbers that occur in either. Land
 the training texts (Nyström), and one-versus-rest ridge regression on the kernels with them
 gives a value for each language. Texts are scored in batches: presence of n-grams times
 landmarks, times coefficients.
+
+The values only tell languages apart: a text in none of them can have a value as high as any. What falls for it is
+the share of its n-grams that the kernel knows. How low that may be is taken from labelled texts that were held
+out when the known n-grams were chosen, for each language and size of text (``limits_of``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +29,13 @@ GRAMS = 8192  # n-grams that the kernel knows: those in most of the sampled text
 RIDGE = 1e-3
 BATCH = 256
 UNDETERMINED = "und"
+FOLDS = 5  # each labelled text is held out once
+STRAYS = 0.001  # share of the held-out texts of a language and size that may lie under the limit, before SLACK
+SLACK = 0.02  # and the root of 1 / n for texts of n n-grams, as the share of known ones varies with few
+FEW = 20  # held-out texts that a limit stands on, if the language has as many
+WITH_DIGIT = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")  # numbers and keys, which are in no language
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+SIZES = 20  # limits for texts of 2**i n-grams or more
 CODES = (1 << 8) + (1 << 16) + (1 << 18)  # one byte, two bytes, three bytes hashed
 
 
@@ -46,6 +58,7 @@ class Model:
     place: np.ndarray = field(default_factory=lambda: np.full(CODES, -1, np.int16))  # column of each code
     landmarks: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))  # grams x landmarks
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # landmarks x languages
+    limits: np.ndarray = field(default_factory=lambda: np.zeros((0, SIZES)))  # least share of known n-grams, languages x sizes
 
     def kernels(self, codes: list[np.ndarray]) -> np.ndarray:
         """Kernel of each text with each landmark."""
@@ -56,22 +69,60 @@ class Model:
         matrix /= np.sqrt(np.maximum(matrix.sum(1, keepdims=True), 1))
         return matrix @ self.landmarks
 
-    def values(self, texts: list[bytes]) -> np.ndarray:
-        seen = np.zeros(CODES, bool)
-        return self.kernels([present(t, seen) for t in texts]) @ self.coefficients
+    def values(self, codes: list[np.ndarray]) -> np.ndarray:
+        return self.kernels(codes) @ self.coefficients
 
+    def familiar(self, codes: list[np.ndarray], languages: np.ndarray) -> np.ndarray:
+        """Whether the texts have as many known n-grams as texts of these languages (numbers) have."""
+        share = np.array([(self.place[c] >= 0).mean() for c in codes])
+        return share >= self.limits[languages, _size_class(codes)]
 
-def learnt(codes: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, grams: int = GRAMS) -> Model:
-    """Ridge regression on kernels with landmarks taken in turn from the languages."""
-    languages = sorted(set(labels))
+
+def _size_class(codes: list[np.ndarray]) -> np.ndarray:
+    return np.minimum(np.log2([max(len(c), 1) for c in codes]).astype(int), SIZES - 1)
+
+
+def _known(codes: list[np.ndarray], grams: int) -> np.ndarray:
+    """The n-grams that occur in most texts, in order."""
     frequency = np.zeros(CODES, np.int64)
     for c in codes:
         frequency[c] += 1
     known = np.sort(np.argsort(-frequency, kind="stable")[:grams])
-    known = known[frequency[known] > 0]
+    return known[frequency[known] > 0]
+
+
+def limits_of(codes: list[np.ndarray], labels: list[str], grams: int = GRAMS) -> np.ndarray:
+    """Least share of known n-grams by language and size; 0 if there are too few texts to hold any out.
+
+    A limit stands on the held-out texts of at least half the size, or the FEW largest.
+    """
+    languages = sorted(set(labels))
+    limits = np.zeros((len(languages), SIZES))
+    if len(codes) < FOLDS:
+        return limits
+    share = np.zeros(len(codes))
+    for fold in range(FOLDS):
+        known = np.zeros(CODES, bool)
+        known[_known([c for i, c in enumerate(codes) if i % FOLDS != fold], grams)] = True
+        for i in range(fold, len(codes), FOLDS):
+            share[i] = known[codes[i]].mean()
+    size, label = np.array([len(c) for c in codes]), np.array(labels)
+    for k, name in enumerate(languages):
+        own = np.flatnonzero(label == name)
+        own = own[np.argsort(-size[own], kind="stable")]
+        for i in range(SIZES):
+            least = max(FEW, int((size[own] >= 2**i / 2).sum()))
+            limits[k, i] = max(np.quantile(share[own[:least]], STRAYS) - SLACK - 2 ** (-i / 2), 0)
+    return limits
+
+
+def learnt(codes: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, grams: int = GRAMS) -> Model:
+    """Ridge regression on kernels with landmarks taken in turn from the languages."""
+    languages = sorted(set(labels))
+    known = _known(codes, grams)
     place = np.full(CODES, -1, np.int16)
     place[known] = np.arange(len(known))
-    model = Model(languages, place)
+    model = Model(languages, place, limits=limits_of(codes, labels, grams))
     y = np.array([languages.index(x) for x in labels])
     turn = np.zeros(len(y), np.int64)
     for k in range(len(languages)):
@@ -121,31 +172,45 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, lang_col: str =
     return learnt([c.values.to_numpy() for c in got.column("codes")], labels)
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", familiar_col: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1, higher: surer), from the whole text and nothing else.
 
     Texts that are NULL or have no letter are undetermined ("und", score 0), and so is every text where
     the model knows no language. All other columns and rows stay as they are; columns of these two names are
-    replaced.
+    replaced. ``familiar_col`` adds a column that is true where the text has as many known n-grams as texts of
+    that language have (as a whole, or without words that hold digits), which one in a language that the model
+    does not know has not.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", *([familiar_col] if familiar_col else []))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CODES, bool)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
             letters = batch.column(batch.schema.get_field_index("_has_letter")).to_pylist()
             langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
+            familiar = np.zeros(batch.num_rows, bool)
             rows = [i for i, ok in enumerate(letters) if ok and model.languages]
             for a in range(0, len(rows), BATCH):
                 part = rows[a : a + BATCH]
-                values = model.values([texts[i].as_py() for i in part])
+                codes = [present(texts[i].as_py(), seen) for i in part]
+                values = model.values(codes)
                 best = values.argmax(1)
+                if familiar_col:
+                    familiar[part] = model.familiar(codes, best)
+                    for i, k in zip(part, best):
+                        rest = b"" if familiar[i] else WITH_DIGIT.sub(b" ", texts[i].as_py())
+                        if LETTER.search(rest):
+                            familiar[i] = model.familiar([present(rest, seen)], [k])[0]
                 scores[part] = np.clip((values[np.arange(len(part)), best] + 1) / 2, 0, 1)
                 for i, k in zip(part, best):
                     langs[i] = model.languages[k]
             kept = batch.drop_columns(["_has_letter"])
-            yield kept.append_column("lang_pred", pa.array(langs)).append_column("score", pa.array(scores, pa.float64()))
+            kept = kept.append_column("lang_pred", pa.array(langs)).append_column("score", pa.array(scores, pa.float64()))
+            yield kept.append_column(familiar_col, pa.array(familiar)) if familiar_col else kept
 
     fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if familiar_col:
+        fields.append(T.StructField(familiar_col, T.BooleanType()))
     marked = docs.withColumn("_has_letter", F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(score, T.StructType(fields))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from recollect.llm import registry
 from recollect.sources.tables import stage
@@ -69,6 +71,29 @@ def test_stages(spark, tmp_path):
     assert max(counts.values()) - min(counts[s] for s in range(8)) <= 1
 
 
+UNKNOWN = [
+    "A magyar nyelv az uráli nyelvcsalád tagja, a finnugor nyelvek közé tartozó ugor nyelvek egyike. Sokan beszélik.",
+    "Türkçe, Güneydoğu Avrupa ve Batı Asya'da konuşulan, Türk dilleri dil ailesine ait sondan eklemeli bir dildir.",
+    "Język polski należy do grupy języków zachodniosłowiańskich. Posługuje się nim wiele milionów ludzi na świecie.",
+    "Русский язык является одним из восточнославянских языков, национальный язык русского народа.",
+    "中文是世界上使用人数最多的语言之一，主要在中国大陆、台湾、新加坡等地使用。",
+    "日本語は、主に日本国内や日本人同士の間で使われている言語である。",
+]
+
+
+def test_texts_in_no_language_of_the_labels_go(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
+    key = 'token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add" '
+    keyed = given.filter("length(text) > 300").orderBy("doc_id").limit(5).select(
+        F.col("doc_id") + 2_000_000, F.concat(F.lit(key), F.substring("text", 1, 60)), F.lit(None), "source", F.lit(0)
+    )
+    foreign = spark.createDataFrame([(1_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(UNKNOWN)], COLUMNS)
+    docs = stage(given.union(keyed).union(foreign), "test-foreign")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
+    own = {r.doc_id for r in docs.filter(r"text rlike '\\p{L}'").collect()} - {1_000_000 + i for i in range(len(UNKNOWN))}
+    assert kept == own
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
