@@ -279,7 +279,8 @@ def rt6(spark, sf):
 
 def rt7(spark, sf):
     centroids, cells = rt.fit_cells(A.index(spark, sf).vectors, 16)
-    found = rt.vector_search_ann(A.query_vecs(spark, sf), centroids, cells, 10, 4)
+    nprobe = rt.probes_for(A.query_vecs(spark, sf), centroids, cells, 10)
+    found = rt.vector_search_ann(A.query_vecs(spark, sf), centroids, cells, 10, nprobe)
     return whole(found.select(*HIT), "rank")
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks import spark_queries
 from recollect.functions import text as tx
 from recollect.operators import ranking as rk, retrieval as rt, signals as sg
 
@@ -139,6 +140,24 @@ def test_all_cells_equal_the_exact_search_and_fewer_lose_little(spark, monkeypat
     assert hits(rt.vector_search_ann(asked, centroids, cells, 10, 8)) == exact
 
 
+def test_registered_approximate_search_finds_nine_of_ten(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = [{(r["query_id"], r["image_id"]) for r in q(spark, sf).collect()} for q in (spark_queries.rt6, spark_queries.rt7)]
+    assert len(pairs[0] & pairs[1]) >= 0.9 * len(pairs[0])
+
+
+def test_measured_recall_is_that_of_the_search(spark):
+    raw = vectors(spark, 200, seed=2)
+    units = sg.prepare_vectors(raw, 8)
+    asked = raw.filter("image_id < 30").select(F.col("image_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = set(hits(rt.vector_search(asked, units, 10)))
+    centroids, cells = rt.fit_cells(units, 8)
+    recall = rt.measured_recall(asked, centroids, cells, 10)
+    for nprobe in (1, 3, 8):
+        got = set(hits(rt.vector_search_ann(asked, centroids, cells, 10, nprobe)))
+        assert len(got & exact) / len(exact) == pytest.approx(recall[nprobe - 1])
+
+
 def test_unknown_metadata_passes_no_filter_and_scores_null(spark, index):
     pairs = spark.createDataFrame([(1, i) for i in (1, 3, 8)], "query_id long, image_id long")
     asked = spark.createDataFrame([(1, "source", "phone"), (1, "lang", "en")], "query_id long, field string, value string")
