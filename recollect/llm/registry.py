@@ -6,7 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import decontam, language, mixing, quality, sharding, simhash, substrings, suffixes, topk, warc
+from recollect.llm import (
+    codes,
+    decontam,
+    language,
+    mixing,
+    quality,
+    rules,
+    sharding,
+    simhash,
+    spelling,
+    substrings,
+    suffixes,
+    topk,
+    twins,
+    warc,
+)
 from recollect.llm.common import table
 from recollect.sources.tables import shared_dir
 
@@ -86,6 +101,24 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(table(spark, sf_dir, "documents"), 20).drop("spans")
 
 
+def op11_pivotal_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their forms; see ``spelling.group_spellings`` for NULLs, ties, repeated rows and empty tables."""
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op12_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; see ``rules.with_verdict`` for NULLs, ties, repeated rows and empty tables."""
+    judged = rules.with_verdict(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.drop("text")
+
+
+def op13_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector; see ``codes.encode_vectors`` for NULLs, ties, repeated rows and empty tables."""
+    coded, books = codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+    judged = codes.with_label_error(coded).withColumn("codebooks_sha256", codes.digest(books))
+    return judged.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,8 +132,15 @@ QUERIES = {
         op8_anchor_near_duplicates,
         op9_prefix_doubling,
         op10_repeated_windows,
+        op11_pivotal_spellings,
+        op12_rule_cascade,
+        op13_limb_codes,
     )
 }
 
-# Hashes, models and block-wise draws are beyond SQL; tests/llm holds these queries against brute force.
-ORACLE_SQL: dict[str, str] = {}
+# Models, fingerprints and block-wise draws are beyond SQL; tests/llm holds those queries against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op11_pivotal_spellings": twins.SPELLINGS,
+    "op12_rule_cascade": twins.RULES,
+    "op13_limb_codes": twins.CODES,
+}
