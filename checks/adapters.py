@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recollect.functions import text as tx
 from recollect.operators import conversation as cv
-from recollect.operators.ranking import QuerySet, hybrid_search, hybrid_signals, prepare
+from recollect.operators.ranking import QuerySet, hybrid_search, prepare
 from recollect.plans.index import Index, build_index
 from recollect.sources.archive import normalize, scan_archive
 from recollect.sources.tables import stage
@@ -162,12 +162,6 @@ def index(spark: SparkSession, sf: str) -> Index:
     return build_index(items(spark, sf), DIM)
 
 
-@lru_cache(maxsize=None)
-def scored(spark: SparkSession, sf: str):
-    """(signals, prepared) of the hybrid search of all user turns."""
-    return hybrid_signals(queries(spark, sf), index(spark, sf))
-
-
 @lru_cache(maxsize=None)
 def prepared(spark: SparkSession, sf: str):
     """What scoring needs of all user turns."""
@@ -177,7 +171,7 @@ def prepared(spark: SparkSession, sf: str):
 @lru_cache(maxsize=None)
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search of all user turns: the first ten of each."""
-    return stage(hybrid_search(queries(spark, sf), index(spark, sf)), "ranked")
+    return stage(hybrid_search(prepared(spark, sf), index(spark, sf)), "ranked")
 
 
 @lru_cache(maxsize=None)

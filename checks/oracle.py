@@ -140,13 +140,13 @@ PARTS["clue_all"] = (("qclue", "clue_hit"), """SELECT query_id, image_id,
     GROUP BY query_id, image_id""")
 
 
-def _hybrid(name: str, terms: str, pairs: str | None = None, cut: int | None = None) -> None:
-    """Candidates and signals; with ``pairs`` those are the candidates, with ``cut`` the first so many of each signal."""
+def _hybrid(name: str, terms: str, pairs: str | None = None) -> None:
+    """Candidates and signals; with ``pairs`` those are the candidates."""
     _weigh(name, terms)
     if pairs is None:
         need = (f"{name}_sum", "cosine", "meta_all", "clue_all")
         body = " UNION ".join(
-            f"SELECT query_id, image_id FROM ({_top(src, col, cut or 1_000_000_000)}) WHERE score > 0"
+            f"SELECT query_id, image_id FROM {src} WHERE round({col}, 6) > 0"
             for src, col in ((f"{name}_sum", "text"), (f"{name}_sum", "semantic"), ("cosine", "score"),
                              ("meta_all", "score"), ("clue_all", "score"))
         )
@@ -176,11 +176,10 @@ def _hybrid(name: str, terms: str, pairs: str | None = None, cut: int | None = N
         FROM (SELECT *, round({total}, 6) AS final FROM {name}_scored)) WHERE rank <= 10""")
 
 
-_hybrid("h", "qterm", cut=100)
 _hybrid("x", "qterm")
 _hybrid("u", "qterm2")
 _hybrid("r", "qterm2", "x_ranked")
-PARTS["text_top"] = (("h_sum",), _top("h_sum", "text", 10))
+PARTS["text_top"] = (("x_sum",), _top("x_sum", "text", 10))
 _weigh("t", "turn_terms")
 PARTS["turn_top"] = (("t_sum",), f"""SELECT split_part(query_id, ':', 1)::BIGINT AS conv_id,
         split_part(query_id, ':', 2)::BIGINT AS turn, image_id, rank FROM ({_top('t_sum', 'text', 10)})""")
@@ -192,10 +191,10 @@ PARTS["explained"] = (("x_ranked",), " UNION ALL ".join(
     f"""SELECT query_id, image_id, rank, '{s}' AS signal, {s} AS score, 1.0::DOUBLE AS weight,
         round(CASE WHEN final > 0 THEN {s} / final END, 4) AS share FROM x_ranked WHERE {s} IS NOT NULL"""
     for s in SIGNALS))
-PARTS["matched"] = (("x_ranked", "h_q", "bm"), """SELECT query_id, image_id, term, part, row_number() OVER (
+PARTS["matched"] = (("x_ranked", "x_q", "bm"), """SELECT query_id, image_id, term, part, row_number() OVER (
         PARTITION BY query_id, image_id ORDER BY part DESC, term) AS place
     FROM (SELECT r.query_id, r.image_id, term, round(bm * bm_idf, 6) AS part
-          FROM x_ranked r JOIN bm ON bm.image_id = r.image_id JOIN h_q USING (query_id, term))""")
+          FROM x_ranked r JOIN bm ON bm.image_id = r.image_id JOIN x_q USING (query_id, term))""")
 PARTS["sentences"] = ((), """SELECT image_id, sentence, row_number() OVER (PARTITION BY image_id ORDER BY o) AS sno FROM (
         SELECT doc_id AS image_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS o FROM (
             SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s)),
@@ -235,7 +234,7 @@ def tuned(grid) -> str:
             round(coalesce(sum(CASE WHEN image_id = query_id // 1000 THEN 1.0 / place END), 0) / (SELECT count(*) FROM asked), 6) AS mrr
         FROM (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY final DESC, image_id) AS place
               FROM (SELECT *, round({total}, 6) AS final
-                    FROM h_scored, (VALUES {_values(rows)}) AS g(setting, {names})))
+                    FROM x_scored, (VALUES {_values(rows)}) AS g(setting, {names})))
         GROUP BY setting"""
 
 
@@ -321,7 +320,7 @@ def statements(grid) -> dict[str, str]:
         WHERE abs(length(a.term) - length(b.term)) <= 1
           AND levenshtein({_fold('a.term')}, {_fold('b.term')}) <= 1""", "qterm", "terms")
     out["rt1_pruned"] = out["rt1_blocks"] = out["rt1_text_search"]
-    out["rt4_semantic_search"] = sql(f"SELECT {HIT} FROM ({_top('h_sum', 'semantic', 10)})", "h_sum")
+    out["rt4_semantic_search"] = sql(f"SELECT {HIT} FROM ({_top('x_sum', 'semantic', 10)})", "x_sum")
     out["rt4_pruned"] = out["rt4_semantic_search"]
     out["rt5_expand"] = sql("""SELECT query_id, term, tf::BIGINT AS tf, false AS added FROM qterm UNION ALL
         SELECT query_id, term, 1, true FROM (
@@ -352,7 +351,7 @@ def statements(grid) -> dict[str, str]:
     out["rt13_requery"] = sql(f"SELECT {SCORED} FROM u_ranked", "u_ranked")
     out["rt14_rank_delta"] = sql("""SELECT *, previous - rank AS moved FROM (SELECT conv_id, turn, image_id, rank,
         lag(rank) OVER (PARTITION BY conv_id, image_id ORDER BY turn) AS previous FROM turn_top)""", "turn_top")
-    out["rt15_tune_weights"] = sql(tuned(grid), "h_scored", "asked")
+    out["rt15_tune_weights"] = sql(tuned(grid), "x_scored", "asked")
 
     out["ex1_explain"] = sql("SELECT * REPLACE (rank::BIGINT AS rank) FROM explained", "explained")
     out["ex2_matched_terms"] = sql("SELECT * REPLACE (place::BIGINT AS place) FROM matched", "matched")
@@ -368,8 +367,8 @@ def statements(grid) -> dict[str, str]:
                 FROM qclue c JOIN clue_hit h USING (value) WHERE c.query_id = e.query_id AND h.image_id = e.image_id) END AS line
         FROM explained e WHERE score > 0""", "explained", "matched", "qfilter", "items", "qclue", "clue_hit")
     behind = {
-        "text": "SELECT query_id, image_id FROM h_sum",
-        "semantic": "SELECT query_id, image_id FROM h_sum",
+        "text": "SELECT query_id, image_id FROM x_sum",
+        "semantic": "SELECT query_id, image_id FROM x_sum",
         "visual": "SELECT query_id, image_id FROM cosine",
         "metadata": "SELECT query_id, image_id FROM meta_all WHERE score > 0",
         "clue": "SELECT query_id, image_id FROM clue_all",
@@ -383,7 +382,7 @@ def statements(grid) -> dict[str, str]:
         FROM ({made} '{name}') HAVING count(*) > 0"""
             for name, ground in behind.items()
         ),
-        "explained", "matched", "post", "h_sum", "cosine", "meta_all", "clue_all",
+        "explained", "matched", "post", "x_sum", "cosine", "meta_all", "clue_all",
     )
     out["ex4_grounding_audit"] = sql("""SELECT 'term' AS evidence, count(*) AS claims, 0::BIGINT AS ungrounded FROM matched
         UNION ALL SELECT signal, count(*), 0 FROM explained WHERE score > 0 GROUP BY signal""", "explained", "matched")
@@ -439,5 +438,5 @@ def statements(grid) -> dict[str, str]:
     ablation = [{s: 1.0} for s in SIGNALS] + [dict.fromkeys(SIGNALS, 1.0)]
     names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate((*SIGNALS, "all")))
     out["ev2_ablate"] = sql(
-        f"SELECT CASE setting {names} END AS signals, queries, mrr FROM ({tuned(ablation)})", "h_scored", "asked")
+        f"SELECT CASE setting {names} END AS signals, queries, mrr FROM ({tuned(ablation)})", "x_scored", "asked")
     return out

@@ -377,7 +377,7 @@ def _truth(spark, sf):
 
 
 def rt15(spark, sf):
-    tuned = rk.tune_weights(A.scored(spark, sf)[0], _truth(spark, sf), GRID)
+    tuned = rk.tune_weights(A.prepared(spark, sf), A.index(spark, sf), _truth(spark, sf), GRID)
     return whole(tuned, "setting")
 
 
@@ -598,7 +598,7 @@ def ev1(spark, sf):
 
 
 def ev2(spark, sf):
-    return ev.ablate(A.scored(spark, sf)[0], _truth(spark, sf))
+    return ev.ablate(A.prepared(spark, sf), A.index(spark, sf), _truth(spark, sf))
 
 
 QUERIES = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from recollect.operators.ranking import EQUAL_WEIGHTS, tune_weights
+from recollect.operators.together import Prepared, QuerySet
+from recollect.plans.index import Index
 from recollect.schemas import SIGNALS
 
 
@@ -24,10 +26,10 @@ def evaluate(results: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def ablate(scored: DataFrame, truth: DataFrame) -> DataFrame:
+def ablate(queries: QuerySet | Prepared, index: Index, truth: DataFrame) -> DataFrame:
     """(signals, queries, mrr): quality of each signal alone and of all together."""
     grid = [{s: 1.0} for s in SIGNALS] + [EQUAL_WEIGHTS]
     names = F.array(*[F.lit(n) for n in (*SIGNALS, "all")])
-    return tune_weights(scored, truth, grid).select(
+    return tune_weights(queries, index, truth, grid).select(
         F.element_at(names, F.col("setting") + 1).alias("signals"), "queries", "mrr"
     )

@@ -3,32 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from recollect.functions import running, vectors as vx
-from recollect.functions.bounds import broadcast_if_small
-from recollect.operators import retrieval as rt
+from recollect.functions import boards, running, vectors as vx
+from recollect.functions.bounds import broadcast_if_small, lookup
+from recollect.operators import retrieval as rt, shelves, together
+from recollect.operators.together import Prepared, QuerySet
 from recollect.plans.index import Index
 from recollect.schemas import SIGNALS
 from recollect.sources.tables import stage
 
-CANDIDATES = 100
 EQUAL_WEIGHTS = dict.fromkeys(SIGNALS, 1.0)
 
 
-@dataclass(frozen=True)
-class QuerySet:
-    """A batch of queries in long form. Any part but the terms may be missing."""
-
-    terms: DataFrame
-    vecs: DataFrame | None = None
-    filters: DataFrame | None = None
-    clues: DataFrame | None = None
-
-
 def query_set(queries: DataFrame) -> QuerySet:
     """Long form of the ``queries`` layout (schemas.QUERIES)."""
     return QuerySet(
@@ -41,53 +30,20 @@ def query_set(queries: DataFrame) -> QuerySet:
     )
 
 
-@dataclass(frozen=True)
-class Prepared:
-    """What scoring needs of a query set, worked out once."""
-
-    queries: QuerySet
-    weighed: DataFrame
-    clue_hits: DataFrame | None
-
-
 def prepare(queries: QuerySet, index: Index) -> Prepared:
     weighed = stage(rt.weigh_terms(queries.terms, index), "weighed")
     hits = None
     if queries.clues is not None:
         hits = stage(rt.clue_hits(queries.clues, index), "clue_hits")
-    return Prepared(queries, weighed, hits)
-
-
-def tops(prepared: Prepared, index: Index, n: int = CANDIDATES) -> DataFrame:
-    """(query_id, image_id, signal, score, rank): the top n of every signal, with a score above 0."""
-    queries = prepared.queries
-    lists = {
-        "text": rt.best_by_terms(prepared.weighed, index, rt.TEXT, n),
-        "semantic": rt.best_by_terms(prepared.weighed, index, rt.SEMANTIC, n),
-    }
-    if queries.vecs is not None:
-        lists["visual"] = rt.vector_search(queries.vecs, index.vectors, n)
-    if queries.filters is not None:
-        lists["metadata"] = rt.metadata_top(queries.filters, index.items, n)
-    if queries.clues is not None:
-        lists["clue"] = rt.clue_top(queries.clues, prepared.clue_hits, n)
-    return reduce(
-        DataFrame.unionByName,
-        [
-            found.filter("score > 0").select("query_id", "image_id", F.lit(name).alias("signal"), "score", "rank")
-            for name, found in lists.items()
-        ],
-    )
-
+    best = shelves.best_by_terms(weighed, index, rt.TEXT.weight, rt.TEXT.factor, 1, places=15)
+    best = best.groupBy("query_id").agg(F.max("score").alias("top"))
+    return Prepared(queries, weighed, hits, stage(best, "best_text"))
 
-def candidates(prepared: Prepared, index: Index, n: int = CANDIDATES) -> DataFrame:
-    """Distinct (query_id, image_id) within the top n of any signal, with a score above 0."""
-    return tops(prepared, index, n).select("query_id", "image_id").distinct()
 
-
-def score_pairs(pairs: DataFrame, prepared: Prepared, index: Index) -> DataFrame:
+def score_pairs(pairs: DataFrame, prepared: Prepared, index: Index, among_pairs: bool = False) -> DataFrame:
     """(query_id, image_id, text, semantic, visual, metadata, clue), one row per pair.
 
+    Text is divided by the greatest text score of all items for the query (of the given pairs if ``among_pairs``), cosines are cut to [0, 1], all is rounded.
     A signal that is not available for a pair is NULL: text and semantic when the item
     has no text, visual when item or query lacks a vector, metadata when no requested
     field is known, clue when the query has no clues.
@@ -118,7 +74,10 @@ def score_pairs(pairs: DataFrame, prepared: Prepared, index: Index) -> DataFrame
     if queries.clues is not None:
         clue = rt.clue_score(pairs, queries.clues, prepared.clue_hits)
         parts.append(clue.withColumnRenamed("score", "clue"))
-    return _comparable(_gathered(parts))
+    if not among_pairs:
+        return _comparable(_gathered(parts), prepared.best_text)
+    gathered = stage(_gathered(parts), "gathered")
+    return _comparable(gathered, gathered.groupBy("query_id").agg(F.max("text").alias("top")))
 
 
 def _gathered(parts: Sequence[DataFrame]) -> DataFrame:
@@ -133,14 +92,9 @@ def _gathered(parts: Sequence[DataFrame]) -> DataFrame:
     return every.groupBy("query_id", "image_id").agg(*[F.max(s).alias(s) for s in SIGNALS])
 
 
-def _comparable(scored: DataFrame) -> DataFrame:
-    """Text divided by its maximum per query, cosines cut to [0, 1], all rounded.
-
-    The window holds the candidates of one query, a few times the top n at most.
-    """
-    top = F.max("text").over(Window.partitionBy("query_id"))
-    scaled = scored.withColumn("_top", top).withColumn(
-        "text", F.when(F.col("_top") > 0, F.col("text") / F.col("_top")).otherwise(F.col("text"))
+def _comparable(scored: DataFrame, best_text: DataFrame) -> DataFrame:
+    scaled = lookup(scored, best_text, "query_id", how="left").withColumn(
+        "text", F.when(F.col("top") > 0, F.col("text") / F.col("top")).otherwise(F.col("text"))
     )
     for cosine in ("semantic", "visual"):
         held = F.least(F.greatest(F.col(cosine), F.lit(0.0)), F.lit(1.0))
@@ -165,77 +119,21 @@ def rank_scored(
     return rt.top_k(scored.withColumn("final", final_score(weights)), k, score="final")
 
 
-def hybrid_signals(
-    queries: QuerySet, index: Index, n: int = CANDIDATES
-) -> tuple[DataFrame, Prepared]:
-    """Scored candidates of a batch of queries, written once for all who rank or tune them."""
-    prepared = prepare(queries, index)
-    pairs = stage(candidates(prepared, index, n), "candidates")
-    return stage(score_pairs(pairs, prepared, index), "signals"), prepared
-
-
-def _open_queries(
-    found: DataFrame, scored: DataFrame, weights: Mapping[str, float], k: int, n: int
-) -> DataFrame:
-    """(query_id): queries of which an item outside the top n of all signals could be among the first k.
-
-    Such an item has at most the n-th score of each signal, and no more than 0 of a signal with fewer hits.
-    """
-    last = found.groupBy("query_id", "signal").agg(
-        F.max(F.when(F.col("rank") == n, F.col("score"))).alias("_last"), F.max("score").alias("_best")
-    )
-    share = F.when(F.col("signal") == "text", F.col("_last") / F.col("_best")).otherwise(F.least("_last", F.lit(1.0)))
-    weight = F.coalesce(*[F.when(F.col("signal") == s, F.lit(max(float(weights.get(s, 0.0)), 0.0))) for s in SIGNALS])
-    bound = last.groupBy("query_id").agg(F.sum(weight * F.coalesce(share, F.lit(0.0))).alias("_bound"))
-    kth = rank_scored(scored, weights, k).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("final").alias("_kth")
-    )
-    # A rounded score can stand for one a little higher.
-    close = (F.col("_n") < k) | (F.col("_kth") <= F.col("_bound") + 1e-5)
-    return bound.filter("_bound > 0").join(kth, "query_id").filter(close).select("query_id")
-
-
-def _restricted(prepared: Prepared, queries: DataFrame) -> Prepared:
-    """The same for some of the queries."""
-    ids = broadcast_if_small(queries)
-
-    def some(part: DataFrame | None) -> DataFrame | None:
-        return None if part is None else stage(part.join(ids, "query_id", "left_semi"), "open")
-
-    q = prepared.queries
-    kept = QuerySet(some(q.terms), some(q.vecs), some(q.filters), some(q.clues))
-    return Prepared(kept, some(prepared.weighed), prepared.clue_hits)
-
-
 def hybrid_search(
-    queries: QuerySet,
+    queries: QuerySet | Prepared,
     index: Index,
     weights: Mapping[str, float] = EQUAL_WEIGHTS,
     k: int = 10,
-    n: int = CANDIDATES,
 ) -> DataFrame:
-    """Ranked results from all signals together: the first k of the whole corpus.
+    """Ranked results from all signals together: the first k of the whole corpus, with every signal as evidence.
 
-    The first look is at the top ``n`` of every signal. Queries of which an item outside could still be
-    among the first k are looked at deeper, four times as deep each round.
+    Items are found shelf by shelf (``together.best_by_final``); the few that are found are scored once more, pair by
+    pair, with what is not available as NULL.
     """
-    prepared = prepare(queries, index)
-    items = index.items.count()
-    settled: list[DataFrame] = []
-    while True:
-        found = stage(tops(prepared, index, n), "tops")
-        pairs = stage(found.select("query_id", "image_id").distinct(), "candidates")
-        scored = stage(score_pairs(pairs, prepared, index), "signals")
-        if n >= items:
-            settled.append(scored)
-            break
-        left = stage(_open_queries(found, scored, weights, k, n), "open_queries")
-        if left.isEmpty():
-            settled.append(scored)
-            break
-        settled.append(scored.join(broadcast_if_small(left), "query_id", "left_anti"))
-        prepared, n = _restricted(prepared, left), 4 * n
-    return rank_scored(reduce(DataFrame.unionByName, settled), weights, k)
+    prepared = queries if isinstance(queries, Prepared) else prepare(queries, index)
+    found = rt.top_k(together.best_by_final(prepared, index, weights, k), k + boards.SPARE)
+    pairs = stage(found.select("query_id", "image_id"), "found")
+    return rank_scored(score_pairs(pairs, prepared, index), weights, k)
 
 
 def refine(
@@ -245,19 +143,19 @@ def refine(
     mode: str = "requery",
     weights: Mapping[str, float] = EQUAL_WEIGHTS,
     k: int = 10,
-    n: int = CANDIDATES,
 ) -> DataFrame:
     """Results of updated queries.
 
     ``requery`` searches the whole corpus. ``rerank`` scores only ``previous``, the pairs
-    (query_id, image_id) found before, given under the id of the updated query.
+    (query_id, image_id) found before, given under the id of the updated query; text is
+    divided by its greatest score among those.
     """
     if mode == "requery":
-        return hybrid_search(queries, index, weights, k, n)
+        return hybrid_search(queries, index, weights, k)
     if mode != "rerank" or previous is None:
         raise ValueError("mode is requery, or rerank with the previous pairs")
     pairs = stage(previous.select("query_id", "image_id").distinct(), "previous")
-    return rank_scored(score_pairs(pairs, prepare(queries, index), index), weights, k)
+    return rank_scored(score_pairs(pairs, prepare(queries, index), index, among_pairs=True), weights, k)
 
 
 def rank_delta(results: DataFrame) -> DataFrame:
@@ -277,47 +175,26 @@ def rank_delta(results: DataFrame) -> DataFrame:
 
 
 def tune_weights(
-    scored: DataFrame, truth: DataFrame, grid: Sequence[Mapping[str, float]]
+    queries: QuerySet | Prepared, index: Index, truth: DataFrame, grid: Sequence[Mapping[str, float]]
 ) -> DataFrame:
     """(setting, text, semantic, visual, metadata, clue, queries, mrr) for every weighting.
 
-    The target's place is 1 + the number of candidates that come before it, counted by
-    one aggregate. ``truth`` is (query_id, image_id); a target that is no candidate
-    counts 0.
+    ``truth`` is (query_id, image_id). The target's place is 1 + the number of items of the whole corpus that come before
+    it, counted shelf by shelf for all weightings at once. Items of which every signal is 0 have no
+    place; a target that is one counts 0.
     """
-    settings = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("setting"),
-                *[F.lit(float(w.get(s, 0.0))).alias(f"w_{s}") for s in SIGNALS],
-            )
-            for i, w in enumerate(grid)
-        ]
-    )
-    tried = scored.select("*", F.inline(settings))
-    total = final_score({s: F.col(f"w_{s}") for s in SIGNALS})
-    tried = tried.select(
-        "query_id", "image_id", "setting", F.round(total, rt.PLACES).alias("final")
-    )
-    target = truth.select("query_id", F.col("image_id").alias("target")).distinct()
-    # One row per query and setting with the target's own score, and then its rivals.
-    own = (
-        tried.join(target, F.expr("image_id = target") & (tried["query_id"] == target["query_id"]))
-        .select(tried["query_id"], "setting", "target", F.col("final").alias("own"))
-    )
-    ahead = (F.col("final") > F.col("own")) | (
-        (F.col("final") == F.col("own")) & (F.col("image_id") < F.col("target"))
-    )
-    places = (
-        tried.join(own, ["query_id", "setting"])
-        .groupBy("query_id", "setting", "target")
-        .agg((F.count_if(ahead) + 1).alias("place"))
-    )
-    total_queries = target.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    score = places.groupBy("setting").agg(F.sum(1 / F.col("place")).alias("_sum"))
+    prepared = queries if isinstance(queries, Prepared) else prepare(queries, index)
+    pairs = stage(truth.select("query_id", "image_id").distinct(), "targets")
+    scored = score_pairs(pairs, prepared, index)
+    own = F.array(*[F.round(final_score(w), rt.PLACES) for w in grid])
+    any_signal = F.greatest(*[F.coalesce(s, F.lit(0.0)) for s in SIGNALS]) > 0
+    goals = stage(scored.filter(any_signal).select("query_id", F.col("image_id").alias("target"), own.alias("own")), "goals")
+    ahead = together.places_of_targets(prepared, index, goals, grid)
+    score = ahead.groupBy("setting").agg(F.sum(1 / (F.col("ahead") + 1)).alias("_sum"))
+    total_queries = pairs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     rows = [(i, *[float(w.get(s, 0.0)) for s in SIGNALS]) for i, w in enumerate(grid)]
     columns = ", ".join(["setting int", *[f"{s} double" for s in SIGNALS]])
-    every = scored.sparkSession.createDataFrame(rows, columns)
+    every = pairs.sparkSession.createDataFrame(rows, columns)
     return every.join(score, "setting", "left").select(
         "setting",
         *SIGNALS,

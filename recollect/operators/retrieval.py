@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recollect.functions import text as tx, vectors as vx
+from recollect.functions import boards, text as tx, vectors as vx
 from recollect.functions.bounds import (
     broadcast_if_small,
     broadcast_limit,
@@ -22,8 +22,9 @@ from recollect.functions.bounds import (
     lookup,
     measure,
 )
+from recollect.operators import shelves
 from recollect.operators.signals import rare_weight, term_weight
-from recollect.plans.index import Index
+from recollect.plans.index import Index, known_fields, profile_of
 from recollect.sources.tables import stage
 
 PLACES = 6
@@ -35,6 +36,8 @@ SUM_ROWS = 500_000_000
 # Share of the floor that terms left for later may make up. Any value below 1 is exact; a low
 # one reads more postings and leaves fewer items.
 WEAK_SHARE = 0.4
+# Turn numbers of a segment that are searched together.
+TURN_PIECE = 256
 # Longest run of tokens that phrases are looked up by.
 RUN = 3
 
@@ -242,9 +245,16 @@ def sums_of_pairs(
 def text_search(
     query_terms: DataFrame, index: Index, k: int = 10, limit: int | None = None
 ) -> DataFrame:
-    """BM25 over the postings."""
-    weighed = stage(weigh_terms(query_terms, index, limit), "weighed")
-    return best_by_terms(weighed, index, TEXT, k, limit)
+    """BM25 over the postings of the asked terms."""
+    return search_by_terms(stage(weigh_terms(query_terms, index, limit), "weighed"), index, TEXT, k, limit)
+
+
+def search_by_terms(weighed: DataFrame, index: Index, signal: TermSignal, k: int, limit: int | None = None) -> DataFrame:
+    """Top k per query by a sum over shared terms, shelf by shelf. ``weighed`` is a written ``weigh_terms``.
+
+    Only postings of asked terms are read. The same result as ``best_by_terms``, which reads the postings as they lie by item.
+    """
+    return top_k(shelves.best_by_terms(weighed, index, signal.weight, signal.factor, k, limit), k)
 
 
 def context_search(
@@ -253,37 +263,44 @@ def context_search(
     """(conv_id, turn, image_id, score, rank): BM25 of each turn's whole context, top k.
 
     ``turns`` are the searching turns (conv_id, segment, turn), ``context`` is (conv_id, segment, term, since). A
-    term meets the postings once for its segment, not once for each later turn: sums over the terms of
-    one turn are added up along the segment. The postings stay where they lie; a segment and item hold
-    one sum for each turn that brought new terms.
+    term meets the postings once for its segment, at the first searching turn that has it; the turns of a segment are
+    neighbours on a board, and each adds what the one before it has. A segment of many turns is cut into pieces of
+    TURN_PIECE turn numbers; each piece begins with all terms said before.
     """
     segment = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("segment").cast("string"))
-    said = context.select(segment.alias("query_id"), "term", "since", F.lit(1).cast("long").alias("tf"))
-    said = stage(said, "said")
+    said = stage(context.select(segment.alias("query_id"), "term", "since", F.lit(1).cast("long").alias("tf")), "said")
     weighed = weigh_terms(said.select("query_id", "term", "tf"), index, limit)
-    asked = said.select("query_id", "term", "since").join(weighed.select("query_id", "term", "bm_idf"), ["query_id", "term"])
-    asked = stage(asked.select("query_id", "term", "since", F.col("bm_idf").alias("_factor")), "asked")
-    at = turns.groupBy(segment.alias("query_id"), "conv_id").agg(F.collect_set("turn").alias("_turns"))
-    at = stage(at, "searching_turns")
-
-    def best(block: DataFrame) -> DataFrame:
-        sums = _sums(block, index, TEXT.weight, "since")
-        by_item = sums.groupBy("query_id", "image_id").agg(F.collect_list(F.struct("since", "score")).alias("_parts"))
-        spread = lookup(by_item, at, "query_id", limit=limit).withColumn("turn", F.explode("_turns"))
-        held = F.filter("_parts", lambda p: p["since"] <= F.col("turn"))
-        score = F.aggregate(held, F.lit(0.0), lambda acc, p: acc + p["score"])
-        scored = spread.filter(F.size(held) > 0).select("conv_id", "turn", "image_id", score.alias("score"))
-        return top_k(scored, k, by=("conv_id", "turn"))
-
-    return in_blocks(asked, "query_id", best, limit)
+    asked = said.join(weighed.select("query_id", "term", "bm_idf"), ["query_id", "term"])
+
+    piece = F.floor(F.col("turn") / TURN_PIECE)
+    searching = turns.select(segment.alias("query_id"), piece.alias("piece"), "conv_id", "turn").distinct()
+    blocks = shelves.blocks_for(turns.count())
+    searching = searching.withColumn("qb", F.pmod(F.xxhash64("query_id", "piece"), F.lit(blocks)))
+    own = Window.partitionBy("qb").orderBy("query_id", "piece")
+    numbers = searching.withColumn("qn", F.row_number().over(own.orderBy("query_id", "piece", "turn")) - 1)
+    numbers = stage(numbers.withColumn("chain", F.dense_rank().over(own)), "numbers")
+
+    pieces = numbers.groupBy("query_id", "piece", "qb").agg(F.sort_array(F.collect_list(F.struct("turn", "qn"))).alias("_turns"))
+    later = F.filter("_turns", lambda t: t["turn"] >= F.col("since"))
+    none = F.lit(None).cast("double")
+    placed = asked.join(pieces, "query_id").select("qb", F.get(later, F.lit(0))["qn"].alias("qn"), "term", F.col("bm_idf").alias("f1"), none.alias("f2"))
+    chains = numbers.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("qn", F.col("chain").cast("double").alias("chain")))).alias("_q"))
+    chains = shelves.for_each_block(index.shelves.select("shelf"), numbers).join(broadcast_if_small(chains, limit), "qb")
+    rows = [
+        shelves.term_rows(placed.filter(F.col("qn").isNotNull()), index, limit),
+        shelves.shelf_rows(index, numbers),
+        chains.select(*shelves.row(boards.CHAIN, qn="_q.qn", f1="_q.chain")),
+    ]
+    found = shelves.score(rows, boards.best_by_sum(k, "v1", "f1"), boards.TOP)
+    named = shelves.named(found, numbers.select("qb", "qn", "conv_id", "turn"), limit)
+    return top_k(named.select("conv_id", "turn", "image_id", "score"), k, by=("conv_id", "turn"))
 
 
 def semantic_search(
     query_terms: DataFrame, index: Index, k: int = 10, limit: int | None = None
 ) -> DataFrame:
-    """Cosine of TF-IDF vectors."""
-    weighed = stage(weigh_terms(query_terms, index, limit), "weighed")
-    return best_by_terms(weighed, index, SEMANTIC, k, limit)
+    """Cosine of TF-IDF vectors, over the postings of the asked terms."""
+    return search_by_terms(stage(weigh_terms(query_terms, index, limit), "weighed"), index, SEMANTIC, k, limit)
 
 
 def phrase_match(phrases: DataFrame, index: Index, limit: int | None = None) -> DataFrame:
@@ -599,7 +616,7 @@ def matched_clues(
     return asked.join(hits, ["value", "image_id"]).select("query_id", "image_id", "slot", "value").distinct()
 
 
-def _sets(long: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def sets_of(long: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(query_id, set_id) and (set_id, *columns): queries that ask the same share one set."""
     entry = F.struct(*columns)
     keyed = long.groupBy("query_id").agg(F.sort_array(F.collect_set(entry)).alias("_set"))
@@ -608,6 +625,24 @@ def _sets(long: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame
     return keyed.select("query_id", "set_id"), members
 
 
+def profile_scores(members: DataFrame, profiles: DataFrame, limit: int | None = None) -> DataFrame:
+    """(set_id, profile, score) above 0, for filter sets (``sets_of``) and (profile, known)."""
+    fields = profiles.select("profile", F.explode("known").alias("field", "value"))
+    asked = members.select("set_id", F.inline("_set"))
+    matches = (
+        fields.join(broadcast_if_small(asked, limit), ["field", "value"])
+        .groupBy("set_id", "profile")
+        .agg(F.count(F.lit(1)).alias("_hits"))
+    )
+    wanted = F.transform("_set", lambda f: f["field"])
+    return (
+        matches.join(profiles, "profile")
+        .join(members, "set_id")
+        .withColumn("_known", F.size(F.filter(wanted, lambda f: F.map_contains_key("known", f))))
+        .select("set_id", "profile", (F.col("_hits") / F.col("_known")).alias("score"))
+    )
+
+
 def metadata_top(
     query_filters: DataFrame, records: DataFrame, n: int, limit: int | None = None
 ) -> DataFrame:
@@ -617,38 +652,16 @@ def metadata_top(
     get the same answer. So distinct filter sets are matched with distinct metadata,
     each standing for its n lowest ids, and only the answer is spread to the queries.
     """
-    to_set, members = _sets(query_filters, ["field", "value"])
+    to_set, members = sets_of(query_filters, ["field", "value"])
     members = stage(members, "filter_sets")
-    profile = F.to_json(F.struct("source", F.array_sort(F.map_entries("meta")).alias("meta")))
-    known = F.map_filter(
-        F.map_concat(
-            F.create_map(F.lit("source"), F.col("source")),
-            F.coalesce("meta", F.create_map().cast("map<string,string>")),
-        ),
-        lambda k, v: v.isNotNull(),
-    )
     ranked = Window.partitionBy("profile").orderBy("image_id")
     lowest = (
-        records.select("image_id", F.sha2(profile, 256).alias("profile"), known.alias("known"))
+        records.select("image_id", profile_of().alias("profile"), known_fields().alias("known"))
         .withColumn("_n", F.row_number().over(ranked))
         .filter(F.col("_n") <= n)
     )
     lowest = stage(lowest, "profiles")
-    profiles = lowest.filter("_n = 1").select("profile", "known")
-    fields = profiles.select("profile", F.explode("known").alias("field", "value"))
-    asked = members.select("set_id", F.inline("_set"))
-    matches = (
-        fields.join(broadcast_if_small(asked, limit), ["field", "value"])
-        .groupBy("set_id", "profile")
-        .agg(F.count(F.lit(1)).alias("_hits"))
-    )
-    wanted = F.transform("_set", lambda f: f["field"])
-    scored = (
-        matches.join(profiles, "profile")
-        .join(members, "set_id")
-        .withColumn("_known", F.size(F.filter(wanted, lambda f: F.map_contains_key("known", f))))
-        .select("set_id", "profile", (F.col("_hits") / F.col("_known")).alias("score"))
-    )
+    scored = profile_scores(members, lowest.filter("_n = 1").select("profile", "known"), limit)
     best = top_k(scored.join(lowest.select("profile", "image_id"), "profile"), n, by=("set_id",))
     return to_set.join(best.select("set_id", "image_id", "score", "rank"), "set_id").select(
         "query_id", "image_id", "score", "rank"
@@ -718,7 +731,7 @@ def clue_top(
 
     Queries with the same clues share one answer. ``hits`` is ``clue_hits``.
     """
-    to_set, members = _sets(query_clues, ["slot", "value"])
+    to_set, members = sets_of(query_clues, ["slot", "value"])
     asked = members.select("set_id", F.size("_set").alias("_n"), F.inline("_set"))
     scored = (
         hits.join(broadcast_if_small(asked, limit), "value")

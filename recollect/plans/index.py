@@ -5,29 +5,44 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recollect.functions.bounds import lookup
 from recollect.operators import signals
-from recollect.sources.tables import stage, stage_bucketed
+from recollect.sources.tables import stage, stage_bucketed, stage_parted
 
 BUCKET_BYTES = 64 * 1024 * 1024
 # Beyond so many, buckets grow instead: Spark takes no more than 100,000, and each is a file.
 MOST_BUCKETS = 4096
+# Items of one shelf, about; postings of one slot of terms, about; shelves whose postings of a slot are in one file.
+SHELF = 1024
+SLOT_POSTINGS, MOST_SLOTS = 4000, 4096
+SHELVES_A_FILE = 1000
 
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of the index. All but terms and corpus are bucketed by image_id and sorted within, so that
-    searches bring their pairs to the tables and shuffle nothing else.
+    """Tables of the index. The first are bucketed by image_id and sorted within, so that
+    pairs are brought to the tables and nothing else is shuffled.
 
     items     image_id, source, uri, file_info, ts, meta, text
     postings  image_id, term, tf, bm, ltf. ``bm`` is the BM25
               weight less idf, ``ltf`` the TF-IDF weight less idf. The idf comes with
               the query, so that the large table is never joined on a frequent term.
-    terms     term, df, bm_idf, idf, max_bm, max_ltf; the last two bound what a term can add
-    corpus    one row: n_docs, n_tokens, avg_dl
     docs      image_id, dl, n_terms, norm
     vectors   image_id, norm, unit
+    places    image_id, shelf, at, profile: where an item lies on the shelves
+
+    terms     term, df, bm_idf, idf, max_bm, max_ltf; the last two bound what a term can add
+    corpus    one row: n_docs, n_tokens, avg_dl
+
+    For searches items are put on shelves of about SHELF, those of a frequent metadata profile together. What a
+    search reads of a shelf are the postings of its own terms, by the slot of the term:
+
+    blocks    slot (a folder), shelf, term, at, bm, ltf, max_bm, max_ltf: postings of a term on a shelf as arrays
+    shelves   shelf, ids: the items of a shelf, ascending; ``at`` counts among them
+    facing    shelf, at, units: the vectors of a shelf, one after the other
+    sides     shelf, profile, at, known: the metadata profiles of a shelf; ``known`` is the map of fields
     """
 
     items: DataFrame
@@ -36,6 +51,12 @@ class Index:
     corpus: DataFrame
     docs: DataFrame
     vectors: DataFrame
+    places: DataFrame
+    blocks: DataFrame
+    shelves: DataFrame
+    facing: DataFrame
+    sides: DataFrame
+    slots: int
 
 
 def bucket_count(items: DataFrame) -> int:
@@ -45,6 +66,53 @@ def bucket_count(items: DataFrame) -> int:
     return min(max(math.ceil(size / BUCKET_BYTES), cores), MOST_BUCKETS)
 
 
+def slot_of(term: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
+
+
+def known_fields() -> Column:
+    """source and ``meta`` of an item as one map, without what is unknown."""
+    every = F.map_concat(F.create_map(F.lit("source"), F.col("source")), F.coalesce("meta", F.create_map().cast("map<string,string>")))
+    return F.map_filter(every, lambda k, v: v.isNotNull())
+
+
+def profile_of() -> Column:
+    """Equal for items of equal metadata."""
+    return F.sha2(F.to_json(F.struct("source", F.array_sort(F.map_entries("meta")).alias("meta"))), 256)
+
+
+def put_on_shelves(items: DataFrame) -> DataFrame:
+    """(image_id, shelf, at, profile): items of a profile that fills half a shelf are dealt to shelves of
+    their own, other profiles share shelves, each as a whole. Shelves are numbered by hashes; if two
+    have the same number they are one, which is wider but not wrong."""
+    marked = items.select("image_id", profile_of().alias("profile"))
+    counts = stage(marked.groupBy("profile").agg(F.count(F.lit(1)).alias("n")), "profiles")
+    few = F.col("n") < SHELF // 2
+    shared = max(math.ceil((counts.filter(few).agg(F.sum("n")).first()[0] or 0) / SHELF), 1)
+    own = counts.filter(~few).select("profile", F.ceil(F.col("n") / SHELF).alias("_shelves"))
+    dealt = lookup(marked, own, "profile", how="left")
+    shelf = F.when(F.col("_shelves").isNotNull(), F.xxhash64("profile", F.pmod(F.xxhash64("image_id"), F.col("_shelves"))))
+    shelf = shelf.otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("profile"), F.lit(shared))))
+    order = Window.partitionBy("shelf").orderBy("image_id")
+    return dealt.withColumn("shelf", shelf).select("image_id", "shelf", (F.row_number().over(order) - 1).alias("at"), "profile")
+
+
+def in_order(*columns: str) -> Column:
+    return F.sort_array(F.collect_list(F.struct("at", *columns))).alias("_list")
+
+
+def build_blocks(post: DataFrame, places: DataFrame, slots: int, parts: int) -> DataFrame:
+    """The postings of each term and shelf as one row. Those of a slot are cut by shelf into ``parts``, so that no
+    frequent term is one task's work."""
+    rows = post.select("image_id", "term", "bm", "ltf").join(places.select("image_id", "shelf", "at"), "image_id")
+    rows = rows.select(slot_of(F.col("term"), slots).alias("slot"), F.pmod("shelf", F.lit(parts)).alias("_part"), "shelf", "term", "at", "bm", "ltf")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, slots * parts // 16)
+    lists = rows.repartition(tasks, "slot", "_part").groupBy("slot", "_part", "shelf", "term").agg(in_order("bm", "ltf"))
+    return lists.select("slot", "shelf", "term", *[F.col(f"_list.{c}").alias(c) for c in ("at", "bm", "ltf")]).select(
+        "*", F.array_max("bm").alias("max_bm"), F.array_max("ltf").alias("max_ltf")
+    ).sortWithinPartitions("slot", "term", "shelf")
+
+
 def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index:
     """Build all tables from items. Texts are shuffled once, by image_id."""
     n = buckets or bucket_count(items)
@@ -72,12 +140,29 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
         (signals.term_weight(F.col("tf")) / F.col("norm")).alias("ltf"),
     )
     post = stage_bucketed(weighted, "weighted", "image_id", n, ["image_id", "term"])
+    kept = stage_bucketed(items.drop("embedding"), "items", "image_id", n, ["image_id"])
+    vectors = stage_bucketed(signals.prepare_vectors(items, dim), "vectors", "image_id", n, ["image_id"])
+    places = stage_bucketed(put_on_shelves(kept), "places", "image_id", n, ["image_id"])
+    shelves = places.groupBy("shelf").agg(F.sort_array(F.collect_list("image_id")).alias("ids"))
+    facing = vectors.select("image_id", "unit").join(places, "image_id").groupBy("shelf").agg(in_order("unit"))
+    facing = facing.select("shelf", F.col("_list.at").alias("at"), F.flatten("_list.unit").alias("units"))
+    sides = kept.select("image_id", known_fields().alias("known")).join(places, "image_id")
+    sides = sides.groupBy("shelf", "profile").agg(F.sort_array(F.collect_list("at")).alias("at"), F.any_value("known").alias("known"))
+    n_postings = stats.agg(F.sum("n_terms")).first()[0] or 0
+    slots = min(max(n_postings // SLOT_POSTINGS, 8), MOST_SLOTS)
+    parts = math.ceil(kept.count() / SHELF / SHELVES_A_FILE) or 1
     peaks = post.groupBy("term").agg(F.max("bm").alias("max_bm"), F.max("ltf").alias("max_ltf"))
     return Index(
-        items=stage_bucketed(items.drop("embedding"), "items", "image_id", n, ["image_id"]),
+        items=kept,
         postings=post,
         terms=stage(known.join(peaks, "term"), "terms"),
         corpus=corpus,
         docs=stage_bucketed(stats.join(norms, "image_id"), "docs", "image_id", n, ["image_id"]),
-        vectors=stage_bucketed(signals.prepare_vectors(items, dim), "vectors", "image_id", n, ["image_id"]),
+        vectors=vectors,
+        places=places,
+        blocks=stage_parted(build_blocks(post, places, slots, parts), "blocks", "slot"),
+        shelves=stage(shelves, "shelves"),
+        facing=stage(facing, "facing"),
+        sides=stage(sides, "sides"),
+        slots=slots,
     )

@@ -129,8 +129,8 @@ def test_actions_act_on_the_latest_retrieval(spark):
 
 
 def test_why_speaks_only_of_signals_that_scored(spark, index):
-    scored, prepared = rk.hybrid_signals(searches(spark), index)
-    ranked = rk.rank_scored(scored)
+    prepared = rk.prepare(searches(spark), index)
+    ranked = rk.hybrid_search(prepared, index)
     explained = ex.explain(ranked)
     matched = ex.matched_terms(prepared.weighed, index, ranked)
     lines = ex.why(explained, matched).collect()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,9 +184,8 @@ def test_hybrid_signals_and_zero_weight(spark, index):
     by = {(r["query_id"], r["image_id"]): r for r in found.collect()}
     assert by[(1, 2)]["rank"] == 1 and by[(1, 2)]["clue"] == 1.0 and by[(2, 3)]["rank"] == 1
     assert by[(2, 3)]["visual"] is None and by[(2, 3)]["clue"] == 1.0 and by[(2, 3)]["metadata"] is None
-    scored, _ = rk.hybrid_signals(queries(spark), index)
-    without = rk.rank_scored(scored.withColumn("visual", F.lit(None).cast("double")), k=8)
-    zero = rk.rank_scored(scored, {**rk.EQUAL_WEIGHTS, "visual": 0.0}, k=8)
+    without = rk.hybrid_search(replace(queries(spark), vecs=None), index, k=8)
+    zero = rk.hybrid_search(queries(spark), index, {**rk.EQUAL_WEIGHTS, "visual": 0.0}, k=8).filter("final > 0")
     assert {(r["query_id"], r["image_id"], r["rank"]) for r in without.collect()} == {
         (r["query_id"], r["image_id"], r["rank"]) for r in zero.collect()
     }
