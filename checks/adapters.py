@@ -2,7 +2,7 @@
 
 documents + embeddings  -> items (an item has a vector where vec_id = doc_id)
 conversations           -> turns; the text of a user turn gets a spoken opening, chosen
-                           by its turn number, since the texts themselves name no intent
+                           by the numbers of turn and conversation, since the texts themselves name no intent
 every user turn         -> a query, its id conv_id * 1000 + turn; its vector is the one with
                            vec_id = conv_id, its filters are language and source of the
                            document with doc_id = conv_id
@@ -24,7 +24,7 @@ from recollect.sources.tables import stage
 
 DIM = 64
 
-# Openings by turn number, and the lexicon of the clue tests. Its values are
+# Openings, and the lexicon of the clue tests. Its values are
 # words that occur in the given texts.
 OPENINGS = (
     "Find the handwritten notes about ",
@@ -35,6 +35,10 @@ OPENINGS = (
     "Summarize these. ",
     "Create a plan for 3 days. ",
     "Schedule this. ",
+    "Which screenshot had ",
+    "Do you remember the meme about ",
+    "Thanks, that helps. ",
+    "Hi! How did that receipt look with ",
 )
 LEXICON = (
     ("handwritten notes", "type", "notes"),
@@ -69,7 +73,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    spoken = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), (F.col("turn") % 8 + 1).cast("int"))
+    spoken = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("turn") + F.col("conv_id") % 3 * 4) % len(OPENINGS) + 1).cast("int"))
     raw = table(spark, sf, "conversations")
     text = F.when(F.col("role") == "user", F.concat(spoken, F.col("text"))).otherwise(F.col("text"))
     return raw.select("conv_id", "turn", "role", text.alias("text"))

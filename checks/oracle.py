@@ -20,7 +20,7 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
-_opening = "CASE turn % 8 " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(OPENINGS)) + " END"
+_opening = f"CASE (turn + conv_id % 3 * 4) % {len(OPENINGS)} " + " ".join(f"WHEN {i} THEN '{o}'" for i, o in enumerate(OPENINGS)) + " END"
 
 # Named parts of the statements: name -> (parts it needs, SQL).
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -69,20 +69,25 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
             ON lower(value) = lower(source) OR lower(value) = lower(lang)"""),
     "turns": ((), f"""SELECT conv_id, turn, role,
             CASE WHEN role = 'user' THEN ({_opening}) || text ELSE text END AS text FROM conversations"""),
-    "said": (("turns",), r"""SELECT *, list_filter([
-            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(summari[sz]e\b|(give|write|make|create)\b[^.!?]*\bsummary\b)') THEN 'summarize' END,
-            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(remind\b|(set|create|add|make)\b[^.!?]*\breminder\b)') THEN 'reminder' END,
-            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(schedule\b|(add|put)\b[^.!?]*\bcalendar\b)') THEN 'schedule' END,
-            CASE WHEN regexp_matches(lower(text), '(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)(plan\b|(create|make|build|write|prepare|draw up|give)\b[^.!?]*\b(road ?map|plan)\b)') THEN 'roadmap' END
-            ], lambda x: x IS NOT NULL) AS actions FROM turns"""),
+    "said": (("turns",), r"""SELECT * EXCLUDE (low), low AS l, list_filter([
+            CASE WHEN regexp_matches(low, '(^\W*|[.!?;,]\s*|\b(and|then|now|please|also|you)\s+)(summari[sz]e\b|(give|write|make|create)\b[^.!?]*\bsummary\b)') THEN 'summarize' END,
+            CASE WHEN regexp_matches(low, '(^\W*|[.!?;,]\s*|\b(and|then|now|please|also|you)\s+)(remind\b|(set|create|add|make)\b[^.!?]*\breminder\b)') THEN 'reminder' END,
+            CASE WHEN regexp_matches(low, '(^\W*|[.!?;,]\s*|\b(and|then|now|please|also|you)\s+)(schedule\b|(add|put)\b[^.!?]*\bcalendar\b)') THEN 'schedule' END,
+            CASE WHEN regexp_matches(low, '(^\W*|[.!?;,]\s*|\b(and|then|now|please|also|you)\s+)(plan\b|(create|make|build|write|prepare|draw up|give)\b[^.!?]*\b(road ?map|plan)\b)') THEN 'roadmap' END
+            ], lambda x: x IS NOT NULL) AS actions, low IS DISTINCT FROM lower(text) AS greeted
+            FROM (SELECT *, regexp_replace(lower(text), '^\W*((hello|hi|hey|thanks|thank you|thx|ok|okay|sorry|great|cool|well|so|please)\b\W*)+', '') AS low FROM turns)"""),
     "labelled0": (("said",), r"""SELECT *, CASE WHEN role = 'user' THEN list_distinct([intent] || actions) END AS intents FROM (
             SELECT *, CASE WHEN role <> 'user' THEN NULL
-            WHEN regexp_matches(lower(text), '^\W*(why|explain why)\b') THEN 'why'
-            WHEN regexp_matches(lower(text), '^\W*(yes|confirm|go ahead)\b') THEN 'confirm'
-            WHEN regexp_matches(lower(text), '^\W*((can|could|would|will) you |please )*(find|show|search|look for|where (is|are))\b') THEN 'search'
-            WHEN regexp_matches(lower(text), '^\W*(no|the one|i (also )?remember|(it|they|there) (was|were|also|had))\b') THEN 'refine'
+            WHEN regexp_matches(l, '^\W*(why|explain why)\b') THEN 'why'
+            WHEN regexp_matches(l, '^\W*(yes|confirm|go ahead)\b') THEN 'confirm'
+            WHEN regexp_matches(l, '^\W*((can|could|would|will) you |please )*(find|show|search|look for|where (is|are))\b') THEN 'search'
+            WHEN regexp_matches(l, '^\W*(no|the one|i (also )?remember|(it|they|there) (was|were|also|had))\b') THEN 'refine'
             WHEN len(actions) > 0 THEN actions[1]
-            WHEN text IS NULL OR regexp_matches(lower(text), '^\W*(what|who|when|how|which|is|are|do|does|did|hello|hi|hey|thanks|thank you|ok|okay|sorry)\b|^\W*$') THEN 'out of scope'
+            WHEN text IS NULL OR regexp_full_match(l, '\W*((what|who|whose|when|where|how|which|is|are|was|were|do|does|did|has|have|had|it|its|that|this|these|those|they|them|there|you|i|we|he|she|me|my|your|the|a|an|of|to|for|in|on|so|not|no|about|else|more|much|many|s)\b\W*)*') THEN 'out of scope'
+            WHEN regexp_matches(l, '^\W*(what|who|whose|when|where|how|which|is|are|was|were|do|does|did|has|have|had)\b') THEN CASE
+                WHEN regexp_full_match(l, '\W*(what(''s| is| was) (the |your |today''s )?(weather|time|date|day|name)( (like|today|now|tomorrow|here))*|what (can|do|are|did) you( do| mean| say| think| doing)*( for me)?|who (are|made|built) you|how (are|old are|do|does|did) (you|this|that|it)( do| doing| work| go| going| today)*|how(''s| is) it going|(are|is|do|did|does|was|were) (you|that|this|it|we)( (there|sure|ok|okay|right|all|a bot|human|real|done|it|help|work|understand|know|know that))+)\W*') THEN 'out of scope'
+                ELSE 'search' END
+            WHEN greeted THEN 'out of scope'
             ELSE 'search' END AS intent FROM said)"""),
     "labelled": (("labelled0",), """SELECT *, sum((intent IS NOT DISTINCT FROM 'search')::INT)
             OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM labelled0"""),

@@ -20,15 +20,28 @@ OPENINGS = (
     ("refine", r"^\W*(no|the one|i (also )?remember|(it|they|there) (was|were|also|had))\b"),
 )
 # What is to be done stands at the head of a clause: "Summarize this and create a plan."
-CLAUSE = r"(^\W*|[.!?;,]\s*|\b(and|then|please|also|you)\s+)"
+CLAUSE = r"(^\W*|[.!?;,]\s*|\b(and|then|now|please|also|you)\s+)"
 ACTIONS = (
     ("summarize", CLAUSE + r"(summari[sz]e\b|(give|write|make|create)\b[^.!?]*\bsummary\b)"),
     ("reminder", CLAUSE + r"(remind\b|(set|create|add|make)\b[^.!?]*\breminder\b)"),
     ("schedule", CLAUSE + r"(schedule\b|(add|put)\b[^.!?]*\bcalendar\b)"),
     ("roadmap", CLAUSE + r"(plan\b|(create|make|build|write|prepare|draw up|give)\b[^.!?]*\b(road ?map|plan)\b)"),
 )
-# Talk that asks for nothing of the archive. Anything else describes what is looked for.
-ASIDE = r"^\W*(what|who|when|how|which|is|are|do|does|did|hello|hi|hey|thanks|thank you|ok|okay|sorry)\b|^\W*$"
+# What may stand before a turn without changing what it is about.
+GREETING = r"^\W*((hello|hi|hey|thanks|thank you|thx|ok|okay|sorry|great|cool|well|so|please)\b\W*)+"
+# A question is a search in other words, unless it is small talk as a whole, or has no word beyond
+# those of any question. Anything that is no question describes what is looked for.
+QUESTION = r"^\W*(what|who|whose|when|where|how|which|is|are|was|were|do|does|did|has|have|had)\b"
+SMALL_TALK = (
+    r"^\W*(what('s| is| was) (the |your |today's )?(weather|time|date|day|name)( (like|today|now|tomorrow|here))*"
+    r"|what (can|do|are|did) you( do| mean| say| think| doing)*( for me)?|who (are|made|built) you"
+    r"|how (are|old are|do|does|did) (you|this|that|it)( do| doing| work| go| going| today)*|how('s| is) it going"
+    r"|(are|is|do|did|does|was|were) (you|that|this|it|we)( (there|sure|ok|okay|right|all|a bot|human|real|done|it|help|work|understand|know|know that))+)\W*$"
+)
+EMPTY_WORDS = (
+    r"^\W*((what|who|whose|when|where|how|which|is|are|was|were|do|does|did|has|have|had|it|its|that|this|these|those|they|them|there"
+    r"|you|i|we|he|she|me|my|your|the|a|an|of|to|for|in|on|so|not|no|about|else|more|much|many|s)\b\W*)*$"
+)
 OUT_OF_SCOPE = "out of scope"
 RETRIEVING = ("search", "refine")
 ACTING = ("why", "summarize", "roadmap", "reminder", "schedule", "confirm")
@@ -42,15 +55,19 @@ def label_intent(
     """Adds ``intent`` and ``intents`` to user turns; other roles have none.
 
     ``intent`` is what the turn is about: its opening, else the first action of ``actions`` it asks
-    for, else a search for what it describes. ``intents`` are that and all actions it asks for. A turn
-    of talk, or without a word, is out of scope. The rules are a short parameter and become expressions, not a join.
+    for, else a search for what it describes or asks. ``intents`` are that and all actions it asks for. Small
+    talk, thanks, and a turn without a word are out of scope; a greeting before anything else does not count.
+    The rules are a short parameter and become expressions, not a join.
     """
-    lowered = F.lower("text")
+    lowered = F.regexp_replace(F.lower("text"), GREETING, "")
+    greeted = F.lower("text").rlike(GREETING)
     asked = F.array_compact(F.array(*[F.when(lowered.rlike(p), F.lit(name)) for name, p in actions]))
     label = F.lit(None).cast("string")
     for name, pattern in reversed(openings):
         label = F.when(lowered.rlike(pattern), name).otherwise(label)
-    rest = F.when(lowered.rlike(ASIDE) | F.col("text").isNull(), OUT_OF_SCOPE).otherwise("search")
+    asks = lowered.rlike(QUESTION)
+    aside = lowered.rlike(EMPTY_WORDS) | F.when(asks, lowered.rlike(SMALL_TALK)).otherwise(greeted)
+    rest = F.when(aside | F.col("text").isNull(), OUT_OF_SCOPE).otherwise("search")
     intent = F.coalesce(label, F.get(asked, F.lit(0)), rest)
     said = F.col("role") == "user"
     return turns.withColumn("intent", F.when(said, intent)).withColumn(

@@ -69,7 +69,33 @@ SPOKEN = [
     ("Schedule this for the next 3 days.", ["schedule"]),
     ("Remind me about step 1 tomorrow.", ["reminder"]),
     ("Find my CN notes and summarize them.", ["search", "summarize"]),
+    ("Which screenshot had the login error?", ["search"]),
+    ("What was that diagram about the OSI model?", ["search"]),
+    ("Do you remember the meme about exams?", ["search"]),
+    ("Is there a photo of the whiteboard with SQL joins?", ["search"]),
+    ("How did that receipt from March look?", ["search"]),
+    ("When did I save the train ticket?", ["search"]),
+    ("Who sent me the invoice for the flat?", ["search"]),
+    ("Are there notes on normalization?", ["search"]),
+    ("Did I save a recipe with lentils?", ["search"]),
+    ("What is the wifi password I took a picture of?", ["search"]),
+    ("What time does my train leave, according to the ticket?", ["search"]),
+    ("Hi, which slide explained deadlocks?", ["search"]),
+    ("Hello! Find my CN notes", ["search"]),
+    ("Thanks! Now summarize them.", ["summarize"]),
+    ("Okay, summarize them.", ["summarize"]),
+    ("Ok, no, the one with the red button.", ["refine"]),
+    ("Has the poster a QR code?", ["search"]),
     ("What is the weather?", ["out of scope"]),
+    ("What's the time now?", ["out of scope"]),
+    ("How are you today?", ["out of scope"]),
+    ("Who are you?", ["out of scope"]),
+    ("What can you do for me?", ["out of scope"]),
+    ("Are you sure?", ["out of scope"]),
+    ("How does this work?", ["out of scope"]),
+    ("What is it about?", ["out of scope"]),
+    ("Thanks, that helps a lot", ["out of scope"]),
+    ("Hi there", ["out of scope"]),
     ("Thank you!", ["out of scope"]),
     ("", ["out of scope"]),
 ]
