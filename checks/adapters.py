@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recollect.functions import text as tx
 from recollect.operators import conversation as cv
 from recollect.operators.ranking import QuerySet, hybrid_search, prepare
+from recollect.operators.retrieval import Codes, fit_cells, fit_codes
 from recollect.plans.index import Index, build_index
 from recollect.sources.archive import normalize, scan_archive
 from recollect.sources.tables import stage
@@ -166,6 +167,18 @@ def index(spark: SparkSession, sf: str) -> Index:
     return build_index(items(spark, sf), DIM)
 
 
+@lru_cache(maxsize=None)
+def codes(spark: SparkSession, sf: str) -> Codes:
+    return fit_codes(index(spark, sf).facing, index(spark, sf).vectors)
+
+
+@lru_cache(maxsize=None)
+def cells(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Centroids, and the vectors with their cells."""
+    centroids, held = fit_cells(index(spark, sf).vectors, 16)
+    return stage(centroids, "centroids"), stage(held, "cells")
+
+
 @lru_cache(maxsize=None)
 def prepared(spark: SparkSession, sf: str):
     """What scoring needs of all user turns."""

@@ -243,6 +243,10 @@ def tuned(grid) -> str:
         GROUP BY setting"""
 
 
+# Parts that several others read: worked out once.
+LARGE = ("tok", "post", "terms", "norms")
+
+
 def sql(body: str, *needs: str) -> str:
     """``body`` with the parts it needs, in order."""
     order: list[str] = []
@@ -257,7 +261,7 @@ def sql(body: str, *needs: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in LARGE else ''}({PARTS[n][1]})" for n in order) + "\n" + body
 
 
 COMMON = "image_id, source, uri, NULL::VARCHAR AS file_name, lang, NULL::VARCHAR AS day, n_chars::BIGINT AS n_chars, dims::BIGINT AS dims"
@@ -302,6 +306,7 @@ def statements(grid) -> dict[str, str]:
         SELECT vec_id AS image_id, v, sqrt(list_dot_product(v, v)) AS norm, unnest(range(1, 65)) AS i
         FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))"""
     out["sg5_tfidf"] = sql("SELECT image_id, term, round(w, 6) AS w FROM weights", "weights")
+    out["sg6_fit_cells"] = sql("SELECT image_id, true AS nearest FROM unit", "unit")
     out["sg7_assemble"] = sql("""SELECT i.image_id, source, lang,
             round(CASE WHEN embedding IS NOT NULL THEN sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) END, 6) AS norm,
             dl::BIGINT AS dl, n_terms, n_terms IS NOT NULL AS has_text, embedding IS NOT NULL AS has_vector, false AS has_ts

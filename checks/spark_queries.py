@@ -187,8 +187,13 @@ def sg5(spark, sf):
 
 
 def sg6(spark, sf):
-    _, cells = rt.fit_cells(A.index(spark, sf).vectors, 16)
-    return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"))
+    """Every vector with whether no centroid is nearer to it than that of its cell."""
+    centroids, cells = A.cells(spark, sf)
+    distance = F.aggregate(F.zip_with("unit", "_center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    centers = centroids.select(F.col("cell").alias("_cell"), F.col("center").alias("_center"))
+    far = cells.join(F.broadcast(centers)).select("image_id", "cell", "_cell", distance.alias("d"))  # 16 centroids
+    own = F.max(F.when(F.col("cell") == F.col("_cell"), F.col("d")))
+    return far.groupBy("image_id").agg((own <= F.min("d") + 1e-9).alias("nearest"))
 
 
 def _records(spark, sf):
@@ -274,19 +279,16 @@ def rt5(spark, sf):
 
 
 def rt6(spark, sf):
-    return whole(rt.vector_search(A.query_vecs(spark, sf), A.index(spark, sf).vectors).select(*HIT), "rank")
+    return whole(rt.search_vector_blocks(A.query_vecs(spark, sf), A.index(spark, sf).facing).select(*HIT), "rank")
 
 
 def rt7(spark, sf):
-    centroids, cells = rt.fit_cells(A.index(spark, sf).vectors, 16)
-    nprobe = rt.probes_for(A.query_vecs(spark, sf), centroids, cells, 10)
-    found = rt.vector_search_ann(A.query_vecs(spark, sf), centroids, cells, 10, nprobe)
+    found = rt.search_codes(A.query_vecs(spark, sf), A.codes(spark, sf), A.index(spark, sf).vectors, 10)
     return whole(found.select(*HIT), "rank")
 
 
 def rt7_all(spark, sf):
-    centroids, cells = rt.fit_cells(A.index(spark, sf).vectors, 16)
-    found = rt.vector_search_ann(A.query_vecs(spark, sf), centroids, cells, 10, 16)
+    found = rt.vector_search_ann(A.query_vecs(spark, sf), *A.cells(spark, sf), 10, 16)
     return whole(found.select(*HIT), "rank")
 
 

@@ -19,7 +19,7 @@ GOAL     queries ``qn`` with their target's id ``ids`` and its final scores ``f1
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -214,3 +214,88 @@ def count_ahead(grid: Sequence[Sequence[float]]) -> Callable[[pa.Table], pa.Tabl
         return pa.Table.from_arrays([*columns, pa.array(np.concatenate([none, *counts]))], names=["qb", "qn", "setting", "ahead"])
 
     return run
+
+
+# Pairs of blocks: a row holds a block of items and a block of queries, each as one list of numbers.
+
+
+def _matrix(batch: pa.RecordBatch, name: str, i: int, rows: int) -> np.ndarray:
+    return batch.column(name)[i].values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _pair_rows(batch: pa.RecordBatch, i: int, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    queries, ids = batch.column("queries")[i].values, batch.column("ids")[i].values
+    q, at = _best(scores, np.ones(scores.shape, bool), k)
+    columns = [queries.take(pa.array(q)), ids.take(pa.array(at)), pa.array(scores[q, at])]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "image_id", "score"])
+
+
+def best_of_pairs(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best products of each query of a pair of blocks (ids, units, queries, asked), rounded, ties to the first id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked = _matrix(batch, "asked", i, len(batch.column("queries")[i]))
+                units = _matrix(batch, "units", i, len(batch.column("ids")[i]))
+                yield _pair_rows(batch, i, np.round(asked @ units.T, PLACES), k)
+
+    return run
+
+
+def fitted_book(entries: int, rounds: int = 12) -> Callable[[pa.Table], pa.Table]:
+    """A codebook for the pieces ``x`` of one part: k-means from pieces evenly apart in the order of ``key``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        x = np.vstack(table.column("x").to_pylist()).astype(np.float64)
+        book = x[np.linspace(0, len(x) - 1, min(entries, len(x))).astype(int)].copy()
+        for _ in range(rounds):
+            nearest = (book**2).sum(1) - 2 * x @ book.T
+            entry = nearest.argmin(1)
+            count = np.bincount(entry, minlength=len(book))
+            sums = np.zeros_like(book)
+            np.add.at(sums, entry, x)
+            used = count > 0
+            book[used] = sums[used] / count[used, None]
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "book": pa.array([book.ravel().tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _books(batch: pa.RecordBatch, i: int, width: int) -> np.ndarray:
+    """(parts, entries, width of a part): the codebooks of vectors of a width."""
+    lists = batch.column("books")[i].values
+    parts = len(lists)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(parts, -1, width // parts)
+
+
+def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of blocks (ids, units, books)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids = batch.column("ids").slice(i, 1)
+            units = _matrix(batch, "units", i, len(batch.column("ids")[i]))
+            books = _books(batch, i, units.shape[1])
+            cut = units.reshape(len(units), len(books), -1)
+            codes = np.stack([((b**2).sum(1) - 2 * cut[:, p] @ b.T).argmin(1) for p, b in enumerate(books)], axis=1)
+            data = pa.array([codes.astype(np.uint8).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, data], names=["ids", "codes"])
+
+
+def best_codes(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best of each query of a pair of blocks (ids, codes, books, queries, asked), by the products with the entries coded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked = _matrix(batch, "asked", i, len(batch.column("queries")[i]))
+                books = _books(batch, i, asked.shape[1])
+                codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(-1, len(books))
+                cut = asked.reshape(len(asked), len(books), -1)
+                scores = np.zeros((len(asked), len(codes)))
+                for p, book in enumerate(books):
+                    scores += (cut[:, p] @ book.T)[:, codes[:, p]]
+                yield _pair_rows(batch, i, scores, k)
+
+    return run

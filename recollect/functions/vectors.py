@@ -29,10 +29,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def best_rows(scored: pd.DataFrame, k: int) -> pd.DataFrame:
-    """First k rows per query by score, ties by image_id."""
-    ordered = scored.sort_values(["score", "image_id"], ascending=[False, True])
-    return ordered.groupby("query_id", sort=False).head(k)
+def parts_of(vec: str, parts: int) -> Column:
+    """The vector cut into ``parts`` pieces of equal length."""
+    size = F.floor(F.size(vec) / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.slice(vec, i * size + 1, size))
 
 
 def best_in_block(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:

@@ -11,7 +11,6 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollect.functions import boards, text as tx, vectors as vx
@@ -28,9 +27,12 @@ from recollect.plans.index import Index, known_fields, profile_of
 from recollect.sources.tables import stage
 
 PLACES = 6
-# Block sizes of the nearest-vector search: rows of vectors and of queries per task.
-VECTOR_BLOCK = 50_000
-QUERY_BLOCK = 4_000
+# Block sizes of the nearest-vector search: rows of vectors and of queries that meet as matrices.
+VECTOR_BLOCK = 4096
+QUERY_BLOCK = 1024
+# Approximate search: parts of a code, entries of a codebook, vectors that it is fitted on, and how many
+# items are scored exactly for each of the k asked for.
+CODE_PARTS, CODE_ENTRIES, CODE_SAMPLE, RESCORED = 16, 256, 20_000, 12
 # Rows up to which the sums of a search over shared terms are made without pruning.
 SUM_ROWS = 500_000_000
 # Share of the floor that terms left for later may make up. Any value below 1 is exact; a low
@@ -432,39 +434,51 @@ def _nearest(queries: DataFrame, items: DataFrame, on: Sequence[str], k: int) ->
     return top_k(best, k)
 
 
-def vector_search(query_vecs: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine top-k.
+def vector_blocks(vectors: DataFrame) -> DataFrame:
+    """(ids, units): vectors in blocks of about VECTOR_BLOCK, by ascending ids; ``units`` one after the other.
 
-    The queries go to the vectors in blocks of bounded size, each broadcast as one matrix. Vectors stay
-    where they are stored; a task multiplies its own with the block and hands on the k best per query.
+    The index keeps such a table, ``facing``, so that a search need not make one.
     """
-    queries = unit_queries(query_vecs)
-    kind = queries.schema["query_id"].dataType.simpleString()
-    rows = measure(query_vecs.select("query_id")).rows
-    down = _blocks(rows, QUERY_BLOCK)
-    if down > 1:
-        queries = stage(queries, "unit_queries")
-    found = None
-    for number in range(down):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(down)) == number).toPandas()  # about QUERY_BLOCK rows
-        best = vectors.select("image_id", "unit").mapInPandas(
-            _best_of_partition(vectors.sparkSession.sparkContext.broadcast(block), k),
-            f"query_id {kind}, image_id long, score double",
-        )
-        found = best if found is None else found.unionByName(best)
-    return top_k(found, k)
+    block = F.pmod(F.xxhash64("image_id"), F.lit(_blocks(vectors.count(), VECTOR_BLOCK)))
+    lists = vectors.groupBy(block.alias("vb")).agg(F.sort_array(F.collect_list(F.struct("image_id", "unit"))).alias("_list"))
+    return stage(lists.select(F.col("_list.image_id").alias("ids"), F.flatten("_list.unit").alias("units")), "vector-blocks")
 
 
-def _best_of_partition(block, k: int):
-    def run(batches):
-        best = None
-        for items in batches:
-            near = vx.best_in_block(k)(block.value, items)
-            best = near if best is None else vx.best_rows(pd.concat([best, near]), k)
-        if best is not None:
-            yield best
+def vector_search(query_vecs: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """Exact cosine top-k among (image_id, unit); see ``search_vector_blocks``."""
+    return search_vector_blocks(query_vecs, vector_blocks(vectors), k)
+
 
-    return run
+def asked_blocks(query_vecs: DataFrame) -> tuple[DataFrame, int]:
+    """((qb, queries, asked), number of blocks): unit vectors of queries in blocks of about QUERY_BLOCK, written."""
+    units = stage(unit_queries(query_vecs), "unit_queries")
+    n = _blocks(units.count(), QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+    lists = units.groupBy(block.alias("qb")).agg(F.collect_list(F.struct("query_id", "unit")).alias("_list"))
+    return stage(lists.select("qb", F.col("_list.query_id").alias("queries"), F.flatten("_list.unit").alias("asked")), "asked-blocks"), n
+
+
+def block_pairs(blocks: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Every block of items once for each block of queries: numbers are exploded and joined on. A block of
+    queries goes to a few tasks beside each other, so that blocks of items spread over all of them."""
+    wide = max(blocks.sparkSession.sparkContext.defaultParallelism, 1)
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    left = blocks.withColumn("qb", F.explode(numbers)).withColumn("_lane", F.pmod(F.monotonically_increasing_id(), F.lit(wide)))
+    right = asked.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))))
+    return left.join(broadcast_if_small(right), ["qb", "_lane"]).drop("_lane", "qb")
+
+
+def search_vector_blocks(query_vecs: DataFrame, blocks: DataFrame, k: int = 10) -> DataFrame:
+    """Exact cosine top-k. ``blocks`` is (ids, units), as ``index.facing`` or ``vector_blocks``.
+
+    Blocks of queries and blocks of vectors are rows of written tables, and each pair of them meets
+    by a join. A pair is one product of matrices, of which the k best of each query go on. The plan is the
+    same for any number of queries, and none of them comes to the driver.
+    """
+    asked, n = asked_blocks(query_vecs)
+    kind = query_vecs.schema["query_id"].dataType.simpleString()
+    pairs = block_pairs(blocks.select("ids", "units"), asked, n)
+    return top_k(pairs.mapInArrow(boards.best_of_pairs(k), f"query_id {kind}, image_id long, score double"), k)
 
 
 def vector_search_ann(
@@ -534,7 +548,22 @@ def probes_for(
 
 
 def fit_cells(vectors: DataFrame, n: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(cell, unit) of n centroids, and (image_id, unit, cell) of every vector."""
+    """(cell, center, unit) of n centroids, and (image_id, unit, cell) of every vector: the cell of the nearest center."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = vectors.sparkSession
+    featured = vectors.select("image_id", "unit", array_to_vector("unit").alias("features"))
+    model = KMeans(k=n, seed=seed, maxIter=10, predictionCol="cell").fit(featured)
+    cells = model.transform(featured).select("image_id", "unit", F.col("cell").cast("long"))
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    raw = spark.createDataFrame(centers, "cell long, embedding array<double>")
+    length = vx.norm(F.col("embedding"))
+    return raw.select("cell", F.col("embedding").alias("center"), vx.scaled(F.col("embedding"), length).alias("unit")), cells
+
+
+def fit_cells(vectors: DataFrame, n: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(cell, center, unit) of n centroids, and (image_id, unit, cell) of every vector: the cell of the nearest center."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -545,7 +574,54 @@ def fit_cells(vectors: DataFrame, n: int, seed: int = 7) -> tuple[DataFrame, Dat
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     raw = spark.createDataFrame(centers, "cell long, embedding array<double>")
     length = vx.norm(F.col("embedding"))
-    return raw.select("cell", vx.scaled(F.col("embedding"), length).alias("unit")), cells
+    return raw.select("cell", F.col("embedding").alias("center"), vx.scaled(F.col("embedding"), length).alias("unit")), cells
+
+
+@dataclass(frozen=True)
+class Codes:
+    """A stored approximate index: ``books`` (part, book) and ``codes`` (ids, codes), one byte for each part of a vector."""
+
+    books: DataFrame
+    codes: DataFrame
+
+    def all_books(self) -> Column:
+        """The codebooks of all parts as one array, a literal of bounded size in the plan."""
+        lists = self.books.agg(F.sort_array(F.collect_list(F.struct("part", "book"))).alias("_b"))
+        return lists.select(F.col("_b.book").alias("books")).scalar()
+
+
+def fit_codes(blocks: DataFrame, vectors: DataFrame, parts: int = CODE_PARTS, entries: int = CODE_ENTRIES, sample: int = CODE_SAMPLE) -> Codes:
+    """Codebooks and the codes of every vector, both written.
+
+    For each part of the vectors k-means finds a codebook, on up to ``sample`` vectors, the first by a hash of their ids; there
+    are as many parts as divide the vectors evenly, ``parts`` at most. ``blocks`` is (ids, units) of the same ``vectors``.
+    """
+    first = vectors.select(F.size("unit").alias("n")).first()
+    parts = math.gcd(first["n"], parts) if first else parts
+    key = F.xxhash64(F.lit(5), "image_id")
+    share = min(1.0, 2.0 * sample / max(vectors.count(), 1))
+    some = vectors.filter(F.shiftrightunsigned(key, 33) <= int(share * 2**31)).orderBy(key).limit(sample)
+    cut = some.select(key.alias("key"), F.posexplode(vx.parts_of("unit", parts)).alias("part", "x"))
+    books = stage(cut.groupBy("part").applyInArrow(boards.fitted_book(entries), "part int, book array<double>"), "codebooks")
+    coded = Codes(books, blocks)
+    made = blocks.select("ids", "units", coded.all_books().alias("books")).mapInArrow(boards.encoded, "ids array<long>, codes binary")
+    return Codes(books, stage(made, "codes"))
+
+
+def search_codes(query_vecs: DataFrame, coded: Codes, vectors: DataFrame, k: int = 10, rescored: int = RESCORED) -> DataFrame:
+    """Cosine top-k, approximate: codes are read in place of vectors, and the ``rescored`` * k best by code are scored exactly.
+
+    Every item has a code and every code is looked at. The score of a code is a sum of entries of one table
+    for each query, its products with all entries of the codebooks.
+    """
+    asked, n = asked_blocks(query_vecs)
+    asked = asked.withColumn("books", coded.all_books())
+    kind = query_vecs.schema["query_id"].dataType.simpleString()
+    best = block_pairs(coded.codes, asked, n).mapInArrow(boards.best_codes(k * rescored), f"query_id {kind}, image_id long, score double")
+    pairs = top_k(best, k * rescored).select("query_id", "image_id")
+    units = unit_queries(query_vecs).withColumnRenamed("unit", "_asked")
+    held = pairs.join(vectors.select("image_id", "unit"), "image_id").join(broadcast_if_small(units), "query_id")
+    return top_k(held.select("query_id", "image_id", vx.dot(F.col("unit"), F.col("_asked")).alias("score")), k)
 
 
 def field_value(field: Column) -> Column:

@@ -19,7 +19,7 @@ from recollect.functions.bounds import broadcast_if_small, lookup
 from recollect.plans.index import Index, slot_of
 from recollect.sources.tables import stage
 
-QUERY_BLOCK = 512
+QUERY_BLOCK = 1024
 COLUMNS = {"shelf": "bigint", "qb": "bigint", "kind": "int", "ids": "array<bigint>", "at": "array<int>", "v1": "array<double>", "v2": "array<double>", "qn": "array<int>", "f1": "array<double>", "f2": "array<double>"}
 
 

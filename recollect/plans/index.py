@@ -16,7 +16,7 @@ BUCKET_BYTES = 64 * 1024 * 1024
 MOST_BUCKETS = 4096
 # Items of one shelf, about; postings of one slot of terms, about; shelves whose postings of a slot are in one file.
 SHELF = 1024
-SLOT_POSTINGS, MOST_SLOTS = 4000, 4096
+SLOT_POSTINGS, MOST_SLOTS = 16_000, 4096
 SHELVES_A_FILE = 1000
 
 
@@ -41,7 +41,7 @@ class Index:
 
     blocks    slot (a folder), shelf, term, at, bm, ltf, max_bm, max_ltf: postings of a term on a shelf as arrays
     shelves   shelf, ids: the items of a shelf, ascending; ``at`` counts among them
-    facing    shelf, at, units: the vectors of a shelf, one after the other
+    facing    shelf, at, ids, units: the vectors of a shelf, one after the other
     sides     shelf, profile, at, known: the metadata profiles of a shelf; ``known`` is the map of fields
     """
 
@@ -144,8 +144,8 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
     vectors = stage_bucketed(signals.prepare_vectors(items, dim), "vectors", "image_id", n, ["image_id"])
     places = stage_bucketed(put_on_shelves(kept), "places", "image_id", n, ["image_id"])
     shelves = places.groupBy("shelf").agg(F.sort_array(F.collect_list("image_id")).alias("ids"))
-    facing = vectors.select("image_id", "unit").join(places, "image_id").groupBy("shelf").agg(in_order("unit"))
-    facing = facing.select("shelf", F.col("_list.at").alias("at"), F.flatten("_list.unit").alias("units"))
+    facing = vectors.select("image_id", "unit").join(places, "image_id").groupBy("shelf").agg(in_order("image_id", "unit"))
+    facing = facing.select("shelf", F.col("_list.at").alias("at"), F.col("_list.image_id").alias("ids"), F.flatten("_list.unit").alias("units"))
     sides = kept.select("image_id", known_fields().alias("known")).join(places, "image_id")
     sides = sides.groupBy("shelf", "profile").agg(F.sort_array(F.collect_list("at")).alias("at"), F.any_value("known").alias("known"))
     n_postings = stats.agg(F.sum("n_terms")).first()[0] or 0
