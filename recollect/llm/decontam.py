@@ -4,13 +4,14 @@ Texts are lower-cased runs of letters and digits, in shingles of five words. For
 of L words, every window of L words of a document is a possible copy. Windows and items are similar to
 the degree of their weighted shingles (Jaccard over multisets), copies from ``similarity`` on.
 
-1. A window of that similarity shares most of its shingles with the item, so only windows with
-   so many shared shingles are looked at; and the best window starts at a shared shingle. Nothing
-   is lost by either.
+1. Windows are fingerprinted where they start at a shingle of the item and hold as many shingles of it as a
+   copy must; the best window starts so. Nothing is lost by either.
 2. The SimHash of each such window and of each item is cut into blocks. Two fingerprints within
    ``radius`` bits agree in at least one block up to radius // blocks bits: the item states every
    block value within that reach, the window its own, and they meet by equal block values.
-3. Pairs within ``radius`` are verified by the exact similarity.
+3. For pairs within ``radius``, and for no others, the shared weight is worked out, and with it the exact similarity.
+
+An item shorter than a shingle is one shingle of its own length, and so are the windows of that length.
 
 Everything is DataFrame functions.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recollect.functions.bounds import broadcast_if_small
+from recollect.llm.common import free_name
 from recollect.sources.tables import stage
 
 SHINGLE = 5
@@ -97,8 +99,8 @@ def contaminations(
 
     ``start`` is the first shingle of the window; among equally similar windows the first that starts at a
     shingle of the item, or the last window of the document. A document with
-    fewer words than the item is one window. Items shorter than a shingle match only texts as short;
-    items and documents without words match nothing. Rows
+    fewer words than the item is one window. An item shorter than a shingle is copied where its words stand
+    one after the other, whatever is around them; items and documents without words match nothing. Rows
     of one id are judged each by itself and reported together, NULL ids as one document; items of
     one id likewise. Other columns are ignored. Empty tables give no rows.
     """
@@ -128,16 +130,19 @@ def without_copies(
 ) -> DataFrame:
     """The rows of ``docs`` that copy no benchmark item, as they are; see ``contaminations``."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    marks = stage(_copies(rows, benchmark, similarity, radius).select(F.col("mark").alias("_copy_mark")).distinct(), "copies")
+    name = free_name(docs, "_copy_mark")
+    marks = stage(_copies(rows, benchmark, similarity, radius).select(F.col("mark").alias(name)).distinct(), "copies")
     own = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     mark = F.xxhash64(F.coalesce(own["id"].cast("string"), F.lit("")), own["id"].isNull(), own["text"])
-    return docs.withColumn("_copy_mark", mark).join(broadcast_if_small(marks), "_copy_mark", "left_anti").drop("_copy_mark")
+    return docs.withColumn(name, mark).join(broadcast_if_small(marks), name, "left_anti").drop(name)
 
 
 def _copies(rows: DataFrame, benchmark: DataFrame, similarity: float, radius: int) -> DataFrame:
     """(mark, item_id, best) for the rows (id, text) and items of which one copies the other."""
     mark = _mark()
-    items = benchmark.select(F.col("item_id"), shingles(F.col("text")).alias("hashes")).filter("size(hashes) > 0")
+    items = benchmark.select(
+        F.col("item_id"), shingles(F.col("text")).alias("hashes"), F.size(words(F.col("text"))).alias("n_words")
+    ).filter("size(hashes) > 0")
     items = stage(items.withColumn("key", F.xxhash64("item_id", "hashes")).dropDuplicates(["key"]), "benchmark-items")
     item_shingles = items.select("key", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
     item_shingles = stage(item_shingles.groupBy("key", "size", "hash").agg(F.count(F.lit(1)).alias("weight")), "benchmark-shingles")
@@ -166,15 +171,8 @@ def _copies(rows: DataFrame, benchmark: DataFrame, similarity: float, radius: in
     by_pair = by_pair.withColumn("start", F.least(F.col("hits")[F.col("j")]["at"], last))
     ahead = F.slice("hits", F.col("j") + 1, width)
     inside = F.filter(ahead, lambda h: h["at"] < F.col("start") + width)
-    possible = by_pair.select("mark", "key", "size", width.alias("width"), "start", "need", inside.alias("inside"))
-    # Exact shared weight: each shingle as often as it occurs in both.
-    kinds = F.array_distinct(F.transform("inside", lambda h: F.struct(h["hash"].alias("hash"), h["weight"].alias("weight"))))
-    both = F.aggregate(
-        kinds,
-        F.lit(0).cast("long"),
-        lambda acc, k: acc + F.least(k["weight"], F.size(F.filter("inside", lambda h: h["hash"] == k["hash"])).cast("long")),
-    )
-    possible = stage(possible.select("mark", "key", "size", "width", "start", both.alias("both")).filter("both > 0"), "windows")
+    possible = by_pair.select("mark", "key", "size", width.alias("width"), "start", inside.alias("inside"))
+    possible = stage(possible, "windows")
 
     # 2. SimHash of windows and items, met by blocks.
     by_mark = possible.groupBy("mark").agg(F.collect_set(F.struct("start", "width")).alias("wanted"))
@@ -186,16 +184,47 @@ def _copies(rows: DataFrame, benchmark: DataFrame, similarity: float, radius: in
     fps = stage(cut.distinct(), "window-fingerprints")
     stated = items.select("key", simhash(F.col("hashes")).alias("item_fp"))
     stated = stage(stated.select("key", "item_fp", F.inline(block_values(F.col("item_fp"), radius // BLOCKS))), "item-blocks")
-    asked = possible.join(fps, ["mark", "start", "width"])
+    asked = possible.drop("inside").join(fps, ["mark", "start", "width"])
     asked = asked.select("mark", "key", "start", "fp", F.inline(block_values(F.col("fp"), 0)))
     met = asked.join(broadcast_if_small(stated), ["key", "block", "value"])
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = met.filter(hamming <= radius).select("mark", "key", "start", hamming.alias("hamming")).distinct()
 
-    # 3. Exact similarity of the pairs that are left.
+    # 3. Shared weight of the pairs that are left: each shingle as often as it occurs in both.
+    kinds = F.array_distinct(F.transform("inside", lambda h: F.struct(h["hash"].alias("hash"), h["weight"].alias("weight"))))
+    both = F.aggregate(
+        kinds,
+        F.lit(0).cast("long"),
+        lambda acc, k: acc + F.least(k["weight"], F.size(F.filter("inside", lambda h: h["hash"] == k["hash"])).cast("long")),
+    )
     exact = F.col("both") / (F.col("size") + F.col("width") - F.col("both"))
-    found = possible.join(near, ["mark", "key", "start"]).withColumn("similarity", exact.cast("double"))
+    found = possible.join(near, ["mark", "key", "start"]).withColumn("both", both).withColumn("similarity", exact.cast("double"))
     found = found.filter(F.col("similarity") >= similarity - 1e-12)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"), F.col("hamming"))).alias("best")
+    found = found.select("mark", "key", "start", "hamming", "similarity").unionByName(_short_copies(rows, items))
     pairs = found.groupBy("mark", "key").agg(best)
     return pairs.join(items.select("key", "item_id"), "key").select("mark", "item_id", "best")
+
+
+def _short_copies(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(mark, key, start, hamming, similarity) of the places where items shorter than a shingle stand.
+
+    A window of so many words is one shingle, its fingerprint the hash itself.
+    """
+    short = items.filter(F.col("n_words") < SHINGLE).select("key", F.get("hashes", F.lit(0)).alias("hash"), "n_words")
+    lengths = sorted(r["n_words"] for r in short.select("n_words").distinct().collect())  # SHINGLE - 1 rows at most
+
+    def runs(w: Column) -> Column:
+        made = F.array().cast("array<struct<hash:bigint,start:int>>")
+        for n in lengths:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+            of_length = F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("hash"), i.cast("int").alias("start")))
+            made = F.concat(made, F.when(F.size(w) >= n, of_length).otherwise(F.array().cast("array<struct<hash:bigint,start:int>>")))
+        return made
+
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    cut = rows.select(_mark().alias("mark"), F.inline(F.transform(F.array(hashed), runs)[0])) if lengths else None
+    if cut is None:
+        return short.select(F.lit(0).cast("long").alias("mark"), "key", F.lit(0).alias("start"), F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))
+    found = cut.join(broadcast_if_small(short.select("key", "hash")), "hash").groupBy("mark", "key").agg(F.min("start").alias("start"))
+    return found.select("mark", "key", "start", F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))

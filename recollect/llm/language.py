@@ -19,11 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from recollect.llm.common import about
+from recollect.llm.common import free_name
 
 SAMPLE = 2400  # texts from which the model is learnt
+LEAST_EACH = 20  # of them of each language
 LANDMARKS = 128
 GRAMS = 8192  # n-grams that the kernel knows: those in most of the sampled texts
 RIDGE = 1e-3
@@ -147,16 +148,21 @@ def learnt(codes: list[np.ndarray], labels: list[str], landmarks: int = LANDMARK
 def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model learnt from text and language of the rows where ``usable`` holds and neither is NULL.
 
-    Up to ``sample`` rows, the first by a hash of the row among those with a low one; what comes to the driver
-    is the codes of their n-grams, of which a text has no more than CODES. Without such rows the model
-    knows no language.
+    Up to ``sample`` rows, dealt evenly to the languages (LEAST_EACH for each, if there are very many): of each the first by
+    a hash of the row. So a language is learnt however rare it is. What comes to the driver is the codes of
+    their n-grams, of which a text has no more than CODES. Without such rows the model knows no language.
     """
     named = docs.filter(usable & F.col(f"`{lang_col}`").isNotNull())
     at = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
-    rows = named.withColumn("_at", at).filter(about(F.col("_at"), sample, named.count()))
-    rows = rows.filter(F.col(f"`{text_col}`").rlike(r"\p{L}"))
-    rows = rows.select("_at", F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    picked = rows.orderBy("_at", "lang").limit(sample)
+    named = named.filter(F.col(f"`{text_col}`").rlike(r"\p{L}"))
+    rows = named.select(at.alias("at"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    counts = {r["lang"]: r["count"] for r in named.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).count().collect()}  # one row a language
+    each = max(sample // max(len(counts), 1), LEAST_EACH)
+    # About twice as many as are taken, by a threshold for each language; then the first of those.
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2.0 * each / n) * 2**31) + 1)]) if counts else F.lit(None).cast("map<string,int>")
+    low = rows.filter(F.shiftrightunsigned("at", 33) < F.try_element_at(shares, F.col("lang")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("text")))
+    picked = low.withColumn("nth", nth).filter(F.col("nth") <= each)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CODES, bool)
@@ -182,12 +188,13 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", familia
     does not know has not.
     """
     docs = docs.drop("lang_pred", "score", *([familiar_col] if familiar_col else []))
+    has_letter = free_name(docs, "_has_letter")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CODES, bool)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-            letters = batch.column(batch.schema.get_field_index("_has_letter")).to_pylist()
+            letters = batch.column(batch.schema.get_field_index(has_letter)).to_pylist()
             langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             familiar = np.zeros(batch.num_rows, bool)
             rows = [i for i, ok in enumerate(letters) if ok and model.languages]
@@ -205,12 +212,12 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", familia
                 scores[part] = np.clip((values[np.arange(len(part)), best] + 1) / 2, 0, 1)
                 for i, k in zip(part, best):
                     langs[i] = model.languages[k]
-            kept = batch.drop_columns(["_has_letter"])
+            kept = batch.drop_columns([has_letter])
             kept = kept.append_column("lang_pred", pa.array(langs)).append_column("score", pa.array(scores, pa.float64()))
             yield kept.append_column(familiar_col, pa.array(familiar)) if familiar_col else kept
 
     fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if familiar_col:
         fields.append(T.StructField(familiar_col, T.BooleanType()))
-    marked = docs.withColumn("_has_letter", F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn(has_letter, F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(score, T.StructType(fields))

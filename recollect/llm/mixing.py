@@ -170,21 +170,26 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     blanks. n_chars, if there is such a column, is that of the new text. Documents of which no
     word is taken go. ``how``: see ``mix_sources``.
     """
-    keyed = stage(docs.withColumn("_mix_uid", F.monotonically_increasing_id()), "mix-input")
-    documents, pieces = mix_sources(keyed, uid_col="_mix_uid", **how)
+    own = ("doc_id", "text", "source")
+    others = [c for c in docs.columns if c not in own]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("string")
+    # All other columns travel as one, so that their names meet none of ours.
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("uid"), *own, rest.alias("rest")), "mix-input")
+    documents, pieces = mix_sources(keyed, uid_col="uid", **how)
     spans = pieces.groupBy("uid", "epoch").agg(
-        F.sum("words").alias("_mix_taken"), F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_mix_spans")
+        F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("spans")
     )
-    sizes = documents.select("uid", F.col("size").alias("_mix_size"))
-    spans = spans.join(sizes, "uid").withColumnRenamed("uid", "_mix_uid").drop("epoch")
+    sizes = documents.select("uid", "size")
+    spans = spans.join(sizes, "uid").drop("epoch")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.transform("_mix_spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["words"].cast("int")))
-    whole = F.col("_mix_taken") == F.col("_mix_size")
+    cut = F.transform("spans", lambda s: F.slice(words, (s["first_word"] + 1).cast("int"), s["words"].cast("int")))
+    whole = F.col("taken") == F.col("size")
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(cut), " "))
-    made = keyed.join(spans, "_mix_uid").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*[f"`{c}`" for c in docs.columns])
+    made = keyed.join(spans, "uid").withColumn("text", text)
+    held = {c: F.col(c) for c in own} | {c: F.col("rest")[c] for c in others}
+    if "n_chars" in others:
+        held["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return made.select(*[held[c].alias(c) for c in docs.columns])
 
 
 def _slots(sources: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from recollect.llm.common import free_name
 from recollect.llm.components import connected_components
 from recollect.sources.tables import stage
 
@@ -333,18 +334,19 @@ def one_of_each_group(
     Among rows of that id the choice is by a hash of the row; of rows that are equal in all columns one stays.
     """
     others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
-    keyed = docs.withColumn("_near_row", F.xxhash64(others, F.col(f"`{text_col}`")))
-    counted = keyed.groupBy(F.col(f"`{id_col}`").alias("id"), F.col("_near_row").alias("row")).agg(F.count(F.lit(1)).alias("n"))
-    texts = keyed.select(F.col("_near_row").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    row, n = free_name(docs, "_near_row"), free_name(docs, "_near_n")
+    keyed = docs.withColumn(row, F.xxhash64(others, F.col(f"`{text_col}`")))
+    counted = keyed.groupBy(F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    texts = keyed.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text"))
     groups = find(texts, "row", "text").select("row", "component_id").distinct()
     members = groups.join(stage(counted, "distinct-rows"), "row")
     first = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "row", "n"))
     kept = members.groupBy("component_id").agg(first.alias("first")).select(
-        F.col("first.row").alias("_near_row"), F.col("first.n").alias("_near_n")
+        F.col("first.row").alias(row), F.col("first.n").alias(n)
     )
     # By sorting at every size: most rows are kept, so that what a small input would broadcast grows with it.
-    found = keyed.join(stage(kept, "kept-rows").hint("merge"), "_near_row")
+    found = keyed.join(stage(kept, "kept-rows").hint("merge"), row)
     # Rows repeated in every column are few; only those are brought together.
-    once = found.filter("_near_n = 1")
-    again = found.filter("_near_n > 1").dropDuplicates(["_near_row"])
+    once = found.filter(F.col(n) == 1)
+    again = found.filter(F.col(n) > 1).dropDuplicates([row])
     return once.unionByName(again).select(*[f"`{c}`" for c in docs.columns])

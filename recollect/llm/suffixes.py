@@ -1,22 +1,24 @@
 """Repeated byte strings by prefix doubling over a sparse suffix array.
 
-The rank of a position stands for the bytes that follow it; positions of equal rank are found by
-sorting (rank, position) in Spark. Ranks of twice the length are made of pairs: the rank of a position
-and that of the position one length further on. Positions whose rank is unique drop out before the
-next step. Three things keep the rows few:
-
-* Doubling starts at half the threshold, from Rabin-Karp fingerprints, and at anchors only: the
-  smallest hashed byte string within each half-threshold of text. Equal strings of the
-  full threshold hold an anchor at the same place, followed by half a threshold of equal text.
+The rank of a position stands for the bytes that follow it. Doubling starts from ranks of a short length, Rabin-Karp
+fingerprints. The rank of twice the length is made of a pair: the rank of a position and that of
+the position one length further on. In each round Spark deals the ranks to ranges, each range is sorted, and
+positions whose rank is unique drop out before the next round, until the threshold is passed. For
+200 bytes the offsets are 25, 50 and 100. Three things keep what is sorted small:
+
+* All rounds but the last are at anchors only: the smallest hashed byte string within each half-threshold of
+  text. Equal strings of the full threshold hold an anchor at the same place, followed by half a threshold
+  of equal text.
 * An anchor whose whole surroundings are repeated settles all strings around it at once; one of
   those equal surroundings goes on, to be met by others.
-* Ranks travel as sorted fingerprints and answers as bits (see ``exchange``).
+* Ranks are 64-bit numbers that are not made dense, positions stay with their text, and answers come as bits (see
+  ``exchange``): a rank is unique or not, which is all that the next round asks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,16 @@ GRAM = 8  # bytes hashed to choose anchors
 _U = np.uint64
 
 
+def lengths(length: int) -> list[int]:
+    """The lengths of ranks: halves of ``length``, down to an eighth if it divides evenly."""
+    out = [length]
+    while len(out) < 4 and out[0] % 2 == 0:
+        out.insert(0, out[0] // 2)
+    return out
+
+
 class Slice:
-    """Anchors and rolling hashes of some documents of a chunk."""
+    """Anchors and ranks of some documents of a chunk."""
 
     def __init__(self, data: bytes, sizes: np.ndarray, at: int, end: int, length: int) -> None:
         self.length, self.half = length, length // 2
@@ -58,7 +68,6 @@ class Slice:
         self.count = np.diff(np.append(first, len(anchor)))
         self.anchor, self.first = anchor[first], first
         lo, hi = self.starts[first], self.starts[first] + self.count - 1
-        self.half_rank = ex.mixed(self.rolling.of(self.anchor, self.anchor + self.half))
         where = (self.anchor - lo).astype(np.uint64) << _U(32) | self.count.astype(np.uint64)
         self.around_rank = ex.mixed(self.rolling.of(lo, hi + length) ^ ex.mixed(where + _U(1)))
 
@@ -72,12 +81,14 @@ class Slice:
             have += step
         return out
 
-    def ranks(self, which: np.ndarray) -> np.ndarray:
-        """Ranks of the full length at ``which`` of the starts, as pairs of ranks of half of it."""
-        start = self.starts[which]
-        left = self.rolling.of(start, start + self.half)
-        right = self.rolling.of(start + self.half, start + self.length)
-        return ex.mixed(left * _U(3) + ((right << _U(31)) | (right >> _U(33))))
+    def ranks(self, length: int) -> np.ndarray:
+        """Ranks of ``length`` (of ``lengths``) by position: of the shortest as fingerprints, of others as pairs of ranks of half of it."""
+        steps = lengths(self.length)
+        rank = self.rolling.windows(steps[0])
+        for half in steps[: steps.index(length)]:
+            left, right = rank[: len(rank) - half], rank[half:]
+            rank = ex.mixed(left * _U(3) + ((right << _U(31)) | (right >> _U(33))))
+        return rank
 
 
 def _slices(data: bytes, sizes: np.ndarray, length: int) -> Iterator[Slice]:
@@ -87,44 +98,80 @@ def _slices(data: bytes, sizes: np.ndarray, length: int) -> Iterator[Slice]:
             yield part
 
 
-def _anchor_ranks(data: bytes, sizes: np.ndarray, length: int) -> np.ndarray:
-    none = np.empty(0, np.uint64)
-    return np.concatenate([none, *[x for s in _slices(data, sizes, length) for x in (s.half_rank, s.around_rank)]])
+class Judged:
+    """What the answers so far say about a chunk: the anchors still open, and strings that are repeated for sure.
 
+    Rounds are numbered from 1; round r asks about the r-th of ``lengths`` after the first, those before
+    the last at anchors, that before the last about the surroundings of anchors, too.
+    """
 
-class Judged:
-    """What the first answers say about each string of a chunk: repeated for sure, or to be ranked at full length."""
+    def __init__(self, data: bytes, sizes: np.ndarray, answers: pa.Table | None, length: int, rounds: int) -> None:
+        """``rounds``: how many rounds at anchors have been answered."""
+        self.parts = list(_slices(data, sizes, length))
+        self.length, self.steps = length, anchor_steps(length)
+        self.open = [np.ones(len(s.anchor), bool) for s in self.parts]
+        self.sure: list[np.ndarray] = []  # byte positions in the chunk
+        for r, step in enumerate(self.steps[:rounds], 1):
+            self._answer(answers, r, step)
 
-    def __init__(self, data: bytes, sizes: np.ndarray, answers: pa.Table, length: int) -> None:
-        parts = list(_slices(data, sizes, length))
+    def asked(self, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks of open anchors, of their surroundings or nothing) in the order of the parts."""
         none = np.empty(0, np.uint64)
-        half = np.concatenate([none, *[s.half_rank for s in parts]])
-        around = np.concatenate([none, *[s.around_rank for s in parts]])
-        values, counts = np.unique(np.concatenate([half, around]), return_counts=True)
-        earlier, elsewhere = ex.answered(answers, 1)
+        ranks = [s.ranks(step)[s.anchor[o]] for s, o in zip(self.parts, self.open) if o.any()]
+        around = [s.around_rank[o] for s, o in zip(self.parts, self.open)] if step == self.steps[-1] else []
+        return np.concatenate([none, *ranks]), np.concatenate([none, *around])
+
+    def _answer(self, answers: pa.Table, round_: int, step: int) -> None:
+        rank, around = self.asked(step)
+        values, counts = np.unique(np.concatenate([rank, around]), return_counts=True)
+        earlier, elsewhere = ex.answered(answers, round_)
         again = elsewhere | (counts > 1)
-        half_again = again[np.searchsorted(values, half)]
-        spot = np.searchsorted(values, around)
-        around_again = again[spot]
-        # One of equal surroundings is the first of all: it stands for them in the next step.
-        first = np.zeros(len(around), bool)
-        first[np.unique(around, return_index=True)[1]] = True
-        first &= ~earlier[spot] if len(spot) else first
-        goes_on = half_again & (~around_again | first)
-        self.sure: list[np.ndarray] = []  # byte positions in the chunk
-        self.open: list[np.ndarray] = []
-        self.open_ranks: list[np.ndarray] = []
+        goes_on = again[np.searchsorted(values, rank)]
+        if step == self.steps[-1]:
+            spot = np.searchsorted(values, around)
+            around_again = again[spot]
+            # One of equal surroundings is the first of all: it stands for them in the last round.
+            first = np.zeros(len(around), bool)
+            first[np.unique(around, return_index=True)[1]] = True
+            first &= ~earlier[spot] if len(spot) else first
+            goes_on &= ~around_again | first
         a = 0
-        for s in parts:
-            b = a + len(s.anchor)
-            on = np.flatnonzero(np.repeat(goes_on[a:b], s.count))
-            self.sure.append(s.starts[np.repeat(around_again[a:b], s.count)] + s.at)
-            self.open.append(s.starts[on] + s.at)
-            self.open_ranks.append(s.ranks(on))
+        for n, (s, o) in enumerate(zip(self.parts, self.open)):
+            at = np.flatnonzero(o)
+            b = a + len(at)
+            if step == self.steps[-1]:
+                whole = np.zeros(len(o), bool)
+                whole[at] = around_again[a:b]
+                self.sure.append(s.starts[np.repeat(whole, s.count)] + s.at)
+            o[at] = goes_on[a:b]
             a = b
 
-    def ranks(self) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.uint64), *self.open_ranks])
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """(byte positions, ranks of the full length) of the strings that open anchors stand for."""
+        at, ranks = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for s, o in zip(self.parts, self.open):
+            if o.any():
+                start = s.starts[np.repeat(o, s.count)]
+                at.append(start + s.at)
+                ranks.append(s.ranks(self.length)[start])
+        return np.concatenate(at), np.concatenate(ranks)
+
+
+def anchor_steps(length: int) -> list[int]:
+    """Lengths of the rounds at anchors."""
+    return lengths(length)[1:-1] or lengths(length)[:1]
+
+
+def _next(length: int, rounds: int, step: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """States the ranks of ``step`` of what is open after ``rounds`` rounds."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        _, sizes, data = ex.opened(chunk)
+        judged = Judged(data, sizes, answers, length, rounds)
+        ranks = judged.strings()[1] if step == length else np.concatenate(judged.asked(step))
+        return ex.stated(chunk.column("chunk")[0].as_py(), ex.distinct(ranks), bits)
+
+    return run
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,18 +187,20 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
         raise ValueError(f"length must be even and {2 * GRAM} at least")
     chunks = ex.make_chunks(docs, CHUNK_BYTES, False, id_col, text_col)
     total = ex.total_bytes(chunks)
-    # Anchors come about twice in each half-length; each states two ranks.
-    stated = ex.state_all(chunks, lambda data, sizes: _anchor_ranks(data, sizes, length), ex.part_bits(8 * total // length))
-    first = ex.counted(stated, 1)
-    bits = ex.part_bits(total // 4)
-
-    def double(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        _, sizes, data = ex.opened(chunk)
-        ranks = Judged(data, sizes, answers, length).ranks()
-        return ex.stated(chunk.column("chunk")[0].as_py(), ex.distinct(ranks), bits)
-
     by_chunk = chunks.groupBy("chunk")
-    second = ex.counted(by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(double, ex.PARTS), 2)
+    steps = anchor_steps(length)
+    bits = ex.part_bits(8 * total // length)  # anchors come about twice in each half-length
+    flags: DataFrame | None = None
+    for round_, step in enumerate(steps, 1):
+        if flags is None:
+            stated = ex.state_all(chunks, lambda data, sizes, step=step: np.concatenate(Judged(data, sizes, None, length, 0).asked(step)), bits)
+        else:
+            stated = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(_next(length, round_ - 1, step, bits), ex.PARTS)
+        answers = ex.counted(stated, round_)
+        flags = answers if flags is None else flags.unionByName(answers)
+    last = len(steps) + 1
+    stated = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(_next(length, len(steps), length, ex.part_bits(total // 4)), ex.PARTS)
+    flags = flags.unionByName(ex.counted(stated, last))
     kinds = {
         "id": pa.int64(),
         "n_bytes": pa.int64(),
@@ -166,14 +215,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
 
     def remove(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sizes, data = ex.opened(chunk)
-        judged = Judged(data, sizes, answers, length)
-        ranks = judged.ranks()
+        judged = Judged(data, sizes, answers, length, len(steps))
+        at, ranks = judged.strings()
         _, which, counts = np.unique(ranks, return_inverse=True, return_counts=True)
-        _, elsewhere = ex.answered(answers, 2)
+        _, elsewhere = ex.answered(answers, last)
         again = (elsewhere | (counts > 1))[which] if len(ranks) else np.empty(0, bool)
         depth = np.zeros(len(data) + 1, np.int32)
-        opened = np.concatenate([np.empty(0, np.int64), *judged.open])[again]
-        for start in (*judged.sure, opened):
+        for start in (*judged.sure, at[again]):
             depth[start] = 1
         # A byte is covered if a repeated string started among the last ``length`` bytes of its document;
         # no string crosses into the next.
@@ -200,5 +248,5 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
         return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
 
     return (
-        by_chunk.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)
+        by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)
     )

@@ -1,16 +1,17 @@
 """Exact k best inner products by dual-tree search over cover trees.
 
 Vectors are dealt into blocks of near ones and each block becomes a tree: the children of a node
-are centres picked farthest first, each with the points nearest to it and the exact radius
+are centres picked farthest first, FANOUT at most, each with the points nearest to it and the exact radius
 that covers them. Queries become trees in the same way. A pair of nodes is passed over when no
 inner product between points of the two balls can reach the worst k-th score held by a query
 of the group. The query set meets all rows in chunks of bounded size, each chunk against every
-block.
+block, by a Spark join; no query comes to the driver.
 """
 
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,7 +239,6 @@ def top_inner_products(
     components take no part; shorter vectors count as filled up with zeros. Scores must fit 64
     bits. No queries or no candidates give no rows.
     """
-    spark = vectors.sparkSession
     rows = stage(integers(vectors, id_col, vec_col, scale), "vectors")
     low = rows.withColumn("at", F.xxhash64("uid")).filter(about(F.xxhash64("uid"), SAMPLE, rows.count()))
     sample = low.orderBy("at").limit(SAMPLE).collect()  # fits the pivots; the search covers all rows
@@ -247,15 +247,10 @@ def top_inner_products(
     pivots = seen[farthest_first(seen.astype(np.float64), PIVOTS)[0]] if len(seen) else np.zeros((1, 1), np.int64)
     data = _trees(rows, pivots, block, "data")
     asked = _trees(rows.filter(is_query), pivots, 512, "queries")
-    chunks, size = [[]], 0
-    found = None
-    for r in asked.toLocalIterator():  # one chunk at a time
-        if size and size + r["n"] > chunk:
-            found = _united(found, _search(spark, data, chunks[-1], seen, seen_uid, k))
-            chunks, size = [[]], 0
-        chunks[-1].append(bytes(r["tree"]))
-        size += r["n"]
-    found = _united(found, _search(spark, data, chunks[-1], seen, seen_uid, k))
+    n = max(math.ceil((asked.agg(F.sum("n")).first()[0] or 0) / chunk), 1)
+    dealt = asked.groupBy(F.pmod(F.xxhash64("tree"), F.lit(n)).cast("int").alias("chunk"))
+    chunks = stage(dealt.agg(F.collect_list("tree").alias("trees")), "query-chunks")
+    found = _search(data, chunks, n, seen, seen_uid, k)
     best = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "uid")
     return (
         found.withColumn("rank", F.row_number().over(best))
@@ -264,27 +259,46 @@ def top_inner_products(
     )
 
 
-def _united(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+def _search(data: DataFrame, chunks: DataFrame, n: int, seen: np.ndarray, seen_uid: np.ndarray, k: int) -> DataFrame:
+    """The k best of each partition for every chunk (chunk, trees) of queries.
 
-
-def _search(spark, data: DataFrame, trees: list[bytes], seen: np.ndarray, seen_uid: np.ndarray, k: int) -> DataFrame:
-    """The k best of each partition of ``data`` for one chunk of queries."""
-    sent = spark.sparkContext.broadcast((trees, seen, seen_uid))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed, sample, sample_uid = sent.value
+    Each tree of data meets each of the ``n`` chunks by a join on the chunk's number. A task goes through the pairs
+    chunk by chunk and holds the trees and the k best of one chunk.
+    """
+    sent = data.sparkSession.sparkContext.broadcast((seen, seen_uid))  # SAMPLE rows
+    wide = max(data.sparkSession.sparkContext.defaultParallelism, 1)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long")))
+    dealt = data.select("tree", numbers.alias("chunk")).withColumn("lane", F.pmod(F.xxhash64("tree"), F.lit(wide)))
+    # In a lane the chunk comes first, then the trees of data that it meets.
+    rows = dealt.select("lane", "chunk", F.lit(1).alias("kind"), F.array("tree").alias("trees"))
+    rows = rows.unionByName(chunks.select(lanes.alias("lane"), "chunk", F.lit(0).alias("kind"), "trees"))
+    rows = rows.repartition(wide, "lane").sortWithinPartitions("lane", "chunk", "kind")
+
+    def opened(packed) -> list:
         groups = []
+        sample, sample_uid = sent.value
         for q in map(Tree.load, packed):
             scores = products(q.vec, sample)
             scores[q.uid[:, None] == sample_uid] = np.iinfo(np.int64).min
             floor = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q.uid), np.iinfo(np.int64).min)
             groups.append((q, Best(q.uid, k), floor))
+        return groups
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups, of = [], None
         for batch in batches:
-            for d in batch["tree"]:
-                d = Tree.load(d)
-                for q, best, floor in groups:
-                    dual_search(q, d, best, floor)
+            for here, kind, trees in zip(zip(batch["lane"], batch["chunk"]), batch["kind"], batch["trees"]):
+                if kind == 0:
+                    yield from closed(groups)
+                    groups, of = opened(trees), here
+                elif here == of:  # a chunk can be without queries
+                    d = Tree.load(trees[0])
+                    for q, best, floor in groups:
+                        dual_search(q, d, best, floor)
+        yield from closed(groups)
+
+    def closed(groups: list) -> Iterator[pd.DataFrame]:
         for q, best, floor in groups:
             i, j = np.nonzero((best.hit >= 0) & (best.score >= floor[:, None]))
             if not len(i):
@@ -295,4 +309,4 @@ def _search(spark, data: DataFrame, trees: list[bytes], seen: np.ndarray, seen_u
                 {"query_uid": q.uid[i], "query_id": q.id[i], "vec_id": vec_id, "score": best.score[i, j], "uid": best.hit[i, j]}
             )
 
-    return data.select("tree").mapInPandas(run, "query_uid long, query_id long, vec_id long, score long, uid long")
+    return rows.mapInPandas(run, "query_uid long, query_id long, vec_id long, score long, uid long")

@@ -138,7 +138,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def _field(header: Column, name: str) -> Column:
     found = F.regexp_extract(header, rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    return F.when(found != "", found)
+    return F.when(header.rlike(rf"\r\n{name}: "), found)
 
 
 def parse_records(records: DataFrame) -> DataFrame:

@@ -102,17 +102,26 @@ def repeated_windows(docs: list[tuple[int, str | None]], window: int) -> list[tu
 
 
 def copies(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], least: float = 0.8) -> dict:
-    """(doc, item) -> (start, similarity) of the most similar window of item size."""
+    """(doc, item) -> (start, similarity) of the most similar window of item size; for an item of fewer than five words, of its first copy."""
 
-    def shingles(text):
-        w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    def cut(text):
+        return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+
+    def shingles(w):
         return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
 
     out = {}
     for item, text in items:
-        b = shingles(text)
+        b = shingles(cut(text))
+        n = len(cut(text))
         for doc, body in docs:
-            a = shingles(body)
+            if 0 < n < 5:
+                w = cut(body)
+                found = [i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) == b[0]]
+                if found:
+                    out[doc, item] = (found[0], 1.0)
+                continue
+            a = shingles(cut(body))
             width = min(len(a), len(b))
             for start in range(len(a) - width + 1) if width else ():
                 both = sum((collections.Counter(a[start : start + width]) & collections.Counter(b)).values())
@@ -162,3 +171,78 @@ def similar_groups(docs: list[tuple[int, str | None]], least: float = 0.8) -> di
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in sets}
+
+
+def spellings(docs: list[tuple[int | None, str | None]]) -> dict:
+    """word -> (form, root, n, n_near, form_n)."""
+    n: collections.Counter = collections.Counter()
+    for key, text in docs:
+        for run in regex.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            word = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{word}".encode())
+            if h % 31 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            if len(word) >= 7:
+                n[word] += 1
+    n = {w: c for w, c in n.items() if c >= 2}
+
+    def near(a: str, b: str) -> bool:
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        short, long = sorted((a, b), key=len)
+        return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    neighbours: dict = {w: [] for w in n}
+    for a, b in itertools.combinations(n, 2):
+        if abs(len(a) - len(b)) < 2 and near(a, b):
+            neighbours[a].append(b)
+            neighbours[b].append(a)
+    form = {}
+    for w, others in neighbours.items():
+        best = min(others, key=lambda o: (-n[o], o), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+
+    def root(w: str) -> str:
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), c, len(neighbours[w]), n[form[w]] if form[w] else None) for w, c in n.items()}
+
+
+def measures(text: str | None) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    w = [x for x in regex.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    seen: set = set()
+    again = 0
+    for line in (text or "").split("\n"):
+        if regex.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    runs = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    inside = {i + k for i in range(len(w) - 4) if runs[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(w), sum(map(len, w)), symbols, again, len(inside), len(w) < 10 or 100 * len(inside) > 20 * len(w)
+
+
+def codes(rows: list[tuple], parts: int, entries: int, rounds: int) -> tuple[list, list]:
+    """([(id, code, error)], codebooks by part) of (id, integers), in whole numbers of any size."""
+    width = len(rows[0][1]) // parts
+    cut = [[tuple(v[p * width : (p + 1) * width]) for p in range(parts)] for _, v in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))[:entries]
+    books = [[cut[i][p] for i in order] for p in range(parts)]
+
+    def nearest(p: int, x: tuple) -> tuple[int, int]:
+        return min((sum((a - b) ** 2 for a, b in zip(x, c)), e) for e, c in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            mine = [nearest(p, c[p])[1] for c in cut]
+            new = []
+            for e, old in enumerate(books[p]):
+                own = [c[p] for c, m in zip(cut, mine) if m == e]
+                new.append(tuple(sum(x) // len(own) for x in zip(*own)) if own else old)
+            books[p] = new
+    out = []
+    for (i, _), c in zip(rows, cut):
+        best = [nearest(p, c[p]) for p in range(parts)]
+        out.append((i, "".join(f"{e:02x}" for _, e in best), sum(d for d, _ in best)))
+    return out, books
