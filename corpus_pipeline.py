@@ -16,9 +16,11 @@ SHARDS = 8
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the given ones name; those without letters go, and those like none of the languages."""
     model = language.train(docs, F.lit(True))
-    marked = language.with_language(docs, model, familiar_col="_familiar")
-    sure = (F.col("lang_pred") != language.UNDETERMINED) & F.col("_familiar")
-    return marked.filter(sure).select(*docs.columns)
+    # The documents travel as one column, so that nothing of theirs is taken for what is added.
+    held = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    marked = language.with_language(held, model, familiar_col="familiar")
+    sure = (F.col("lang_pred") != language.UNDETERMINED) & F.col("familiar")
+    return marked.filter(sure).select("document.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
