@@ -329,6 +329,7 @@ def statements(grid) -> dict[str, str]:
         JOIN (SELECT term, {grams} FROM terms WHERE length(term) >= 3) b USING (gram)
         WHERE abs(length(a.term) - length(b.term)) <= 1
           AND levenshtein({_fold('a.term')}, {_fold('b.term')}) <= 1""", "qterm", "terms")
+    out["in5_search_as_it_arrives"] = out["rt1_text_search"]
     out["rt1_pruned"] = out["rt1_blocks"] = out["rt1_text_search"]
     out["rt4_semantic_search"] = sql(f"SELECT {HIT} FROM ({_top('x_sum', 'semantic', 10)})", "x_sum")
     out["rt4_pruned"] = out["rt4_semantic_search"]
@@ -415,6 +416,8 @@ def statements(grid) -> dict[str, str]:
               FROM labelled0 WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))
         WHERE intent IN ('why', 'summarize', 'roadmap', 'reminder', 'schedule', 'confirm')""", "labelled0")
     out["cv9_stream_context"] = out["cv5_clue_state"]
+    out["cv9_live_answers"] = sql("""SELECT conv_id, turn, 'term' AS part, '' AS name, term AS value FROM context
+        UNION ALL SELECT conv_id, turn, 'clue', slot, value FROM user_state""", "context", "user_state")
 
     out["ac1_summarize"] = sql("""SELECT query_id, pos::BIGINT AS pos, image_id, sentence, weight FROM (
             SELECT query_id, image_id, sno, weight, row_number() OVER (
@@ -433,6 +436,8 @@ def statements(grid) -> dict[str, str]:
     out["ac7_create_events"] = sql("""SELECT proposal_id, kind, strftime(day, '%Y-%m-%d') AS day, title
         FROM proposals WHERE day(day) <= 15""", "proposals")
 
+    out["ac7_streamed_events"] = out["ac7_create_events"]
+
     out["hi1_timeline"] = sql("""SELECT strftime(b, '%Y-%m') AS bucket, count(*) AS items FROM (
         SELECT date_trunc('month', ts) AS b FROM events UNION ALL SELECT NULL FROM items) GROUP BY ALL""", "items")
     out["hi2_history_summary"] = """SELECT user_id, event_type AS kind, count(*) AS events,

@@ -20,9 +20,10 @@ from recollect.operators import (
     retrieval as rt,
     signals as sg,
 )
+from recollect.plans import segments
 from recollect.schemas import SLOTS
 from recollect.sources import archive, tables
-from recollect.streaming import arrivals, live
+from recollect.streaming import arrivals, events, live
 
 START = dt.date(2025, 1, 6)
 DAYS = 3
@@ -147,6 +148,15 @@ def in5(spark, sf):
     return taken.select("image_id", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def in5_search(spark, sf):
+    """Items arrive in five drops, are indexed as they come, and all are searched."""
+    incoming, out, ckpt, grown = (fresh_path(spark, n) for n in ("incoming", "taken", "progress", "segments"))
+    for drop in range(5):
+        A.items(spark, sf).filter(F.pmod(F.xxhash64("image_id"), F.lit(5)) == drop).coalesce(1).write.mode("append").parquet(incoming)
+    arrivals.stream_ingest(spark, incoming, out, ckpt, A.DIM, files_per_batch=1, index=grown).awaitTermination()
+    return whole(segments.search_segments(A.query_terms(spark, sf), grown).select(*HIT), "rank")
+
+
 # Signals
 
 
@@ -497,6 +507,32 @@ def cv9(spark, sf):
     return spark.read.parquet(out).select("conv_id", "turn", "slot", "value")
 
 
+def _streamed(spark, rows, name, make, parts, ckpt, out):
+    """``make`` of a stream of ``rows`` that arrive by ``parts``, written to ``out``."""
+    incoming = fresh_path(spark, name)
+    for part in parts:
+        rows.filter(part).coalesce(1).write.mode("append").parquet(incoming)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = make(arriving).writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+        stream.outputMode("append").format("parquet").start(out).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
+def cv9_live(spark, sf):
+    """All turns as a stream, some of them late; what is left after all changes must be the batch context and clue state."""
+    out, ckpt = fresh_path(spark, "answers"), fresh_path(spark, "progress")
+    user = A.labelled(spark, sf).filter("role = 'user'")
+    rows = tables.stage(live.said_turns(user, _clues(spark, sf)), "said")
+    late = ("turn % 4 = 2", "turn % 4 = 0 AND conv_id % 2 = 0", "turn % 4 <> 2 AND NOT (turn % 4 = 0 AND conv_id % 2 = 0)")
+    _streamed(spark, rows, "turns", live.stream_answers, late, ckpt, out)
+    return live.settled(spark.read.parquet(out))
+
+
 # Actions
 
 
@@ -558,6 +594,19 @@ def ac7(spark, sf):
     return spark.read.parquet(path).select("proposal_id", "kind", F.date_format("day", "yyyy-MM-dd").alias("day"), "title")
 
 
+def ac7_streamed(spark, sf):
+    """Confirmations arrive in overlapping drops, on two streams."""
+    made = tables.stage(_proposals(spark, sf), "proposals")
+    incoming, path = fresh_path(spark, "confirmations"), fresh_path(spark, "events")
+    answers = _confirmations(made)
+    for drop in ("proposal_id < '8'", "proposal_id > '4'", "true"):
+        answers.filter(drop).coalesce(1).write.mode("append").parquet(incoming)
+    for writer in ("one", "two"):
+        arriving = spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+        events.stream_events(arriving, made, path, fresh_path(spark, "progress"), writer).awaitTermination()
+    return events.read_events(spark, path).select("proposal_id", "kind", F.date_format("day", "yyyy-MM-dd").alias("day"), "title")
+
+
 # History and evaluation
 
 
@@ -609,6 +658,7 @@ QUERIES = {
     "in3_validate": in3,
     "in4_provenance_audit": in4,
     "in5_stream_ingest": in5,
+    "in5_search_as_it_arrives": in5_search,
     "in6_land_source": in6,
     "in7_status_rollup": in7,
     "in8_write_read_latest": in8,
@@ -658,6 +708,7 @@ QUERIES = {
     "cv7_triggered": cv7,
     "cv8_bind_actions": cv8,
     "cv9_stream_context": cv9,
+    "cv9_live_answers": cv9_live,
     "ac1_summarize": ac1,
     "ac2_roadmap": ac2,
     "ac3_schedule": ac3,
@@ -665,6 +716,7 @@ QUERIES = {
     "ac5_propose": ac5,
     "ac6_confirmed": ac6,
     "ac7_create_events": ac7,
+    "ac7_streamed_events": ac7_streamed,
     "hi1_timeline": hi1,
     "hi2_history_summary": hi2,
     "hi3_viewed_before": hi3,

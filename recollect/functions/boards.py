@@ -216,6 +216,51 @@ def count_ahead(grid: Sequence[Sequence[float]]) -> Callable[[pa.Table], pa.Tabl
     return run
 
 
+PHRASE_ROW = "shelf long, qb long, ids array<long>, place array<long>, qn array<int>, off array<int>, size array<int>"
+PHRASE_HIT = "qb long, qn int, image_id long"
+# A place is the item's number on the shelf, and the position of a token in the low bits.
+POSITION_BITS = 32
+
+
+def phrase_hits(table: pa.Table) -> pa.Table:
+    """Items of a shelf that hold the phrases of a block, from rows of PHRASE_ROW.
+
+    A row with ``ids`` has the shelf's items, one with ``size`` how many words phrases ``qn`` have. The others have
+    the places of one term, and in which phrases it is wanted ``off`` words after their first. A phrase
+    is where all its terms stand, each so many words further on; the rarest term is looked at first.
+    """
+    lists = {n: _Lists(table, n) for n in ("ids", "place", "qn", "off", "size")}
+    ids = np.concatenate([np.empty(0, np.int64), *[lists["ids"].of(r) for r in np.flatnonzero(lists["ids"].sizes)]])
+    sized = np.flatnonzero(lists["size"].sizes)
+    need = np.zeros(int(lists["qn"].values.max(initial=-1)) + 1, np.int64)
+    for r in sized:
+        need[lists["qn"].of(r)] = lists["size"].of(r)
+    rows = np.flatnonzero(lists["place"].sizes)
+    whose = np.repeat(rows, lists["qn"].sizes[rows])
+    qn = np.concatenate([np.empty(0, np.int64), *[lists["qn"].of(r) for r in rows]]).astype(np.int64)
+    off = np.concatenate([np.empty(0, np.int64), *[lists["off"].of(r) for r in rows]]).astype(np.int64)
+    order = np.lexsort((lists["place"].sizes[whose], qn))
+    qn, off, whose = qn[order], off[order], whose[order]
+    phrase, first, count = np.unique(qn, return_index=True, return_counts=True)
+    whole = count == need[phrase]
+    out_q, out_i = [], []
+    for p, a, n in zip(phrase[whole].tolist(), first[whole].tolist(), count[whole].tolist()):
+        start = lists["place"].of(whose[a]) - off[a]
+        for r, o in zip(whose[a + 1 : a + n], off[a + 1 : a + n]):
+            held = lists["place"].of(r)
+            at = np.minimum(np.searchsorted(held, start + o), len(held) - 1)
+            start = start[held[at] == start + o]
+            if not len(start):
+                break
+        items = np.unique(start >> POSITION_BITS)
+        out_q.append(np.full(len(items), p))
+        out_i.append(items)
+    none = np.empty(0, np.int64)
+    q, i = np.concatenate([none, *out_q]), np.concatenate([none, *out_i])
+    qb = pa.array(np.full(len(q), table.column("qb")[0].as_py(), np.int64))
+    return pa.Table.from_arrays([qb, pa.array(q.astype(np.int32)), pa.array(ids[i] if len(i) else none)], names=["qb", "qn", "image_id"])
+
+
 # Pairs of blocks: a row holds a block of items and a block of queries, each as one list of numbers.
 
 

@@ -16,15 +16,6 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(1))
 
 
-def normal_form(text: Column | str) -> Column:
-    """Tokens joined by single blanks, with a blank at both ends.
-
-    ``normal_form(a)`` contains ``normal_form(b)`` exactly when the tokens of b
-    occur in a next to each other and in order.
-    """
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-
-
 def sentences(text: Column | str) -> Column:
     """Trimmed, non-empty sentences in order."""
     col = F.col(text) if isinstance(text, str) else text

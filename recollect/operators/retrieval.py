@@ -23,7 +23,7 @@ from recollect.functions.bounds import (
 )
 from recollect.operators import shelves
 from recollect.operators.signals import rare_weight, term_weight
-from recollect.plans.index import Index, known_fields, profile_of
+from recollect.plans.index import Index, known_fields, profile_of, slot_of
 from recollect.sources.tables import stage
 
 PLACES = 6
@@ -38,10 +38,9 @@ SUM_ROWS = 500_000_000
 # Share of the floor that terms left for later may make up. Any value below 1 is exact; a low
 # one reads more postings and leaves fewer items.
 WEAK_SHARE = 0.4
+PHRASE_BLOCK = 8192
 # Turn numbers of a segment that are searched together.
 TURN_PIECE = 256
-# Longest run of tokens that phrases are looked up by.
-RUN = 3
 
 
 def top_k(
@@ -308,56 +307,31 @@ def semantic_search(
 def phrase_match(phrases: DataFrame, index: Index, limit: int | None = None) -> DataFrame:
     """(query_id, image_id, phrase): items whose tokens hold the phrase, in order and unbroken.
 
-    ``phrases`` is (query_id, phrase). Texts are read once, cut into runs of tokens, and the
-    runs looked up by equality. A phrase of up to RUN tokens is one run. A longer one must
-    have all its runs in the item, and then the text is read again to see them in order.
+    ``phrases`` is (query_id, phrase), phrases of any length; one without a token matches nothing. No text is read: places
+    of the phrases' terms come from ``index.spots``, and are met at the distances that the phrase has.
     """
-    words = phrases.select("phrase").distinct().withColumn("_words", tx.tokens("phrase"))
-    words = words.filter(F.size("_words") > 0).withColumn("_n", F.least(F.size("_words"), F.lit(RUN)))
-    lengths = sorted(r["_n"] for r in words.select("_n").distinct().collect())  # RUN rows at most
-    wanted = words.select(
-        "phrase",
-        (F.size("_words") > RUN).alias("_long"),
-        F.explode(_runs_by_length(lengths)).alias("run"),
-    )
-    counts = wanted.groupBy("phrase").agg(F.count(F.lit(1)).alias("_need"))
-    wanted = lookup(wanted, counts, "phrase", limit=limit)
-    texts = index.items.filter(F.col("text").isNotNull()).select("image_id", "text")
-    # Tokens are a column of their own: inside the run expressions they would be cut anew per run.
-    runs = texts.select("image_id", tx.tokens("text").alias("_words")).select(
-        "image_id", F.explode(tx.word_runs(F.col("_words"), lengths)).alias("run")
-    )
-    found = in_blocks(
-        wanted,
-        "phrase",
-        lambda block: runs.join(block, "run")
-        .groupBy("image_id", "phrase", "_long", "_need")
-        .agg(F.count(F.lit(1)).alias("_have"))
-        .filter("_have = _need"),
-        limit,
-    )
-    found = stage(found.select("image_id", "phrase", "_long"), "phrases_found")
-    long = found.filter("_long")
-    images = broadcast_if_small(long.select("image_id").distinct(), limit)
-    read_again = texts.join(images, "image_id", "left_semi").select(
-        "image_id", tx.normal_form("text").alias("_text")
-    )
-    in_order = long.join(read_again, "image_id").filter(
-        F.contains(F.col("_text"), tx.normal_form("phrase"))
-    )
-    hits = found.filter("NOT _long").unionByName(in_order.drop("_text"))
+    words = phrases.select("phrase").distinct().withColumn("_words", tx.tokens("phrase")).filter(F.size("_words") > 0)
+    words = stage(words, "phrases")
+    numbers = shelves.numbered(words, "phrase", PHRASE_BLOCK)
+    said = words.join(broadcast_if_small(numbers, limit), "phrase")
+    each = said.select("qb", "qn", F.posexplode("_words").alias("off", "term"))
+    wanted = each.groupBy("qb", "term").agg(F.sort_array(F.collect_list(F.struct("qn", "off"))).alias("_q"))
+    wanted = stage(wanted.withColumn("slot", slot_of(F.col("term"), index.slots)), "phrase-terms")
+    sizes = said.groupBy("qb").agg(F.sort_array(F.collect_list(F.struct("qn", F.size("_words").alias("size")))).alias("_q"))
+    sizes = shelves.for_each_block(index.shelves.select("shelf"), numbers).join(broadcast_if_small(stage(sizes, "phrase-sizes"), limit), "qb")
+
+    def row(**given: Column | str) -> list[Column]:
+        kinds = (f.split() for f in boards.PHRASE_ROW.split(", "))
+        made = {"shelf": F.col("shelf"), "qb": F.col("qb")} | {n: F.col(c) if isinstance(c, str) else c for n, c in given.items()}
+        return [made.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds]
+
+    rows = index.spots.join(broadcast_if_small(wanted, limit), ["slot", "term"]).select(*row(place="place", qn="_q.qn", off="_q.off"))
+    rows = rows.unionByName(sizes.select(*row(qn="_q.qn", size="_q.size")))
+    rows = rows.unionByName(shelves.for_each_block(index.shelves, numbers).select(*row(ids="ids")))
+    hits = rows.groupBy("shelf", "qb").applyInArrow(boards.phrase_hits, boards.PHRASE_HIT)
+    found = shelves.named(hits, numbers, limit)
     asked = phrases.select("query_id", "phrase").distinct()
-    return hits.join(broadcast_if_small(asked, limit), "phrase").select(
-        "query_id", "image_id", "phrase"
-    )
-
-
-def _runs_by_length(lengths: Sequence[int]) -> Column:
-    """Runs of a phrase, all of the length of the phrase or of RUN, whichever is less."""
-    runs = F.array().cast("array<string>")
-    for n in lengths:
-        runs = F.when(F.col("_n") == n, tx.word_runs(F.col("_words"), [n])).otherwise(runs)
-    return runs
+    return found.join(broadcast_if_small(asked, limit), "phrase").select("query_id", "image_id", "phrase")
 
 
 def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:

@@ -30,14 +30,14 @@ def row(kind: int, **given: Column | str) -> list[Column]:
     return [made.get(n, F.lit(None)).cast(t).alias(n) for n, t in COLUMNS.items()]
 
 
-def blocks_for(queries: int) -> int:
-    return max(math.ceil(queries / QUERY_BLOCK), 1)
+def blocks_for(queries: int, size: int = QUERY_BLOCK) -> int:
+    return max(math.ceil(queries / size), 1)
 
 
-def numbered(queries: DataFrame, key: str = "query_id") -> DataFrame:
+def numbered(queries: DataFrame, key: str = "query_id", size: int = QUERY_BLOCK) -> DataFrame:
     """(key, qb, qn): every distinct key with its block and its number in it. Written, so that numbers stay."""
     ids = stage(queries.select(key).distinct(), "query-ids")
-    dealt = ids.withColumn("qb", F.pmod(F.xxhash64(key), F.lit(blocks_for(ids.count()))))
+    dealt = ids.withColumn("qb", F.pmod(F.xxhash64(key), F.lit(blocks_for(ids.count(), size))))
     order = Window.partitionBy("qb").orderBy(key)
     return stage(dealt.withColumn("qn", F.row_number().over(order) - 1), "numbers")
 

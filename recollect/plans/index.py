@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from recollect.functions import boards, text as tx
 from recollect.functions.bounds import lookup
 from recollect.operators import signals
 from recollect.sources.tables import stage, stage_bucketed, stage_parted
@@ -40,6 +41,8 @@ class Index:
     search reads of a shelf are the postings of its own terms, by the slot of the term:
 
     blocks    slot (a folder), shelf, term, at, bm, ltf, max_bm, max_ltf: postings of a term on a shelf as arrays
+    spots     slot (a folder), shelf, term, place: where a term stands on a shelf, the number of the item and in
+              the low bits (boards.POSITION_BITS) the position of the token, ascending
     shelves   shelf, ids: the items of a shelf, ascending; ``at`` counts among them
     facing    shelf, at, ids, units: the vectors of a shelf, one after the other
     sides     shelf, profile, at, known: the metadata profiles of a shelf; ``known`` is the map of fields
@@ -53,6 +56,7 @@ class Index:
     vectors: DataFrame
     places: DataFrame
     blocks: DataFrame
+    spots: DataFrame
     shelves: DataFrame
     facing: DataFrame
     sides: DataFrame
@@ -113,6 +117,17 @@ def build_blocks(post: DataFrame, places: DataFrame, slots: int, parts: int) ->
     ).sortWithinPartitions("slot", "term", "shelf")
 
 
+def build_spots(items: DataFrame, places: DataFrame, slots: int, parts: int) -> DataFrame:
+    """All places of each term on a shelf as one row; see ``build_blocks`` for ``parts``."""
+    texts = items.filter(F.col("text").isNotNull()).select("image_id", "text").join(places.select("image_id", "shelf", "at"), "image_id")
+    words = texts.select("shelf", "at", tx.tokens("text").alias("_words")).select("shelf", "at", F.posexplode("_words").alias("pos", "term"))
+    place = F.shiftleft(F.col("at").cast("long"), boards.POSITION_BITS) + F.col("pos")
+    rows = words.select(slot_of(F.col("term"), slots).alias("slot"), F.pmod("shelf", F.lit(parts)).alias("_part"), "shelf", "term", place.alias("place"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, slots * parts // 16)
+    lists = rows.repartition(tasks, "slot", "_part").groupBy("slot", "_part", "shelf", "term").agg(F.sort_array(F.collect_list("place")).alias("place"))
+    return lists.select("slot", "shelf", "term", "place").sortWithinPartitions("slot", "term", "shelf")
+
+
 def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index:
     """Build all tables from items. Texts are shuffled once, by image_id."""
     n = buckets or bucket_count(items)
@@ -161,6 +176,7 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
         vectors=vectors,
         places=places,
         blocks=stage_parted(build_blocks(post, places, slots, parts), "blocks", "slot"),
+        spots=stage_parted(build_spots(kept, places, slots, parts), "spots", "slot"),
         shelves=stage(shelves, "shelves"),
         facing=stage(facing, "facing"),
         sides=stage(sides, "sides"),

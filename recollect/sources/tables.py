@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -48,6 +49,28 @@ def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: str)
     return latest.select(*keys, "_row.*").select(*rows.columns)
 
 
+def unless_missing(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` reads, None where nothing was written yet."""
+    try:
+        return read()
+    except Exception as missing:
+        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+            return None
+        raise
+
+
+def other_folders(spark: SparkSession, path: str, own: Mapping[str, object]) -> DataFrame | None:
+    """The rows at ``path`` but for those in the folder that ``own`` names by column and value; None if there is no table yet.
+
+    A batch that is run again so finds only what others wrote.
+    """
+    table = unless_missing(lambda: spark.read.option("basePath", path).parquet(path))
+    if table is None:
+        return None
+    mine = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in own.items()])
+    return table.filter(~mine)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

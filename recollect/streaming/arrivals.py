@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from recollect.functions.bounds import broadcast_if_small
 from recollect.operators.intake import validate
+from recollect.plans.segments import add_segment, merge_segments
 from recollect.schemas import ITEMS
 from recollect.sources.archive import to_items
+from recollect.sources.tables import other_folders
 
 BATCH = "arrival"
 
@@ -21,12 +23,14 @@ def stream_ingest(
     dim: int | None = None,
     schema: T.StructType = ITEMS,
     files_per_batch: int = 1000,
+    index: str | None = None,
 ) -> StreamingQuery:
     """Take new files through the same path as an archive; each id is taken once.
 
     A batch is written to a folder of its own, named by the batch number. A batch that is
     run again after a failure overwrites its folder, and looks for known ids only in the
-    others.
+    others. With ``index`` each batch becomes a segment of the growing index at that path, and is found by
+    searches from then on; see ``plans.segments``.
     """
     arrivals = (
         spark.readStream.schema(schema)
@@ -38,6 +42,9 @@ def stream_ingest(
         accepted, rejected = validate(to_items(batch), dim)
         fresh = unseen(accepted, spark, f"{out}/items", number)
         fresh.write.mode("overwrite").parquet(f"{out}/items/{BATCH}={number}")
+        if index:
+            add_segment(spark.read.schema(fresh.schema).parquet(f"{out}/items/{BATCH}={number}"), index, f"{BATCH}-{number}")
+            merge_segments(spark, index)
         rejected.write.mode("overwrite").parquet(f"{out}/quarantine/{BATCH}={number}")
 
     return (
@@ -54,13 +61,10 @@ def unseen(accepted: DataFrame, spark: SparkSession, path: str, number: int) ->
     The ids of the batch go to the table, not the table to the batch: only ids that are
     in both are shuffled.
     """
-    try:
-        table = spark.read.option("basePath", path).parquet(path)
-    except Exception as missing:  # first batch
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-            return accepted
-        raise
-    earlier = table.filter(F.col(BATCH) != number).select("image_id")
+    others = other_folders(spark, path, {BATCH: number})
+    if others is None:
+        return accepted
+    earlier = others.select("image_id")
     ids = broadcast_if_small(accepted.select("image_id"))
     known = earlier.join(ids, "image_id", "left_semi").distinct()
     return accepted.join(known, "image_id", "left_anti")

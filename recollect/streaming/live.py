@@ -1,4 +1,4 @@
-"""Clue state of conversations while their turns arrive (CV9)."""
+"""Clue state and context of conversations while their turns arrive (CV9)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from recollect.functions import text as tx
+from recollect.operators.conversation import RETRIEVING
+
 STATE_OUT = "conv_id long, turn long, segment long, slot string, value string"
 
 
@@ -71,3 +74,94 @@ def clued(turns: DataFrame, clues: DataFrame) -> DataFrame:
     return turns.join(clues.select("conv_id", "turn", "slot", "value"), ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "intent", F.col("slot"), F.col("value")
     )
+
+
+LIVE_OUT = "conv_id long, turn long, part string, name string, value string, change int"
+
+
+class LiveContext(StatefulProcessor):
+    """Keeps what was said in one conversation by turn: searches, terms, clues, and which turns were answered.
+
+    The answer of a turn is its context (all terms of its search so far, for turns that search) and its clue
+    state. What arrives late changes the answers of turns after it: rows that no longer hold are
+    taken back (change -1) and new ones given (change 1), so that the changes add up to what one
+    batch of all turns would give. Turns before the earliest that arrived are not looked at.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._turns = handle.getMapState("turns", "turn long", "intent string")
+        self._said = handle.getMapState("said", "turn long, part string, name string, value string", "known boolean")
+
+    def _answers(self, since: int, turns: dict[int, str | None], said: dict[int, list[tuple[str, str, str]]]) -> set[tuple[int, str, str, str]]:
+        out: set[tuple[int, str, str, str]] = set()
+        terms: set[str] = set()
+        clues: dict[str, str] = {}
+        for turn in sorted(turns):
+            if turns[turn] == "search":
+                terms, clues = set(), {}
+            for part, name, value in said.get(turn, []):
+                if part == "term":
+                    terms.add(value)
+                else:
+                    clues[name] = value
+            if turn >= since:
+                if turns[turn] in RETRIEVING:
+                    out |= {(turn, "term", "", t) for t in terms}
+                out |= {(turn, "clue", slot, value) for slot, value in clues.items()}
+        return out
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        turns = {k[0]: v[0] for k, v in self._turns.iterator()}
+        said: dict[int, list[tuple[str, str, str]]] = {}
+        for (turn, part, name, value), _ in self._said.iterator():
+            said.setdefault(turn, []).append((part, name, value))
+        arrived = pd.concat(rows)
+        since = int(arrived["turn"].min())
+        before = self._answers(since, turns, said)
+        for turn, intent, part, name, value in zip(arrived["turn"], arrived["intent"], arrived["part"], arrived["name"], arrived["value"]):
+            turn = int(turn)
+            turns[turn] = intent
+            self._turns.updateValue((turn,), (intent,))
+            if part is not None and not pd.isna(part) and (part, name, value) not in said.setdefault(turn, []):
+                said[turn].append((part, name, value))
+                self._said.updateValue((turn, part, name, value), (True,))
+        after = self._answers(since, turns, said)
+        changes = [(key[0], *row, -1) for row in sorted(before - after)] + [(key[0], *row, 1) for row in sorted(after - before)]
+        yield pd.DataFrame(changes, columns=["conv_id", "turn", "part", "name", "value", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_answers(said: DataFrame) -> DataFrame:
+    """Changes (conv_id, turn, part, name, value, change) to the answers of user turns, from a stream of ``said_turns``.
+
+    ``part`` is "term" or "clue"; ``settled`` adds the changes up. Needs the RocksDB state store. The state holds what was
+    said in a conversation, each term of a turn once.
+    """
+    return said.groupBy("conv_id").transformWithStateInPandas(
+        statefulProcessor=LiveContext(), outputStructType=LIVE_OUT, outputMode="append", timeMode="None"
+    )
+
+
+def said_turns(turns: DataFrame, clues: DataFrame) -> DataFrame:
+    """The input layout of ``stream_answers`` from labelled user turns and their clues: (conv_id, turn, intent, part, name, value).
+
+    A turn without terms or clues is one row with a NULL part. Only turns that search have terms.
+    """
+    own = ["conv_id", "turn", "intent"]
+    terms = turns.filter(F.col("intent").isin(*RETRIEVING)).select(*own, F.explode(F.array_distinct(tx.tokens("text"))).alias("value"))
+    found = turns.select(*own).join(clues.select("conv_id", "turn", "slot", "value"), ["conv_id", "turn"])
+    none = F.lit(None).cast("string")
+    return (
+        terms.select(*own, F.lit("term").alias("part"), F.lit("").alias("name"), "value")
+        .unionByName(found.select(*own, F.lit("clue").alias("part"), F.col("slot").alias("name"), "value"))
+        .unionByName(turns.select(*own, none.alias("part"), none.alias("name"), none.alias("value")))
+    )
+
+
+def settled(changes: DataFrame) -> DataFrame:
+    """The answers that hold after all changes."""
+    sums = changes.groupBy("conv_id", "turn", "part", "name", "value").agg(F.sum("change").alias("held"))
+    return sums.filter("held > 0").drop("held")

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import random
 import uuid
 
+
 from recollect.functions import bounds
+from recollect.operators import retrieval as rt
+from recollect.plans import segments
+from recollect.plans.index import build_index
 from recollect.schemas import ITEMS
 from recollect.sources import tables
-from recollect.streaming import live
+from recollect.streaming import events, live
 from recollect.streaming.arrivals import stream_ingest
 
 
@@ -60,3 +65,91 @@ def test_late_turns_do_not_replace_newer_ones(spark):
         (4, 1): {"type": "notes", "topic": "third"},
         (5, 2): {"topic": "new"},
     }
+
+
+def test_growing_index_is_searched_as_one(spark):
+    """After every drop the search is that of an index of all items so far, before and after merging."""
+    base = f"{tables.shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, None, None, None, None, None, " ".join(rnd.choices(words, k=rnd.randint(1, 20))) if i % 7 else None, None) for i in range(60)]
+    asked = spark.createDataFrame([(q, f"w{q * 7 % 30 + j}", 1) for q in range(4) for j in range(4)] + [(9, "unknown", 1)], "query_id long, term string, tf long")
+    assert segments.search_segments(asked, base, 5).count() == 0
+    for drop in range(6):
+        segments.add_segment(spark.createDataFrame(rows[drop * 10 : drop * 10 + 10], ITEMS), base, f"drop-{drop}", slots=4)
+        segments.merge_segments(spark, base, most=2, slots=4)
+        if drop == 4:  # the same drop once more: it was merged by now, or is replaced
+            for again in (0, 4):
+                segments.add_segment(spark.createDataFrame(rows[again * 10 : again * 10 + 10], ITEMS), base, f"drop-{again}", slots=4)
+        if drop in (0, 2, 4, 5):
+            got = segments.search_segments(asked, base, 5, slots=4).collect()
+            want = rt.text_search(asked, build_index(spark.createDataFrame(rows[: drop * 10 + 10], ITEMS), 4, 1), 5).collect()
+            assert {(r["query_id"], r["image_id"], r["score"], r["rank"]) for r in got} == {(r["query_id"], r["image_id"], r["score"], r["rank"]) for r in want}
+    live_ones = segments.live_segments(spark, base)
+    assert len(live_ones) == 2 and sorted(n for s in live_ones for n in s.holds) == [f"drop-{i}" for i in range(6)]
+
+
+def test_events_are_created_once_by_replays_and_two_streams(spark):
+    base = f"{tables.shared_dir(spark)}/confirm-{uuid.uuid4().hex}"
+    made = spark.createDataFrame([(f"p{i}", "event", f"title {i}") for i in range(6)], "proposal_id string, kind string, title string")
+    schema = "proposal_id string, confirmed boolean"
+
+    def drop(*ids, yes=True):
+        spark.createDataFrame([(f"p{i}", yes) for i in ids], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+    def run(writer, ckpt):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        events.stream_events(stream, made, f"{base}/out", f"{base}/{ckpt}", writer).awaitTermination()
+        return sorted(r["proposal_id"] for r in events.read_events(spark, f"{base}/out").collect())
+
+    drop(0, 1, 1)
+    drop(1, 2)
+    drop(3, yes=False)
+    assert run("a", "first") == ["p0", "p1", "p2"]
+    assert run("a", "lost") == ["p0", "p1", "p2"]  # all batches once more, as after a lost checkpoint
+    assert run("b", "other") == ["p0", "p1", "p2"]
+    drop(3, 0)
+    assert run("a", "first") == ["p0", "p1", "p2", "p3"]
+    assert spark.read.parquet(f"{base}/out").count() == 4
+
+
+def test_late_turns_take_back_what_no_longer_holds(spark):
+    base = f"{tables.shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    turns = [(1, 0, "search", "osi notes"), (1, 1, "refine", "the handwritten one"), (1, 2, "search", "python error"), (1, 3, "refine", "red button"), (1, 4, "why", "why this")]
+    turns += [(2, t, "search" if t == 0 else "refine", f"a{t} b{t}") for t in range(6)]
+    said = spark.createDataFrame(turns, "conv_id long, turn long, intent string, text string")
+    clues = spark.createDataFrame([(1, 0, "type", "notes"), (1, 1, "look", "handwritten"), (1, 2, "type", "error"), (2, 3, "type", "b")], "conv_id long, turn long, slot string, value string")
+    rows = tables.stage(live.said_turns(said, clues))
+    rnd = random.Random(2)
+    order = [(c, t) for c, t, _, _ in turns]
+    rnd.shuffle(order)
+    order.sort(key=lambda o: o == (1, 2))  # a search that comes last of all
+    for a in range(0, len(order), 3):
+        part = " OR ".join(f"(conv_id = {c} AND turn = {t})" for c, t in order[a : a + 3])
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = live.stream_answers(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+        out = stream.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+        out.outputMode("append").format("parquet").start(f"{base}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    changes = spark.read.parquet(f"{base}/out")
+    assert changes.filter("change = -1").count() > 0
+    got = {(r["conv_id"], r["turn"], r["part"], r["name"], r["value"]) for r in live.settled(changes).collect()}
+    want = set()
+    for conv in (1, 2):
+        terms, state = set(), {}
+        for c, t, intent, text in turns:
+            if c != conv:
+                continue
+            if intent == "search":
+                terms, state = set(), {}
+            if intent != "why":
+                terms |= set(text.split())
+                want |= {(c, t, "term", "", w) for w in terms}
+            state |= {r["slot"]: r["value"] for r in clues.filter(f"conv_id = {c} AND turn = {t}").collect()}
+            want |= {(c, t, "clue", s, v) for s, v in state.items()}
+    assert got == want
