@@ -55,6 +55,7 @@ class Slice:
         self.starts = np.arange(many.sum()) - np.repeat(done - many, many) + np.repeat(ends - sizes, many)
         if not len(self.starts):
             return
+        self.ranked: tuple[int, np.ndarray] | None = None
         self.rolling = ex.Rolling(ex.byte_values()[chars])
         padded = np.concatenate([chars, np.zeros(GRAM, np.uint8)])
         grams = np.ndarray((n,), "<u8", padded, strides=(1,))
@@ -83,12 +84,14 @@ class Slice:
 
     def ranks(self, length: int) -> np.ndarray:
         """Ranks of ``length`` (of ``lengths``) by position: of the shortest as fingerprints, of others as pairs of ranks of half of it."""
-        steps = lengths(self.length)
-        rank = self.rolling.windows(steps[0])
-        for half in steps[: steps.index(length)]:
+        if self.ranked is None or self.ranked[0] > length:
+            shortest = lengths(self.length)[0]
+            self.ranked = shortest, self.rolling.windows(shortest)
+        while self.ranked[0] < length:  # rounds ask for growing lengths: each goes on from the one before
+            half, rank = self.ranked
             left, right = rank[: len(rank) - half], rank[half:]
-            rank = ex.mixed(left * _U(3) + ((right << _U(31)) | (right >> _U(33))))
-        return rank
+            self.ranked = 2 * half, ex.mixed(left * _U(3) + ((right << _U(31)) | (right >> _U(33))))
+        return self.ranked[1]
 
 
 def _slices(data: bytes, sizes: np.ndarray, length: int) -> Iterator[Slice]:
