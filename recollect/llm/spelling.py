@@ -10,7 +10,7 @@ further at most. So near words meet where a pivot of the one equals a bigram in
 Common syllables would still bring many words together. The edit lies on one side of the whole pivot;
 the other side is equal in both words, and so is one half of the side that has the edit. The key by
 which words meet holds all that, with length and place. It loses nothing: the key is stated for
-either side and either half. What meets is verified by edit distance.
+either side and either half. A side of SHORT letters or fewer is not cut. What meets is verified by edit distance.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from recollect.sources.tables import stage
 
 RUN = "[A-Za-z\\u00C0-\\u00FF]"  # fixed value: the letters of a word
 LETTERS = 26 + 64  # a to z, and the others as they are
+SHORT = 3  # letters of the side with the edit that few words differ in
+NO_END = np.iinfo(np.int64).max
 _U = np.uint64
 LEAST_LENGTH, LEAST_COUNT = 7, 2
 NOISE = 31  # one in so many (document, word) loses a letter
@@ -106,10 +108,13 @@ def pivots(places: list[int], weights: list[int]) -> tuple[int, int]:
     return pair
 
 
-def keys(roll: Rolling, first: np.ndarray, size: np.ndarray, at: np.ndarray, more: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+def keys(
+    roll: Rolling, first: np.ndarray, size: np.ndarray, at: np.ndarray, more: int, shift: int, since: np.ndarray | int = -1, until: np.ndarray | int = NO_END
+) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): where words meet others that are ``more`` letters longer, by their bigram at ``at``, which the others have ``shift`` further on.
 
-    The edit may be before the bigram if the shift is the difference in length, and behind it if the shift is 0.
+    The edit may be before the bigram, at ``since`` or later, if the shift is the difference in length, and behind
+    it, at ``until`` or earlier, if the shift is 0. The half that cannot have the edit is not stated as the one that has it.
     """
     out = []
     length, end = size + more, first + size
@@ -122,15 +127,21 @@ def keys(roll: Rolling, first: np.ndarray, size: np.ndarray, at: np.ndarray, mor
     if shift == more:  # all from the bigram on is equal
         there = at + shift
         half = np.maximum(there // 2, 0)
-        state(1, there >= 0, there, roll.of(first, first + half), roll.of(first + at, end))
+        cut = there > SHORT
+        equal = roll.of(first + at, end)
+        state(1, cut, there, roll.of(first, first + half), equal)
         second = roll.of(first + np.maximum(at - there + half, 0), end)
-        state(2, there >= 0, there, second, second)
+        state(2, cut & (since <= half), there, second, second)
+        state(3, (there >= 0) & ~cut, there, equal, equal)
     if shift == 0:  # all up to the bigram is equal
         rest = length - at - 2
         half = np.maximum(rest // 2, 0)
-        state(3, rest >= 0, at, roll.of(first, first + at + 2), roll.of(np.maximum(end - half, first), end))
+        cut = rest > SHORT
+        equal = roll.of(first, first + at + 2)
+        state(4, cut, at, equal, roll.of(np.maximum(end - half, first), end))
         second = roll.of(first, np.minimum(first + at + 2 + rest - half, end))
-        state(4, rest >= 0, at, second, second)
+        state(5, cut & (until >= at + 1 + rest - half), at, second, second)
+        state(6, (rest >= 0) & ~cut, at, equal, equal)
     return np.concatenate([r for r, _ in out]), np.concatenate([k for _, k in out])
 
 
@@ -163,7 +174,10 @@ def stated_keys(words: DataFrame) -> DataFrame:
             whose, at = np.array(whose, np.int64), np.array(at, np.int64)
             row, own = keys(roll, first[whose], size[whose], at, 0, 0)
             two, chosen = np.repeat(np.arange(len(size)), 2), np.array(chosen, np.int64)
-            asked = [keys(roll, first[two], size[two], chosen, more, shift) for more, shift in ((0, 0), (1, 0), (-1, 0), (1, 1), (-1, -1))]
+            # An edit before the first pivot is found by the first, one behind the second by the second: else it is between.
+            since, until = np.full(len(chosen), -1), np.full(len(chosen), NO_END)
+            since[1::2], until[::2] = chosen[::2], chosen[1::2] + 1
+            asked = [keys(roll, first[two], size[two], chosen, more, shift, since, until) for more, shift in ((0, 0), (1, 0), (-1, 0), (1, 1), (-1, -1))]
             rows, asks = two[np.concatenate([r for r, _ in asked])], np.concatenate([k for _, k in asked])
             lists = [_lists(len(size), whose[row], own), _lists(len(size), rows, asks)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["word", "own", "asked"])
