@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recollect.functions import text as tx
 from recollect.operators import conversation as cv
 from recollect.operators.ranking import QuerySet, hybrid_search, prepare
-from recollect.operators.retrieval import Codes, fit_cells, fit_codes
+from recollect.operators.retrieval import Codes, fit_cells, fit_codes, neighbour_keys
 from recollect.plans.index import Index, build_index
 from recollect.sources.archive import normalize, scan_archive
 from recollect.sources.tables import stage
@@ -172,6 +172,11 @@ def codes(spark: SparkSession, sf: str) -> Codes:
     return fit_codes(index(spark, sf).facing, index(spark, sf).vectors)
 
 
+@lru_cache(maxsize=None)
+def neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbour_keys(index(spark, sf).terms)
+
+
 @lru_cache(maxsize=None)
 def cells(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Centroids, and the vectors with their cells."""

@@ -276,7 +276,7 @@ def rt2(spark, sf):
 
 
 def rt3(spark, sf):
-    return rt.fuzzy_terms(A.query_terms(spark, sf), A.index(spark, sf).terms)
+    return rt.fuzzy_terms(A.query_terms(spark, sf), A.index(spark, sf).terms, stored=A.neighbours(spark, sf))
 
 
 def rt4(spark, sf):
@@ -321,7 +321,7 @@ def rt9(spark, sf):
 
 
 def rt9_top(spark, sf):
-    return whole(rt.metadata_top(A.query_filters(spark, sf), A.index(spark, sf).items, 10), "rank")
+    return whole(rt.metadata_best(A.query_filters(spark, sf), A.index(spark, sf), 10), "rank")
 
 
 def rt10(spark, sf):

@@ -23,8 +23,8 @@ from recollect.functions.bounds import (
 )
 from recollect.operators import shelves
 from recollect.operators.signals import rare_weight, term_weight
-from recollect.plans.index import Index, known_fields, profile_of, slot_of
-from recollect.sources.tables import stage
+from recollect.plans.index import FIRSTS, Index, field_slot, known_fields, profile_of, slot_of
+from recollect.sources.tables import of_slots, stage, stage_parted
 
 PLACES = 6
 # Block sizes of the nearest-vector search: rows of vectors and of queries that meet as matrices.
@@ -325,7 +325,7 @@ def phrase_match(phrases: DataFrame, index: Index, limit: int | None = None) ->
         made = {"shelf": F.col("shelf"), "qb": F.col("qb")} | {n: F.col(c) if isinstance(c, str) else c for n, c in given.items()}
         return [made.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds]
 
-    rows = index.spots.join(broadcast_if_small(wanted, limit), ["slot", "term"]).select(*row(place="place", qn="_q.qn", off="_q.off"))
+    rows = of_slots(index.spots, wanted).join(broadcast_if_small(wanted, limit), ["slot", "term"]).select(*row(place="place", qn="_q.qn", off="_q.off"))
     rows = rows.unionByName(sizes.select(*row(qn="_q.qn", size="_q.size")))
     rows = rows.unionByName(shelves.for_each_block(index.shelves, numbers).select(*row(ids="ids")))
     hits = rows.groupBy("shelf", "qb").applyInArrow(boards.phrase_hits, boards.PHRASE_HIT)
@@ -334,19 +334,40 @@ def phrase_match(phrases: DataFrame, index: Index, limit: int | None = None) ->
     return found.join(broadcast_if_small(asked, limit), "phrase").select("query_id", "image_id", "phrase")
 
 
-def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
+# Slots of stored neighbourhood keys.
+KEY_SLOTS = 64
+
+
+def _key_slot() -> Column:
+    return F.pmod("_key", F.lit(KEY_SLOTS)).cast("int")
+
+
+def neighbour_keys(vocabulary: DataFrame) -> DataFrame:
+    """(slot, _key, term): the keys of every term of three letters or more, stored in folders by slot."""
+    known = vocabulary.select("term").filter(F.length("term") >= 3)
+    keys = known.select(F.explode(tx.one_edit_keys("term")).alias("_key"), "term").withColumn("slot", _key_slot())
+    return stage_parted(keys.repartition(KEY_SLOTS, "slot").sortWithinPartitions("_key"), "neighbours", "slot")
+
+
+def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, limit: int | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(query_term, term): index terms within edit distance 1 that share three neighbouring letters.
 
     Both sides are keyed by the hashes of the term less one character. Two terms within
-    distance 1 share a key, and a key is shared by few terms.
+    distance 1 share a key, and a key is shared by few terms. With ``stored``, ``neighbour_keys`` of the vocabulary, only
+    the folders of asked keys are read, and the vocabulary is not.
     """
     asked = query_terms.select(F.col("term").alias("query_term")).filter(
         F.length("query_term") >= 3
     )
     asked = asked.distinct().select("query_term", F.explode(tx.one_edit_keys("query_term")).alias("_key"))
-    known = vocabulary.select("term").filter(F.length("term") >= 3)
-    known = known.select("term", F.explode(tx.one_edit_keys("term")).alias("_key"))
-    pairs = known.join(broadcast_if_small(asked, limit), "_key").select("query_term", "term")
+    on = ["_key"]
+    if stored is None:
+        known = vocabulary.select("term").filter(F.length("term") >= 3)
+        known = known.select("term", F.explode(tx.one_edit_keys("term")).alias("_key"))
+    else:
+        asked = stage(asked.withColumn("slot", _key_slot()), "asked-keys")
+        known, on = of_slots(stored, asked), ["slot", "_key"]
+    pairs = known.join(broadcast_if_small(asked, limit), on).select("query_term", "term")
     return (
         pairs.filter(F.levenshtein("query_term", "term", 1) >= 0)
         .filter(F.arrays_overlap(tx.trigrams("query_term"), tx.trigrams("term")))
@@ -675,12 +696,37 @@ def sets_of(long: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFra
     return keyed.select("query_id", "set_id"), members
 
 
-def profile_scores(members: DataFrame, profiles: DataFrame, limit: int | None = None) -> DataFrame:
-    """(set_id, profile, score) above 0, for filter sets (``sets_of``) and (profile, known)."""
-    fields = profiles.select("profile", F.explode("known").alias("field", "value"))
-    asked = members.select("set_id", F.inline("_set"))
+def metadata_best(query_filters: DataFrame, index: Index, n: int, limit: int | None = None) -> DataFrame:
+    """The same as ``metadata_top``, from what the index holds: of the profiles only those with an asked value, of
+    their items only the first n, and of the profiles of a filter set, by score, only as many as n items take."""
+    if n > FIRSTS:
+        return metadata_top(query_filters, index.items, n, limit)
+    to_set, members = sets_of(query_filters, ["field", "value"])
+    members = stage(members, "filter_sets")
+    scored = profile_scores(members, index.firsts.select("profile", "known"), limit, index.fields)
+    listed = scored.join(index.firsts.select("profile", F.slice("ids", 1, n).alias("ids")), "profile")
+    # All items of better profiles come before: a profile counts only if those hold fewer than n.
+    own = Window.partitionBy("set_id")
+    placed = listed.withColumn("_place", F.dense_rank().over(own.orderBy(F.round("score", PLACES).desc())))
+    before = F.sum(F.size("ids")).over(own.orderBy("_place").rangeBetween(Window.unboundedPreceding, -1))
+    open_ = placed.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < n)
+    best = top_k(open_.select("set_id", "score", F.explode("ids").alias("image_id")), n, by=("set_id",))
+    return to_set.join(best, "set_id").select("query_id", "image_id", "score", "rank")
+
+
+def profile_scores(members: DataFrame, profiles: DataFrame, limit: int | None = None, fields: DataFrame | None = None) -> DataFrame:
+    """(set_id, profile, score) above 0, for filter sets (``sets_of``) and (profile, known).
+
+    ``fields``: the stored (slot, field, value, profile) of the profiles, of which only the asked slots are read.
+    """
+    on, asked = ["field", "value"], members.select("set_id", F.inline("_set"))
+    if fields is None:
+        fields = profiles.select("profile", F.explode("known").alias("field", "value"))
+    else:
+        on, asked = ["slot", *on], asked.withColumn("slot", field_slot())
+        fields = of_slots(fields, asked)
     matches = (
-        fields.join(broadcast_if_small(asked, limit), ["field", "value"])
+        fields.join(broadcast_if_small(asked, limit), on)
         .groupBy("set_id", "profile")
         .agg(F.count(F.lit(1)).alias("_hits"))
     )
@@ -734,30 +780,19 @@ def clue_hits(
     """(value, image_id): clue values found in an item.
 
     A value is found when all its terms are in the item's text, or when it equals the
-    item's source or one of its metadata values, whatever the case.
+    item's source or one of its metadata values, whatever the case. Only the lists of asked terms are
+    read, and the metadata profiles.
     """
-    in_text = in_blocks(
-        clue_terms(query_clues),
-        "value",
-        lambda block: index.postings.select("image_id", "term")
-        .join(block, "term")
-        .groupBy("image_id", "value", "n")
-        .agg(F.count(F.lit(1)).alias("_found"))
-        .filter("_found = n")
-        .select("value", "image_id"),
-        limit,
-    )
+    asked = stage(clue_terms(query_clues).withColumn("slot", slot_of(F.col("term"), index.slots)), "clue-terms")
+    lists = of_slots(index.blocks, asked).select("slot", "term", "shelf", "at").join(broadcast_if_small(asked, limit), ["slot", "term"])
+    met = lists.groupBy("shelf", "value", "n").agg(F.collect_list("at").alias("_lists")).filter(F.size("_lists") == F.col("n"))
+    common = F.aggregate("_lists", F.get("_lists", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
+    in_text = met.select("shelf", "value", common.alias("at")).filter(F.size("at") > 0)
     values = query_clues.select("value").distinct().withColumn("_lower", F.lower("value"))
-    held = F.array_append(
-        F.coalesce(F.map_values("meta"), F.array().cast("array<string>")), F.col("source")
-    )
-    in_meta = (
-        index.items.select("image_id", F.explode(F.array_distinct(held)).alias("_held"))
-        .withColumn("_lower", F.lower("_held"))
-        .join(broadcast_if_small(values, limit), "_lower")
-        .select("value", "image_id")
-    )
-    return in_text.unionByName(in_meta).distinct()
+    held = index.sides.select("shelf", "at", F.explode(F.array_distinct(F.transform(F.map_values("known"), lambda v: F.lower(v)))).alias("_lower"))
+    in_meta = held.join(broadcast_if_small(values, limit), "_lower").select("shelf", "value", "at")
+    places = in_text.unionByName(in_meta).join(index.shelves, "shelf")
+    return places.select("value", F.explode(F.transform("at", lambda i: F.get("ids", i))).alias("image_id")).distinct()
 
 
 def clue_score(

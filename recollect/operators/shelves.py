@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recollect.functions import boards
 from recollect.functions.bounds import broadcast_if_small, lookup
 from recollect.plans.index import Index, slot_of
-from recollect.sources.tables import stage
+from recollect.sources.tables import of_slots, stage
 
 QUERY_BLOCK = 1024
 COLUMNS = {"shelf": "bigint", "qb": "bigint", "kind": "int", "ids": "array<bigint>", "at": "array<int>", "v1": "array<double>", "v2": "array<double>", "qn": "array<int>", "f1": "array<double>", "f2": "array<double>"}
@@ -47,7 +47,7 @@ def term_rows(asked: DataFrame, index: Index, limit: int | None = None) -> DataF
     each = F.sort_array(F.collect_list(F.struct("qn", "f1", "f2"))).alias("_q")
     wanted = asked.groupBy("qb", "term").agg(each).withColumn("slot", slot_of(F.col("term"), index.slots))
     wanted = stage(wanted, "asked-terms")
-    met = index.blocks.join(broadcast_if_small(wanted, limit), ["slot", "term"])
+    met = of_slots(index.blocks, wanted).join(broadcast_if_small(wanted, limit), ["slot", "term"])
     return met.select(*row(boards.TERM, at="at", v1="bm", v2="ltf", qn="_q.qn", f1="_q.f1", f2="_q.f2"))
 
 

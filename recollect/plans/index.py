@@ -19,6 +19,7 @@ MOST_BUCKETS = 4096
 SHELF = 1024
 SLOT_POSTINGS, MOST_SLOTS = 16_000, 4096
 SHELVES_A_FILE = 1000
+FIRSTS, FIELD_SLOTS = 1000, 16
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,8 @@ class Index:
     shelves   shelf, ids: the items of a shelf, ascending; ``at`` counts among them
     facing    shelf, at, ids, units: the vectors of a shelf, one after the other
     sides     shelf, profile, at, known: the metadata profiles of a shelf; ``known`` is the map of fields
+    fields    slot (a folder), field, value, profile: the profiles that have a value
+    firsts    profile, known, ids: the FIRSTS lowest ids of a profile, ascending
     """
 
     items: DataFrame
@@ -60,6 +63,8 @@ class Index:
     shelves: DataFrame
     facing: DataFrame
     sides: DataFrame
+    fields: DataFrame
+    firsts: DataFrame
     slots: int
 
 
@@ -74,6 +79,10 @@ def slot_of(term: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")
 
 
+def field_slot() -> Column:
+    return F.pmod(F.xxhash64("field", "value"), F.lit(FIELD_SLOTS)).cast("int")
+
+
 def known_fields() -> Column:
     """source and ``meta`` of an item as one map, without what is unknown."""
     every = F.map_concat(F.create_map(F.lit("source"), F.col("source")), F.coalesce("meta", F.create_map().cast("map<string,string>")))
@@ -163,6 +172,12 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
     facing = facing.select("shelf", F.col("_list.at").alias("at"), F.col("_list.image_id").alias("ids"), F.flatten("_list.unit").alias("units"))
     sides = kept.select("image_id", known_fields().alias("known")).join(places, "image_id")
     sides = sides.groupBy("shelf", "profile").agg(F.sort_array(F.collect_list("at")).alias("at"), F.any_value("known").alias("known"))
+    order = Window.partitionBy("profile").orderBy("image_id")
+    lowest = places.select("image_id", "profile").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= FIRSTS)
+    firsts = lowest.groupBy("profile").agg(F.sort_array(F.collect_list("image_id")).alias("ids"))
+    sides = stage(sides, "sides")
+    firsts = stage(firsts.join(sides.groupBy("profile").agg(F.any_value("known").alias("known")), "profile"), "firsts")
+    fields = firsts.select(F.explode("known").alias("field", "value"), "profile").withColumn("slot", field_slot())
     n_postings = stats.agg(F.sum("n_terms")).first()[0] or 0
     slots = min(max(n_postings // SLOT_POSTINGS, 8), MOST_SLOTS)
     parts = math.ceil(kept.count() / SHELF / SHELVES_A_FILE) or 1
@@ -179,6 +194,8 @@ def build_index(items: DataFrame, dim: int, buckets: int | None = None) -> Index
         spots=stage_parted(build_spots(kept, places, slots, parts), "spots", "slot"),
         shelves=stage(shelves, "shelves"),
         facing=stage(facing, "facing"),
-        sides=stage(sides, "sides"),
+        sides=sides,
+        fields=stage_parted(fields.repartition(FIELD_SLOTS, "slot"), "fields", "slot"),
+        firsts=firsts,
         slots=slots,
     )

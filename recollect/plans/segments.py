@@ -20,7 +20,7 @@ from recollect.functions.bounds import broadcast_if_small, lookup
 from recollect.operators import signals
 from recollect.operators.retrieval import top_k
 from recollect.plans.index import slot_of
-from recollect.sources.tables import stage, unless_missing
+from recollect.sources.tables import of_slots, stage, unless_missing
 
 SLOTS = 64
 MOST = 4  # segments beyond which the smallest are merged
@@ -111,7 +111,7 @@ def search_segments(query_terms: DataFrame, path: str, k: int = 10, slots: int =
     weight = signals.bm25_weight(F.col("tf"), F.col("dl"), corpus.select("avg_dl").scalar()) * F.col("bm_idf")
 
     def best(name: str) -> DataFrame:
-        met = spark.read.parquet(f"{path}/{name}/postings").join(broadcast_if_small(weighed), ["slot", "term"])
+        met = of_slots(spark.read.parquet(f"{path}/{name}/postings"), weighed).join(broadcast_if_small(weighed), ["slot", "term"])
         sums = met.groupBy("query_id", "image_id").agg(F.sum(weight).alias("score"))
         return top_k(sums, k).drop("rank")
 

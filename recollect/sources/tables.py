@@ -91,6 +91,16 @@ def stage_parted(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def of_slots(stored: DataFrame, wanted: DataFrame, key: str = "slot") -> DataFrame:
+    """The folders of ``stored`` (``stage_parted``) that a written ``wanted`` asks for.
+
+    Spark prunes folders by a join only where the other side has a selective filter of its own, so the numbers of the
+    folders are read first; there are as many at most as ``stored`` has folders.
+    """
+    numbers = sorted(r[key] for r in wanted.select(key).distinct().collect())
+    return stored.filter(F.col(key).isin(numbers))
+
+
 def stage_bucketed(
     df: DataFrame, name: str, key: str, buckets: int, sort: Sequence[str], spread: bool = False
 ) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -92,6 +93,8 @@ def test_fuzzy_terms_match_brute_force(spark):
     words = {"".join(rnd.choice("abcé") for _ in range(rnd.randint(2, 6))) for _ in range(120)}
     df = spark.createDataFrame([(w,) for w in words], "term string")
     got = {(r["query_term"], r["term"]) for r in rt.fuzzy_terms(df, df, limit=0).collect()}
+    stored = rt.fuzzy_terms(df, df.limit(0), stored=rt.neighbour_keys(df)).collect()
+    assert {(r["query_term"], r["term"]) for r in stored} == got
 
     def near(a, b):
         if len(a) == len(b):
@@ -168,6 +171,57 @@ def test_unknown_metadata_passes_no_filter_and_scores_null(spark, index):
     assert {r["image_id"] for r in rt.metadata_filter(index.items, {"source": "phone"}).collect()} == {1, 2, 6}
     top = {r["image_id"]: r["score"] for r in rt.metadata_top(asked, index.items, 4).collect()}
     assert top == {1: 1.0, 2: 1.0, 6: 1.0, 3: 0.5}
+    for n in (1, 3, 4, 8):
+        ways = (rt.metadata_top(asked, index.items, n), rt.metadata_best(asked, index, n))
+        assert hits(ways[0]) == hits(ways[1])
+
+
+def test_a_tuned_target_far_down_is_counted(spark):
+    """The target comes after some hundred items; its place is that in the whole corpus."""
+    from recollect.plans.index import build_index
+    from recollect.schemas import ITEMS
+
+    rows = [(i, None, None, None, None, None, "osi " * (1 + i % 5) + "notes " * (i % 3) + f"w{i}", None) for i in range(300)]
+    ix = build_index(spark.createDataFrame(rows, ITEMS), 4, 2)
+    asked = rk.QuerySet(terms_of(spark, {1: "osi notes"}))
+    ranked = {r["image_id"]: r["rank"] for r in rk.hybrid_search(asked, ix, k=300).collect()}
+    for target in (299, 150, 5):
+        truth = spark.createDataFrame([(1, target)], "query_id long, image_id long")
+        got = rk.tune_weights(asked, ix, truth, [rk.EQUAL_WEIGHTS, {"visual": 1.0}]).orderBy("setting").collect()
+        assert got[0]["mrr"] == pytest.approx(1 / ranked[target], abs=1e-6)
+        assert got[1]["mrr"] == pytest.approx(1 / (target + 1), abs=1e-6)
+    assert max(ranked[t] for t in (299, 150, 5)) > 100
+
+
+def test_codes_find_nine_of_ten_and_read_little(spark):
+    raw = vectors(spark, 400, dim=16, seed=3)
+    units = sg.prepare_vectors(raw, 16)
+    asked = raw.filter("image_id < 30").select(F.col("image_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    blocks = rt.vector_blocks(units)
+    coded = rt.fit_codes(blocks, units, parts=4, entries=32)
+    exact = set(hits(rt.search_vector_blocks(asked, blocks, 5)))
+    got = set(hits(rt.search_codes(asked, coded, units, 5)))
+    assert len(got & exact) >= 0.9 * len(exact)
+    assert sum(len(r["codes"]) for r in coded.codes.collect()) == 4 * units.count()
+
+
+def test_one_query_reads_the_folders_of_its_terms(spark):
+    """Folders of other terms are pruned in the plan."""
+    from recollect.plans.index import build_index
+    from recollect.schemas import ITEMS
+
+    rows = [(i, None, None, None, None, None, f"w{i} w{i + 1} common", None) for i in range(200)]
+    ix = build_index(spark.createDataFrame(rows, ITEMS), 4, 2)
+    asked = terms_of(spark, {1: "w7"})
+    weighed = rt.stage(rt.weigh_terms(asked, ix), "weighed")
+    from recollect.operators import shelves
+
+    placed = weighed.select(F.lit(0).cast("long").alias("qb"), F.lit(0).alias("qn"), "term", F.col("bm_idf").alias("f1"), F.col("q").alias("f2"))
+    made = shelves.term_rows(placed, ix)
+    assert made.count() == 1
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*slot#\d+ (=|IN|INSET)", plan)
+    assert {(r["query_id"], r["image_id"]) for r in rt.text_search(asked, ix).collect()} == {(1, 6), (1, 7)}
 
 
 def queries(spark):
