@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from recollect.functions.bounds import broadcast_if_small
 from recollect.operators.intake import validate
 from recollect.plans.segments import add_segment, merge_segments
 from recollect.schemas import ITEMS
+from recollect.sources import ledger
 from recollect.sources.archive import to_items
-from recollect.sources.tables import other_folders
+from recollect.sources.tables import unless_missing
 
 BATCH = "arrival"
 
@@ -28,8 +28,8 @@ def stream_ingest(
     """Take new files through the same path as an archive; each id is taken once.
 
     A batch is written to a folder of its own, named by the batch number. A batch that is
-    run again after a failure overwrites its folder, and looks for known ids only in the
-    others. With ``index`` each batch becomes a segment of the growing index at that path, and is found by
+    run again after a failure overwrites its folder, and looks for known ids only in what the
+    batches before it took; see ``sources.ledger``. With ``index`` each batch becomes a segment of the growing index at that path, and is found by
     searches from then on; see ``plans.segments``.
     """
     arrivals = (
@@ -40,10 +40,14 @@ def stream_ingest(
 
     def take(batch: DataFrame, number: int) -> None:
         accepted, rejected = validate(to_items(batch), dim)
-        fresh = unseen(accepted, spark, f"{out}/items", number)
+        earlier = unless_missing(lambda: spark.read.option("basePath", f"{out}/items").parquet(f"{out}/items"))
+        known = ledger.held(accepted, f"{out}/ids", number, earlier)
+        fresh = accepted if known is None else accepted.join(known, "image_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out}/items/{BATCH}={number}")
+        taken = spark.read.schema(fresh.schema).parquet(f"{out}/items/{BATCH}={number}")
+        ledger.enter(taken, f"{out}/ids", number, earlier)
         if index:
-            add_segment(spark.read.schema(fresh.schema).parquet(f"{out}/items/{BATCH}={number}"), index, f"{BATCH}-{number}")
+            add_segment(taken, index, f"{BATCH}-{number}")
             merge_segments(spark, index)
         rejected.write.mode("overwrite").parquet(f"{out}/quarantine/{BATCH}={number}")
 
@@ -53,18 +57,3 @@ def stream_ingest(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def unseen(accepted: DataFrame, spark: SparkSession, path: str, number: int) -> DataFrame:
-    """Accepted items whose id no earlier batch holds.
-
-    The ids of the batch go to the table, not the table to the batch: only ids that are
-    in both are shuffled.
-    """
-    others = other_folders(spark, path, {BATCH: number})
-    if others is None:
-        return accepted
-    earlier = others.select("image_id")
-    ids = broadcast_if_small(accepted.select("image_id"))
-    known = earlier.join(ids, "image_id", "left_semi").distinct()
-    return accepted.join(known, "image_id", "left_anti")

@@ -9,7 +9,7 @@ from recollect.operators import retrieval as rt
 from recollect.plans import segments
 from recollect.plans.index import build_index
 from recollect.schemas import ITEMS
-from recollect.sources import tables
+from recollect.sources import ledger, tables
 from recollect.streaming import events, live
 from recollect.streaming.arrivals import stream_ingest
 
@@ -35,6 +35,44 @@ def test_two_drops_a_restart_and_a_repeated_file(spark, monkeypatch):
     assert run() == [1, 2, 3, 4]
 
 
+def test_runs_of_the_ledger_cover_all_batches_once():
+    for number in range(300):
+        runs = ledger.runs_before(number)
+        assert [b for run in runs for b in range(*run)] == list(range(number))
+        assert len(runs) <= (ledger.FAN - 1) * 5
+        first, end = ledger.run_of(number)
+        assert ledger.runs_before(number + 1) == [r for r in runs if r[1] <= first] + [(first, end)]
+
+
+def test_ledger_reads_slots_of_asked_ids_only(spark):
+    """Every taken id is found, none else, and a batch that runs again does not find its own."""
+    path = f"{tables.shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    for number in range(6):
+        ids = spark.range(number * 2000, number * 2000 + 2000).toDF("image_id")
+        asked = spark.createDataFrame([(5,), (number * 2000 - 1,), (number * 2000,), (10**9,)], "image_id long")
+        found = ledger.held(asked, path, number)
+        assert sorted(r["image_id"] for r in found.collect()) == [5, number * 2000 - 1] if number else found is None
+        for _ in range(2):
+            ledger.enter(ids, path, number)
+    again = ledger.held(spark.range(12_000).toDF("image_id"), path, 5)
+    assert sorted(r["image_id"] for r in again.collect()) == list(range(10_000))
+    one = ledger.held(spark.createDataFrame([(5,)], "image_id long"), path, 6)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    slot = spark.sql(f"SELECT pmod(xxhash64(5L), {ledger.SLOTS * 4}) AS slot").first()["slot"]
+    assert f"= {slot})" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_target_older_than_its_ledger(spark):
+    """Where runs are missing, the rows of the target say what was taken."""
+    path = f"{tables.shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    taken = spark.createDataFrame([(1, 0), (2, 1), (3, 3)], "image_id long, arrival int")
+    asked = spark.createDataFrame([(1,), (3,), (4,)], "image_id long")
+    assert sorted(r["image_id"] for r in ledger.held(asked, path, 4, taken).collect()) == [1, 3]
+    assert [r["image_id"] for r in ledger.held(asked, path, 3, taken).collect()] == [1]
+    ledger.enter(spark.createDataFrame([(4,)], "image_id long"), path, 4, taken)
+    assert sorted(r["image_id"] for r in ledger.held(asked, path, 5, taken).collect()) == [1, 3, 4]
+
+
 def test_late_turns_do_not_replace_newer_ones(spark):
     base = f"{tables.shared_dir(spark)}/live-{uuid.uuid4().hex}"
     schema = "conv_id long, turn long, intent string, slot string, value string"
