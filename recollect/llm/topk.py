@@ -1,8 +1,9 @@
 """Exact k best inner products by dual-tree search over cover trees.
 
-Vectors are dealt into blocks of near ones and each block becomes a tree: the children of a node
-are centres picked farthest first, FANOUT at most, each with the points nearest to it and the exact radius
-that covers them. Queries become trees in the same way. A pair of nodes is passed over when no
+Vectors are dealt into blocks of near ones and each block becomes a cover tree: the points of level i are more than
+BASE^i apart and have all points of the block within BASE^i, those of a level are also on the levels below, and the
+parent of a point is one of the level above within BASE^(i+1). Each node knows the exact radius of the points
+under it. Queries become trees in the same way. A pair of nodes is passed over when no
 inner product between points of the two balls can reach the worst k-th score held by a query
 of the group. The query set meets all rows in chunks of bounded size, each chunk against every
 block, by a Spark join; no query comes to the driver.
@@ -25,10 +26,11 @@ PIVOTS = 64
 SAMPLE = 2048  # rows from which the pivots and the first bounds are taken
 BLOCK = 2048  # rows of a tree of data
 CHUNK = 8192  # queries that meet the blocks at once
-LEAF = 48
-FANOUT = 12
+BASE = 1.3  # of the distances of levels
+LEAF = 48  # points that are scored at once
 EXACT = 2**53
 NO_ID = np.iinfo(np.int64).max  # a NULL id comes after all others
+NO_LEVEL = np.iinfo(np.int64).min
 
 
 def integers(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -75,6 +77,60 @@ def farthest_first(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(centres), nearest
 
 
+def cover_levels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, level, parent) of the points: the highest level of each, and its parent, which is on the next level.
+
+    Points enter farthest first. One that is ``d`` away from all before it enters at the highest level with BASE^level < d,
+    so that points of a level are apart, and once no point is further away than that the level covers all. The parent is the nearest point of the
+    level above, or -1. Points that equal an earlier one have level NO_LEVEL and come last.
+    """
+    n = len(x)
+    order, level, parent = np.zeros(n, np.int64), np.full(n, NO_LEVEL, np.int64), np.full(n, -1, np.int64)
+    if not n:
+        return order, level, parent
+    near, owner = np.sqrt(((x - x[0]) ** 2).sum(1)), np.zeros(n, np.int64)
+    above, now, entered = owner.copy(), None, np.zeros(n, bool)
+    entered[0] = True
+    for i in range(1, n):
+        c = int(near.argmax())
+        if near[c] == 0:
+            rest = np.flatnonzero(~entered)
+            order[i:], parent[rest] = rest, owner[rest]
+            break
+        here = math.ceil(math.log(near[c], BASE)) - 1
+        while BASE**here >= near[c]:
+            here -= 1
+        while BASE ** (here + 1) < near[c]:
+            here += 1
+        if here != now:
+            now, above = here, owner.copy()
+        order[i], level[c], parent[c], entered[c] = c, here, above[c], True
+        d = np.sqrt(((x - x[c]) ** 2).sum(1))
+        closer = d < near
+        near[closer], owner[closer] = d[closer], c
+    level[0] = level[order[1]] + 1 if n > 1 and level[order[1]] != NO_LEVEL else 0
+    return order, level, parent
+
+
+def _under(p: int, mine: list[int], kids: list[list[int]]) -> list[int]:
+    """``p`` and all points under its children ``mine``."""
+    out, todo = [p], list(mine)
+    while todo:
+        c = todo.pop()
+        out.append(c)
+        todo += kids[c]
+    return out
+
+
+def _near_ones(x: np.ndarray, points: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Points dealt into groups of near ones that hold about LEAF points with those under them."""
+    while len(points):
+        near = np.argsort(((x[points] - x[points[0]]) ** 2).sum(1), kind="stable")
+        take = max(int(np.searchsorted(np.cumsum(size[points[near]]), LEAF, side="right")), 1)
+        yield points[near[:take]]
+        points = points[np.sort(near[take:])]
+
+
 class Tree:
     """Nodes as arrays: the range of points, the children, the centre point and the covering radius."""
 
@@ -88,36 +144,58 @@ class Tree:
 
     @classmethod
     def build(cls, uid: np.ndarray, ids: np.ndarray, vec: np.ndarray) -> Tree:
-        points, order = vec.astype(np.float64), np.arange(len(vec))
-        nodes: list[list[float]] = []
-        todo = [(0, len(vec), 0)]
-        nodes.append([0, len(vec), 0, 0, 0, 0.0])
+        """The cover tree of the points. Nodes of LEAF points at most have no children.
+
+        A level at which a point has no children but itself is left out. The children of a node that hold few points are scored
+        together: near ones lie side by side and are one leaf.
+        """
+        points = vec.astype(np.float64)
+        order, level, parent = cover_levels(points)
+        kids: list[list[int]] = [[] for _ in range(len(vec))]
+        size = np.ones(len(vec), np.int64)
+        for c in order[1:]:
+            kids[parent[c]].append(int(c))
+        for c in order[:0:-1]:
+            size[parent[c]] += size[c]
+        # start, end, first child, number of children, centre, radius
+        nodes: list[list[float]] = [[0, len(vec), 0, 0, 0, 0.0]]
+        at = np.zeros(len(vec), np.int64)  # the point at each place
+        if len(vec):
+            at[0] = order[0]
+        todo = [(0, 0)] if len(vec) else []  # node, how many children of its centre lie above
         while todo:
-            start, end, me = todo.pop()
-            mine = order[start:end]
-            x = points[mine]
-            nodes[me][4] = start
-            nodes[me][5] = float(np.sqrt(((x - x[0]) ** 2).sum(1).max(initial=0.0)))
-            if end - start <= LEAF or nodes[me][5] == 0:
+            me, above = todo.pop()
+            start, end = int(nodes[me][0]), int(nodes[me][1])
+            p = int(at[start])
+            mine = kids[p][above:]
+            if end - start <= LEAF or not mine or level[mine[0]] == NO_LEVEL:
+                at[start:end] = _under(p, mine, kids)
                 continue
-            centres, nearest = farthest_first(x, FANOUT)
-            # A node's centre is its first point.
-            nearest[centres] = np.arange(len(centres))
-            rank = np.ones(len(mine), np.int64)
-            rank[centres] = 0
-            order[start:end] = mine[np.lexsort((rank, nearest))]
-            ends = start + np.cumsum(np.bincount(nearest, minlength=len(centres)))
-            nodes[me][2], nodes[me][3] = len(nodes), len(centres)
-            a = start
-            for b in ends:
-                todo.append((a, int(b), len(nodes)))
-                nodes.append([a, int(b), 0, 0, a, 0.0])
-                a = int(b)
+            now = [c for c in mine if level[c] == level[mine[0]]]
+            own = end - start - int(size[now].sum())
+            place = start + own
+            nodes[me][2] = len(nodes)
+            todo.append((len(nodes), above + len(now)))
+            nodes.append([start, place, 0, 0, start, 0.0])
+            for c in now:
+                if size[c] > LEAF // 2:
+                    at[place] = c
+                    todo.append((len(nodes), 0))
+                    nodes.append([place, place + size[c], 0, 0, place, 0.0])
+                    place += int(size[c])
+            for together in _near_ones(points, np.array([c for c in now if size[c] <= LEAF // 2], np.int64), size):
+                begin = place
+                for c in together:
+                    at[place : place + size[c]] = _under(int(c), kids[c], kids)
+                    place += int(size[c])
+                nodes.append([begin, place, 0, 0, begin, 0.0])
+            nodes[me][3] = len(nodes) - nodes[me][2]
+        for node in nodes:
+            x = points[at[int(node[0]) : int(node[1])]]
+            node[5] = float(np.sqrt(((x - x[:1]) ** 2).sum(1).max(initial=0.0)))
         n = np.array(nodes, np.float64).reshape(-1, 6)
         start, end, child, children, centre = (n[:, i].astype(np.int64) for i in range(5))
-        return cls(
-            uid=uid[order], id=ids[order], vec=vec[order], start=start, end=end, child=child, children=children, centre=centre, radius=n[:, 5]
-        )
+        return cls(uid=uid[at], id=ids[at], vec=vec[at], start=start, end=end, child=child, children=children, centre=centre, radius=n[:, 5])
 
     def dump(self) -> bytes:
         out = io.BytesIO()

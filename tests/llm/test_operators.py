@@ -175,6 +175,35 @@ def test_top_k_is_exact(spark):
     assert [(r.query_id, r.vec_id) for r in alone.collect()] == [(100, 7)]
 
 
+@pytest.mark.parametrize("n, dim, spread", [(1, 3, 9), (2, 3, 9), (300, 2, 200), (400, 5, 3), (300, 24, 90)])
+def test_cover_tree(n, dim, spread):
+    """Levels are apart and cover all points, parents cover their children, and nodes part the points under them."""
+    x = np.random.default_rng(n).integers(-spread, spread, (n, dim))
+    x[n // 2 : n // 2 + n // 10] = x[0]
+    order, level, parent = topk.cover_levels(x.astype(float))
+    assert sorted(order) == list(range(n)) and (parent >= 0).sum() == n - 1
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for lev in set(level[level > topk.NO_LEVEL]):
+        net = np.flatnonzero(level >= lev)
+        between = far[np.ix_(net, net)][~np.eye(len(net), dtype=bool)]
+        if n > 1:
+            assert between.min(initial=np.inf) > topk.BASE ** float(lev) or lev == level.max()
+            assert far[:, net].min(1).max() <= topk.BASE ** float(lev)
+    for c in np.flatnonzero(parent >= 0):
+        if level[c] == topk.NO_LEVEL:
+            assert far[c, parent[c]] == 0
+        else:
+            assert level[parent[c]] > level[c] and far[c, parent[c]] <= topk.BASE ** float(level[c] + 1)
+    tree = topk.Tree.build(np.arange(n), np.arange(n), x)
+    assert sorted(tree.uid) == list(range(n)) and (tree.vec == x[tree.uid]).all()
+    for node in range(len(tree.start)):
+        a, b, kids = tree.start[node], tree.end[node], range(tree.child[node], tree.child[node] + tree.children[node])
+        assert far[tree.uid[tree.centre[node]], tree.uid[a:b]].max() == tree.radius[node]
+        if kids:
+            assert [tree.start[k] for k in kids] + [b] == [a] + [tree.end[k] for k in kids]
+    assert n < 200 or tree.children.max() > 0
+
+
 def test_large_products_are_whole_numbers():
     a = np.array([[2**31 - 1, 3]], np.int64)
     assert topk.products(a, a)[0, 0] == (2**31 - 1) ** 2 + 9
