@@ -12,10 +12,41 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from recollect.functions import text as tx
 from recollect.operators.conversation import RETRIEVING
 
+class Ending(StatefulProcessor):
+    """State of a conversation that is cleared once no turn of it has arrived for ``idle_ms``; never, if that is None."""
+
+    def __init__(self, idle_ms: int | None = None) -> None:
+        self._idle = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+
+    def _postpone(self, timer_values: Any) -> None:
+        if self._idle is not None:
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self._idle)
+
+    def _kept(self) -> list[Any]:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        for state in self._kept():
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _time_mode(idle_ms: int | None) -> str:
+    return "None" if idle_ms is None else "ProcessingTime"
+
+
 STATE_OUT = "conv_id long, turn long, segment long, slot string, value string"
 
 
-class ClueState(StatefulProcessor):
+class ClueState(Ending):
     """Keeps the searches and the clues of one conversation by turn.
 
     A turn is answered from what was said up to it, however late it arrives: an older turn
@@ -24,12 +55,17 @@ class ClueState(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self._clues = handle.getMapState("clues", "slot string, turn long", "value string")
         self._searches = handle.getMapState("searches", "turn long", "known boolean")
 
+    def _kept(self) -> list[Any]:
+        return [self._clues, self._searches]
+
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any
     ) -> Iterator[pd.DataFrame]:
+        self._postpone(timer_values)
         arrived = pd.concat(rows).sort_values(["turn", "slot"], na_position="first")
         for turn, intent, slot, value in zip(arrived["turn"], arrived["intent"], arrived["slot"], arrived["value"]):
             if intent == "search":
@@ -51,21 +87,19 @@ class ClueState(StatefulProcessor):
             out += [(key[0], int(turn), segment, slot, value) for slot, value in now.items()]
         yield pd.DataFrame(out, columns=["conv_id", "turn", "segment", "slot", "value"])
 
-    def close(self) -> None:
-        pass
-
 
-def stream_context(clued_turns: DataFrame) -> DataFrame:
+def stream_context(clued_turns: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Clue state as of each arriving turn, from a stream of (conv_id, turn, intent, slot, value).
 
     A turn without clues is one row with a NULL slot. A turn that arrives late is answered as of
-    itself; answers given before it are not taken back. Needs the RocksDB state store.
+    itself; answers given before it are not taken back. A conversation without a turn for ``idle_ms`` is forgotten: what comes
+    then starts anew. Needs the RocksDB state store.
     """
     return clued_turns.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=ClueState(),
+        statefulProcessor=ClueState(idle_ms),
         outputStructType=STATE_OUT,
         outputMode="append",
-        timeMode="None",
+        timeMode=_time_mode(idle_ms),
     )
 
 
@@ -79,7 +113,7 @@ def clued(turns: DataFrame, clues: DataFrame) -> DataFrame:
 LIVE_OUT = "conv_id long, turn long, part string, name string, value string, change int"
 
 
-class LiveContext(StatefulProcessor):
+class LiveContext(Ending):
     """Keeps what was said in one conversation by turn: searches, terms, clues, and which turns were answered.
 
     The answer of a turn is its context (all terms of its search so far, for turns that search) and its clue
@@ -89,10 +123,13 @@ class LiveContext(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
+        super().init(handle)
         self._turns = handle.getMapState("turns", "turn long", "intent string")
         self._said = handle.getMapState("said", "turn long, part string, name string, value string", "known boolean")
 
+    def _kept(self) -> list[Any]:
+        return [self._turns, self._said]
+
     def _answers(self, since: int, turns: dict[int, str | None], said: dict[int, list[tuple[str, str, str]]]) -> set[tuple[int, str, str, str]]:
         out: set[tuple[int, str, str, str]] = set()
         terms: set[str] = set()
@@ -112,6 +149,7 @@ class LiveContext(StatefulProcessor):
         return out
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        self._postpone(timer_values)
         turns = {k[0]: v[0] for k, v in self._turns.iterator()}
         said: dict[int, list[tuple[str, str, str]]] = {}
         for (turn, part, name, value), _ in self._said.iterator():
@@ -130,18 +168,16 @@ class LiveContext(StatefulProcessor):
         changes = [(key[0], *row, -1) for row in sorted(before - after)] + [(key[0], *row, 1) for row in sorted(after - before)]
         yield pd.DataFrame(changes, columns=["conv_id", "turn", "part", "name", "value", "change"])
 
-    def close(self) -> None:
-        pass
-
 
-def stream_answers(said: DataFrame) -> DataFrame:
+def stream_answers(said: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Changes (conv_id, turn, part, name, value, change) to the answers of user turns, from a stream of ``said_turns``.
 
     ``part`` is "term" or "clue"; ``settled`` adds the changes up. Needs the RocksDB state store. The state holds what was
-    said in a conversation, each term of a turn once.
+    said in a conversation, each term of a turn once. A conversation without a turn for ``idle_ms`` is forgotten: its answers
+    stand, and what comes then starts anew. With None nothing is forgotten.
     """
     return said.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=LiveContext(), outputStructType=LIVE_OUT, outputMode="append", timeMode="None"
+        statefulProcessor=LiveContext(idle_ms), outputStructType=LIVE_OUT, outputMode="append", timeMode=_time_mode(idle_ms)
     )
 
 

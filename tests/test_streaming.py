@@ -191,3 +191,33 @@ def test_late_turns_take_back_what_no_longer_holds(spark):
             state |= {r["slot"]: r["value"] for r in clues.filter(f"conv_id = {c} AND turn = {t}").collect()}
             want |= {(c, t, "clue", s, v) for s, v in state.items()}
     assert got == want
+
+
+def test_ended_conversations_are_forgotten(spark):
+    """State goes once a conversation was idle; one that went on keeps its own."""
+    base = f"{tables.shared_dir(spark)}/ended-{uuid.uuid4().hex}"
+    schema = "conv_id long, turn long, intent string, part string, name string, value string"
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        "spark.sql.shuffle.partitions": "2",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    drops = [[(1, 0, "search", "term", "", "old"), (1, 0, "search", "clue", "type", "notes")], [(2, 0, "search", "term", "", "other")], [(1, 1, "refine", "term", "", "new")]]
+    got = {}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        for idle in (1, 10**9):
+            for drop in drops:
+                spark.createDataFrame(drop, schema).coalesce(1).write.mode("append").parquet(f"{base}/in-{idle}")
+                stream = live.stream_answers(spark.readStream.schema(schema).parquet(f"{base}/in-{idle}"), idle)
+                out = stream.writeStream.option("checkpointLocation", f"{base}/ckpt-{idle}").trigger(availableNow=True)
+                assert out.outputMode("append").format("parquet").start(f"{base}/out-{idle}").awaitTermination(120)
+            rows = spark.read.parquet(f"{base}/out-{idle}").filter("conv_id = 1 AND turn = 1")
+            got[idle] = sorted((r["part"], r["value"], r["change"]) for r in rows.collect())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got[1] == [("term", "new", 1)]
+    assert got[10**9] == [("clue", "notes", 1), ("term", "new", 1), ("term", "old", 1)]
