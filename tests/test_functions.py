@@ -80,3 +80,20 @@ def test_bucket_count_stays_below_what_spark_takes(spark, monkeypatch):
     monkeypatch.setattr(index, "BUCKET_BYTES", 0.0001)
     items = spark.createDataFrame([(1, "x" * 1000)], "image_id long, text string")
     assert index.bucket_count(items) == index.MOST_BUCKETS
+
+
+def test_best_of_many_shelves_are_those_of_all():
+    import numpy as np
+
+    from recollect.functions import boards
+
+    rnd = np.random.default_rng(3)
+    for k in (1, 4, 30):
+        kept, every = boards._Kept(5, k), []
+        for shelf in range(6):
+            ids = np.sort(rnd.choice(1000, 12, replace=False) * 6 + shelf)
+            scores, found = rnd.integers(0, 6, (5, 12)) / 2.0, rnd.random((5, 12)) < 0.7
+            kept.add(ids, scores, found)
+            every += [(q, -scores[q, i], ids[i]) for q, i in zip(*np.nonzero(found))]
+        want = [x for q in range(5) for x in sorted(e for e in every if e[0] == q)[:k]]
+        assert [(q, -s, i) for q, s, i in zip(kept.q, kept.scores, kept.ids)] == want
