@@ -82,6 +82,32 @@ def test_bucket_count_stays_below_what_spark_takes(spark, monkeypatch):
     assert index.bucket_count(items) == index.MOST_BUCKETS
 
 
+def test_other_entries_on_a_board_move_no_weights():
+    """Entries of vectors have lists in some columns only, and may stand before those of terms."""
+    import numpy as np
+    import pyarrow as pa
+
+    from recollect.functions import boards
+
+    def entry(kind, **given):
+        return {n: None for n in ("key", "ids", "at", "v1", "v2", "qb", "qn", "f1", "f2")} | {"kind": kind, "qb": 0} | given
+
+    held = [entry(boards.TERM, key="a", at=[0, 2], v1=[1.0, 2.0], v2=[3.0, 4.0]), entry(boards.IDS, ids=[5, 6, 7])]
+    asked = [entry(boards.TERM, key="a", qn=[1], f1=[10.0], f2=[100.0]), entry(boards.TERM, key="b", qn=[0], f1=[1.0], f2=[1.0])]
+    vectors = [entry(boards.VECTORS, at=[1], v1=[1.0, 0.0])], [entry(boards.VECTORS, qn=[0], f1=[0.0, 1.0])]
+    kinds = {"kind": pa.int32(), "key": pa.string(), "qb": pa.int64(), "ids": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "qn": pa.list_(pa.int32())}
+    kinds |= {n: pa.list_(pa.float64()) for n in ("v1", "v2", "f1", "f2")}
+    for left, right in ((vectors[0] + held, vectors[1] + asked), (held + vectors[0], asked + vectors[1])):
+        row = {"shelf": 1, "chunk": 0, "held": left, "asked": right}
+        struct = pa.list_(pa.struct(list(kinds.items())))
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([row["held"]], struct), pa.array([row["asked"]], struct)], names=["shelf", "chunk", "held", "asked"])
+        (board,) = boards._boards([batch])
+        assert np.array_equal(board.terms("v1", "f1"), [[0, 0, 0], [10, 0, 20]])
+        assert np.array_equal(board.terms("v2", "f2"), [[0, 0, 0], [300, 0, 400]])
+        (top,) = boards.best_by_sum(1, "v1", "f1")([batch])
+        assert top.to_pylist() == [{"qb": 0, "qn": 1, "image_id": 7, "score": 20.0}]
+
+
 def test_best_of_many_shelves_are_those_of_all():
     import numpy as np
 
