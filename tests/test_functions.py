@@ -123,3 +123,30 @@ def test_best_of_many_shelves_are_those_of_all():
             every += [(q, -scores[q, i], ids[i]) for q, i in zip(*np.nonzero(found))]
         want = [x for q in range(5) for x in sorted(e for e in every if e[0] == q)[:k]]
         assert [(q, -s, i) for q, s, i in zip(kept.q, kept.scores, kept.ids)] == want
+
+
+def clued(spark):
+    from recollect.schemas import ITEMS
+
+    texts = ["osi notes", "osi", "notes", "milk"]
+    rows = [(i, None, None, None, None, None, texts[i % 4], None) for i in range(80)]
+    return spark.createDataFrame(rows, ITEMS)
+
+
+def test_clue_sets_meet_groups_of_items(spark, monkeypatch):
+    """Before, every set of clues met every item."""
+    from recollect.operators import retrieval as rt
+
+    hits = [("osi", i) for i in range(80) if i % 4 < 2] + [("notes", i) for i in range(80) if i % 4 in (0, 2)]
+    asked = spark.createDataFrame([(1, "text", "osi"), (1, "topic", "notes"), (2, "text", "notes"), (3, "text", "bread")], "query_id long, slot string, value string")
+    scored, top_k = [], rt.top_k
+    monkeypatch.setattr(rt, "top_k", lambda df, *a, **b: scored.append(df.count()) or top_k(df, *a, **b))
+    found = rt.clue_top(asked, spark.createDataFrame(hits, "value string, image_id long"), 22).collect()
+    got = {q: [(r["image_id"], r["score"]) for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == q] for q in (1, 2, 3)}
+    both, osi, notes = ([i for i in range(80) if i % 4 == n] for n in (0, 1, 2))
+    assert got == {1: [(i, 1.0) for i in both] + [(i, 0.5) for i in sorted(osi + notes)[:2]], 2: [(i, 1.0) for i in sorted(both + notes)[:22]], 3: []}
+    monkeypatch.undo()
+    scored.clear()
+    monkeypatch.setattr(rt, "top_k", lambda df, *a, **b: scored.append(df.count()) or top_k(df, *a, **b))
+    rt.clue_top(asked, spark.createDataFrame(hits, "value string, image_id long"), 3).collect()
+    assert scored == [15]  # of two sets and their groups, 3 and 2, the three lowest ids
