@@ -150,3 +150,13 @@ def test_clue_sets_meet_groups_of_items(spark, monkeypatch):
     monkeypatch.setattr(rt, "top_k", lambda df, *a, **b: scored.append(df.count()) or top_k(df, *a, **b))
     rt.clue_top(asked, spark.createDataFrame(hits, "value string, image_id long"), 3).collect()
     assert scored == [15]  # of two sets and their groups, 3 and 2, the three lowest ids
+
+
+def test_postings_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
+    from recollect.operators import signals as sg
+
+    plain = sg.postings(clued(spark))
+    monkeypatch.setattr(sg, "TASK_BYTES", 10)
+    cut = sg.postings(clued(spark))
+    assert cut.rdd.getNumPartitions() == 42  # 420 bytes of text
+    assert sorted(cut.collect()) == sorted(plain.collect())
