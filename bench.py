@@ -56,7 +56,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     began = time.perf_counter()
-    works = {"index_build": lambda: adapters.index(spark, sf_dir)}
+    works = {"index_build": lambda: adapters.index(spark, sf_dir).write()}
     works |= {name: lambda name=name: run(sq.QUERIES[name](spark, sf_dir)) for name in HEADLINE}
     works["rt12_hybrid_search"] = lambda: adapters.ranked(spark, sf_dir)
     works |= {name: lambda name=name: run(sq.QUERIES[name](spark, sf_dir)) for name in AFTER_SEARCH}

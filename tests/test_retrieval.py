@@ -252,3 +252,13 @@ def test_rerank_stays_within_the_previous_results(spark, index):
     assert {(r["query_id"], r["image_id"]) for r in again.collect()} == pairs
     with pytest.raises(ValueError):
         rk.refine(queries(spark), index, None, "rerank")
+
+
+def test_search_of_vectors_writes_no_postings(spark, archive):
+    from recollect.plans.index import build_index
+
+    ix = build_index(archive, dim=4, buckets=2)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.1, 0.0]), (2, [0.0, 0.0, 0.0, 2.0])], "query_id long, query_vec array<double>")
+    got = hits(rt.search_vector_blocks(asked, ix.facing, 2))
+    assert got[1, 1] == (1.0, 1) and got[2, 5][1] == 1 and len(got) == 4
+    assert not {"postings", "counted", "items", "blocks", "spots"} & set(vars(ix))
