@@ -262,3 +262,22 @@ def test_search_of_vectors_writes_no_postings(spark, archive):
     got = hits(rt.search_vector_blocks(asked, ix.facing, 2))
     assert got[1, 1] == (1.0, 1) and got[2, 5][1] == 1 and len(got) == 4
     assert not {"postings", "counted", "items", "blocks", "spots"} & set(vars(ix))
+
+
+def test_best_vectors_of_a_task_are_kept_over_its_shelves():
+    """Ten shelves in one task hand on k rows a query, not k for each shelf."""
+    import pyarrow as pa
+
+    from recollect.functions import boards
+
+    none = pa.list_(pa.float64())
+    kinds = {"kind": pa.int32(), "key": pa.string(), "ids": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "v1": none, "v2": none}
+    wants = {"qb": pa.int64(), "kind": pa.int32(), "key": pa.string(), "qn": pa.list_(pa.int32()), "f1": none, "f2": none, "ids": pa.list_(pa.int64())}
+    asked = [{"qb": 0, "kind": boards.VECTORS, "qn": [0], "f1": [1.0, 0.0]}]
+    rows = []
+    for s in range(10):
+        held = [{"kind": boards.IDS, "ids": [2 * s, 2 * s + 1]}, {"kind": boards.VECTORS, "at": [0, 1], "v1": [s / 10, 0.0, -1.0, 0.0]}]
+        rows.append({"shelf": s, "held": held, "chunk": 0, "asked": asked})
+    kind = pa.schema({"shelf": pa.int64(), "held": pa.list_(pa.struct(kinds)), "chunk": pa.int32(), "asked": pa.list_(pa.struct(wants))})
+    made = pa.Table.from_batches(boards.best_by_vectors(3)(iter([pa.RecordBatch.from_pylist(rows, kind)])))
+    assert made.column("image_id").to_pylist() == [18, 16, 14] and made.column("score").to_pylist() == [0.9, 0.8, 0.7]
