@@ -160,3 +160,13 @@ def test_postings_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
     cut = sg.postings(clued(spark))
     assert cut.rdd.getNumPartitions() == 42  # 420 bytes of text
     assert sorted(cut.collect()) == sorted(plain.collect())
+
+
+def test_tfidf_splits_texts_once(spark, archive):
+    """The weights are read from written rows: texts are not split again for the lengths."""
+    from recollect.operators import signals
+
+    post = signals.postings(archive, 2)
+    _, terms = signals.corpus_stats(post)
+    plan = signals.tfidf(post, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
