@@ -124,11 +124,11 @@ class LiveContext(Ending):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self._turns = handle.getMapState("turns", "turn long", "intent string")
-        self._said = handle.getMapState("said", "turn long, part string, name string, value string", "known boolean")
+        # One entry for each turn with all that was said in it: every entry read or written is a call to the state server.
+        self._turns = handle.getMapState("turns", "turn long", "intent string, parts array<string>, names array<string>, said array<string>")
 
     def _kept(self) -> list[Any]:
-        return [self._turns, self._said]
+        return [self._turns]
 
     def _answers(self, since: int, turns: dict[int, str | None], said: dict[int, list[tuple[str, str, str]]]) -> set[tuple[int, str, str, str]]:
         out: set[tuple[int, str, str, str]] = set()
@@ -150,20 +150,23 @@ class LiveContext(Ending):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         self._postpone(timer_values)
-        turns = {k[0]: v[0] for k, v in self._turns.iterator()}
+        turns: dict[int, str | None] = {}
         said: dict[int, list[tuple[str, str, str]]] = {}
-        for (turn, part, name, value), _ in self._said.iterator():
-            said.setdefault(turn, []).append((part, name, value))
+        for (turn,), (intent, parts, names, values) in self._turns.iterator():
+            turns[turn], said[turn] = intent, list(zip(parts, names, values))
         arrived = pd.concat(rows)
         since = int(arrived["turn"].min())
         before = self._answers(since, turns, said)
+        known: dict[int, set[tuple[str, str, str]]] = {}
         for turn, intent, part, name, value in zip(arrived["turn"], arrived["intent"], arrived["part"], arrived["name"], arrived["value"]):
             turn = int(turn)
             turns[turn] = intent
-            self._turns.updateValue((turn,), (intent,))
-            if part is not None and not pd.isna(part) and (part, name, value) not in said.setdefault(turn, []):
+            held = known.setdefault(turn, set(said.setdefault(turn, [])))
+            if part is not None and not pd.isna(part) and (part, name, value) not in held:
+                held.add((part, name, value))
                 said[turn].append((part, name, value))
-                self._said.updateValue((turn, part, name, value), (True,))
+        for turn in known:
+            self._turns.updateValue((turn,), (turns[turn], *[[entry[i] for entry in said[turn]] for i in range(3)]))
         after = self._answers(since, turns, said)
         changes = [(key[0], *row, -1) for row in sorted(before - after)] + [(key[0], *row, 1) for row in sorted(after - before)]
         yield pd.DataFrame(changes, columns=["conv_id", "turn", "part", "name", "value", "change"])

@@ -170,3 +170,26 @@ def test_tfidf_splits_texts_once(spark, archive):
     _, terms = signals.corpus_stats(post)
     plan = signals.tfidf(post, terms)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_a_turn_is_one_entry_of_the_live_state():
+    """Each entry read or written is a call to the state server, so that a turn of many terms must not be many."""
+    from recollect.streaming import live
+
+    class Entries(dict):
+        written = 0
+
+        def updateValue(self, key, value):
+            self.written += 1
+            self[key] = value
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    maps = []
+    handle = type("Handle", (), {"getMapState": lambda self, *a: maps.append(Entries()) or maps[-1]})()
+    state = live.LiveContext()
+    state.init(handle)
+    rows = [(t, "refine", "term", "", f"t{t}-{i}") for t in range(3) for i in range(10)]
+    changes = [c for part in (rows[:10], rows[10:]) for c in state.handleInputRows((7,), iter([pd.DataFrame(part, columns=["turn", "intent", "part", "name", "value"])]), None)]
+    assert sum(len(c) for c in changes) == 10 + 20 + 30 and sum(m.written for m in maps) == 3
