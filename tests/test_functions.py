@@ -193,3 +193,17 @@ def test_a_turn_is_one_entry_of_the_live_state():
     rows = [(t, "refine", "term", "", f"t{t}-{i}") for t in range(3) for i in range(10)]
     changes = [c for part in (rows[:10], rows[10:]) for c in state.handleInputRows((7,), iter([pd.DataFrame(part, columns=["turn", "intent", "part", "name", "value"])]), None)]
     assert sum(len(c) for c in changes) == 10 + 20 + 30 and sum(m.written for m in maps) == 3
+
+
+def test_corpus_stats_of_texts_need_no_postings(spark, archive, monkeypatch):
+    """The same as from postings; texts are not shuffled by their ids, and are split once."""
+    from recollect.operators import signals
+
+    made = []
+    monkeypatch.setattr(signals, "stage", lambda df, *a: made.append(df) or df)
+    corpus, terms = signals.text_stats(archive)
+    want_corpus, want = signals.corpus_stats(signals.postings(archive, 2))
+    assert sorted(terms.collect()) == sorted(want.collect())
+    assert corpus.collect() == want_corpus.collect()
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and "hashpartitioning(term" in plan and "hashpartitioning(image_id" not in plan
