@@ -56,36 +56,46 @@ class ClueState(Ending):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self._clues = handle.getMapState("clues", "slot string, turn long", "value string")
-        self._searches = handle.getMapState("searches", "turn long", "known boolean")
+        # One entry for the conversation: every one read or written is a call to the state server, and all are read anyway.
+        self._said = handle.getValueState("said", "searches array<long>, slots array<string>, turns array<long>, clues array<string>")
 
     def _kept(self) -> list[Any]:
-        return [self._clues, self._searches]
+        return [self._said]
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any
     ) -> Iterator[pd.DataFrame]:
         self._postpone(timer_values)
-        arrived = pd.concat(rows).sort_values(["turn", "slot"], na_position="first")
-        for turn, intent, slot, value in zip(arrived["turn"], arrived["intent"], arrived["slot"], arrived["value"]):
-            if intent == "search":
-                self._searches.updateValue((int(turn),), (True,))
-            if slot is not None and not pd.isna(slot):
-                self._clues.updateValue((slot, int(turn)), (value,))
-        searches = sorted(k[0] for k, _ in self._searches.iterator())
-        said = sorted((k[1], k[0], v[0]) for k, v in self._clues.iterator())
+        held = self._said.get()
+        searches = set(held[0]) if held else set()
+        clues = dict(zip(zip(held[2], held[1]), held[3])) if held else {}
+        before = len(searches), dict(clues)
+        arrived: set[int] = set()
+        for some in rows:
+            for turn, intent, slot, value in zip(*(some[c].tolist() for c in ("turn", "intent", "slot", "value"))):
+                arrived.add(turn)
+                if intent == "search":
+                    searches.add(turn)
+                if slot is not None and not pd.isna(slot):
+                    clues[turn, slot] = value
+        if (len(searches), clues) != before:
+            order = sorted(clues)
+            self._said.update((sorted(searches), [s for _, s in order], [t for t, _ in order], [clues[c] for c in order]))
+        opening = sorted(searches)
+        said = [(turn, slot, clues[turn, slot]) for turn, slot in sorted(clues)]
         out, now, at, segment = [], {}, 0, 0
-        for turn in sorted(set(arrived["turn"])):
-            while segment < len(searches) and searches[segment] <= turn:
+        for turn in sorted(arrived):
+            while segment < len(opening) and opening[segment] <= turn:
                 segment += 1
                 now = {}
-            opened = searches[segment - 1] if segment else None
+            opened = opening[segment - 1] if segment else None
             while at < len(said) and said[at][0] <= turn:
                 if opened is None or said[at][0] >= opened:
                     now[said[at][1]] = said[at][2]
                 at += 1
-            out += [(key[0], int(turn), segment, slot, value) for slot, value in now.items()]
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "segment", "slot", "value"])
+            out += [(key[0], turn, segment, slot, value) for slot, value in now.items()]
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "segment", "slot", "value"])
 
 
 def stream_context(clued_turns: DataFrame, idle_ms: int | None = None) -> DataFrame:

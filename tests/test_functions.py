@@ -207,3 +207,35 @@ def test_corpus_stats_of_texts_need_no_postings(spark, archive, monkeypatch):
     assert corpus.collect() == want_corpus.collect()
     plan = made[0]._jdf.queryExecution().executedPlan().toString()
     assert len(made) == 1 and "hashpartitioning(term" in plan and "hashpartitioning(image_id" not in plan
+
+
+def test_a_conversation_is_one_entry_of_the_clue_state():
+    """One read and one write of the state for all turns of a conversation in a batch, none if nothing new was said."""
+    from recollect.streaming import live
+
+    class Entry:
+        held, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    entry = Entry()
+    state = live.ClueState()
+    state.init(type("Handle", (), {"getValueState": lambda self, *a: entry})())
+
+    def arrive(*rows):
+        frames = [pd.DataFrame([row], columns=["turn", "intent", "slot", "value"]) for row in rows]
+        return [tuple(r) for part in state.handleInputRows((7,), iter(frames), None) for r in part.itertuples(index=False)]
+
+    assert arrive((0, "search", "type", "notes"), (3, "refine", "topic", "b"), (3, "refine", "look", "dark")) == [
+        (7, 0, 1, "type", "notes"),
+        *[(7, 3, 1, *said) for said in (("type", "notes"), ("look", "dark"), ("topic", "b"))],
+    ]
+    assert entry.calls == 2
+    assert arrive((2, "search", None, None), (4, "why", None, None)) == [(7, 4, 2, "look", "dark"), (7, 4, 2, "topic", "b")]
+    assert arrive((1, "why", None, None)) == [(7, 1, 1, "type", "notes")] and entry.calls == 5
