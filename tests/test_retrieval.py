@@ -205,6 +205,47 @@ def test_codes_find_nine_of_ten_and_read_little(spark):
     assert sum(len(r["codes"]) for r in coded.codes.collect()) == 4 * units.count()
 
 
+def test_pruned_search_makes_no_pairs_of_queries_and_items(spark, monkeypatch):
+    """The same results as by all terms, from boards; weak terms are there, and are added to a part of the queries only."""
+    import numpy as np
+
+    from recollect.functions import boards
+    from recollect.operators import shelves
+    from recollect.plans.index import build_index
+    from recollect.schemas import ITEMS
+
+    rnd = random.Random(3)
+    words = ["the", "of", "and"] * 12 + [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 25))) for _ in range(60)]
+    rows = [(i, None, None, None, None, None, "the of " + t, None) for i, t in enumerate(texts + texts)]
+    ix = build_index(spark.createDataFrame(rows, ITEMS), 4, 2)
+    asked = terms_of(spark, {i: "the of and " + " ".join(rnd.choice(words) for _ in range(6)) for i in range(12)} | {99: "nothing"})
+    weighed = rt.stage(rt.weigh_terms(asked, ix))
+    monkeypatch.setattr(rt, "_sums", None)
+    best_above, marked = shelves.best_above, []
+    monkeypatch.setattr(shelves, "best_above", lambda df, *a: marked.append(df) or best_above(df, *a))
+    for signal, search in ((rt.TEXT, rt.text_search), (rt.SEMANTIC, rt.semantic_search)):
+        for k, limit in ((2, None), (10, 60), (200, None)):
+            assert hits(rt.best_by_terms(weighed, ix, signal, k, limit, sum_rows=0)) == hits(search(asked, ix, k))
+    assert marked[0].filter("_weak").count() and not marked[2].filter("_weak").count()
+
+    pa = boards.pa
+    longs, ints, doubles = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64())
+    held = pa.struct([("kind", pa.int32()), ("key", pa.string()), ("ids", longs), ("at", ints), ("v1", doubles), ("v2", doubles)])
+    asks = pa.struct([("qb", pa.int64()), ("kind", pa.int32()), ("key", pa.string()), ("qn", ints), ("f1", doubles), ("f2", doubles), ("ids", longs)])
+    shelf = [{"kind": boards.IDS, "ids": [4, 9]}, {"kind": boards.TERM, "key": "x", "at": [1], "v1": [1.0]}]
+    block = [
+        {"qb": 0, "kind": boards.LIMIT, "qn": [0, 1], "f1": [5.0, 5.0], "f2": [2.0, 2.0]},
+        {"qb": 0, "kind": boards.WEAK, "key": "x", "qn": [0, 1, 2], "f1": [1.0, 1.0, 1.0]},
+        {"qb": 0, "kind": boards.TERM, "key": "x", "qn": [0, 1, 2], "f1": [3.0, 2.0, 1.0]},
+    ]
+    batch = pa.RecordBatch.from_arrays([pa.array([shelf], pa.list_(held)), pa.array([0]), pa.array([block], pa.list_(asks))], names=["held", "chunk", "asked"])
+    (board,) = boards._boards(iter([batch]))
+    assert np.array_equal(board.weak_terms("v1", np.array([True, False, True])), [[0, 1], [0, 0], [0, 1]])
+    (out,) = boards.best_above(3, "v1")(iter([batch]))
+    assert out.to_pydict() == {"qb": [0, 0], "qn": [0, 2], "image_id": [9, 9], "score": [4.0, 1.0]}
+
+
 def test_one_query_reads_the_folders_of_its_terms(spark):
     """Folders of other terms are pruned in the plan."""
     from recollect.plans.index import build_index
