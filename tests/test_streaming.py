@@ -127,6 +127,20 @@ def test_growing_index_is_searched_as_one(spark):
     assert len(live_ones) == 2 and sorted(n for s in live_ones for n in s.holds) == [f"drop-{i}" for i in range(6)]
 
 
+def test_segments_hold_a_term_once_for_each_shelf(spark):
+    """Searches meet shelves, not single postings, also of merged segments, whose shelves are filled anew."""
+    base = f"{tables.shared_dir(spark)}/shelved-{uuid.uuid4().hex}"
+    for drop in range(3):
+        rows = [(drop * 10 + i, None, None, None, None, None, f"all w{i} w{i}", None) for i in range(10)]
+        segments.add_segment(spark.createDataFrame(rows, ITEMS), base, f"drop-{drop}", slots=4)
+    segments.merge_segments(spark, base, most=1, slots=4)
+    (merged,) = segments.live_segments(spark, base)
+    held = spark.read.parquet(f"{base}/{merged.name}/postings").filter("term = 'all'").collect()
+    assert [len(r["at"]) for r in held] == [30] and merged.postings == 60
+    asked = spark.createDataFrame([(q, "all", 1) for q in range(5)], "query_id long, term string, tf long")
+    assert segments.search_segments(asked, base, 4, slots=4).groupBy("image_id").count().collect() and segments.search_segments(asked, base, 4, slots=4).count() == 20
+
+
 def test_events_are_created_once_by_replays_and_two_streams(spark):
     base = f"{tables.shared_dir(spark)}/confirm-{uuid.uuid4().hex}"
     made = spark.createDataFrame([(f"p{i}", "event", f"title {i}") for i in range(6)], "proposal_id string, kind string, title string")
