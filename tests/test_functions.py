@@ -239,3 +239,70 @@ def test_a_conversation_is_one_entry_of_the_clue_state():
     assert entry.calls == 2
     assert arrive((2, "search", None, None), (4, "why", None, None)) == [(7, 4, 2, "look", "dark"), (7, 4, 2, "topic", "b")]
     assert arrive((1, "why", None, None)) == [(7, 1, 1, "type", "notes")] and entry.calls == 5
+
+
+def _found_items(spark):
+    """An index of texts of few words, many of them of equal weight, and what queries found in it, some of it twice."""
+    from recollect.plans.index import build_index
+    from recollect.schemas import ITEMS
+
+    rnd = random.Random(7)
+    texts = {i: " ".join(rnd.choices([f"w{n:02}" for n in range(70)], k=rnd.randint(1, 30))) for i in range(1, 41)}
+    rows = [(i, f"s{i % 2}", None, None, None, None, text, None) for i, text in texts.items()]
+    pairs = [(q, i) for q in range(100, 130) for i in rnd.choices(list(texts), k=4)]
+    return build_index(spark.createDataFrame(rows, ITEMS), dim=4, buckets=2), spark.createDataFrame(pairs, "query_id long, image_id long")
+
+
+def test_roadmap_shuffles_no_terms_of_pairs(spark, monkeypatch):
+    import re
+
+    from recollect.operators import actions as ac, retrieval as rt, shelves
+
+    index, found = _found_items(spark)
+    monkeypatch.setattr(shelves, "FOUND_PAIRS", 40)  # several blocks of queries
+    plan = ac.roadmap(found, index)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, (term|topic)#", plan._jdf.queryExecution().executedPlan().toString())
+    sums, weight = {}, {}
+    for r in rt.weights_of(found, index).collect():
+        weight.setdefault(r["image_id"], []).append((r["term"], r["w"]))
+    for q, i in found.collect():
+        for term, w in weight[i]:
+            sums[q, term] = sums.get((q, term), 0.0) + w
+    want = {}
+    for q in {q for q, _ in sums}:
+        heavy = sorted((-round(w, 6), term) for (p, term), w in sums.items() if p == q)[:5]
+        want |= {(q, n + 1): (term, -w) for n, (w, term) in enumerate(heavy)}
+    got = {(r["query_id"], r["step"]): (r["topic"], r["weight"]) for r in plan.collect()}
+    assert got == want and len(want) > 100
+
+
+def test_topics_are_the_same_in_pieces(monkeypatch):
+    """However few pairs are added up at once, and however the terms are dealt to rows."""
+    import pyarrow as pa
+
+    from recollect.functions import boards
+
+    rnd = random.Random(3)
+    held = [{"term": f"t{t}", "idf": 1.0 + t % 3, "shelf": s, "at": (at := sorted(rnd.sample(range(20), 6))), "ltf": [rnd.choice((0.25, 0.5)) for _ in at]} for t in range(60) for s in (-5, 9)]
+    asked = [{"shelf": s, "at": at, "qn": sorted(rnd.choices(range(8), k=3))} for s in (-5, 9, 11) for at in range(0, 20, 2)]
+    sums = {}
+    for h in held:
+        for a in asked:
+            if a["shelf"] == h["shelf"] and a["at"] in h["at"]:
+                for q in a["qn"]:
+                    sums[q, h["term"]] = sums.get((q, h["term"]), 0.0) + h["ltf"][h["at"].index(a["at"])] * h["idf"]
+    k = 2 + boards.SPARE
+    want = {q: sorted((-w, t) for (p, t), w in sums.items() if p == q)[:k] for q in range(8)}
+    entry = pa.list_(pa.struct([("term", pa.string()), ("idf", pa.float64()), ("shelf", pa.int64()), ("at", pa.list_(pa.int32())), ("ltf", pa.list_(pa.float64()))]))
+    found = pa.list_(pa.struct([("shelf", pa.int64()), ("at", pa.int32()), ("qn", pa.list_(pa.int32()))]))
+    rnd.shuffle(held)
+    parts = [[h for h in held if int(h["term"][1:]) % 4 == p] for p in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(parts, entry), pa.array([6] * 4), pa.array([asked] * 4, found)], names=["held", "qb", "asked"])
+    for most in (1, 50, 1_000_000):
+        monkeypatch.setattr(boards, "LIGHT_AT_ONCE", most)
+        got = {}
+        for out in boards.heaviest_terms(2)([batch]):
+            for r in out.to_pylist():
+                assert r["qb"] == 6
+                got.setdefault(r["qn"], []).append((-r["weight"], r["term"]))
+        assert {q: sorted(rows) for q, rows in got.items()} == want
