@@ -306,3 +306,25 @@ def test_topics_are_the_same_in_pieces(monkeypatch):
                 assert r["qb"] == 6
                 got.setdefault(r["qn"], []).append((-r["weight"], r["term"]))
         assert {q: sorted(rows) for q, rows in got.items()} == want
+
+
+def test_signals_in_another_order_rank_the_same(spark, index, monkeypatch):
+    """Entries of a board may come in any order: results, explanations and places of targets are the same."""
+    from recollect.operators import evaluation as ev, ranking as rk, together
+
+    terms = spark.createDataFrame([(1, "osi", 1), (1, "model", 1), (2, "python", 1), (2, "error", 2)], "query_id long, term string, tf long")
+    vecs = spark.createDataFrame([(1, [1.0, 0.0, 0.5, 0.0]), (2, [0.0, 1.0, 0.0, 0.0])], "query_id long, query_vec array<double>")
+    filters = spark.createDataFrame([(1, "source", "phone"), (2, "lang", "en")], "query_id long, field string, value string")
+    clues = spark.createDataFrame([(1, "topic", "networks"), (2, "topic", "login")], "query_id long, slot string, value string")
+    queries = rk.QuerySet(terms, vecs, filters, clues)
+    truth = spark.createDataFrame([(1, 2), (2, 3)], "query_id long, image_id long")
+    made = together.signal_rows
+
+    def results():
+        prepared = rk.prepare(queries, index)
+        ranked = sorted(map(tuple, rk.hybrid_search(prepared, index).collect()), key=str)
+        return ranked, sorted(map(tuple, ev.ablate(prepared, index, truth).collect()), key=str)
+
+    want = results()
+    monkeypatch.setattr(together, "signal_rows", lambda *a: tuple(side[::-1] for side in made(*a)))
+    assert results() == want and want[0]
