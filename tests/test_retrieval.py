@@ -322,3 +322,40 @@ def test_best_vectors_of_a_task_are_kept_over_its_shelves():
     kind = pa.schema({"shelf": pa.int64(), "held": pa.list_(pa.struct(kinds)), "chunk": pa.int32(), "asked": pa.list_(pa.struct(wants))})
     made = pa.Table.from_batches(boards.best_by_vectors(3)(iter([pa.RecordBatch.from_pylist(rows, kind)])))
     assert made.column("image_id").to_pylist() == [18, 16, 14] and made.column("score").to_pylist() == [0.9, 0.8, 0.7]
+
+
+def test_queries_come_to_a_task_once(spark, monkeypatch):
+    """Before, every shelf was one row, and all queries came with each of them."""
+    import pyarrow as pa
+
+    from recollect.operators import shelves
+    from recollect.plans import index as plan
+    from recollect.schemas import ITEMS
+
+    monkeypatch.setattr(plan, "SHELF", 4)
+    rnd = random.Random(5)
+    rows = [(i, f"s{i % 3}", None, None, None, None, " ".join(rnd.choice("abcdefgh") for _ in range(5)), None) for i in range(60)]
+    ix = plan.build_index(spark.createDataFrame(rows, ITEMS), 4, 2)
+    asked = spark.createDataFrame([(q, "abcdefgh"[q % (3 + n)], 1) for q in range(2100) for n in (0, 5)], "query_id long, term string, tf long")
+    weighed = rt.stage(rt.weigh_terms(asked, ix))
+
+    def counted(batches):
+        pieces, entries, most = [], 0, 0
+        for batch in batches:
+            pieces += [c for c, a in zip(batch.column("chunk").to_pylist(), batch.column("asked").to_pylist()) if a is not None]
+            sizes = [len(x) for x in batch.column("held").to_pylist() if x is not None]
+            entries, most = entries + len(sizes), max([most, *sizes])
+        yield pa.RecordBatch.from_pylist([{"pieces": len(pieces), "distinct": len(set(pieces)), "entries": entries, "most": most}])
+
+    terms = weighed.join(shelves.numbered(weighed), "query_id").selectExpr("qb", "qn", "term", "bm_idf f1", "q f2")
+    side = [shelves.shelf_rows(ix), shelves.term_rows(weighed, ix)], [shelves.asked_terms(terms)]
+    tasks = shelves.score(*side, counted, "pieces long, distinct long, entries long, most long", lambda some: some).collect()
+    assert all(t["pieces"] == t["distinct"] for t in tasks) and max(t["entries"] for t in tasks) > 9 and {t["most"] for t in tasks} <= {0, 1}
+
+    want = hits(rt.text_search(asked, ix, 3))
+    setting = spark.conf.get(shelves.BATCH_SETTING)
+    rounds, stage = [], shelves.stage
+    monkeypatch.setattr(shelves, "stage", lambda df, name, **more: rounds.append(name) or stage(df, name, **more))
+    monkeypatch.setattr(shelves, "SENT_BYTES", 500)
+    assert hits(rt.text_search(asked, ix, 3)) == want and len(want) > 6000
+    assert rounds.count("found") == 3 and spark.conf.get(shelves.BATCH_SETTING) == setting
