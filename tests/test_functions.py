@@ -276,6 +276,29 @@ def test_roadmap_shuffles_no_terms_of_pairs(spark, monkeypatch):
     assert got == want and len(want) > 100
 
 
+def test_found_items_come_to_a_task_once(spark, monkeypatch):
+    """Before, all that queries found came with each part of the postings."""
+    import pyarrow as pa
+
+    from recollect.functions import boards
+    from recollect.operators import shelves
+
+    index, found = _found_items(spark)
+
+    def counted(k):
+        def run(batches):
+            rows = [(batch.column(n).null_count, batch.num_rows) for batch in batches for n in ("held", "asked")]
+            held, asked = (sum(n - none for none, n in rows[i::2]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([asked], pa.int32()), pa.array([str(held)]), pa.array([0.0])], names=["qb", "qn", "term", "weight"])
+
+        return run
+
+    monkeypatch.setattr(boards, "heaviest_terms", counted)
+    monkeypatch.setattr(shelves, "named", lambda rows, numbers: rows)
+    tasks = [(int(r["term"]), r["qn"]) for r in shelves.heaviest_terms(found, index, 2).collect()]
+    assert sum(held for held, _ in tasks) > 12 and all(asked == 1 for held, asked in tasks if held)
+
+
 def test_topics_are_the_same_in_pieces(monkeypatch):
     """However few pairs are added up at once, and however the terms are dealt to rows."""
     import pyarrow as pa
