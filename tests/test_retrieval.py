@@ -359,3 +359,19 @@ def test_queries_come_to_a_task_once(spark, monkeypatch):
     monkeypatch.setattr(shelves, "SENT_BYTES", 500)
     assert hits(rt.text_search(asked, ix, 3)) == want and len(want) > 6000
     assert rounds.count("found") == 3 and spark.conf.get(shelves.BATCH_SETTING) == setting
+
+
+def test_clues_alone_write_no_postings(spark):
+    """Before, looking up a few clues wrote the postings of all terms."""
+    from recollect.plans.index import build_index
+    from recollect.schemas import ITEMS
+
+    texts = ["OSI notes", "osi", "notes of OSI, osi notes", None, "phone", "notes"]
+    rows = [(i, "Phone" if i % 2 else None, None, None, None, {"lang": "osi"} if i == 4 else None, text, None) for i, text in enumerate(texts)]
+    items = spark.createDataFrame([*rows, rows[1]], ITEMS)
+    clues = spark.createDataFrame([(1, "topic", "osi notes"), (1, "type", "phone"), (2, "topic", "OSI"), (3, "text", "..."), (3, "text", None)], "query_id long, slot string, value string")
+    fresh, whole = build_index(items, 4, 2), build_index(items, 4, 2)
+    assert whole.blocks.count()
+    pairs = [sorted((r["value"], r["image_id"]) for r in rt.clue_hits(clues, ix).collect()) for ix in (fresh, whole)]
+    assert pairs[0] == pairs[1] == [("OSI", 0), ("OSI", 1), ("OSI", 2), ("OSI", 4), ("osi notes", 0), ("osi notes", 2), ("phone", 1), ("phone", 3), ("phone", 4), ("phone", 5)]
+    assert not {"counted", "postings", "blocks", "places"} & set(vars(fresh))
