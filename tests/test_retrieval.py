@@ -375,3 +375,25 @@ def test_clues_alone_write_no_postings(spark):
     pairs = [sorted((r["value"], r["image_id"]) for r in rt.clue_hits(clues, ix).collect()) for ix in (fresh, whole)]
     assert pairs[0] == pairs[1] == [("OSI", 0), ("OSI", 1), ("OSI", 2), ("OSI", 4), ("osi notes", 0), ("osi notes", 2), ("phone", 1), ("phone", 3), ("phone", 4), ("phone", 5)]
     assert not {"counted", "postings", "blocks", "places"} & set(vars(fresh))
+
+
+def test_places_of_phrases_are_shuffled_once(spark, monkeypatch):
+    """Before, the places of a term were shuffled once for every block of phrases that has it."""
+    from recollect.operators import shelves
+    from recollect.plans.index import build_index
+    from recollect.schemas import ITEMS
+
+    rnd = random.Random(8)
+    texts = [[rnd.choice("abcd") for _ in range(rnd.randint(0, 12))] for _ in range(30)]
+    ix = build_index(spark.createDataFrame([(i, None, None, None, None, None, " ".join(t), None) for i, t in enumerate(texts)], ITEMS), 4, 2)
+    said = [(q, " ".join(rnd.choice("abcde") for _ in range(1 + q % 4))) for q in range(60)]
+    asked = spark.createDataFrame([*said, said[0], (99, " ... ")], "query_id long, phrase string")
+    inside = lambda words, text: any(text[i : i + len(words)] == words for i in range(len(text) - len(words) + 1))
+    want = sorted((q, i, p) for q, p in said for i, t in enumerate(texts) if inside(p.split(), t))
+    monkeypatch.setattr(rt, "PHRASE_BLOCK", 5)
+    for size, most in ((shelves.SENT_BYTES, 8), (1500, 8), (1500, 1)):
+        monkeypatch.setattr(shelves, "SENT_BYTES", size)
+        monkeypatch.setattr(rt, "MOST_ROUNDS", most, raising=False)
+        found = rt.phrase_match(asked, ix)
+        assert "qb" not in "".join(re.findall(r"hashpartitioning\([^)]*", found._jdf.queryExecution().executedPlan().toString()))
+        assert sorted((r["query_id"], r["image_id"], r["phrase"]) for r in found.collect()) == want and len(want) > 300
